@@ -1,8 +1,9 @@
 """The queries of this folder's operators, by name, and their DuckDB SQL where it can express them."""
 
-from quirelake.llm import line_dedup, simhash
+from quirelake.llm import line_dedup, mixing, simhash
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_simhash": simhash.op4_simhash,
 }
