@@ -56,22 +56,24 @@ def map_texts(
 ) -> DataFrame:
     """One row out per row in: the carried columns and `fields`, which `rows` makes from a batch's UTF-8 texts.
 
-    The text comes last and as bytes; a batch is worked off as it arrives, so memory is that of one Arrow batch.
+    Texts come as bytes; one that is carried anyway goes to Python once. A batch is worked off as it arrives, so
+    memory is that of one Arrow batch.
     """
     made = T._parse_datatype_string(fields)
     carried = [df.schema[c] for c in carry]
     schema = T.StructType([*carried, *made.fields])
     new_types = to_arrow_schema(made)
     kept = len(carried)
+    at = list(carry).index(text) if text in carry else kept
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            made_now = [pa.array(c, type=f.type) for c, f in zip(rows(part.column(kept).to_pylist(), part), new_types)]
+            made_now = [pa.array(c, type=f.type) for c, f in zip(rows(part.column(at).cast(pa.binary()).to_pylist(), part), new_types)]
             fields = [part.schema.field(i) for i in range(kept)] + list(new_types)
             yield pa.RecordBatch.from_arrays([*part.columns[:kept], *made_now], schema=pa.schema(fields))
 
-    fed = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("binary").alias("__text"))
-    return fed.mapInArrow(batches, schema)
+    apart = [] if text in carry else [F.col(f"`{text}`").cast("binary").alias("__text")]
+    return df.select(*[F.col(f"`{c}`") for c in carry], *apart).mapInArrow(batches, schema)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,8 +1,9 @@
 """The queries of this folder's operators, by name, and their DuckDB SQL where it can express them."""
 
-from quirelake.llm import line_dedup, mixing, quality_rules, simhash
+from quirelake.llm import line_dedup, mixing, packing, quality_rules, simhash
 
 QUERIES = {
+    "op8_packing": packing.op8_packing,
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_mixing": mixing.op2_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
