@@ -1,8 +1,10 @@
 """The queries of this folder's operators, by name, and their DuckDB SQL where it can express them."""
 
-from quirelake.llm import line_dedup, mixing, packing, quality_rules, simhash
+from quirelake.llm import language_id, line_dedup, mixing, multi_index, packing, quality_rules, simhash
 
 QUERIES = {
+    "op9_multi_index": multi_index.op9_multi_index,
+    "op10_language_id": language_id.op10_language_id,
     "op8_packing": packing.op8_packing,
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_mixing": mixing.op2_mixing,
