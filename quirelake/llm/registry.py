@@ -1,8 +1,9 @@
 """The queries of this folder's operators, by name, and their DuckDB SQL where it can express them."""
 
-from quirelake.llm import language_id, line_dedup, mixing, multi_index, packing, quality_rules, simhash
+from quirelake.llm import language_id, line_crf, line_dedup, mixing, multi_index, packing, quality_rules, simhash
 
 QUERIES = {
+    "op7_line_crf": line_crf.op7_line_crf,
     "op9_multi_index": multi_index.op9_multi_index,
     "op10_language_id": language_id.op10_language_id,
     "op8_packing": packing.op8_packing,
