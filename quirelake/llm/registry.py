@@ -1,8 +1,10 @@
 """The queries of this folder's operators, by name, and their DuckDB SQL where it can express them."""
 
-from quirelake.llm import language_id, line_crf, line_dedup, mixing, multi_index, packing, quality_rules, simhash
+from quirelake.llm import chat, language_id, line_crf, line_dedup, mixing, multi_index, packing, quality_rules, simhash, warc
 
 QUERIES = {
+    "op5_warc": warc.op5_warc,
+    "op6_chat": chat.op6_chat,
     "op7_line_crf": line_crf.op7_line_crf,
     "op9_multi_index": multi_index.op9_multi_index,
     "op10_language_id": language_id.op10_language_id,
@@ -14,5 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_warc": warc.OP5_SQL,
+    "op6_chat": chat.OP6_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
 }
