@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +18,34 @@ SEQUENCE = 1024
 WINDOW = 16 * SEQUENCE
 SEED = 8
 END = 0
-#: Words whose ids a worker remembers, and texts encoded at a time when it doesn't.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers at most.
+REMEMBERED = 600_000
 
-#: Where the tokenizer certainly starts anew: before a single space or line feed that stands between other characters.
-_PIECES = re.compile(r" ?[^ \n]+|\n| ")
-_UNSURE = re.compile(r"\s\s|\s$|<\|")
+
+def _byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes with: printable Latin ones as they are, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _word_encoder(path: str, tokenizer):
+    """The file's merges in tiktoken, whose calls for single words cost less; None unless its ids are the tokenizer's."""
+    import json
+
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    letters, added = _byte_letters(), {t["content"] for t in told.get("added_tokens", [])}
+    try:
+        ranks = {bytes(letters[c] for c in piece): i for piece, i in told["model"]["vocab"].items() if piece not in added}
+        words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    except (KeyError, TypeError, ValueError):
+        return None
+    probe = " The words, in übergroße Zahl: 1234 &&& isn't être\n\n  señor\t…’ 漢字 🙂 naïve-ish (THE) don't."
+    return words if words.encode_ordinary(probe) == tokenizer.encode(probe, add_special_tokens=False).ids else None
 
 
 class Encoder:
@@ -36,34 +58,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.type, self.code = ("<u2", "H") if small else ("<u4", "I")
+        self.words = _word_encoder(path, self.tokenizer)
+        feed = self.words.encode_ordinary("\n") if self.words else []
+        self.feed = feed[0] if len(feed) == 1 else None
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.type).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, pieces: list[str]) -> bool:
+        """Remembers the ids of words with what parts them from the last one; False where they can't stand alone."""
+        if any(not (w := p.removeprefix("\n")) or w[0].isspace() or w[-1].isspace() for p in pieces):
+            return False
+        ids = np.array(self.words.encode_ordinary("".join(p if p[0] == "\n" else "\n " + p for p in pieces)), self.type)
+        starts = np.flatnonzero(ids == self.feed)
+        if len(starts) != len(pieces):
+            return False
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        width, blob = ids.itemsize, ids.tobytes()
+        bounds = (starts * width).tolist() + [len(blob)]
+        for piece, start, end in zip(pieces, bounds, bounds[1:]):
+            self.known[piece] = blob[start if piece[0] == "\n" else start + width : end]
+        return True
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and the end id, as bytes of `type`."""
-        end = np.array([END], self.type).tobytes()
+        """The ids of each text and the end id, as bytes of `type`.
+
+        A text goes to its words at single spaces and line feeds, where the tokenizer starts anew. One with wider
+        gaps, or white space at an end, is encoded whole, and so is one that may name a special token.
+        """
+        end, get, width = array(self.code, [END]).tobytes(), self.known.get, np.dtype(self.type).itemsize
         out: list[bytes] = []
         for text in texts:
-            if _UNSURE.search(text):
-                out.append(self._encode([text])[0] + end)
+            if self.feed is None or not text or "<|" in text:
+                out.append(self._encode(text) + end)
                 continue
-            pieces = _PIECES.findall(text)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, pieces)) + end)
-            except KeyError:
-                new = [x for x in dict.fromkeys(pieces) if x not in self.known]
-                ids = dict(zip(new, self._encode(new)))
-                if len(self.known) + len(ids) > REMEMBERED:
-                    self.known = {}
-                    ids = dict(zip(pieces, self._encode(pieces))) if len(pieces) < REMEMBERED else None
-                if ids is None:
-                    out.append(self._encode([text])[0] + end)
+            pieces = f"\n{text}".replace("\n", " \n").split(" ")[1:]
+            ids = list(map(get, pieces))
+            if None in ids:
+                if not self._learn(list(dict.fromkeys(p for p, i in zip(pieces, ids) if i is None))):
+                    out.append(self._encode(text) + end)
                     continue
-                self.known.update(ids)
-                out.append(b"".join(map(self.known.__getitem__, pieces)) + end)
+                ids = [get(p) if i is None else i for p, i in zip(pieces, ids)]
+            out.append(b"".join(ids)[width:] + end)
         return out
 
 
