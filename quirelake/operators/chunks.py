@@ -77,7 +77,7 @@ def route_video(tokens: Column, simple_limit: Column) -> Column:
 
 
 def route_pdf(tokens: Column, deep_limit: Column, final: Column | None = None) -> Column:
-    chosen = F.when(final, "final_synthesis") if final is not None else F.when(F.lit(False), "")
+    chosen = F.when(final, "pdf_final_synthesis") if final is not None else F.when(F.lit(False), "")
     return chosen.when(tokens > deep_limit, "pdf_chunk").otherwise("pdf_deep")
 
 
@@ -114,7 +114,7 @@ def summary_plan(docs: DataFrame, deep_limit: int, chunk_limit: int, text: str =
     single = sized.where(F.col("__n") <= deep_limit).select("doc_id", F.lit(0).alias("step"), F.lit("single").alias("call"), F.lit("pdf_deep").alias("model"), F.col("__n").alias("prompt_tokens"))
     parts = chunked(sized.where(F.col("__n") > deep_limit), chunk_limit, text)
     each = parts.select("doc_id", F.col("index").alias("step"), F.lit("chunk").alias("call"), F.lit("pdf_chunk").alias("model"), F.col("token_count").alias("prompt_tokens"))
-    last = each.groupBy("doc_id").agg((F.max("step") + 1).alias("step")).select("doc_id", "step", F.lit("final").alias("call"), F.lit("final_synthesis").alias("model"), F.lit(None).cast("int").alias("prompt_tokens"))
+    last = each.groupBy("doc_id").agg((F.max("step") + 1).alias("step")).select("doc_id", "step", F.lit("final").alias("call"), F.lit("pdf_final_synthesis").alias("model"), F.lit(None).cast("int").alias("prompt_tokens"))
     return single.unionByName(each).unionByName(last)
 
 

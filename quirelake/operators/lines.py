@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import inline_text, rstrip, split_lines, strip
@@ -20,45 +20,42 @@ def is_page_marker(line: Column) -> Column:
     return F.regexp_like(line, F.lit(MARKER))
 
 
-def running_headers(lines: Column) -> Column:
-    """Short lines that a document repeats often enough to be headers; headings, tables and lists never are.
+def numbered_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, pos, line, s) of every line: its place, itself without white space at its end, and stripped.
 
-    In the sorted lines a value occurs n times when it also stands n - 1 places on, so one sort finds them all.
+    Rows are dealt by document once; all windows and groups below keep to that.
     """
-    stripped = F.transform(lines, strip)
-    short = F.filter(stripped, lambda s: (s != "") & (F.char_length(s) <= HEADER_LENGTH) & ~F.regexp_like(s, F.lit(r"^[#|*\-]")))
-    ordered = F.array_sort(short)
-    again = F.transform(ordered, lambda s, i: F.when(s == F.get(ordered, i + (HEADER_TIMES - 1)), s))
-    return F.array_distinct(F.filter(again, lambda s: s.isNotNull()))
+    source = F.regexp_replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), r"\n{4,}", "\n\n\n")
+    rows = docs.select("doc_id", F.posexplode(split_lines(source)).alias("pos", "__line"))
+    return rows.repartition("doc_id").select("doc_id", "pos", rstrip(F.col("__line")).alias("line"), strip(F.col("__line")).alias("s"))
 
 
-def _without_repeats(lines: Column) -> Column:
-    """Lines without those whose stripped text is that of the last line before that isn't blank."""
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), strip(x).alias("s"), i.alias("i")))
-    full = F.filter(numbered, lambda x: x["s"] != "")
-    repeats = F.transform(full, lambda x, k: F.when((k > 0) & (x["s"] == F.get(full, F.greatest(k - 1, F.lit(0)))["s"]), x["i"]))
-    gone = F.filter(repeats, lambda i: i.isNotNull())
-    return F.transform(F.filter(numbered, lambda x: ~F.array_contains(gone, x["i"])), lambda x: x["line"])
+def _is_header(rows: DataFrame) -> DataFrame:
+    """Adds `header`: short lines that a document repeats often enough; headings, tables and lists never are."""
+    short = (F.col("s") != "") & (F.char_length("s") <= HEADER_LENGTH) & ~F.regexp_like("s", F.lit(r"^[#|*\-]"))
+    times = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "s"))
+    return rows.withColumn("header", short & (times >= HEADER_TIMES))
 
 
-def _tidy(text: Column) -> Column:
-    body = strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
-    return F.when(body == "", F.lit("")).otherwise(F.concat(body, F.lit("\n")))
+def running_headers(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, header): each document's running headers."""
+    return _is_header(numbered_lines(docs, text)).where("header").select("doc_id", F.col("s").alias("header")).distinct()
 
 
 def with_clean_markdown(docs: DataFrame, text: str = "text", clean: str = "clean") -> DataFrame:
-    """Adds a page text without running headers, page markers, repeated lines and runs of blank lines.
+    """(doc_id, clean): page texts without running headers, page markers, repeated lines and runs of blank lines.
 
-    Rows are worked off alone, without a shuffle: a document's lines are an array in its row.
+    A line repeats where its stripped text is that of the last line before it that isn't blank. Documents are told
+    apart by doc_id; one whose text is null has none.
     """
-    source = F.regexp_replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), r"\n{4,}", "\n\n\n")
-    staged = docs.withColumn("__lines", F.transform(split_lines(source), rstrip)).withColumn("__headers", running_headers(F.col("__lines")))
-    stays = F.filter("__lines", lambda x: ~F.array_contains(F.col("__headers"), strip(x)) & ~is_page_marker(x))
-    return (
-        staged.withColumn("__stay", stays)
-        .withColumn(clean, _tidy(F.array_join(_without_repeats(F.col("__stay")), "\n")))
-        .drop("__lines", "__headers", "__stay")
-    )
+    stay = _is_header(numbered_lines(docs, text)).where(~F.col("header") & ~is_page_marker(F.col("line")))
+    before = F.lag("s").over(Window.partitionBy("doc_id", F.col("s") == "").orderBy("pos"))
+    once = stay.withColumn("__before", before).where((F.col("s") == "") | F.col("__before").isNull() | (F.col("__before") != F.col("s")))
+    held = once.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("__lines"))
+    body = held.select("doc_id", F.regexp_replace(F.array_join("__lines.line", "\n"), r"\n{3,}", "\n\n").alias("__body"))
+    body = body.select("doc_id", strip(F.col("__body")).alias("__body"))
+    tidy = body.select("doc_id", F.when(F.col("__body") == "", F.lit("")).otherwise(F.concat("__body", F.lit("\n"))).alias("__clean"))
+    return docs.join(tidy, "doc_id", "left").withColumn(clean, F.when(F.col(text).isNotNull(), F.coalesce("__clean", F.lit("")))).drop("__clean")
 
 
 def with_subtitle_text(docs: DataFrame, text: str = "text", clean: str = "clean") -> DataFrame:
@@ -72,7 +69,8 @@ def with_subtitle_text(docs: DataFrame, text: str = "text", clean: str = "clean"
 
     plain = F.transform(F.split(unescape_entities(F.col("__said")), "\n"), lambda x: squeeze(strip(x)))
     staged = numbered.withColumn("__plain", F.filter(plain, lambda x: x != ""))
-    kept = F.filter(F.transform("__plain", lambda x, i: F.when((i == 0) | (x != F.get(F.col("__plain"), i - 1)), x)), lambda x: x.isNotNull())
+    shifted = F.concat(F.array(F.lit(None).cast("string")), "__plain")
+    kept = F.array_compact(F.zip_with("__plain", F.slice(shifted, F.lit(1), F.size("__plain")), lambda x, b: F.when(b.isNull() | (x != b), x)))
     joined = F.array_join(kept, "\n")
     return staged.withColumn(clean, F.when(joined == "", F.lit("")).otherwise(F.concat(joined, F.lit("\n")))).drop("__said", "__plain")
 

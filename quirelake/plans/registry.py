@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quirelake.plans import layout_queries, review_queries, text_queries
+
+_ALL = {**text_queries.QUERIES, **layout_queries.QUERIES, **review_queries.QUERIES}
+
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql is not None}
