@@ -23,6 +23,8 @@ SCALE = 8.0
 #: A run of more letters than this is scored as several words.
 LONGEST = 120
 REMEMBERED = 600_000
+#: Words whose segmentations are laid out at a time.
+GROUP = 4000
 START = "▁"
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -96,26 +98,35 @@ class Lattice:
         whole = sums[np.arange(len(words)), lengths]
         return np.log(np.maximum(whole, 1e-300)) - (lengths * np.log(SCALE))[:, None]
 
+    def _expected(self, edges: np.ndarray, lengths: np.ndarray, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """How often each piece is used in words that come up `counts` times, by forward and backward sums."""
+        sums, rest = self.forward(edges, lengths, p), np.zeros((len(lengths), int(lengths.max()) + 1, p.shape[1]))
+        rest[np.arange(len(lengths)), lengths] = 1
+        back = edges[np.lexsort((edges[:, 0], edges[:, 1]))]
+        starts = np.searchsorted(back[:, 1], np.arange(rest.shape[1] + 1))
+        for start in range(rest.shape[1] - 1, -1, -1):
+            w, _, e, piece = back[starts[start] : starts[start + 1]].T
+            if len(w):
+                first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                rest[w[first], start] = np.add.reduceat(rest[w, e] * p[piece] * (SCALE ** (e - start))[:, None], first)
+        whole = np.maximum(sums[np.arange(len(lengths)), lengths], 1e-300)
+        w, s, e, piece = edges.T
+        share = sums[w, s] * rest[w, e] * p[piece] * (SCALE ** (e - s))[:, None] / whole[w] * counts[w]
+        return np.stack([np.bincount(piece, share[:, k], len(p)) for k in range(p.shape[1])], axis=1)
+
     def fit(self, words: list[str], counts: np.ndarray, rounds: int = FIT_ROUNDS) -> np.ndarray:
-        """Piece probabilities by expectation maximisation; counts: [word, language]. Every piece keeps LEAST."""
+        """Piece probabilities by expectation maximisation; counts: [word, language]. Every piece keeps LEAST.
+
+        Words go through by length, some thousand at a time, so memory stays that of one such group.
+        """
         n = self.unknown + 1
-        edges, lengths = self.edges(words)
+        order = np.argsort([len(w) for w in words], kind="stable")
+        groups = [order[i : i + GROUP] for i in range(0, len(order), GROUP)]
         p = np.full((n, counts.shape[1]), 1.0 / n)
-        back = edges[np.lexsort((edges[:, 0], edges[:, 1]))]
-        starts = np.searchsorted(back[:, 1], np.arange(int(lengths.max(initial=0)) + 2))
-        w, s, e, piece = edges.T
         for _ in range(rounds):
-            sums = self.forward(edges, lengths, p)
-            rest = np.zeros_like(sums)
-            rest[np.arange(len(words)), lengths] = 1
-            for start in range(sums.shape[1] - 1, -1, -1):
-                bw, _, be, bp = back[starts[start] : starts[start + 1]].T
-                if len(bw):
-                    first = np.flatnonzero(np.r_[True, bw[1:] != bw[:-1]])
-                    rest[bw[first], start] = np.add.reduceat(rest[bw, be] * p[bp] * (SCALE ** (be - start))[:, None], first)
-            whole = np.maximum(sums[np.arange(len(words)), lengths], 1e-300)
-            share = sums[w, s] * rest[w, e] * p[piece] * (SCALE ** (e - s))[:, None] / whole[w] * counts[w]
-            expected = np.stack([np.bincount(piece, share[:, k], n) for k in range(counts.shape[1])], axis=1)
+            expected = np.zeros_like(p)
+            for group in groups:
+                expected += self._expected(*self.edges([words[i] for i in group]), counts[group], p)
             expected[self.unknown] = 0
             p = np.maximum(expected / np.maximum(expected.sum(axis=0), 1e-300), LEAST)
             p[self.unknown] = UNKNOWN
@@ -137,8 +148,8 @@ class Identifier:
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
             some.sort(key=len)
-            for k in range(0, len(some), 4000):
-                logs = self.lattice.log_probabilities(part := some[k : k + 4000], self.p)
+            for k in range(0, len(some), GROUP):
+                logs = self.lattice.log_probabilities(part := some[k : k + GROUP], self.p)
                 n = len(self.known)
                 while len(self.table) < n + len(part):
                     self.table = np.concatenate([self.table, np.zeros_like(self.table)])
