@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,8 +93,6 @@ def red_share_of_images(images: DataFrame) -> DataFrame:
 
     Fewer than three channels and unreadable data give 0.
     """
-    import pandas as pd
-
     @F.pandas_udf("double")
     def share(channels: pd.Series, data: pd.Series) -> pd.Series:
         import numpy as np

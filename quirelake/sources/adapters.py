@@ -11,6 +11,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirelake.functions.text import strip
 
@@ -55,7 +56,8 @@ def pages_as_markdown(pages: DataFrame) -> DataFrame:
 
 def call_model(rows: DataFrame, model: Callable[[str, str, str], str], instructions: str) -> DataFrame:
     """Adds `answer`, `error` and `calls` to rows with `text` and `model`; up to three tries, none after a quota error."""
-    schema = rows.schema.add("answer", "string").add("error", "string").add("calls", "int")
+    added = [T.StructField("answer", T.StringType()), T.StructField("error", T.StringType()), T.StructField("calls", T.IntegerType())]
+    schema = T.StructType([*rows.schema.fields, *added])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
