@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import table, written
+from quirelake.llm.common import hash_sample, table, written
 
 #: Centroids of each half; the index has at most this many squared cells, whatever it holds.
 CENTROIDS = 64
@@ -21,6 +21,8 @@ FIT_ROUNDS = 12
 #: A query goes through cells until they hold this share of the index. Vectors without any structure, as the
 #: test tables hold, need about a third for nine in ten of the true neighbours; see the README for recall.
 SHARE = 0.5
+#: And at least so many entries, so that a small table is searched whole.
+LEAST_ENTRIES = 1000
 #: Entries and queries that meet in one task.
 ENTRY_BLOCK, QUERY_BLOCK = 4096, 1024
 
@@ -94,7 +96,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int =
     ordered = Window.partitionBy("vec").orderBy("id")
     few = vectors.distinct().withColumn("__n", F.row_number().over(ordered)).where(F.col("__n") <= k + 1)
     entries = written(few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")), "entries")
-    sample = [r["vec"] for r in entries.orderBy(F.xxhash64("vec")).limit(FIT_VECTORS).select("vec").toLocalIterator()]
+    sample = [r["vec"] for r in hash_sample(entries.select("vec"), ["vec"], FIT_VECTORS, entries.count()).toLocalIterator()]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fit = np.array(sample)
@@ -120,7 +122,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int =
             for q in _matrix(part.column(1)):
                 gaps = [((book - of) ** 2).sum(axis=1) for book, of in zip(books, (q[:half], q[half:]))]
                 bits = np.zeros(len(sizes), bool)
-                bits[multi_sequence(*gaps, sizes, share * total)] = True
+                bits[multi_sequence(*gaps, sizes, max(share * total, LEAST_ENTRIES))] = True
                 probes.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(probes, pa.binary())], names=["id", "vec", "probes"])
 
