@@ -57,7 +57,7 @@ def plan_mix(
 
     `order` names columns that tell rows apart; their seeded hash orders a source's rows, rows that tie in them
     all are alike. A source's rows are all taken floor(target / size) times and, in hash order, once more until
-    the rest of the target is met to within half a row. Sources are matched by value, null to null.
+    the rest of the target is met to within half a row; rows of size 0 are left out. Sources are matched by value, null to null.
     """
     hashed = F.xxhash64(F.lit(seed), *[F.col(c) for c in order])
     rows = sized.withColumn("__h", hashed).withColumn("__b", F.pmod("__h", F.lit(BUCKETS)).cast("int"))
@@ -90,7 +90,7 @@ def plan_mix(
     edge = edge.withColumn("__extra", (F.col("__sum") - F.col("size") / 2 <= F.col("__need")).cast("long")).drop("__sum")
     return (
         clear.unionByName(edge)
-        .withColumn("times", F.col("__whole") + F.col("__extra"))
+        .withColumn("times", F.when(F.col("size") > 0, F.col("__whole") + F.col("__extra")).otherwise(F.lit(0)))
         .drop("__h", "__b", "__whole", "__need", "__cut", "__before", "__extra")
     )
 
