@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import map_texts, table
+from quirelake.llm.common import hash_sample, map_texts, table
 
 #: Documents of each language, the first by the hash of their ids, that the piece probabilities are fitted on.
 FIT_DOCS = 400
@@ -192,10 +193,14 @@ def held_out(id_col: str):
 def fit_languages(docs: DataFrame, vocabulary_path: str, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their piece probabilities, from (id, text, lang) rows: at most `fit_docs` of each language.
 
-    The words of the chosen documents are counted by Spark; what reaches the driver is bounded by the sample.
+    The words of the chosen documents are counted by Spark; what reaches the driver is bounded by the sample, and
+    by a row a language.
     """
-    spread = Window.partitionBy("lang").orderBy(F.xxhash64("id", "text"), "id")
-    chosen = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("__n", F.row_number().over(spread)).where(F.col("__n") <= fit_docs)
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    parts = [hash_sample(known.where(F.col("lang") == r["lang"]), ["id", "text"], fit_docs, r["count"]) for r in known.groupBy("lang").count().collect()]
+    if not parts:
+        return [], np.zeros((0, 0))
+    chosen = reduce(DataFrame.unionByName, parts)
 
     def words(parts):
         for part in parts:
@@ -204,8 +209,6 @@ def fit_languages(docs: DataFrame, vocabulary_path: str, fit_docs: int = FIT_DOC
 
     counted = chosen.select("lang", "text").mapInPandas(words, "lang string, word string").groupBy("lang", "word").count().toPandas()
     languages = sorted(counted["lang"].unique())
-    if not languages:
-        return [], np.zeros((0, 0))
     table_ = counted.pivot_table(index="word", columns="lang", values="count", fill_value=0).reindex(columns=languages).sort_index()
     return languages, Lattice(vocabulary(vocabulary_path)).fit(list(table_.index), table_.to_numpy(float))
 
