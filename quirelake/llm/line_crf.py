@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import map_texts, table
+from quirelake.llm.common import hash_sample, map_texts, table
 from quirelake.llm.language_id import held_out
 
 #: Labelled documents that the field is fitted on, the first by the hash of their ids.
@@ -177,7 +177,8 @@ def fit_field(texts: list[bytes], labels: np.ndarray, rounds: int = FIT_ROUNDS)
 def learn(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> LineField:
     """The field of at most `fit_docs` labelled (doc_id, text) rows, whole texts, by the hash of their ids."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id")).limit(fit_docs)
+    known = known.where(~held_out("doc_id"))
+    chosen = hash_sample(known, ["doc_id"], fit_docs, known.count())
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most fit_docs rows
     got = rows.select("text", "quality").toPandas()
     return fit_field([bytes(t) if t is not None else b"" for t in got["text"]], got["quality"].to_numpy())
