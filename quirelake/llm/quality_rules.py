@@ -16,10 +16,12 @@ from quirelake.llm.common import map_texts, table, written
 MIN_WORDS = 50
 #: A document fails when more than so many percent of its words lie in repeated 3-word windows.
 MAX_REPEATED = 50
-#: Bands around a language's median of bits a character, in units of the distance from its 5th percentile to the
-#: median: text this much less or this much more predictable is rejected.
+#: Bands around the median of bits a character of a language's distinct texts, in units of their interquartile
+#: range: text this much less or this much more predictable is rejected. The lower bound is at least this part of the
+#: median, so that a wide spread doesn't open the band down to nothing.
 BELOW, ABOVE = 8.0, 12.0
 LEAST_SPREAD = 0.05
+LEAST_LOW = 0.25
 #: Models are broadcast together up to this many bytes; further languages are scored in a pass of their own. One
 #: language's model has a proven bound of about 12 bytes for each of SYMBOLS ** 3 trigrams.
 BROADCAST_BYTES = 64 << 20
@@ -161,8 +163,14 @@ def _scored(docs: DataFrame, carry: Sequence[str], text: str, groups: list[dict]
     return _with_models(docs, "__lang", groups, {}, work)
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(__lang, __key, __bytes): each text of a language once, whatever the number of its copies."""
+    return docs.groupBy("__lang", "__key").agg(F.first("__bytes", ignorenulls=True).alias("__bytes"))
+
+
 def _percentiles(scored: DataFrame) -> DataFrame:
-    p = F.percentile_approx("bits", F.array(F.lit(0.05), F.lit(0.5)), F.lit(10_000))
+    """By language, the quartiles of the distinct texts that pass the base rules."""
+    p = F.percentile_approx("bits", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
     return scored.where("not base_failed").groupBy("__lang").agg(p.alias("__p"))
 
 
@@ -171,8 +179,9 @@ def quality_rules(docs: DataFrame, carry: Sequence[str], text_col: str = "text",
 
     A model of every language is counted over the whole corpus, counted again over the half of its documents that
     the first finds most predictable (junk that a corpus holds often is otherwise predicted well), and scores each
-    whole text. A null language is a language of its own; a null or empty text has no words and fails the base
-    rules. Rows that repeat are judged and counted each. Columns that aren't carried aren't read. An empty table
+    whole text. Counts and bands are taken over the distinct texts of a language, each weighing once, so groups of
+    copies can't set them. A null language is a language of its own; a null or empty text has no words and fails the
+    base rules. Rows that repeat are judged each. Columns that aren't carried aren't read. An empty table
     gives no rows.
     """
     carry = [c for c in carry if c != "__lang"]
@@ -180,21 +189,24 @@ def quality_rules(docs: DataFrame, carry: Sequence[str], text_col: str = "text",
     body = text_col if text_col in carry else "__body"
     apart = [] if text_col in carry else [F.col(f"`{text_col}`").alias(body)]
     docs = docs.select(*names, F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("__lang"), *apart)
-    texts = docs.select("__lang", F.col(f"`{body}`").cast("binary").alias("__bytes"))
+    raw = F.col(f"`{body}`").cast("binary")
+    texts = written(distinct_texts(docs.select("__lang", F.md5(raw).alias("__key"), raw.alias("__bytes"))), "texts")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
-    groups = _fit(_counts(texts))
+    groups = _fit(_counts(texts.select("__lang", "__bytes")))
     if not groups:
         groups = [{}]
-    first = _scored(docs, ["__lang"], body, groups, base=True).withColumn("base_failed", failed)
+    first = _scored(texts, ["__lang"], "__bytes", groups, base=True).withColumn("base_failed", failed)
     cuts = {r["__lang"]: r["__p"][1] for r in _percentiles(first).toLocalIterator()}
-    counted = _with_models(texts, "__lang", groups, cuts, _counts)
+    counted = _with_models(texts.select("__lang", "__bytes"), "__lang", groups, cuts, _counts)
     groups = _fit(counted) or [{}]
 
-    scored = written(_scored(docs, [*carry, "__lang"], body, groups, base=True).withColumn("base_failed", failed), "scored")
+    once = _scored(texts, ["__lang"], "__bytes", groups, base=True).withColumn("base_failed", failed)
+    scored = _scored(docs, [*carry, "__lang"], body, groups, base=True).withColumn("base_failed", failed)
     middle = F.col("__p")[1]
-    spread = F.greatest(middle - F.col("__p")[0], F.lit(LEAST_SPREAD))
-    bands = written(_percentiles(scored).select(F.col("__lang").alias("__of"), (middle - BELOW * spread).alias("__low"), (middle + ABOVE * spread).alias("__high")), "bands")
+    spread = F.greatest(F.col("__p")[2] - F.col("__p")[0], F.lit(LEAST_SPREAD))
+    low, high = F.greatest(middle - BELOW * spread, LEAST_LOW * middle), middle + ABOVE * spread
+    bands = written(_percentiles(once).select(F.col("__lang").alias("__of"), low.alias("__low"), high.alias("__high")), "bands")
     judged = scored.join(bands, F.col("__lang") == F.col("__of"), "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("__low"), F.col("__high")), F.lit(False))
     return judged.withColumn("kept", kept).drop("__lang", "__of", "__low", "__high")

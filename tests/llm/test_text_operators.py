@@ -256,6 +256,16 @@ def test_quality_rules_keep_prose_and_drop_junk(spark, edge, empty):
     assert quality_rules.quality_rules(empty, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("lang", ["fr", "en"])
+def test_copies_set_no_quality_band(spark, lang):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    good = docs.join(labels.where("quality = 1"), "doc_id").where((F.col("lang") == lang) & (F.length("text") > 1000)).orderBy("doc_id").limit(1)
+    copies = good.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).withColumn("doc_id", -F.col("n")).select(*docs.columns)
+    judged = quality_rules.quality_rules(docs.unionByName(copies), ["doc_id"]).where("not base_failed").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    share = {r.quality: r.k for r in judged.where(F.col("lang") == lang).groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert share[1] > 0.95 and share.get(0, 0) < 0.1
+
+
 def segmentations(word, p):
     if not word:
         return 1.0
