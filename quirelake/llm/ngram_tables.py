@@ -1,0 +1,199 @@
+"""Modified Kneser-Ney over code points in written tables, each text scored as if the corpus lacked it.
+
+Texts lie in buckets, whose number grows with the corpus. A bucket sends each of its distinct n-grams once to the
+join, whatever the number of its texts that hold it, so no key is hotter than the number of buckets. Nothing of the
+model is collected but a few numbers a language.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quirelake.llm.common import written
+
+#: UTF-8 bytes of texts in a bucket, and characters that a task takes apart at once.
+BUCKET_BYTES = 2 << 20
+CHUNK = 1 << 18
+#: Stands before and after a text; control characters of a text itself count as blanks.
+EDGE = 1
+
+
+def points(text: bytes | None, order: int) -> np.ndarray:
+    """A UTF-8 text's code points between edges."""
+    found = np.frombuffer((text or b"").decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    out = np.full(len(found) + order, EDGE, np.uint32)
+    out[order - 1 : -1] = np.where(found < 9, 32, found)
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashes(parts: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + p.astype(np.uint64) + np.uint64(1))
+    return h
+
+
+class Grams:
+    """The n-grams of texts of one language: distinct ones of every order, and how the orders hang together."""
+
+    def __init__(self, texts: list[bytes | None], weights: np.ndarray, order: int):
+        self.order, self.weights = order, weights
+        found = [points(t, order) for t in texts]
+        self.lengths = np.array([len(p) - order + 1 for p in found], np.int64)
+        flat = np.concatenate(found)
+        starts = np.concatenate([np.arange(n) + at for n, at in zip(self.lengths, np.cumsum([0, *map(len, found[:-1])]))])
+        _, first, self.at = np.unique(_hashes([flat[starts + j] for j in range(order)]), return_index=True, return_inverse=True)
+        self.counts = np.bincount(self.at, np.repeat(weights, self.lengths), len(first))
+        #: Code points by order; the n-gram that each (n+1)-gram ends in, and the group of each n-gram's context.
+        self.codes = {order: np.column_stack([flat[starts[first] + j] for j in range(order)])}
+        self.ends: dict[int, np.ndarray] = {}
+        self.contexts: dict[int, np.ndarray] = {}
+        for k in range(order, 0, -1):
+            codes = self.codes[k]
+            if k > 1:
+                _, first, self.ends[k - 1] = np.unique(_hashes(list(codes[:, 1:].T)), return_index=True, return_inverse=True)
+                self.codes[k - 1] = codes[first, 1:]
+                self.contexts[k] = np.unique(_hashes(list(codes[:, :-1].T)), return_inverse=True)[1]
+            else:
+                self.contexts[k] = np.zeros(len(codes), np.int64)
+
+    def strings(self, k: int) -> list[str]:
+        return np.ascontiguousarray(self.codes[k]).view(f"<U{k}")[:, 0].tolist()
+
+    def documents(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(document, n-gram, times) of each distinct pair, some documents at a time, and the documents' weights."""
+        ends = np.cumsum(self.lengths)
+        doc, size = 0, len(self.counts)
+        while doc < len(ends):
+            begin = ends[doc] - self.lengths[doc]
+            upto = max(doc + 1, int(np.searchsorted(ends, begin + CHUNK, "right")))
+            of = np.repeat(np.arange(upto - doc), self.lengths[doc:upto])
+            pairs, times = np.unique(of * size + self.at[begin : ends[upto - 1]], return_counts=True)
+            yield pairs // size, pairs % size, times, self.weights[doc:upto]
+            doc = upto
+
+
+def discounts(n: Sequence[int]) -> list[float]:
+    """D1, D2 and D3+ from the counts of counts 1 to 4; the usual values where a corpus is too small to tell."""
+    n1, n2, n3, n4 = n
+    if not (n1 and n2 and n3 and n4):
+        return [0.5, 1.0, 1.5]
+    y = n1 / (n1 + 2 * n2)
+    return [min(max(j - (j + 1) * y * b / a, 0.0), float(j)) for j, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+
+def discount(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The discount of a count; of one between whole numbers, on the line between theirs."""
+    return np.interp(x, np.arange(4), d)
+
+
+def bits(grams: Grams, known: dict[int, np.ndarray], numbers: dict[int, np.ndarray]) -> np.ndarray:
+    """Mean bits a character of each text under the model of the corpus without that text.
+
+    `known` has for each order a row (value, total, free) for every n-gram of `grams`: its weighted count, or, below
+    the highest order, the number of its predecessors; and the sums of its context's values and discounts. `numbers`
+    has for each order D1, D2, D3+ and the number of types.
+    """
+    out = []
+    d = {k: np.array([0.0, *numbers[k][:3]]) for k in numbers}
+    floor = 1.0 / (numbers[1][3] + 1)
+    for doc, gram, times, weights in grams.documents():
+        rows: dict[int, tuple] = {grams.order: (doc, gram, times * weights[doc], None)}
+        for k in range(grams.order, 1, -1):  # what a text takes away of an n-gram is missing as a predecessor below
+            doc_k, gram_k, own, _ = rows[k]
+            value, size = known[k][gram_k, 0], len(grams.codes[k - 1])
+            gone = np.minimum(value, 1) - np.minimum(np.maximum(value - own, 0), 1)
+            pairs, at = np.unique(doc_k * size + grams.ends[k - 1][gram_k], return_inverse=True)
+            rows[k - 1] = (pairs // size, pairs % size, np.bincount(at, gone, len(pairs)), at)
+        p = None
+        for k in range(1, grams.order + 1):
+            doc_k, gram_k, own, _ = rows[k]
+            value, total, free = known[k][gram_k].T
+            left = value - own
+            left = np.where(left > 1e-9, left, 0)
+            pairs, group = np.unique(doc_k * len(grams.codes[k]) + grams.contexts[k][gram_k], return_inverse=True)
+            total = total - np.bincount(group, value - left, len(pairs))[group]
+            free = free - np.bincount(group, discount(value, d[k]) - discount(left, d[k]), len(pairs))[group]
+            lower = np.full(len(gram_k), floor) if k == 1 else p[rows[k - 1][3]]
+            some = total > 1e-9
+            p = np.where(some, (left - discount(left, d[k]) + np.maximum(free, 0) * lower) / np.where(some, total, 1), lower)
+        n = len(weights)
+        out.append(np.bincount(doc, -np.log2(np.maximum(p, 1e-12)) * times, n) / np.bincount(doc, times, n))
+    return np.concatenate(out)
+
+
+def _apart(order: int):
+    def apart(table: pa.Table) -> pa.Table:
+        """(__lang, __bucket, k, g, w, n): a bucket's distinct n-grams w of every order k by their place g, times n for the highest."""
+        grams = Grams(table.column("__bytes").to_pylist(), table.column("__weight").to_numpy(), order)
+        places = [np.arange(len(grams.codes[k]), dtype=np.int32) for k in range(1, order + 1)]
+        n = np.concatenate([*[np.zeros(len(g)) for g in places[:-1]], grams.counts])
+        orders = np.concatenate([np.full(len(g), k, np.int32) for k, g in enumerate(places, 1)])
+        same = [pa.array([table.column(c)[0].as_py()] * len(n), t) for c, t in (("__lang", pa.string()), ("__bucket", pa.int64()))]
+        w = pa.array([x for k in range(1, order + 1) for x in grams.strings(k)], pa.string())
+        return pa.table([*same, pa.array(orders), pa.array(np.concatenate(places)), w, pa.array(n)], names=["__lang", "__bucket", "k", "g", "w", "n"])
+
+    return apart
+
+
+def _entries(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """Tables of n-grams (__lang, w, v, total, free) and of a language's orders (__lang, k, d1, d2, d3, types)."""
+    find = F.udf(discounts, "array<double>")
+    level = written(grams.where(F.col("k") == order).groupBy("__lang", "w").agg(F.sum("n").alias("v")), "grams")
+    entries, numbers = None, None
+    for k in range(order, 0, -1):
+        ranks = F.array(*[F.count_if(F.ceil("v") == j) for j in range(1, 5)])
+        here = level.groupBy("__lang").agg(ranks.alias("n"), F.count_if(F.col("v") > 0).cast("double").alias("types")).withColumn("d", find("n"))
+        here = written(here.select("__lang", F.lit(k).alias("k"), *[F.col("d")[j - 1].alias(f"d{j}") for j in (1, 2, 3)], "types"), "numbers")
+        v, d1, d2, d3 = map(F.col, ("v", "d1", "d2", "d3"))
+        taken = F.when(v <= 1, v * d1).when(v <= 2, d1 + (v - 1) * (d2 - d1)).when(v <= 3, d2 + (v - 2) * (d3 - d2)).otherwise(d3)
+        named = level.join(here, "__lang").select("__lang", "w", "v", taken.alias("taken"), F.substring("w", 1, k - 1).alias("__context"))
+        contexts = named.groupBy("__lang", "__context").agg(F.sum("v").alias("total"), F.sum("taken").alias("free"))
+        found = written(named.join(contexts, ["__lang", "__context"]).select("__lang", "w", "v", "total", "free"), "entries")
+        entries = found if entries is None else entries.unionByName(found)
+        numbers = here if numbers is None else numbers.unionByName(here)
+        if k > 1:
+            level = written(level.groupBy("__lang", F.substring("w", 2, k - 1).alias("w")).agg(F.sum(F.least("v", F.lit(1.0))).alias("v")), "grams")
+    return entries, numbers
+
+
+def _judge(order: int):
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams = Grams(left.column("__bytes").to_pylist(), left.column("__weight").to_numpy(), order)
+        of, place = right.column("k").to_numpy(), right.column("g").to_numpy()
+        values = np.column_stack([right.column(c).to_numpy() for c in ("v", "total", "free", "types")])
+        known = {}
+        for k in range(1, order + 1):
+            known[k] = np.zeros((len(grams.codes[k]), 3))
+            known[k][place[of == k]] = values[of == k, :3]
+        numbers = {k: values[of == -k][0] for k in range(1, order + 1)}
+        return left.select(["__lang", "__key"]).append_column("bits", pa.array(bits(grams, known, numbers)))
+
+    return judge
+
+
+def text_bits(texts: DataFrame, order: int) -> DataFrame:
+    """(__lang, __key, bits) of the distinct texts (__lang, __key, __bytes, __weight), which must be a table.
+
+    Every text is counted as often as its weight says, between 0 and 1, and scored without itself.
+    """
+    size = texts.agg(F.sum(F.length("__bytes"))).first()[0] or 0
+    texts = texts.withColumn("__bucket", F.pmod(F.xxhash64("__lang", "__key"), F.lit(size // BUCKET_BYTES + 1)))
+    grams = written(texts.groupBy("__lang", "__bucket").applyInArrow(_apart(order), "__lang string, __bucket long, k int, g int, w string, n double"), "apart")
+    entries, numbers = _entries(grams, order)
+    found = grams.join(entries, ["__lang", "w"]).select("__lang", "__bucket", "k", "g", "v", "total", "free", F.lit(0.0).alias("types"))
+    buckets = texts.select("__lang", "__bucket").distinct().join(numbers, "__lang")
+    sizes = buckets.select("__lang", "__bucket", (-F.col("k")).alias("k"), F.lit(0).alias("g"), F.col("d1").alias("v"), F.col("d2").alias("total"), F.col("d3").alias("free"), "types")
+    both = texts.groupBy("__lang", "__bucket").cogroup(found.unionByName(sizes).groupBy("__lang", "__bucket"))
+    return both.applyInArrow(_judge(order), "__lang string, __key string, bits double")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import ngram_model as kn
 from quirelake.llm.common import map_texts, table, written
+from quirelake.llm.ngram_tables import text_bits
 
 MIN_WORDS = 50
 #: A document fails when more than so many percent of its words lie in repeated 3-word windows.
@@ -22,9 +21,8 @@ MAX_REPEATED = 50
 BELOW, ABOVE = 8.0, 12.0
 LEAST_SPREAD = 0.05
 LEAST_LOW = 0.25
-#: Models are broadcast together up to this many bytes; further languages are scored in a pass of their own. One
-#: language's model has a proven bound of about 12 bytes for each of SYMBOLS ** 3 trigrams.
-BROADCAST_BYTES = 64 << 20
+#: Code points in an n-gram of the model.
+ORDER = 3
 
 _SYMBOLS = np.zeros(256, np.uint8)
 _SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -61,106 +59,8 @@ def base_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
     return len(words), int(_IN_WORD[codes].sum(dtype=np.int64)), int(_SYMBOLS[codes].sum(dtype=np.int64)), len(lines) - len(set(lines)), _repeated_words(words)
 
 
-class Scorer:
-    """Mean bits a character of texts, by language; a language's table of all trigrams is made when it first comes up."""
-
-    def __init__(self, models: dict[str, dict[str, np.ndarray]]):
-        self.models, self.tables = models, {}
-
-    def __call__(self, lang: str, ids: np.ndarray) -> float:
-        if lang not in self.tables:
-            if len(self.tables) >= 16:
-                self.tables.clear()
-            self.tables[lang] = kn.all_bits(self.models[lang])
-        return float(self.tables[lang][ids].mean(dtype=np.float64))
-
-
-_scorers: dict[int, Scorer] = {}
-
-
-def _scorer(shared) -> Scorer:
-    """One scorer a Python worker and broadcast."""
-    if shared.value["key"] not in _scorers:
-        _scorers.clear()
-        _scorers[shared.value["key"]] = Scorer({k: {"hashes": np.frombuffer(h, np.uint64), "values": np.frombuffer(v, np.float32)} for k, (h, v) in shared.value["models"].items()})
-    return _scorers[shared.value["key"]]
-
-
-def _counts(docs: DataFrame, gate=None) -> DataFrame:
-    """(lang, id, n): trigram counts, summed within each task and then over all; with a gate, of documents up to their language's cut."""
-
-    def partial(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, n in sums.items():
-                ids = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids, pa.int32()), pa.array(n[ids], pa.int64())], names=["lang", "id", "n"])
-            sums.clear()
-
-        for part in parts:
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = kn.trigrams(kn.symbols(text or b""))
-                if gate is not None and not _scorer(gate)(lang, ids) <= gate.value["cuts"].get(lang, np.inf):
-                    continue
-                if lang not in sums:
-                    if len(sums) >= 16:
-                        yield from flush()
-                    sums[lang] = np.zeros(kn.TRIGRAMS, np.int64)
-                if len(ids) < 50_000:
-                    np.add.at(sums[lang], ids, 1)
-                else:
-                    sums[lang] += np.bincount(ids, minlength=kn.TRIGRAMS)
-        yield from flush()
-
-    return docs.mapInArrow(partial, "lang string, id int, n long").groupBy("lang", "id").agg(F.sum("n").alias("n"))
-
-
-def _fit(counts: DataFrame) -> list[dict]:
-    """Models by language, in groups of at most BROADCAST_BYTES; a language's counts are at most SYMBOLS ** 3 rows."""
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        model = kn.build(rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "hashes": [model["hashes"].tobytes()], "vals": [model["values"].tobytes()]})
-
-    groups, room = [], 0
-    for row in counts.groupBy("lang").applyInPandas(build, "lang string, hashes binary, vals binary").toLocalIterator():
-        if not groups or room < len(row["hashes"]) + len(row["vals"]):
-            groups.append({})
-            room = BROADCAST_BYTES
-        groups[-1][row["lang"]] = (bytes(row["hashes"]), bytes(row["vals"]))
-        room -= len(row["hashes"]) + len(row["vals"])
-    return groups
-
-
-def _with_models(docs: DataFrame, lang: str, groups: list[dict], cuts: dict, work) -> DataFrame | None:
-    """`work(rows, broadcast)` over the rows of each group's languages."""
-    made = None
-    for group in groups:
-        shared = docs.sparkSession.sparkContext.broadcast({"key": hash((id(group), len(cuts))), "models": group, "cuts": cuts})
-        rows = docs if len(groups) == 1 else docs.where(F.col(lang).isin(*group))
-        done = work(rows, shared)
-        made = done if made is None else made.unionByName(done)
-    return made
-
-
-def _scored(docs: DataFrame, carry: Sequence[str], text: str, groups: list[dict], base: bool) -> DataFrame:
-    """The carried columns (`__lang` among them), `bits` and, if asked for, the base counts."""
-
-    def work(rows: DataFrame, shared) -> DataFrame:
-        at = list(carry).index("__lang")
-
-        def score(texts: list[bytes | None], part: pa.RecordBatch) -> list:
-            scorer, langs = _scorer(shared), part.column(at).to_pylist()
-            out = [[scorer(lang, kn.trigrams(kn.symbols(t or b""))) for lang, t in zip(langs, texts)]]
-            if base:
-                out += [list(x) for x in zip(*map(base_counts, texts))] or [[]] * 5
-            return out
-
-        return map_texts(rows, carry, text, "bits double" + (", " + BASE if base else ""), score)
-
-    return _with_models(docs, "__lang", groups, {}, work)
+def _base_columns(texts: list[bytes | None], part: pa.RecordBatch) -> list:
+    return [list(x) for x in zip(*map(base_counts, texts))] or [[]] * 5
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -177,12 +77,12 @@ def _percentiles(scored: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, carry: Sequence[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The carried columns of every row with its base counts, `bits` (per character), `base_failed` and `kept`.
 
-    A model of every language is counted over the whole corpus, counted again over the half of its documents that
-    the first finds most predictable (junk that a corpus holds often is otherwise predicted well), and scores each
-    whole text. Counts and bands are taken over the distinct texts of a language, each weighing once, so groups of
-    copies can't set them. A null language is a language of its own; a null or empty text has no words and fails the
-    base rules. Rows that repeat are judged each. Columns that aren't carried aren't read. An empty table
-    gives no rows.
+    A model of every language is counted over all of its distinct texts and scores each whole text as if that text had
+    not been counted. It is counted again over the half of the texts that the first finds most predictable (junk that
+    a corpus holds often otherwise predicts itself), and scores every text again in the same way.
+    Copies weigh once in counts and bands, so groups of them can't set either. A null language is a language of its
+    own; a null or empty text has no words and fails the base rules. Rows that repeat are judged each. Columns that
+    aren't carried aren't read. An empty table gives no rows.
     """
     carry = [c for c in carry if c != "__lang"]
     names = [F.col(f"`{c}`") for c in carry]
@@ -190,26 +90,24 @@ def quality_rules(docs: DataFrame, carry: Sequence[str], text_col: str = "text",
     apart = [] if text_col in carry else [F.col(f"`{text_col}`").alias(body)]
     docs = docs.select(*names, F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("__lang"), *apart)
     raw = F.col(f"`{body}`").cast("binary")
-    texts = written(distinct_texts(docs.select("__lang", F.md5(raw).alias("__key"), raw.alias("__bytes"))), "texts")
+    key = F.coalesce(F.md5(raw), F.lit(""))
+    texts = written(distinct_texts(docs.select("__lang", key.alias("__key"), raw.alias("__bytes"))), "texts")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
-    groups = _fit(_counts(texts.select("__lang", "__bytes")))
-    if not groups:
-        groups = [{}]
-    first = _scored(texts, ["__lang"], "__bytes", groups, base=True).withColumn("base_failed", failed)
-    cuts = {r["__lang"]: r["__p"][1] for r in _percentiles(first).toLocalIterator()}
-    counted = _with_models(texts.select("__lang", "__bytes"), "__lang", groups, cuts, _counts)
-    groups = _fit(counted) or [{}]
-
-    once = _scored(texts, ["__lang"], "__bytes", groups, base=True).withColumn("base_failed", failed)
-    scored = _scored(docs, [*carry, "__lang"], body, groups, base=True).withColumn("base_failed", failed)
+    counted = map_texts(texts, ["__lang", "__key"], "__bytes", BASE, _base_columns)
+    counted = written(counted.withColumn("base_failed", failed), "counted")
     middle = F.col("__p")[1]
     spread = F.greatest(F.col("__p")[2] - F.col("__p")[0], F.lit(LEAST_SPREAD))
+    first = written(counted.join(text_bits(texts.withColumn("__weight", F.lit(1.0)), ORDER), ["__lang", "__key"]), "first")
+    weight = F.when(F.col("bits") > middle, 0.0).otherwise(1.0)
+    weights = first.join(_percentiles(first), "__lang", "left").select("__lang", "__key", weight.alias("__weight"))
+    weighed = written(texts.join(weights, ["__lang", "__key"]), "weighed")
+    once = written(counted.join(text_bits(weighed, ORDER), ["__lang", "__key"]), "scored")
     low, high = F.greatest(middle - BELOW * spread, LEAST_LOW * middle), middle + ABOVE * spread
     bands = written(_percentiles(once).select(F.col("__lang").alias("__of"), low.alias("__low"), high.alias("__high")), "bands")
-    judged = scored.join(bands, F.col("__lang") == F.col("__of"), "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("__low"), F.col("__high")), F.lit(False))
-    return judged.withColumn("kept", kept).drop("__lang", "__of", "__low", "__high")
+    judged = written(once.join(bands, F.col("__lang") == F.col("__of"), "left").withColumn("kept", kept).drop("__of", "__low", "__high"), "judged")
+    return docs.select(*names, "__lang", key.alias("__key")).join(judged, ["__lang", "__key"]).drop("__lang", "__key")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.llm import language_id, line_crf, line_dedup, mixing, ngram_model, packing, quality_rules, simhash
+from quirelake.llm import language_id, line_crf, line_dedup, mixing, ngram_model, ngram_tables, packing, quality_rules, simhash
 from quirelake.llm.common import running_total
 from quirelake.llm.components import components
 
@@ -266,6 +266,44 @@ def test_copies_set_no_quality_band(spark, lang):
     assert share[1] > 0.95 and share.get(0, 0) < 0.1
 
 
+def brute_bits(text, others, full):
+    def levels(texts):
+        top = Counter(tuple(x[i : i + 3]) for t in texts for x in [ngram_tables.points(t.encode(), 3).tolist()] for i in range(len(x) - 2))
+        pairs = Counter(g[1:] for g in top)
+        return {3: top, 2: pairs, 1: Counter(g[1:] for g in pairs)}
+
+    def p(g):
+        if not g:
+            return 1 / (len(every[1]) + 1)
+        seen = {h: v for h, v in left[len(g)].items() if h[:-1] == g[:-1]}
+        if not seen:
+            return p(g[1:])
+        free = sum(d[len(g)][min(v, 3)] for v in seen.values())
+        return (seen.get(g, 0) - d[len(g)][min(seen.get(g, 0), 3)] + free * p(g[1:])) / sum(seen.values())
+
+    every, left = levels(full), levels(others)
+    d = {k: [0, *ngram_tables.discounts([sum(v == j for v in c.values()) for j in (1, 2, 3, 4)])] for k, c in every.items()}
+    own = levels([text])[3]
+    return -sum(n * math.log2(max(p(g), 1e-12)) for g, n in own.items()) / sum(own.values())
+
+
+@pytest.mark.parametrize("out", [set(), {2, 5}])
+def test_code_point_tables_by_brute_force(spark, monkeypatch, out):
+    monkeypatch.setattr(ngram_tables, "BUCKET_BYTES", 60)
+    texts = ["the cat sat on the mat", "the hat sat on a cat", "漢字 and 仮名 and 漢字", "", "zzzz zzzz", "a cat, the cat, the mat", "9 of 10 in 2019"]
+    rows = spark.createDataFrame([("en", str(i), t.encode(), float(i not in out)) for i, t in enumerate(texts)], "__lang string, __key string, __bytes binary, __weight double")
+    got = {int(r[0]): r[1] for r in ngram_tables.text_bits(rows, 3).select("__key", "bits").collect()}
+    assert len(got) == len(texts)
+    counted = [t for i, t in enumerate(texts) if i not in out]
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i], brute_bits(t, [x for x in counted if x != t], counted), rel_tol=1e-9), t
+
+
+def test_no_code_points_share_an_entry():
+    text = "".join(map(chr, range(0x4E00, 0x4E00 + 300))) + "0123456789"
+    assert len(ngram_tables.Grams([text.encode()], np.ones(1), 3).codes[1]) == 311
+
+
 def segmentations(word, p):
     if not word:
         return 1.0
