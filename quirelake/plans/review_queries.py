@@ -110,7 +110,12 @@ _BUDGET = f"""
 
 
 def v3_checks(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "products").where("l_linenumber <= 3").distinct()
+    return v3_checks_all(spark, sf_dir).where("l_linenumber <= 3")
+
+
+def v3_checks_all(spark, sf_dir):
+    """The checks of every line; those from the third on are figures."""
+    rows = fixture(spark, sf_dir, "products").distinct()
     kind = F.when(F.col("l_linenumber") == 1, "table").when(F.col("l_linenumber") == 2, "formula").otherwise("figure")
     table = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.array_repeat(F.lit("c"), F.when((F.col("l_orderkey") % 4 == 0) & (i == 2), 1).otherwise(2)))
     e = rows.select("l_orderkey", "l_linenumber", "d", kind.alias("element_type"), F.col("text").alias("raw_text"), F.lit(2).alias("columns"), table.alias("table"), F.lit("needs_visual_review").alias("status"), F.array(F.lit("x")).alias("alerts"), (F.col("l_orderkey") % 3 == 0).alias("has_formula"), "q")
@@ -431,6 +436,7 @@ def o5_source_kind(spark, sf_dir):
 QUERIES = {
     "v1_review_violations": (v1_review_violations, V1_SQL),
     "v2_status_after_review": (v2_status_after_review, f"SELECT k AS event_id, {_STATUS} AS status_after FROM (SELECT event_id AS k FROM events)"),
+    "v3_checks_all": (v3_checks_all, None),
     "v3_checks": (v3_checks, V3_SQL),
     "v4_failed_products": (v4_failed_products, V4_SQL),
     "v7_review_budget": (v7_review_budget, f"WITH {_BUDGET} SELECT doc_id, ordinal, attempted, circuit_open, calls, status_after, fallback_reason FROM budget"),

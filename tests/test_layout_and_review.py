@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +163,23 @@ def test_files_and_paths(spark, tmp_path):
     assert [r.r.sidecar for r in rows.collect()] == ["/x/a.resolved.sidecar.json", "/x/b.resolved.json"]
     inside = spark.range(1).select(*[sinks.is_inside(F.lit(p), F.lit("/out")).alias(f"c{i}") for i, p in enumerate(("/out/a", "/out", "/outer", "/out/../a"))]).first()
     assert list(inside) == [True, True, False, False]
+
+
+def test_hints_and_checks_over_all_rows_and_whole_texts(spark):
+    from __spark_entry__ import queries
+
+    sf, run = "/root/testdata/sf0.001", queries()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    formula = re.compile(r"[∑∫√≈≤≥∞]|\b[a-zA-Z]\s*=\s*[-+*/()\w\s]+")
+    assert {r.doc_id: r.hints for r in run["a3_formula_hints_all"](spark, sf).collect()} == {d.doc_id: len(formula.findall(d.text.replace(". ", " x = 3+2; "))) for d in docs}
+    pages = {}
+    for d in sorted(docs, key=lambda d: d.doc_id):
+        pages.setdefault(f"{d.source}/{d.doc_id % 97}", []).append(d.text)
+    got = {r.doc_id: r.extracted_chars for r in run["a5_complexity_whole"](spark, sf).collect()}
+    assert max(map(len, pages.values())) <= 8 and got == {k: len("\n".join(t).strip(" \n")) for k, t in pages.items()}
+    assert run["a7_engine_order_whole"](spark, sf).count() == len(pages)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+    checked = run["v3_checks_all"](spark, sf)
+    assert checked.select("l_orderkey", "l_linenumber").distinct().count() == lines
+    for r in checked.where("l_linenumber > 3").collect():
+        assert ("arithmetic_check_failed" in r.alerts) == (r.l_orderkey % 7 == 0 and (r.q * r.d + 3) % 10 != 0)
