@@ -143,7 +143,8 @@ def plan_pieces(rows: DataFrame, weights: DataFrame | None = None, sequence: int
     its next window. So by the end of window w a source has given ceil(w * due) tokens, wherever its rows lie, and
     a token's window follows from its place in its queue. `weights` has (source, weight); without it sources weigh
     as much as they hold, and all run out in the last window. A source that runs out leaves later windows to the
-    others, in their proportions. The windows follow one another without a gap and are cut every `sequence`
+    others, in their proportions. Sources without a positive weight follow when the weighted ones have run out, and
+    weigh as much as they hold among themselves. The windows follow one another without a gap and are cut every `sequence`
     tokens, so only the last sequence needs padding.
     """
     order = F.xxhash64(F.lit(seed), "row_id")
@@ -156,11 +157,17 @@ def plan_pieces(rows: DataFrame, weights: DataFrame | None = None, sequence: int
         sources = sources.withColumn("__weight", F.col("__tokens").cast("double"))
     else:
         named = weights.select(F.col("source").alias("__w"), F.col("weight").cast("double").alias("__weight"))
-        sources = sources.join(named, F.col("source").eqNullSafe(F.col("__w"))).drop("__w")
-    total = sources.agg(F.sum("__weight")).first()[0] or 1.0
-    sources = written(
-        sources.select(F.col("source").alias("__s"), "__begin", (F.col("__weight") * float(window) / F.lit(float(total))).alias("__due")), "sources"
-    )
+        sources = sources.join(named, F.col("source").eqNullSafe(F.col("__w")), "left").drop("__w")
+    late = ~F.coalesce((F.col("__weight") > 0) & ~F.isnan("__weight"), F.lit(False))
+    sources = sources.withColumn("__late", late).withColumn("__weight", F.when(F.col("__late"), F.col("__tokens").cast("double")).otherwise(F.col("__weight")))
+    totals = {x["__late"]: x["__total"] for x in sources.groupBy("__late").agg(F.sum("__weight").alias("__total")).collect()}
+    total = F.when(F.col("__late"), F.lit(float(totals.get(True) or 1.0))).otherwise(F.lit(float(totals.get(False) or 1.0)))
+    sources = sources.withColumn("__due", F.col("__weight") * float(window) / total)
+    shift = 0
+    if totals.get(True):
+        shift = sources.where("NOT __late").agg(F.max(F.floor(F.col("__tokens") / F.col("__due")) + 2)).first()[0] or 0
+    after = F.when(F.col("__late"), F.lit(int(shift))).otherwise(F.lit(0))
+    sources = written(sources.select(F.col("source").alias("__s"), "__begin", "__due", after.cast("long").alias("__after")), "sources")
     placed = queued.join(sources, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__x", F.col("__at") - F.col("__begin"))
 
     def given(w: Column) -> Column:
@@ -173,7 +180,7 @@ def plan_pieces(rows: DataFrame, weights: DataFrame | None = None, sequence: int
     cuts = (
         placed.withColumn("__w", F.explode(F.sequence(first, last)))
         .where(high > low)
-        .select("row_id", "source", "__w", "__at", (low - F.col("__x")).alias("__start"), (high - low).alias("__length"))
+        .select("row_id", "source", (F.col("__w") + F.col("__after")).alias("__w"), "__at", (low - F.col("__x")).alias("__start"), (high - low).alias("__length"))
     )
     stream = running_total(cuts, [F.col("__w"), F.col("source").asc_nulls_first(), F.col("__at"), F.col("__start")], "__length", "__pos")
     from_, to = F.floor(F.col("__pos") / sequence), F.floor((F.col("__pos") + F.col("__length") - 1) / sequence)

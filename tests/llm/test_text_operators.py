@@ -304,6 +304,17 @@ def test_no_code_points_share_an_entry():
     assert len(ngram_tables.Grams([text.encode()], np.ones(1), 3).codes[1]) == 311
 
 
+def test_sources_without_a_weight_are_packed_last(spark):
+    rows = spark.createDataFrame([(i, "abcd"[i % 4] if i % 5 else None, 10 + i) for i in range(40)], "row_id long, source string, doc_tokens long")
+    weights = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", None), ("d", 0.0)], "source string, weight double")
+    pieces = packing.plan_pieces(rows, weights, sequence=16, window=64).join(rows, "row_id").collect()
+    got, last = Counter(), {}
+    for r in pieces:
+        got[r.row_id] += r.length
+        last.setdefault(r.source in ("a", "b"), []).append(r.sequence_id * 16 + r.offset)
+    assert got == {i: 10 + i for i in range(40)} and max(last[True]) < min(last[False])
+
+
 def segmentations(word, p):
     if not word:
         return 1.0
