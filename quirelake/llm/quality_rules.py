@@ -3,26 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.llm import ngram_model
 from quirelake.llm.common import map_texts, table, written
-from quirelake.llm.ngram_tables import text_bits
 
 MIN_WORDS = 50
 #: A document fails when more than so many percent of its words lie in repeated 3-word windows.
 MAX_REPEATED = 50
-#: Bands around the median of bits a character of a language's distinct texts, in units of their interquartile
-#: range: text this much less or this much more predictable is rejected. The lower bound is at least this part of the
-#: median, so that a wide spread doesn't open the band down to nothing.
-BELOW, ABOVE = 8.0, 12.0
+#: Bands around the medians of bits a character, under the model's orders 1, 2 and 3, of a language's distinct texts, in
+#: units of their interquartile range: text this much less or this much more predictable is rejected.
+BANDS = ((5.0, 3.0), (4.5, 15.0), (8.0, 12.0))
+#: The range counts as this many bits at least.
 LEAST_SPREAD = 0.05
-LEAST_LOW = 0.25
-#: Code points in an n-gram of the model.
-ORDER = 3
 
 _SYMBOLS = np.zeros(256, np.uint8)
 _SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -59,58 +57,106 @@ def base_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
     return len(words), int(_IN_WORD[codes].sum(dtype=np.int64)), int(_SYMBOLS[codes].sum(dtype=np.int64)), len(lines) - len(set(lines)), _repeated_words(words)
 
 
-def _base_columns(texts: list[bytes | None], part: pa.RecordBatch) -> list:
-    return [list(x) for x in zip(*map(base_counts, texts))] or [[]] * 5
+def _scores(docs: DataFrame, carry: list[str], text: str, model: DataFrame, sizes: dict[str, int], shard: int) -> DataFrame:
+    """The carried columns with the base counts and `__s1`, `__s2`, `__s3`, `__n`: ngram_model.log_sums() of each text.
 
-
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(__lang, __key, __bytes): each text of a language once, whatever the number of its copies."""
-    return docs.groupBy("__lang", "__key").agg(F.first("__bytes", ignorenulls=True).alias("__bytes"))
-
-
-def _percentiles(scored: DataFrame) -> DataFrame:
-    """By language, the quartiles of the distinct texts that pass the base rules."""
-    p = F.percentile_approx("bits", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
-    return scored.where("not base_failed").groupBy("__lang").agg(p.alias("__p"))
-
-
-def quality_rules(docs: DataFrame, carry: Sequence[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The carried columns of every row with its base counts, `bits` (per character), `base_failed` and `kept`.
-
-    A model of every language is counted over all of its distinct texts and scores each whole text as if that text had
-    not been counted. It is counted again over the half of the texts that the first finds most predictable (junk that
-    a corpus holds often otherwise predicts itself), and scores every text again in the same way.
-    Copies weigh once in counts and bands, so groups of them can't set either. A null language is a language of its
-    own; a null or empty text has no words and fails the base rules. Rows that repeat are judged each. Columns that
-    aren't carried aren't read. An empty table gives no rows.
+    A pass over the rows of some languages has their models by broadcast, about `shard` entries. A language that needs
+    more has several passes, whose sums add up; the texts of that language are written between them.
     """
-    carry = [c for c in carry if c != "__lang"]
-    names = [F.col(f"`{c}`") for c in carry]
-    body = text_col if text_col in carry else "__body"
-    apart = [] if text_col in carry else [F.col(f"`{text_col}`").alias(body)]
-    docs = docs.select(*names, F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("__lang"), *apart)
-    raw = F.col(f"`{body}`").cast("binary")
-    key = F.coalesce(F.md5(raw), F.lit(""))
-    texts = written(distinct_texts(docs.select("__lang", key.alias("__key"), raw.alias("__bytes"))), "texts")
+    lang, half = carry.index("__lang"), carry.index("__half")
+    none = np.zeros(0, np.int64), np.zeros(0, np.float32)
+    before = {"__s1": "__was1", "__s2": "__was2", "__s3": "__was3"}
+    types = "__s1 double, __s2 double, __s3 double, __n double"
+
+    def one(rows: DataFrame, part: DataFrame, again: bool, last: bool) -> DataFrame:
+        known = rows.sparkSession.sparkContext.broadcast(ngram_model.load(part))
+        kept = [*carry, *([] if last or text in carry else [text]), *(before.values() if again else [])]
+        rows = rows.drop("__n").withColumnsRenamed(before) if again else rows
+
+        def of(texts: list[bytes | None], batch: pa.RecordBatch) -> list:
+            found = np.zeros((len(texts), 4))
+            for key, at in ngram_model.by_model(batch, lang, half).items():
+                found[at] = ngram_model.log_sums([texts[i] for i in at], *known.value.get(key, none))
+            if again:
+                found[:, :3] += np.column_stack([batch.column(kept.index(c)).to_numpy() for c in before.values()])
+            base = [list(x) for x in zip(*map(base_counts, texts))] or [[]] * 5
+            return [*(base if last else []), *found.T]
+
+        return map_texts(rows, kept, text, f"{BASE}, {types}" if last else types, of).drop(*before.values())
+
+    found = []
+    for langs, parts in ngram_model.passes(sizes, shard):
+        rows, own = docs, model
+        if len(langs) < len(sizes):
+            rows, own = docs.where(F.col("__lang").isin(langs)), model.where(F.col("__lang").isin(langs))
+        for k in range(parts):
+            rows = one(rows, own.where(F.pmod("slice", F.lit(parts)) == k), k > 0, k + 1 == parts)
+            if k + 1 < parts:
+                rows = written(rows, "partial")
+        found.append(rows)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _quartiles(scored: DataFrame) -> DataFrame:
+    """(__lang, __half, __p0, __p1, __p2): the quartiles of `bits1` to `bits3` over the distinct texts that pass the base rules."""
+    once = scored.where("not base_failed").groupBy("__lang", "__half", "__key").agg(*[F.first(f"bits{k}").alias(f"bits{k}") for k in ngram_model.ORDERS])
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    return once.groupBy("__lang", "__half").agg(*[F.percentile_approx(f"bits{k}", quarters, F.lit(10_000)).alias(f"__p{k}") for k in ngram_model.ORDERS])
+
+
+def quality_rules(
+    docs: DataFrame, carry: Sequence[str], text_col: str = "text", lang_col: str = "lang", result: str = "__quality",
+    shard: int = ngram_model.SHARD, slice_entries: int = ngram_model.SLICE,
+) -> DataFrame:
+    """The carried columns of every row and a struct `result`: base counts, base_failed, bits1, bits2, bits3 and kept.
+
+    The rows of each language fall into halves by their text. All rows are counted, copies as often as they come up, in
+    a model for the other half, so that no text is scored by a model that knows it; bits1 to bits3 are the bits a
+    character under the model's orders. Each half's distinct texts set the bands of that half's rows, so groups of copies
+    can't move them. A text is kept if it passes the base rules and all three bands: junk of one kind predicts itself
+    at order 3 once a corpus has enough of it, but not at the lower orders, which see the whole language.
+
+    A null language is one of its own, apart from an empty one; a null or empty text has no words and fails the base
+    rules. Rows that repeat are judged each. Columns that aren't carried aren't read, carried ones may have any name
+    but `result`. An empty table gives no rows.
+    """
+    if result in carry:
+        raise ValueError(f"a carried column is named {result}; name another result")
+    named = {c: f"c{i}" for i, c in enumerate(carry)}
+    text = named.get(text_col, "__text")
+    apart = [] if text_col in named else [F.col(f"`{text_col}`").alias(text)]
+    raw, lang = F.col(f"`{text_col}`").cast("binary"), F.col(f"`{lang_col}`").cast("string")
+    marks = [
+        F.coalesce(F.concat(F.lit("="), lang), F.lit("")).alias("__lang"),
+        F.pmod(F.xxhash64(F.coalesce(raw, F.lit(b""))), F.lit(2)).cast("int").alias("__half"),
+        F.coalesce(F.md5(raw), F.lit("")).alias("__key"),
+    ]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], *apart, *marks)
+    counted = ngram_model.count_trigrams(docs.select(*marks[:2], raw.alias("__bytes")))
+    model, sizes = ngram_model.write_model(ngram_model.model_entries(counted), slice_entries)
+    keys = [*named.values(), "__lang", "__half", "__key"]
+    if not sizes:
+        sizes = {"": 0}
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-
-    counted = map_texts(texts, ["__lang", "__key"], "__bytes", BASE, _base_columns)
-    counted = written(counted.withColumn("base_failed", failed), "counted")
-    middle = F.col("__p")[1]
-    spread = F.greatest(F.col("__p")[2] - F.col("__p")[0], F.lit(LEAST_SPREAD))
-    first = written(counted.join(text_bits(texts.withColumn("__weight", F.lit(1.0)), ORDER), ["__lang", "__key"]), "first")
-    weight = F.when(F.col("bits") > middle, 0.0).otherwise(1.0)
-    weights = first.join(_percentiles(first), "__lang", "left").select("__lang", "__key", weight.alias("__weight"))
-    weighed = written(texts.join(weights, ["__lang", "__key"]), "weighed")
-    once = written(counted.join(text_bits(weighed, ORDER), ["__lang", "__key"]), "scored")
-    low, high = F.greatest(middle - BELOW * spread, LEAST_LOW * middle), middle + ABOVE * spread
-    bands = written(_percentiles(once).select(F.col("__lang").alias("__of"), low.alias("__low"), high.alias("__high")), "bands")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("__low"), F.col("__high")), F.lit(False))
-    judged = written(once.join(bands, F.col("__lang") == F.col("__of"), "left").withColumn("kept", kept).drop("__of", "__low", "__high"), "judged")
-    return docs.select(*names, "__lang", key.alias("__key")).join(judged, ["__lang", "__key"]).drop("__lang", "__key")
+    bits = [(-F.col(f"__s{k}") / F.col("__n")).alias(f"bits{k}") for k in ngram_model.ORDERS]
+    base = [c.split()[0] for c in BASE.split(", ")]
+    scored = _scores(rows, keys, text, model, sizes, shard).select(*keys, *base, failed.alias("base_failed"), *bits)
+    scored = written(scored, "scored")
+
+    bounds, inside = [], F.lit(True)
+    for k, (below, above) in zip(ngram_model.ORDERS, BANDS):
+        p = F.col(f"__p{k}")
+        spread = F.greatest(p[2] - p[0], F.lit(LEAST_SPREAD))
+        bounds += [(p[1] - below * spread).alias(f"__low{k}"), (p[1] + above * spread).alias(f"__high{k}")]
+        inside &= F.col(f"bits{k}").between(F.col(f"__low{k}"), F.col(f"__high{k}"))
+    bands = written(_quartiles(scored).select("__lang", "__half", *bounds), "bands")
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
+    judged = scored.join(bands, ["__lang", "__half"], "left")
+    verdict = F.struct(*base, "base_failed", *[f"bits{k}" for k in ngram_model.ORDERS], kept.alias("kept")).alias(result)
+    return judged.select(*[F.col(n).alias(c) for c, n in named.items()], verdict)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    judged = quality_rules(docs, ["doc_id"])
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
+    judged = quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = [f"__quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")]
+    return judged.select("doc_id", *counts, *[f"__quality.bits{k}" for k in ngram_model.ORDERS])

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.llm import language_id, line_crf, line_dedup, mixing, ngram_model, ngram_tables, packing, quality_rules, simhash
+from quirelake.llm import language_id, line_crf, line_dedup, mixing, ngram_model, packing, quality_rules, simhash
 from quirelake.llm.common import running_total
 from quirelake.llm.components import components
 
@@ -232,27 +232,95 @@ def test_base_counts_by_definition():
         assert quality_rules.base_counts(r[1].encode() if r[1] is not None else None) == expected
 
 
-def test_kneser_ney_sums_to_one():
+class Brute:
+    """Modified Kneser-Ney by definition, over the trigrams of some texts."""
+
+    def __init__(self, texts):
+        top = Counter(g for t in texts for g in self.trigrams(t))
+        pairs = Counter(g[1:] for g in top)
+        self.levels = {3: top, 2: pairs, 1: Counter(g[1:] for g in pairs)}
+        self.d, self.after = {}, {}
+        for k, level in self.levels.items():
+            n1, n2, n3, n4 = (sum(v == j for v in level.values()) for j in (1, 2, 3, 4))
+            self.d[k] = [0, 0.5, 1.0, 1.5]
+            if n1 and n2 and n3 and n4:
+                y = n1 / (n1 + 2 * n2)
+                self.d[k] = [0, *(min(max(j - (j + 1) * y * b / a, 0), j) for j, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
+            self.after[k] = defaultdict(dict)
+            for g, v in level.items():
+                self.after[k][g[:-1]][g] = v
+
+    @staticmethod
+    def trigrams(text):
+        points = [1, 1, *(32 if ord(c) < 9 else ord(c) for c in text or ""), 1]
+        return [tuple(points[i : i + 3]) for i in range(len(points) - 2)]
+
+    def p(self, g):
+        if not g:
+            return 1 / (len(self.levels[1]) + 1)
+        k, seen = len(g), self.after[len(g)].get(g[:-1])
+        if not seen:
+            return self.p(g[1:])
+        v = seen.get(g, 0)
+        free = sum(self.d[k][min(x, 3)] for x in seen.values())
+        return (v - self.d[k][min(v, 3)] + free * self.p(g[1:])) / sum(seen.values())
+
+    def bits(self, text, order):
+        own = self.trigrams(text)
+        return -sum(math.log2(max(self.p(g[3 - order :]), 1e-12)) for g in own) / len(own)
+
+
+def test_kneser_ney_sums_to_one(spark):
     rng = np.random.default_rng(3)
-    text = "".join(rng.choice(list("abcde. "), 4000)).encode()
-    ids = ngram_model.trigrams(ngram_model.symbols(text))
-    counts = np.bincount(ids, minlength=ngram_model.TRIGRAMS)
-    seen = np.flatnonzero(counts)
-    model = ngram_model.build(seen, counts[seen])
-    assert (np.diff(model["hashes"].astype(float)) >= 0).all()
-    p = 2.0 ** -ngram_model.all_bits(model).astype(float).reshape(-1, ngram_model.SYMBOLS)
-    contexts = np.unique(seen // ngram_model.SYMBOLS)
-    assert np.allclose(p[contexts].sum(axis=1), 1, atol=0.02)
+    text = "".join(rng.choice(list("abcde. "), 4000))
+    counted = ngram_model.count_trigrams(spark.createDataFrame([("x", 0, text.encode())], "__lang string, __half int, __bytes binary"))
+    hashes, bits = ngram_model.load(ngram_model.write_model(ngram_model.model_entries(counted))[0])["x", 1]
+    assert (np.diff(hashes) > 0).all()
+    known = dict(zip(hashes.tolist(), bits.tolist()))
+    for a, b in (("a", "b"), (".", "q"), ("q", "q"), (" ", "a")):
+        total = 0.0
+        for c in [1, *map(ord, "abcde. ")] + [0x10FFFF]:  # the last stands for all that was never seen
+            h = ngram_model.hashes(np.array([[ord(a), ord(b), c]], "u4"))[0]
+            one, two = h & ngram_model.ONE, h & ngram_model.TWO
+            parts = [0, ~0, one, two, ~(h >> 21 & ngram_model.ONE), h, ~(h >> 21)]
+            total += 2 ** sum(known.get(int(x), 0) for x in parts)
+        assert math.isclose(total, 1, abs_tol=1e-4)
+
+
+@pytest.mark.parametrize("shard, slice_entries", [(1 << 21, 1 << 16), (40, 8)])
+def test_bits_and_verdicts_by_brute_force(spark, edge, shard, slice_entries):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(9000 + i, t, lang) for i, (t, lang) in enumerate([("漢字 and 仮名", "ja"), ("", "ja"), ("zz\x01zz 🙂", "ja"), ("left", ""), ("left", None), (None, None)])], "doc_id long, text string, lang string")
+    some = rows.where("doc_id < 12") if shard < 100 else rows
+    docs = some.unionByName(odd).unionByName(rows.where("doc_id = 3").withColumn("doc_id", F.lit(9900).cast("long")))
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, ["doc_id"], shard=shard, slice_entries=slice_entries).select("doc_id", "__quality.*").collect()}
+    half = F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))), F.lit(2))
+    want = docs.select("doc_id", "text", "lang", half.alias("half")).collect()
+    assert len(got) == len(want)
+    models = {key: Brute([r.text for r in want if (r.lang, 1 - r.half) == key]) for key in {(r.lang, r.half) for r in want}}
+    bits = {r.doc_id: [models[r.lang, r.half].bits(r.text, k) for k in (1, 2, 3)] for r in want}
+    for r in want:
+        assert np.allclose([got[r.doc_id][f"bits{k}"] for k in (1, 2, 3)], bits[r.doc_id], rtol=1e-5), r
+    for r in want:
+        inside = not got[r.doc_id].base_failed
+        for k, (below, above) in enumerate(quality_rules.BANDS):
+            own = {x.text: bits[x.doc_id][k] for x in want if (x.lang, x.half) == (r.lang, r.half) and not got[x.doc_id].base_failed}
+            if inside:
+                low, mid, high = (sorted(own.values())[max(0, math.ceil(q * len(own)) - 1)] for q in (0.25, 0.5, 0.75))
+                inside &= mid - below * max(high - low, 0.05) <= bits[r.doc_id][k] <= mid + above * max(high - low, 0.05)
+        assert got[r.doc_id].kept == inside
 
 
 def test_quality_rules_keep_prose_and_drop_junk(spark, edge, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    judged = quality_rules.quality_rules(docs, ["doc_id"]).join(labels, "doc_id")
+    judged = quality_rules.quality_rules(docs, ["doc_id"]).select("doc_id", "__quality.*").join(labels, "doc_id")
     rows = judged.where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
     share = {r.quality: r.k for r in rows}
     assert share[1] > 0.95 and share[0] < 0.1
-    got = quality_rules.quality_rules(edge, edge.columns)
-    assert got.count() == len(edge_rows()) and got.where("doc_id = 4 AND kept").count() == 0
+    clash = edge.withColumns({c: F.lit("mine") for c in ("bits", "kept", "n_words", "__lang", "__n", "c0", "base_failed")})
+    got = quality_rules.quality_rules(clash, clash.columns)
+    assert got.columns == [*clash.columns, "__quality"] and got.where("kept = 'mine' AND c0 = 'mine' AND __lang = 'mine'").count() == len(edge_rows())
+    assert got.where("doc_id = 4 AND __quality.kept").count() == 0
     assert quality_rules.quality_rules(empty, ["doc_id"]).count() == 0
 
 
@@ -261,47 +329,31 @@ def test_copies_set_no_quality_band(spark, lang):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     good = docs.join(labels.where("quality = 1"), "doc_id").where((F.col("lang") == lang) & (F.length("text") > 1000)).orderBy("doc_id").limit(1)
     copies = good.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).withColumn("doc_id", -F.col("n")).select(*docs.columns)
-    judged = quality_rules.quality_rules(docs.unionByName(copies), ["doc_id"]).where("not base_failed").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    judged = quality_rules.quality_rules(docs.unionByName(copies), ["doc_id"]).select("doc_id", "__quality.*")
+    judged = judged.where("not base_failed").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
     share = {r.quality: r.k for r in judged.where(F.col("lang") == lang).groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
     assert share[1] > 0.95 and share.get(0, 0) < 0.1
 
 
-def brute_bits(text, others, full):
-    def levels(texts):
-        top = Counter(tuple(x[i : i + 3]) for t in texts for x in [ngram_tables.points(t.encode(), 3).tolist()] for i in range(len(x) - 2))
-        pairs = Counter(g[1:] for g in top)
-        return {3: top, 2: pairs, 1: Counter(g[1:] for g in pairs)}
-
-    def p(g):
-        if not g:
-            return 1 / (len(every[1]) + 1)
-        seen = {h: v for h, v in left[len(g)].items() if h[:-1] == g[:-1]}
-        if not seen:
-            return p(g[1:])
-        free = sum(d[len(g)][min(v, 3)] for v in seen.values())
-        return (seen.get(g, 0) - d[len(g)][min(seen.get(g, 0), 3)] + free * p(g[1:])) / sum(seen.values())
-
-    every, left = levels(full), levels(others)
-    d = {k: [0, *ngram_tables.discounts([sum(v == j for v in c.values()) for j in (1, 2, 3, 4)])] for k, c in every.items()}
-    own = levels([text])[3]
-    return -sum(n * math.log2(max(p(g), 1e-12)) for g, n in own.items()) / sum(own.values())
-
-
-@pytest.mark.parametrize("out", [set(), {2, 5}])
-def test_code_point_tables_by_brute_force(spark, monkeypatch, out):
-    monkeypatch.setattr(ngram_tables, "BUCKET_BYTES", 60)
-    texts = ["the cat sat on the mat", "the hat sat on a cat", "漢字 and 仮名 and 漢字", "", "zzzz zzzz", "a cat, the cat, the mat", "9 of 10 in 2019"]
-    rows = spark.createDataFrame([("en", str(i), t.encode(), float(i not in out)) for i, t in enumerate(texts)], "__lang string, __key string, __bytes binary, __weight double")
-    got = {int(r[0]): r[1] for r in ngram_tables.text_bits(rows, 3).select("__key", "bits").collect()}
-    assert len(got) == len(texts)
-    counted = [t for i, t in enumerate(texts) if i not in out]
-    for i, t in enumerate(texts):
-        assert math.isclose(got[i], brute_bits(t, [x for x in counted if x != t], counted), rel_tol=1e-9), t
-
-
 def test_no_code_points_share_an_entry():
     text = "".join(map(chr, range(0x4E00, 0x4E00 + 300))) + "0123456789"
-    assert len(ngram_tables.Grams([text.encode()], np.ones(1), 3).codes[1]) == 311
+    (hashes, which, owner), = ngram_model.grams([text.encode()])
+    assert len(np.unique(hashes & ngram_model.ONE)) == 311 and len(which) == len(owner) == 311
+
+
+def test_texts_are_cut_anywhere(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcé漢 "), n)).encode() for n in (0, 5, 300, 1, 90)] + [None]
+    whole = Counter()
+    for h, which, owner in ngram_model.grams(texts):
+        whole.update(zip(owner.tolist(), h[which].tolist()))
+    for chunk, dense in ((7, 1 << 22), (64, 0)):
+        monkeypatch.setattr(ngram_model, "CHUNK", chunk)
+        monkeypatch.setattr(ngram_model, "DENSE", dense)
+        again = Counter()
+        for h, which, owner in ngram_model.grams(texts):
+            again.update(zip(owner.tolist(), h[which].tolist()))
+        assert again == whole and sum(whole.values()) == sum(len((t or b"").decode()) + 1 for t in texts)
 
 
 def test_sources_without_a_weight_are_packed_last(spark):
