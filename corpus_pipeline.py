@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import written
+from quirelake.llm.common import free_name, written
 from quirelake.llm.line_dedup import dedup_lines
 from quirelake.llm.mixing import mix_documents
 from quirelake.llm.packing import pack_documents
@@ -19,7 +19,8 @@ from quirelake.llm.simhash import near_duplicates
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs, docs.columns).where("kept").select(*docs.columns)
+    verdict = free_name(docs, "__quality")
+    return quality_rules(docs, docs.columns, result=verdict).where(f"{verdict}.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
