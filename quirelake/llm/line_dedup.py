@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import BLANKS, table
+from quirelake.llm.common import BLANKS, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -15,65 +15,49 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+def _marks(rows: DataFrame, min_chars: int) -> DataFrame:
+    """(__d, __t, __pos, __h1, __h2): the hashed key of every line that is long enough, with the text and place it has."""
+    lines = rows.select("__d", "__t", F.posexplode("__lines").alias("__pos", "__line"))
+    keyed = lines.select("__d", "__t", "__pos", line_key(F.col("__line")).alias("__key")).where(F.char_length("__key") >= min_chars)
+    return keyed.select("__d", "__t", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(1), "__key").alias("__h2"))
 
 
-def _hash(line: Column, min_chars: int) -> Column:
-    """128 bits of the key; null for keys too short to count."""
-    key = line_key(line)
-    return F.when(F.char_length(key) >= min_chars, F.unhex(F.md5(key)))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """Every column of `docs` and `__kept` (the lines that stay, in order), `__n_lines`, `__n_dropped`.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, result: str = "__lines") -> DataFrame:
+    """Every column of `docs` and a struct `result`: kept (the lines that stay, in order), n_lines and n_dropped.
 
     A key of at least `min_chars` code points that at least `min_docs` documents hold loses its lines everywhere
     but in the smallest id that holds it, where all of them stay. A null or empty text is one empty line. Rows
     that repeat an id count as one document. Rows with a null id count as no document of their own: they neither
-    make a key repeated nor lose lines. Other columns pass through untouched. An empty table gives no rows.
+    make a key repeated nor lose lines. Other columns pass through untouched, with any name but `result`. An empty
+    table gives no rows.
 
-    Only (id, hash) pairs are shuffled for the counts, summed before the shuffle, so a line that a third of the
-    documents share is a handful of rows in its reducer; what comes back per document is the list of the hashes
-    it has to drop. `min_docs` of 2 needs no distinct count: the smallest and largest id differ.
+    Lines are exploded with their place and hashed to 128 bits once; the hashes, not the lines, are shuffled to count the
+    distinct documents of each. The few repeated hashes are a table of their own, so that a very common one only is
+    a large partition of a join, which Spark splits. What comes back to a text is the places of its dropped lines.
     """
-    d, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    hashes = F.array_distinct(F.filter(F.transform(_lines(text), lambda x: _hash(x, min_chars)), lambda h: h.isNotNull()))
-    pairs = docs.where(d.isNotNull()).select(d.alias("__d"), F.explode(hashes).alias("__h"))
-    keys = pairs.groupBy("__h").agg(
-        F.min("__d").alias("__first"),
-        (F.max("__d") if min_docs <= 2 else F.count_distinct("__d")).alias("__most"),
-    )
-    repeated = keys.where(F.col("__most") > F.col("__first") if min_docs <= 2 else F.col("__most") >= min_docs).drop("__most")
-    drops = (
-        pairs.join(repeated, "__h")
-        .where(F.col("__d") > F.col("__first"))
-        .groupBy("__d")
-        .agg(F.collect_set("__h").alias("__drop"))
-    )
-    lines = _lines(text)
-    none = F.array().cast("array<binary>")
-    marked = docs.join(drops, d == F.col("__d"), "left").withColumn("__drop", F.coalesce("__drop", none)).drop("__d")
-    stays = F.when(
-        F.size("__drop") == 0, lines
-    ).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__drop"), _hash(x, min_chars)), F.lit(False))))
-    return (
-        marked.withColumn("__stay", stays)
-        .withColumn("__kept", F.array_join("__stay", "\n"))
-        .withColumn("__n_lines", F.size(lines).cast("long"))
-        .withColumn("__n_dropped", (F.size(lines) - F.size("__stay")).cast("long"))
-        .drop("__stay", "__drop")
+    if result in docs.columns:
+        raise ValueError(f"a column is named {result}; name another result")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{id_col}`").alias("__d"), F.xxhash64(text).alias("__t"), F.split(text, "\n").alias("__lines"))
+    with_id = rows.where("__d IS NOT NULL")
+    marks = written(_marks(with_id, min_chars), "lines")
+    counted = marks.groupBy("__h1", "__h2").agg(F.min("__d").alias("__first"), F.count_distinct("__d").alias("__docs"))
+    repeated = written(counted.where(F.col("__docs") >= min_docs).drop("__docs"), "repeated")
+    drops = marks.join(repeated, ["__h1", "__h2"]).where(F.col("__d") != F.col("__first")).groupBy("__d", "__t").agg(F.collect_set("__pos").alias("__drop"))
+    met = with_id.join(drops, ["__d", "__t"], "left").unionByName(rows.where("__d IS NULL").withColumn("__drop", F.lit(None).cast("array<int>")))
+    all_places = F.sequence(F.lit(0), F.size("__lines") - 1)
+    placed = met.withColumn("__stay", F.when(F.col("__drop").isNotNull(), F.array_except(all_places, "__drop")))
+    stays = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.transform("__stay", lambda i: F.get(F.col("__lines"), i)))
+    made = F.struct(
+        F.array_join(stays, "\n").alias("kept"), F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped")
     )
+    return placed.select(*[F.col(n).alias(c) for c, n in names.items()], made.alias(result))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select(
-        "doc_id",
-        F.col("__n_lines").alias("n_lines"),
-        F.col("__n_dropped").alias("n_dropped"),
-        F.sha2("__kept", 256).alias("kept_sha256"),
-    )
+    return dedup_lines(docs).select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2("__lines.kept", 256).alias("kept_sha256"))
 
 
 _KEY = r"""translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -71,12 +72,35 @@ def test_line_dedup_by_brute_force(edge, empty):
         lines = (r[1] or "").split("\n")
         stay = [x for x in lines if r[0] is None or len(holders[key(x)]) < 2 or len(key(x)) < 10 or r[0] == min(holders[key(x)])]
         expected.append((r[0], "\n".join(stay), len(lines), len(lines) - len(stay)))
-    got = [(r.doc_id, r["__kept"], r["__n_lines"], r["__n_dropped"]) for r in line_dedup.dedup_lines(edge).collect()]
+    clash = edge.withColumns({c: F.lit("mine") for c in ("kept", "__d", "__h1", "c0", "pos")})
+    rows = line_dedup.dedup_lines(clash)
+    assert rows.columns == [*clash.columns, "__lines"] and rows.where("kept = 'mine' AND __d = 'mine' AND c0 = 'mine'").count() == len(expected)
+    got = [(r.doc_id, *r["__lines"]) for r in rows.collect()]
     assert Counter(got) == Counter(expected)
     assert sum(r[3] for r in got) == 2
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_one_id_with_two_texts_and_of_three_documents(spark):
+    rows = [(1, "first shared\nonly here 1"), (1, "second text\nfirst shared"), (2, "first shared\nsecond text\nown line two"), (3, "first shared\nfirst shared\nshort")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r["__lines"].kept, r["__lines"].n_dropped) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == Counter([(1, rows[0][1], 0), (1, rows[1][1], 0), (2, "own line two", 2), (3, "short", 2)])
+    thrice = Counter((r.doc_id, r["__lines"].kept) for r in line_dedup.dedup_lines(docs, min_docs=3).collect())
+    assert thrice == Counter([(1, rows[0][1]), (1, rows[1][1]), (2, "second text\nown line two"), (3, "short")])
+
+
+def test_a_text_of_a_million_lines(spark):
+    many = "\n".join(f"line number {i}" for i in range(1_000_000))
+    odd = "\n".join(f"LINE NUMBER {i}" if i % 2 else "kept" for i in range(1_000_000))
+    docs = spark.createDataFrame([(5, many), (6, odd)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2("__lines.kept", 256).alias("h")).collect()}
+    assert time.time() - began < 90
+    assert got[5].n_dropped == 0 and got[5].h == hashlib.sha256(many.encode()).hexdigest()
+    assert got[6].n_dropped == 500_000 and got[6].h == hashlib.sha256("\n".join(["kept"] * 500_000).encode()).hexdigest()
+
+
 def test_fingerprints_by_definition():
     import xxhash
 
@@ -429,5 +453,5 @@ def test_line_field_on_held_out_labels(spark, edge, empty):
 
 
 def test_kept_text_hash(edge):
-    row = line_dedup.dedup_lines(edge).where("doc_id = 6").select(F.sha2("__kept", 256)).first()
+    row = line_dedup.dedup_lines(edge).where("doc_id = 6").select(F.sha2("__lines.kept", 256)).first()
     assert row[0] == hashlib.sha256(b"x\n").hexdigest()
