@@ -25,8 +25,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier one holds; n_chars follows the text."""
-    left = dedup_lines(docs)
-    changed = {"text": F.col("__kept"), "n_chars": F.char_length("__kept").cast("long")}
+    lines = free_name(docs, "__lines")
+    left = dedup_lines(docs, result=lines)
+    kept = F.col(f"{lines}.kept")
+    changed = {"text": kept, "n_chars": F.char_length(kept).cast("long")}
     return left.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
