@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import WORD, running_total, table, written
@@ -13,9 +13,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
 SEED = 20
-#: Documents of a source fall into so many buckets by their hash. Buckets are taken whole, up to the one in which
-#: the source's words run out; only that bucket's documents, one in so many, are put in order.
-BUCKETS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -50,67 +47,96 @@ def water_fill(sources: DataFrame, share: float = SHARE, max_epochs: float = MAX
     return sources.withColumn("target", filled.cast("double")).drop("__cap")
 
 
-def plan_mix(
-    sized: DataFrame, order: Sequence[str], weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED
-) -> DataFrame:
-    """Adds `source_size`, `target` and `times` (how often the mix holds the row) to rows with `source` and `size`.
+def row_order(id_col: Column, text: Column, seed: int = SEED) -> Column:
+    """60 bits of a seeded hash of a row's id and text, by which the rows of a source are in order."""
+    part = [F.coalesce(x, F.lit("null")) for x in (id_col.cast("string"), F.md5(text.cast("binary")))]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *part)), 1, 15), 16, 10).cast("long")
 
-    `order` names columns that tell rows apart; their seeded hash orders a source's rows, rows that tie in them
-    all are alike. A source's rows are all taken floor(target / size) times and, in hash order, once more until
-    the rest of the target is met to within half a row; rows of size 0 are left out. Sources are matched by value, null to null.
+
+def mix_plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """(source, source_size, target, whole, cut, some) of each source of (source, size, __h) rows.
+
+    A source's rows are all taken `whole` = floor(target / source_size) times, and once more in the order of __h until
+    the rest of the target is met to within half a row: those below `cut`, and `some` of those at `cut`. Rows of one
+    place (__h) are alike; they are one unit of the running totals, which no task makes alone. Rows of size 0 are in no unit.
     """
-    hashed = F.xxhash64(F.lit(seed), *[F.col(c) for c in order])
-    rows = sized.withColumn("__h", hashed).withColumn("__b", F.pmod("__h", F.lit(BUCKETS)).cast("int"))
-    buckets = written(rows.groupBy("source", "__b").agg(F.sum("size").alias("__words")), "buckets")
-    sources = buckets.groupBy("source").agg(F.sum("__words").alias("source_size"))
-    targets = written(water_fill(source_weights(sources, weights), share, max_epochs), "targets")
+    units = sized.groupBy("source", "__h").agg(F.sum("size").alias("__words"), F.max("size").alias("__each"))
+    units = written(running_total(units, [F.col("source").asc_nulls_last(), F.col("__h")], "__words", "__at"), "units")
+    sources = units.groupBy("source").agg(F.sum("__words").alias("source_size"), F.min("__at").alias("__begin"))
+    targets = water_fill(source_weights(written(sources, "sources"), weights), share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = targets.withColumn("__whole", epochs).withColumn("__need", F.col("target") - F.col("__whole") * F.col("source_size"))
-
-    run = Window.partitionBy("source").orderBy("__b")  # at most BUCKETS rows a source
-    cut = (
-        buckets.withColumn("__upto", F.sum("__words").over(run))
-        .join(targets.select(F.col("source").alias("__s"), "__need"), F.col("source").eqNullSafe(F.col("__s")))
-        .where((F.col("__upto") > F.col("__need")) & (F.col("__words") > 0))
-        .groupBy("__s")
-        .agg(F.min(F.struct("__b", (F.col("__upto") - F.col("__words")).alias("__before"))).alias("__cut"))
-    )
-    plan = written(
-        targets.join(cut, targets["source"].eqNullSafe(cut["__s"]), "left").select(
-            F.col("source").alias("__s"), "source_size", "target", "__whole", "__need", F.col("__cut.__b").alias("__cut"), F.col("__cut.__before").alias("__before")
-        ),
-        "plan",
-    )
-    known = rows.join(plan, rows["source"].eqNullSafe(plan["__s"])).drop("__s")
-    at_cut = F.col("__b") == F.col("__cut")
-    extra = F.when(F.col("__cut").isNull(), F.lit(0)).when(F.col("__b") < F.col("__cut"), F.lit(1)).otherwise(F.lit(0)).cast("long")
-    clear = known.where(F.coalesce(~at_cut, F.lit(True))).withColumn("__extra", extra)
-    inside = Window.partitionBy("source").orderBy("__h", "size", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = known.where(at_cut).withColumn("__sum", F.col("__before") + F.sum("size").over(inside))
-    edge = edge.withColumn("__extra", (F.col("__sum") - F.col("size") / 2 <= F.col("__need")).cast("long")).drop("__sum")
-    return (
-        clear.unionByName(edge)
-        .withColumn("times", F.when(F.col("size") > 0, F.col("__whole") + F.col("__extra")).otherwise(F.lit(0)))
-        .drop("__h", "__b", "__whole", "__need", "__cut", "__before", "__extra")
-    )
+    targets = targets.withColumn("whole", epochs).withColumn("__need", F.col("target") - F.col("whole") * F.col("source_size"))
+    named = targets.withColumnRenamed("source", "__s")
+    before = F.col("__at") - F.col("__begin")
+    last = units.where("__words > 0").join(named, F.col("source").eqNullSafe(F.col("__s"))).where((before <= F.col("__need")) & (before + F.col("__words") > F.col("__need")))
+    some = F.ceil((F.col("__need") - before) / F.col("__each") - 0.5).cast("long")
+    cut = last.groupBy("__s").agg(F.min(F.struct("__h", some.alias("some"))).alias("__cut"))
+    found = targets.join(cut, F.col("source").eqNullSafe(F.col("__s")), "left")
+    return found.select("source", "source_size", "target", "whole", F.col("__cut.__h").alias("cut"), F.coalesce("__cut.some", F.lit(0)).alias("some"))
+
+
+def take(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds `source_size`, `target` and `times` (how often the mix holds the row) to rows with source, size and __h.
+
+    What a row is due follows from its place and its source's line of the plan. Of rows that are alike and at the cut
+    some are taken and others not: they are numbered by a running total of their own.
+    """
+    named = written(plan.withColumnRenamed("source", "__s"), "plan")
+    known = sized.join(named, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    at_cut = F.coalesce(F.col("__h") == F.col("cut"), F.lit(False)) & (F.col("size") > 0)
+    extra = F.when(F.col("cut").isNull() | (F.col("__h") >= F.col("cut")), F.lit(0)).otherwise(F.lit(1)).cast("long")
+    clear = known.where(~at_cut).withColumn("__extra", extra)
+    alike = known.where(at_cut).withColumn("__one", F.lit(1).cast("long")).withColumn("__row", F.monotonically_increasing_id())
+    alike = running_total(alike, [F.col("source").asc_nulls_last(), F.col("__row")], "__one", "__at")
+    firsts = alike.groupBy("source").agg(F.min("__at").alias("__begin")).withColumnRenamed("source", "__s")
+    alike = alike.join(firsts, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__extra", (F.col("__at") - F.col("__begin") < F.col("some")).cast("long"))
+    both = clear.unionByName(alike.drop("__one", "__row", "__at", "__begin", "__s"))
+    times = F.when(F.col("size") > 0, F.col("whole") + F.col("__extra")).otherwise(F.lit(0))
+    return both.withColumn("times", times).drop("__h", "whole", "cut", "some", "__extra")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """Every row of `docs`, its columns kept, as often as the mix holds it.
 
     Sizes are words; a null text has none and is never taken. Rows that repeat are rows of their own. A source
-    without words has a target of 0. An empty table gives no rows. The columns `size`, `source_size`, `target` and
-    `times` are worked out under names of their own, so that columns of those names pass through.
+    without words has a target of 0. An empty table gives no rows. Columns may have any name. What is ordered and
+    summed is numbers only: whole rows meet their source's line of the plan and stay where they are.
     """
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), "source", word_count(F.col("text")).alias("size"))
-    packed = packed.withColumn("__id", F.col("__row.doc_id")).withColumn("__t", F.xxhash64("__row.text"))
-    taken = plan_mix(packed, ["__id", "__t"], **options).where("times > 0")
-    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("__row.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__packed"), "source", row_order(F.col("doc_id"), F.col("text")).alias("__h"), word_count(F.col("text")).alias("size"))
+    plan = mix_plan(written(packed.drop("__packed"), "sizes"), **options)
+    taken = take(packed, plan).where("times > 0")
+    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("__packed.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
-    mixed = plan_mix(sized, ["doc_id", "text_hash"])
+    sized = written(docs.select("doc_id", "source", row_order(F.col("doc_id"), F.col("text")).alias("__h"), word_count(F.col("text")).alias("size")), "sizes")
+    mixed = take(sized, mix_plan(sized))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source")
+
+
+#: Water-filling in closed form: with sources by rising limit over weight, those before the first that isn't over are clamped.
+OP2_SQL = """
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+           ('0x' || substr(md5('20:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')), 1, 15))::BIGINT AS h
+    FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM s),
+c AS (SELECT *, 2.0 * source_size AS cap FROM w),
+r AS (
+    SELECT *, 1.5 * sum(source_size) OVER () AS total, row_number() OVER o AS k,
+           coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+    FROM c WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
+), f AS (SELECT min(k) AS k FROM r WHERE cap > weight * (total - held) / free),
+v AS (SELECT (SELECT (total - held) / free FROM r WHERE r.k = f.k) AS level FROM f),
+t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM c, v),
+n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+o AS (
+    SELECT d.*, source_size, target, whole, target - whole * source_size AS need,
+           sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS before
+    FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
+)
+SELECT doc_id, size, source_size, target::DOUBLE AS target, size * (whole + CASE WHEN before + size / 2.0 < need THEN 1 ELSE 0 END) AS taken, source FROM o
+"""

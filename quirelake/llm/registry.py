@@ -18,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op5_warc": warc.OP5_SQL,
     "op6_chat": chat.OP6_SQL,
+    "op2_mixing": mixing.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
 }

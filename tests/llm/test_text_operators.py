@@ -174,16 +174,21 @@ def test_water_filling_and_mix(spark, edge, empty, prose):
     target |= {s: level * weights[s] for s in sizes if s not in target}
     assert all(math.isclose(got[s].target, t) for s, t in target.items())
 
-    rows = prose.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    first = mixing.plan_mix(rows, ["doc_id"]).toPandas()
-    again = mixing.plan_mix(rows.repartition(5), ["doc_id"]).toPandas()
+    rows = prose.select("doc_id", "source", mixing.row_order(F.col("doc_id"), F.col("text")).alias("__h"), mixing.word_count(F.col("text")).alias("size"))
+    first, again = (mixing.take(x, mixing.mix_plan(x)).toPandas() for x in (rows, rows.repartition(5)))
     assert dict(zip(first.doc_id, first.times)) == dict(zip(again.doc_id, again.times))
     first["taken"] = first["size"] * first.times
     sums = first.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
     assert ((sums.taken - sums.target).abs() <= sums.most / 2 + 1).all() and first.times.max() <= 2
 
-    mixed = mixing.mix_documents(edge)
-    assert mixed.columns == edge.columns
+    alike = [(1, "one two three", "s")] * 97 + [(2, "four", "s"), (3, None, "s"), (4, "x y", "t")]
+    same = spark.createDataFrame(alike, "doc_id long, text string, source string")
+    counts = {r.doc_id: r["count"] for r in mixing.mix_documents(same, share=0.5).groupBy("doc_id").count().collect()}
+    assert abs(3 * counts[1] + counts.get(2, 0) - (0.5 * 294 - 4)) <= 1.5 and 3 not in counts and counts[4] == 2
+
+    clash = edge.withColumns({c: F.lit("mine") for c in ("__h", "times", "target", "cut", "some", "whole", "__packed")})
+    mixed = mixing.mix_documents(clash)
+    assert mixed.columns == clash.columns
     assert mixed.where("text IS NULL").count() == 0 and mixed.where("size = 'clash'").count() == mixed.count() > 0
     assert mixing.mix_documents(empty).count() == 0
 
