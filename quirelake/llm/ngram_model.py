@@ -157,7 +157,7 @@ def model_entries(trigrams: DataFrame) -> DataFrame:
     for k in ORDERS:
         of = levels[k].groupBy(*model).agg(F.array(*[F.count_if(F.col("v") == j).cast("double") for j in range(1, 5)]).alias("n"), F.count(F.lit(1)).alias("types"))
         d = discounts(F.col("n"))
-        of = of.select(*model, *[x.alias(f"d{j}") for j, x in enumerate(d, 1)], (1 / (F.col("types") + 1)).alias("floor"))
+        of = written(of.select(*model, *[x.alias(f"d{j}") for j, x in enumerate(d, 1)], (1 / (F.col("types") + 1)).alias("floor")), "numbers")
         v = F.col("v")
         taken = F.when(v == 1, F.col("d1")).when(v == 2, F.col("d2")).otherwise(F.col("d3"))
         context = F.shiftright("h", WIDTH)
