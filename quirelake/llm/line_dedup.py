@@ -52,7 +52,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = F.struct(
         F.array_join(stays, "\n").alias("kept"), F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped")
     )
-    return placed.select(*[F.col(n).alias(c) for c, n in names.items()], made.alias(result))
+    made_rows = placed.select(*names.values(), made.alias("__made"))
+    return made_rows.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("__made").alias(result))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import map_texts, running_total, table, written
@@ -18,8 +18,8 @@ SEQUENCE = 1024
 WINDOW = 16 * SEQUENCE
 SEED = 8
 END = 0
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 600_000
+#: Characters of the words whose ids a worker remembers at most, about 12 bytes of memory each.
+REMEMBERED = 4_000_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -64,6 +64,7 @@ class Encoder:
         feed = self.words.encode_ordinary("\n") if self.words else []
         self.feed = feed[0] if len(feed) == 1 else None
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _encode(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -76,8 +77,7 @@ class Encoder:
         starts = np.flatnonzero(ids == self.feed)
         if len(starts) != len(pieces):
             return False
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.held += sum(map(len, pieces))
         width, blob = ids.itemsize, ids.tobytes()
         bounds = (starts * width).tolist() + [len(blob)]
         for piece, start, end in zip(pieces, bounds, bounds[1:]):
@@ -93,6 +93,9 @@ class Encoder:
         end, get, width = array(self.code, [END]).tobytes(), self.known.get, np.dtype(self.type).itemsize
         out: list[bytes] = []
         for text in texts:
+            if self.held > REMEMBERED:
+                self.known.clear()
+                self.held = 0
             if self.feed is None or not text or "<|" in text:
                 out.append(self._encode(text) + end)
                 continue
@@ -138,14 +141,15 @@ def encode_documents(docs: DataFrame, carry: list[str], text_col: str, tokenizer
 def plan_pieces(rows: DataFrame, weights: DataFrame | None = None, sequence: int = SEQUENCE, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(row_id, start, length, sequence_id, offset) over rows of (row_id, source, doc_tokens).
 
-    Every source is a queue of its documents in seeded hash order. In each window a source is due
-    window * weight / sum of weights tokens more; what a whole token leaves over or short is its deficit, carried to
-    its next window. So by the end of window w a source has given ceil(w * due) tokens, wherever its rows lie, and
-    a token's window follows from its place in its queue. `weights` has (source, weight); without it sources weigh
+    Every source is a queue of its documents in seeded hash order. In each window a source is granted
+    window * weight / sum of weights tokens more, and sends whole documents while its deficit (what it was granted and
+    has not sent) covers the next one; the rest of the deficit is carried to its next window. So a document leaves in
+    the first window by whose end its source was granted all up to the document's end, which follows from the document's
+    place in its queue, wherever its rows lie. `weights` has (source, weight); without it sources weigh
     as much as they hold, and all run out in the last window. A source that runs out leaves later windows to the
     others, in their proportions. Sources without a positive weight follow when the weighted ones have run out, and
-    weigh as much as they hold among themselves. The windows follow one another without a gap and are cut every `sequence`
-    tokens, so only the last sequence needs padding.
+    weigh as much as they hold among themselves. The windows follow one another without a gap and documents are cut only
+    where a sequence of `sequence` tokens ends, so only the last sequence needs padding.
     """
     order = F.xxhash64(F.lit(seed), "row_id")
     queued = running_total(
@@ -170,25 +174,15 @@ def plan_pieces(rows: DataFrame, weights: DataFrame | None = None, sequence: int
     sources = written(sources.select(F.col("source").alias("__s"), "__begin", "__due", after.cast("long").alias("__after")), "sources")
     placed = queued.join(sources, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__x", F.col("__at") - F.col("__begin"))
 
-    def given(w: Column) -> Column:
-        return F.ceil(w * F.col("__due"))
-
-    end = F.col("__x") + F.col("doc_tokens")
-    first = F.greatest(F.floor(F.col("__x") / F.col("__due")) - 1, F.lit(0))
-    last = F.floor(end / F.col("__due")) + 1
-    low, high = F.greatest(F.col("__x"), given(F.col("__w"))), F.least(end, given(F.col("__w") + 1))
-    cuts = (
-        placed.withColumn("__w", F.explode(F.sequence(first, last)))
-        .where(high > low)
-        .select("row_id", "source", (F.col("__w") + F.col("__after")).alias("__w"), "__at", (low - F.col("__x")).alias("__start"), (high - low).alias("__length"))
-    )
-    stream = running_total(cuts, [F.col("__w"), F.col("source").asc_nulls_first(), F.col("__at"), F.col("__start")], "__length", "__pos")
-    from_, to = F.floor(F.col("__pos") / sequence), F.floor((F.col("__pos") + F.col("__length") - 1) / sequence)
+    window_of = F.greatest(F.ceil((F.col("__x") + F.col("doc_tokens")) / F.col("__due") - 1e-9) - 1, F.lit(0)) + F.col("__after")
+    sent = placed.withColumn("__w", window_of).select("row_id", "source", "__w", "__at", "doc_tokens")
+    stream = running_total(sent, [F.col("__w"), F.col("source").asc_nulls_first(), F.col("__at")], "doc_tokens", "__pos")
+    from_, to = F.floor(F.col("__pos") / sequence), F.floor((F.col("__pos") + F.col("doc_tokens") - 1) / sequence)
     s = F.col("sequence_id")
-    begin, stop = F.greatest(F.col("__pos"), s * sequence), F.least(F.col("__pos") + F.col("__length"), (s + 1) * sequence)
+    begin, stop = F.greatest(F.col("__pos"), s * sequence), F.least(F.col("__pos") + F.col("doc_tokens"), (s + 1) * sequence)
     return stream.withColumn("sequence_id", F.explode(F.sequence(from_, to))).select(
         "row_id",
-        (F.col("__start") + begin - F.col("__pos")).alias("start"),
+        (begin - F.col("__pos")).alias("start"),
         (stop - begin).alias("length"),
         "sequence_id",
         (begin - s * sequence).alias("offset"),

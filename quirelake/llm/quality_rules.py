@@ -152,8 +152,9 @@ def quality_rules(
     bands = written(_quartiles(scored).select("__lang", "__half", *bounds), "bands")
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     judged = scored.join(bands, ["__lang", "__half"], "left")
-    verdict = F.struct(*base, "base_failed", *[f"bits{k}" for k in ngram_model.ORDERS], kept.alias("kept")).alias(result)
-    return judged.select(*[F.col(n).alias(c) for c, n in named.items()], verdict)
+    verdict = F.struct(*base, "base_failed", *[f"bits{k}" for k in ngram_model.ORDERS], kept.alias("kept"))
+    made = judged.select(*named.values(), verdict.alias("__made"))
+    return made.select(*[F.col(n).alias(c) for c, n in named.items()], F.col("__made").alias(result))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import map_texts, table, written
@@ -59,13 +59,13 @@ def fingerprint(text: bytes | None) -> int:
     return _signed(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"))
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, fp) for every row."""
+def fingerprints(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
+    """The carried columns and fp of every row."""
 
     def rows(texts: list[bytes | None], _: pa.RecordBatch) -> list:
         return [[fingerprint(t) for t in texts]]
 
-    return map_texts(docs, [id_col], text_col, "fp long", rows)
+    return map_texts(docs, carry, text_col, "fp long", rows)
 
 
 def _grid(fps: DataFrame) -> DataFrame:
@@ -73,41 +73,43 @@ def _grid(fps: DataFrame) -> DataFrame:
 
     The embedding is the 32 segments' bit counts, held two bits a segment in one long.
     """
-    x, low = F.col("fp"), F.lit(_LOW)
-    next_bit = F.shiftrightunsigned(x, 1)
-    counts = F.shiftleft(x.bitwiseAND(next_bit).bitwiseAND(low), 1).bitwiseOR(x.bitwiseXOR(next_bit).bitwiseAND(low))
     masks = _band_masks()
     cells = [
         F.struct(F.lit(i).cast("byte").alias("choice"), F.col("__counts").bitwiseAND(F.lit(_signed(a | b | c))).alias("counts"))
         for i, (a, b, c) in enumerate(combinations(masks, 3))
     ]
-    return fps.withColumn("__counts", counts).select("fp", F.explode(F.array(*cells)).alias("cell")).select("cell.choice", "cell.counts", "fp")
+    return fps.withColumn("__counts", _counts(F.col("fp"))).select("fp", F.explode(F.array(*cells)).alias("cell")).select("cell.choice", "cell.counts", "fp")
+
+
+def _counts(x: Column) -> Column:
+    """The embedding of a fingerprint: the bit count of each two-bit segment, in the segment's own two bits."""
+    low, next_bit = F.lit(_LOW), F.shiftrightunsigned(x, 1)
+    return F.shiftleft(x.bitwiseAND(next_bit).bitwiseAND(low), 1).bitwiseOR(x.bitwiseXOR(next_bit).bitwiseAND(low))
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Manhattan distance of two embeddings: 2 where a segment has 0 against 2, 1 where it has 1 against another."""
+    low = F.lit(_LOW)
+    ones = x.bitwiseXOR(y).bitwiseAND(low)
+    twos = F.shiftrightunsigned(x.bitwiseXOR(y), 1).bitwiseAND(low).bitwiseAND(F.bitwise_not(ones))
+    return F.bit_count(ones) + 2 * F.bit_count(twos)
 
 
 def _manhattan(x: np.ndarray, y: np.uint64) -> np.ndarray:
-    """Manhattan distance of the segments' bit counts."""
-    low = np.uint64(_LOW)
-    one = np.uint64(1)
-    apart = (x - ((x >> one) & low)) ^ (y - ((y >> one) & low))
-    lo, hi = apart & low, (apart >> one) & low
-    count = np.bitwise_count
-    return count(lo).astype(np.int16) + 2 * count(hi).astype(np.int16) - 2 * count(lo & hi).astype(np.int16)
+    """Manhattan distance of the segments' bit counts of fingerprints."""
+    low, one = np.uint64(_LOW), np.uint64(1)
 
+    def counts(v: np.ndarray) -> np.ndarray:
+        return ((v & (v >> one) & low) << one) | ((v ^ (v >> one)) & low)
 
-def forest(members: list[int] | np.ndarray, reach: int = REACH) -> list[tuple[int, int]]:
+    apart = counts(x) ^ counts(y)
+    ones = apart & low
+    twos = (apart >> one) & low & ~ones
+    return np.bitwise_count(ones).astype(np.int16) + 2 * np.bitwise_count(twos).astype(np.int16)
+
+
+def forest(members: np.ndarray, reach: int = REACH) -> list[tuple[int, int]]:
     """Links that join all members within `reach` of each other, directly or through others; at most one a member."""
-    if len(members) <= 12:
-        left, links = [int(m) & 0xFFFFFFFFFFFFFFFF for m in members], []
-        while left:
-            front = [left.pop()]
-            while front:
-                x = front.pop()
-                near = [y for y in left if (x ^ y).bit_count() <= reach]
-                if near:
-                    links += [(_signed(x), _signed(y)) for y in near]
-                    left = [y for y in left if y not in near]
-                    front += near
-        return links
     rest, links = np.unique(np.asarray(members, np.int64)).view(np.uint64), []
     while len(rest):
         front, rest = [rest[0]], rest[1:]
@@ -126,15 +128,16 @@ def forest(members: list[int] | np.ndarray, reach: int = REACH) -> list[tuple[in
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b) over distinct fingerprints: enough verified links to join all that are within reach of each other.
 
-    Cells of two are decided from the cell's smallest and largest member. A larger cell goes to the tasks as
+    In every cell the embedding's Manhattan distance, never above the Hamming distance, decides which pairs are
+    compared exactly. A cell of two is decided from its smallest and largest member. A larger cell goes to the tasks as
     blocks, each pair of blocks to one, so that no task ever holds more than about two blocks of one cell; what
     comes out is a spanning forest, not the pairs.
     """
     grid = _grid(fps)
     cells = grid.groupBy("choice", "counts").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     cells = written(cells.where("n > 1"), "cells")
-    apart: Column = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    two = cells.where((F.col("n") == 2) & (apart <= REACH)).select("a", "b")
+    bound, apart = _apart(_counts(F.col("a")), _counts(F.col("b"))), F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    two = cells.where((F.col("n") == 2) & (bound <= REACH)).where(apart <= REACH).select("a", "b")
 
     many = cells.where("n > 2").select("choice", "counts", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -150,31 +153,55 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         for part in parts:
             members = part.column(0)
             values, ends = members.values.to_numpy(), members.offsets.to_numpy()
-            found = {(min(x, y), max(x, y)) for s, e in zip(ends[:-1], ends[1:]) if e - s > 1 for x, y in forest(values[s:e].tolist() if e - s <= 12 else values[s:e])}
+            found = {(min(x, y), max(x, y)) for s, e in zip(ends[:-1], ends[1:]) if e - s > 1 for x, y in forest(values[s:e])}
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return two.unionByName(dealt.select("members").mapInArrow(joined, "a long, b long")).distinct()
 
 
+def classes(docs: DataFrame, carry: list[str], text_col: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The carried columns and fp of every row; and (fp, root) of every fingerprint, equal for all that are linked.
+
+    Equal fingerprints are one node however many rows carry them. Other columns aren't read.
+    """
+    prints = written(fingerprints(docs, carry, text_col), "prints")
+    nodes = written(prints.select("fp").distinct(), "nodes")
+    roots = components(links(nodes, block), "a", "b")
+    return prints, written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id_col, fp, component_id) for every row of `docs`; the component's id is its smallest document id.
 
-    A null text and one without words have fingerprint 0 and are linked like any other. Equal fingerprints are
-    one node however many documents carry them. Rows that repeat come out as often as they went in. A null id
-    is fingerprinted and linked, and is never the smallest; a component of null ids only has a null id. Other
-    columns aren't read. An empty table gives no rows.
+    A null text and one without words have fingerprint 0 and are linked like any other. Rows that repeat come out as
+    often as they went in. A null id is fingerprinted and linked, and is never the smallest; a component of null ids
+    only has a null id. Other columns aren't read. An empty table gives no rows.
     """
-    prints = written(fingerprints(docs, id_col, text_col), "prints")
-    nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("__least")), "nodes")
-    roots = components(links(nodes.select("fp"), block), "a", "b")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
-    rooted = written(rooted, "rooted")
-    least = rooted.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    named = rooted.join(least, "__root").select("fp", "component_id")
+    prints, rooted = classes(docs, [id_col], text_col, block)
+    least = prints.groupBy("fp").agg(F.min(id_col).alias("least")).join(rooted, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(rooted.join(least, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """Of each component of near_duplicates() one row: that with the smallest id, and of such by a hash of its columns.
+
+    Rows without an id are compared like any other and stay only where a component has none with one. Rows that repeat
+    an id and differ in their texts are documents of their own. Columns may have any name.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    at, body = names[id_col], names[text_col]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("__row", F.xxhash64(*names.values()))
+    prints, rooted = classes(rows, [at, "__row"], body, block)
+    first = F.min(F.struct(F.col(at).isNull().alias("none"), at, "__row"))
+    heads = prints.groupBy("fp").agg(first.alias("head")).join(rooted, "fp").groupBy("root").agg(F.min("head").alias("head"))
+    heads = written(heads.select(F.col(f"head.{at}").alias("__id"), F.col("head.__row").alias("__of")), "heads")
+    kept = rows.join(heads, F.col(at).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__of")), "left_semi")
+    once = Window.partitionBy(F.coalesce(F.col(at), F.lit(0)), F.col(at).isNull(), "__row").orderBy("__row")
+    return kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
