@@ -6,7 +6,7 @@ stage's docs; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import free_name, written
@@ -14,7 +14,7 @@ from quirelake.llm.line_dedup import dedup_lines
 from quirelake.llm.mixing import mix_documents
 from quirelake.llm.packing import pack_documents
 from quirelake.llm.quality_rules import quality_rules
-from quirelake.llm.simhash import near_duplicates
+from quirelake.llm.simhash import one_of_each
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +33,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id, once. Documents without an id stay."""
-    least = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    first = docs.join(written(least, "least"), "doc_id", "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1")
-    return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near-duplicates: that with the smallest id."""
+    return one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
