@@ -4,38 +4,56 @@ from __future__ import annotations
 
 import re
 import uuid
-from functools import reduce
+import unicodedata
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import hash_sample, map_texts, table
+from quirelake.llm.common import map_texts, table, written
 
 #: Documents of each language, the first by the hash of their ids, that the piece probabilities are fitted on.
 FIT_DOCS = 400
 FIT_ROUNDS = 3
 #: What a character counts that no piece of the vocabulary covers, and what each piece has at least.
 UNKNOWN, LEAST = 1e-9, 1e-8
-#: Keeps the sums of long words within a double's range: each character counts so much more, which is taken off in the end.
-SCALE = 8.0
-#: A run of more letters than this is scored as several words.
-LONGEST = 120
-REMEMBERED = 600_000
-#: Words whose segmentations are laid out at a time.
-GROUP = 4000
+#: Letters of a piece of a longer word that the fit sees; scoring takes words as they are.
+FIT_LETTERS = 100
+#: Sums are brought back to about 1 after so many letters, which keeps those of any word within a double's range.
+RESCALE = 8
+#: Letters of the words that a worker remembers; beyond that it begins anew.
+REMEMBERED = 6_000_000
+#: Words, and letters of the longest times words, whose segmentations are laid out at a time.
+GROUP, CELLS = 4000, 120_000
 START = "▁"
 
-_WORDS = re.compile(r"[^\W\d_]+")
+
+def _odd_characters() -> str:
+    """A character class of what \\w takes besides letters, digits and _, and of marks, which it may take or leave."""
+    runs: list[list[int]] = []
+    for c in range(128, 0x110000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] == "M" or kind in ("Nl", "No"):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+
+
+_WORDS, _ODD = re.compile(r"[^\W\d_]+"), re.compile(_odd_characters())
 
 
 def words_of(text: str) -> list[str]:
-    words = _WORDS.findall(text.lower())
-    if any(len(w) > LONGEST for w in words):
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
+    """The lower-cased words: a letter (category L) and the letters and marks (M) that follow it."""
+    text = text.lower()
+    if _ODD.search(text) is None:
+        return _WORDS.findall(text)
+    import regex
+
+    return regex.findall(r"\p{L}[\p{L}\p{M}]*", text)
 
 
 def vocabulary(path: str) -> list[str]:
@@ -46,6 +64,16 @@ def vocabulary(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
 
 
+def runs(lengths: list[int]) -> list[tuple[int, int]]:
+    """Runs of words of rising lengths that are laid out together."""
+    out, first = [], 0
+    for i, n in enumerate(lengths):
+        if i > first and (i - first == GROUP or (i - first + 1) * (n + 2) > CELLS):
+            out.append((first, i))
+            first = i
+    return out + [(first, len(lengths))] if lengths else out
+
+
 class Lattice:
     """The segmentations of words into pieces, as edges (word, start, end, piece); words start with START."""
 
@@ -53,6 +81,7 @@ class Lattice:
         self.number = {p: i for i, p in enumerate(pieces)}
         self.prefixes = {p[:n]: -1 for p in pieces for n in range(1, len(p))} | self.number
         self.unknown = len(pieces)
+        self.reach = max(map(len, pieces), default=1)
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Edges by end and word, and the words' lengths."""
@@ -79,41 +108,66 @@ class Lattice:
         return edges, np.array([len(w) + 1 for w in words])
 
     @staticmethod
-    def forward(edges: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Scaled sums over all segmentations of each prefix: [word, characters, language]. p: [piece, language]."""
+    def forward(edges: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over all segmentations of each prefix, [word, characters, language], and logarithms to add to them.
+
+        p: [piece, language]. Every RESCALE characters a word's sums so far are divided by the newest one; the logarithm
+        of what they were divided by holds for the word's later prefixes, its whole among them.
+        """
         sums = np.zeros((len(lengths), int(lengths.max(initial=0)) + 1, p.shape[1]))
+        logs = np.zeros((len(lengths), p.shape[1]))
         sums[:, 0] = 1
+        reach = int((edges[:, 2] - edges[:, 1]).max(initial=1))
         bounds = np.searchsorted(edges[:, 2], np.arange(sums.shape[1] + 1))
         for end in range(1, sums.shape[1]):
             w, s, _, piece = edges[bounds[end] : bounds[end + 1]].T
             if len(w):
                 first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-                sums[w[first], end] = np.add.reduceat(sums[w, s] * p[piece] * (SCALE ** (end - s))[:, None], first)
-        return sums
+                sums[w[first], end] = np.add.reduceat(sums[w, s] * p[piece], first)
+                if end % RESCALE == 0:
+                    on = w[first]
+                    by = sums[on, end]
+                    sums[on, max(0, end - reach) : end + 1] /= by[:, None]
+                    logs[on] += np.log(by)
+        return sums, logs
 
     def log_probabilities(self, words: list[str], p: np.ndarray) -> np.ndarray:
         if not words:
             return np.zeros((0, p.shape[1]))
         edges, lengths = self.edges(words)
-        sums = self.forward(edges, lengths, p)
-        whole = sums[np.arange(len(words)), lengths]
-        return np.log(np.maximum(whole, 1e-300)) - (lengths * np.log(SCALE))[:, None]
+        sums, logs = self.forward(edges, lengths, p)
+        return np.log(sums[np.arange(len(words)), lengths]) + logs
 
     def _expected(self, edges: np.ndarray, lengths: np.ndarray, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """How often each piece is used in words that come up `counts` times, by forward and backward sums."""
-        sums, rest = self.forward(edges, lengths, p), np.zeros((len(lengths), int(lengths.max()) + 1, p.shape[1]))
-        rest[np.arange(len(lengths)), lengths] = 1
-        back = edges[np.lexsort((edges[:, 0], edges[:, 1]))]
-        starts = np.searchsorted(back[:, 1], np.arange(rest.shape[1] + 1))
-        for start in range(rest.shape[1] - 1, -1, -1):
-            w, _, e, piece = back[starts[start] : starts[start + 1]].T
+        """How often each piece is used in words that come up `counts` times, by forward sums and the shares of edges.
+
+        Going back from a word's end, what a prefix is used is divided among the edges that reach it by their parts of its sum.
+        """
+        own, last = np.zeros((len(edges), p.shape[1])), int(lengths.max(initial=0))
+        sums = np.zeros((len(lengths), last + 1, p.shape[1]))
+        sums[:, 0] = 1
+        bounds = np.searchsorted(edges[:, 2], np.arange(last + 2))
+        for end in range(1, last + 1):
+            w, s, _, piece = edges[bounds[end] : bounds[end + 1]].T
             if len(w):
                 first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-                rest[w[first], start] = np.add.reduceat(rest[w, e] * p[piece] * (SCALE ** (e - start))[:, None], first)
-        whole = np.maximum(sums[np.arange(len(lengths)), lengths], 1e-300)
-        w, s, e, piece = edges.T
-        share = sums[w, s] * rest[w, e] * p[piece] * (SCALE ** (e - s))[:, None] / whole[w] * counts[w]
-        return np.stack([np.bincount(piece, share[:, k], len(p)) for k in range(p.shape[1])], axis=1)
+                parts = sums[w, s] * p[piece]
+                whole = np.add.reduceat(parts, first)
+                own[bounds[end] : bounds[end + 1]] = parts / np.repeat(whole, np.diff(np.r_[first, len(w)]), axis=0)
+                # the newest sum counts as 1 for shares; the earlier ones that a piece can still reach go down with it
+                low = max(0, end - self.reach)
+                sums[w[first], low:end] /= whole[:, None]
+                sums[w[first], end] = 1
+        used = np.zeros((len(lengths), last + 1, p.shape[1]))
+        used[np.arange(len(lengths)), lengths] = counts
+        for end in range(last, 0, -1):
+            at = slice(bounds[end], bounds[end + 1])
+            w, s, _, _ = edges[at].T
+            if len(w):
+                own[at] *= used[w, end]
+                np.add.at(used, (w, s), own[at])
+        piece = edges[:, 3]
+        return np.stack([np.bincount(piece, own[:, k], len(p)) for k in range(p.shape[1])], axis=1)
 
     def fit(self, words: list[str], counts: np.ndarray, rounds: int = FIT_ROUNDS) -> np.ndarray:
         """Piece probabilities by expectation maximisation; counts: [word, language]. Every piece keeps LEAST.
@@ -121,8 +175,8 @@ class Lattice:
         Words go through by length, some thousand at a time, so memory stays that of one such group.
         """
         n = self.unknown + 1
-        order = np.argsort([len(w) for w in words], kind="stable")
-        groups = [order[i : i + GROUP] for i in range(0, len(order), GROUP)]
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        groups = [order[a:b] for a, b in runs([len(words[i]) for i in order])]
         p = np.full((n, counts.shape[1]), 1.0 / n)
         for _ in range(rounds):
             expected = np.zeros_like(p)
@@ -143,19 +197,18 @@ class Identifier:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.zeros((1024, self.p.shape[1]))
+        self.table, self.held = np.zeros((1024, self.p.shape[1])), 0
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            some.sort(key=len)
-            for k in range(0, len(some), GROUP):
-                logs = self.lattice.log_probabilities(part := some[k : k + GROUP], self.p)
-                n = len(self.known)
-                while len(self.table) < n + len(part):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[n : n + len(part)] = logs
-                self.known.update(zip(part, range(n, n + len(part))))
+        words.sort(key=len)
+        for a, b in runs([len(w) for w in words]):
+            part, n = words[a:b], len(self.known)
+            logs = self.lattice.log_probabilities(part, self.p)
+            while len(self.table) < n + len(part):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[n : n + len(part)] = logs
+            self.known.update(zip(part, range(n, n + len(part))))
+            self.held += sum(map(len, part))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """[text, language]; texts without a letter have nan."""
@@ -166,7 +219,7 @@ class Identifier:
             group.append((i, words))
             held += len(words)
             if held > 200_000 or i + 1 == len(texts):
-                if len(self.known) > REMEMBERED:
+                if self.held > REMEMBERED:
                     self.clear()
                 known = self.known
                 self.learn([w for w in dict.fromkeys(w for _, words in group for w in words) if w not in known])
@@ -197,17 +250,21 @@ def fit_languages(docs: DataFrame, vocabulary_path: str, fit_docs: int = FIT_DOC
     by a row a language.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    parts = [hash_sample(known.where(F.col("lang") == r["lang"]), ["id", "text"], fit_docs, r["count"]) for r in known.groupBy("lang").count().collect()]
-    if not parts:
-        return [], np.zeros((0, 0))
-    chosen = reduce(DataFrame.unionByName, parts)
+    size = 1 << 40
+    counts = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * fit_docs + 100) / F.count(F.lit(1))).alias("part"))
+    cut = written(counts.select(F.col("lang").alias("of"), (F.col("part") * size).cast("long").alias("cut")), "cuts")
+    near = known.withColumn("key", F.pmod(F.xxhash64("id", "text"), F.lit(size))).join(cut, F.col("lang") == F.col("of")).where(F.col("key") < F.col("cut"))
+    first = Window.partitionBy("lang").orderBy("key", "id")
+    chosen = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= fit_docs)
 
     def words(parts):
         for part in parts:
-            rows = [(lang, w) for lang, text in zip(part["lang"], part["text"]) for w in words_of(text)]
+            rows = [(lang, w[i : i + FIT_LETTERS]) for lang, text in zip(part["lang"], part["text"]) for w in words_of(text) for i in range(0, len(w), FIT_LETTERS)]
             yield pd.DataFrame(rows, columns=["lang", "word"])
 
     counted = chosen.select("lang", "text").mapInPandas(words, "lang string, word string").groupBy("lang", "word").count().toPandas()
+    if counted.empty:
+        return [], np.zeros((0, 0))
     languages = sorted(counted["lang"].unique())
     table_ = counted.pivot_table(index="word", columns="lang", values="count", fill_value=0).reindex(columns=languages).sort_index()
     return languages, Lattice(vocabulary(vocabulary_path)).fit(list(table_.index), table_.to_numpy(float))

@@ -437,6 +437,48 @@ def test_forward_sums_all_segmentations():
             assert math.isclose(got[i, k], math.log(segmentations("▁" + word, dict(zip(pieces, p[:, k])))), rel_tol=1e-6)
 
 
+def all_segmentations(word, pieces):
+    if not word:
+        return [[]]
+    return [[word[:n], *rest] for n in range(1, len(word) + 1) if word[:n] in pieces for rest in all_segmentations(word[n:], pieces)]
+
+
+def test_fit_by_enumeration():
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aba", "▁ab"]
+    lattice, counts = language_id.Lattice(pieces), {"abab": 3.0, "ba": 2.0, "aab": 5.0}
+    got = lattice.fit(list(counts), np.array([[v] for v in counts.values()]), rounds=2)[:, 0]
+    p = dict.fromkeys(pieces, 1 / 9)
+    for _ in range(2):
+        used = Counter()
+        for word, n in counts.items():
+            ways = {tuple(x): math.prod(p[y] for y in x) for x in all_segmentations("▁" + word, p)}
+            for way, weight in ways.items():
+                used.update({y: 0 for y in way})
+                for y in way:
+                    used[y] += n * weight / sum(ways.values())
+        p = {x: max(used[x] / sum(used.values()), language_id.LEAST) for x in pieces}
+    assert np.allclose(got[:-1], [p[x] for x in pieces], rtol=1e-9)
+
+
+def test_words_of_any_length_and_script():
+    assert language_id.words_of("½² Ⅷ 12 _") == [] and language_id.words_of("x² Été-a_b") == ["x", "été", "a", "b"]
+    assert language_id.words_of("हिन्दी भाषा") == ["हिन्दी", "भाषा"]
+    pieces = ["▁", "a", "b", "ab", "ba", "aba"]
+    lattice = language_id.Lattice(pieces)
+    p = np.array([[0.1, 0.3], [0.2, 0.01], [0.1, 0.2], [0.3, 0.1], [0.2, 0.2], [0.1, 0.19], [language_id.UNKNOWN] * 2])
+    rng = np.random.default_rng(1)
+    words_ = ["".join(rng.choice(list("abq"), n)) for n in (3000, 700, 90, 2)]
+    got = lattice.log_probabilities(words_, p)
+    for i, word in enumerate(words_):
+        for k in range(2):
+            known, logs = dict(zip(pieces, np.log(p[:, k]))), [0.0]
+            text = "▁" + word
+            for e in range(1, len(text) + 1):
+                ways = [logs[s] + (known[text[s:e]] if text[s:e] in known else math.log(language_id.UNKNOWN)) for s in range(max(0, e - 3), e) if text[s:e] in known or (e - s == 1)]
+                logs.append(max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways)))
+            assert math.isclose(got[i, k], logs[-1], rel_tol=1e-9)
+
+
 def test_languages_are_told_apart(prose, edge, empty):
     path = language_id.default_vocabulary()
     learned = prose.where(~language_id.held_out("doc_id")).select(F.col("doc_id").alias("id"), "text", "lang")
