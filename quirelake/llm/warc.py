@@ -27,17 +27,29 @@ CRLF = b"\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
-INDEX = "record_id long, bundle string, frame int, frame_offset long, frame_bytes long, record_offset long, record_bytes long"
+INDEX = "record_id string, page_id long, bundle string, frame int, record_offset long, record_bytes long"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, ordinal: str) -> bytes:
-    """One WARC 1.1 record with its closing blank lines; a revisit holds the HTTP head only."""
-    digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+def record_id(page_id: int | None, sha1: str) -> str:
+    """The id of a page's record: the page and its payload's digest, so that a revisit can name its response."""
+    return f"urn:page:{'none' if page_id is None else page_id}:{sha1}"
+
+
+def page_of(record: str) -> int | None:
+    page = record.split(":")[2]
+    return None if page == "none" else int(page)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> tuple[str, bytes]:
+    """Id and bytes of one WARC 1.1 record with its closing blank lines; a revisit holds the HTTP head only."""
+    sha1 = hashlib.sha1(payload)
+    own = record_id(page_id, sha1.hexdigest())
+    digest = "sha1:" + base64.b32encode(sha1.digest()).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{'none' if page_id is None else page_id}:{ordinal}>"),
+        ("WARC-Record-ID", f"<{own}>"),
         ("WARC-Date", DATE),
         ("Content-Type", "application/http;msgtype=response"),
         ("WARC-Payload-Digest", digest),
@@ -46,9 +58,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if url is not None:
         head.append(("WARC-Target-URI", quote(url, safe="!#$%&'()*+,/:;=?@[]~")))
     if revisit:
-        head += [("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        head += [("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<{record_id(refers_to, sha1.hexdigest())}>")]
     head.append(("Content-Length", str(len(block))))
-    return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}".encode() + CRLF for k, v in head) + CRLF + block + CRLF + CRLF
+    return own, b"WARC/1.1\r\n" + b"".join(f"{k}: {v}".encode() + CRLF for k, v in head) + CRLF + block + CRLF + CRLF
 
 
 def parse(data: memoryview | bytes) -> tuple[dict[str, str], bytes]:
@@ -71,13 +83,15 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(body)) + body
 
 
-def read_seek_table(tail: bytes) -> list[tuple[int, int]]:
-    """(compressed, uncompressed) sizes of a bundle's frames, from its last bytes."""
-    n, flags, magic = struct.unpack("<IBI", tail[-9:])
+def read_seek_table(bundle) -> list[tuple[int, int]]:
+    """(compressed, uncompressed) sizes of the frames of an open bundle, from its footer."""
+    bundle.seek(bundle.size() - 9)
+    n, flags, magic = struct.unpack("<IBI", bundle.read(9))
     if magic != SEEKABLE:
         raise ValueError("no seek table")
     size = 12 if flags & 0x80 else 8
-    rows = tail[len(tail) - 9 - n * size : len(tail) - 9]
+    bundle.seek(bundle.size() - 9 - n * size)
+    rows = bundle.read(n * size)
     return [struct.unpack_from("<II", rows, i * size) for i in range(n)]
 
 
@@ -86,19 +100,23 @@ def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Bundle:
-    """Writes one bundle under a name of this attempt; closing gives it its lasting name and returns the index rows."""
+    """Writes one bundle and returns the index rows when closed.
+
+    The name is this attempt's own: what another attempt of the same task writes is another bundle, and only the index
+    rows of the attempt that Spark commits say which bundles count.
+    """
 
     def __init__(self, folder: str, name: str):
         import zstandard
 
         self.files, path = _file_system(folder)
         self.files.create_dir(path, recursive=True)
-        self.own, self.path = f"{path}/.{name}.{uuid.uuid4().hex}", f"{path}/{name}"
-        self.out, self.zstd = self.files.open_output_stream(self.own), zstandard.ZstdCompressor(level=LEVEL)
-        self.name, self.at, self.frames, self.open, self.rows, self.waiting = name, 0, [], bytearray(), [], []
+        self.name = f"{name}-{uuid.uuid4().hex}.warc.zst"
+        self.out, self.zstd = self.files.open_output_stream(f"{path}/{self.name}", compression=None), zstandard.ZstdCompressor(level=LEVEL)
+        self.at, self.frames, self.open, self.rows, self.waiting = 0, [], bytearray(), [], []
 
-    def add(self, record_id: int | None, data: bytes) -> None:
-        self.waiting.append((record_id, len(self.open), len(data)))
+    def add(self, own: str, page_id: int | None, data: bytes) -> None:
+        self.waiting.append((own, page_id, len(self.open), len(data)))
         self.open += data
         if len(self.open) >= FRAME:
             self.flush()
@@ -107,7 +125,7 @@ class _Bundle:
         if self.open:
             packed = self.zstd.compress(bytes(self.open))
             self.out.write(packed)
-            self.rows += [(i, self.name, len(self.frames), self.at, len(packed), offset, n) for i, offset, n in self.waiting]
+            self.rows += [(own, page, self.name, len(self.frames), offset, n) for own, page, offset, n in self.waiting]
             self.frames.append((len(packed), len(self.open)))
             self.at += len(packed)
             self.open, self.waiting = bytearray(), []
@@ -116,7 +134,6 @@ class _Bundle:
         self.flush()
         self.out.write(seek_table(self.frames))
         self.out.close()
-        self.files.move(self.own, self.path)  # a later attempt of the same task puts the same bundle in place
         return self.rows
 
 
@@ -135,11 +152,11 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     return marked.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("__last")).alias("refers_to"))
 
 
-def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes mark_revisits() rows to bundles in `folder` and returns their index, a table of INDEX rows beside them.
+def write_archives(rows: DataFrame, folder: str, index: str = "index") -> DataFrame:
+    """Writes mark_revisits() rows to bundles in `folder` and returns their index, a table of INDEX rows in its folder `index`.
 
-    Every task writes bundles of its own, named after its partition, whole or not at all, so a task that is run
-    again replaces what it wrote.
+    Every attempt of a task writes bundles of its own. A record's id names its page and payload; pages that repeat both
+    are copies of one record, each in a place of its own. The index maps ids to a frame and a place in it.
     """
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +168,14 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         def closed(done: _Bundle) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done.close()), kinds)], names=names)
 
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
         for part in parts:
-            for i, (page, url, payload, revisit, refers) in enumerate(zip(*[c.to_pylist() for c in part.columns])):
+            for page, url, payload, revisit, refers in zip(*[c.to_pylist() for c in part.columns]):
                 if bundle is None:
-                    bundle = _Bundle(folder, f"part-{task:06d}-{number:05d}.warc.zst")
+                    bundle = _Bundle(folder, f"part-{task:06d}-{number:05d}")
                     number += 1
-                bundle.add(page, record(page, url, payload, refers, revisit, f"{task}-{number}-{len(bundle.rows) + len(bundle.waiting)}"))
+                own, data = record(page, url, payload, refers, revisit)
+                bundle.add(own, page, data)
                 if bundle.at >= BUNDLE:
                     yield closed(bundle)
                     bundle = None
@@ -165,41 +183,44 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             yield closed(bundle)
 
     spark = rows.sparkSession
-    path = f"{folder}/index"
+    path = f"{folder}/{index}"
     rows.mapInArrow(write, INDEX).write.parquet(path)
     return spark.read.schema(INDEX).parquet(path)
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """(record_id, type, payload, payload_bytes, payload_digest, refers_to) of the records in `index`, or some of them.
+    """(record_id, page_id, type, payload, payload_bytes, payload_digest, refers_to) of the records in `index`, or some of them.
 
-    A task seeks to each frame that it needs, decompresses it alone and takes the records out of it, so what is
-    read follows what is asked for. Frames are dealt evenly over the tasks.
+    A task reads a bundle's seek table, seeks to each frame that it needs, decompresses it alone and takes the records
+    out of it, so what is read follows what is asked for. Frames are dealt evenly over the tasks. `refers_to` is the
+    page of the record that a revisit names.
     """
+    schema = "record_id string, page_id long, type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack, (files, path) = zstandard.ZstdDecompressor(), _file_system(folder)
+        unpack, (files, path), names = zstandard.ZstdDecompressor(), _file_system(folder), [f.split()[0] for f in schema.split(", ")]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
         for part in parts:
-            for bundle, offset, size, ids, at, lengths in zip(*[c.to_pylist() for c in part.columns]):
+            for bundle, frame, places in zip(*[c.to_pylist() for c in part.columns]):
                 with files.open_input_file(f"{path}/{bundle}") as f:
-                    f.seek(offset)
-                    data = memoryview(unpack.decompress(f.read(size)))
+                    frames = read_seek_table(f)
+                    f.seek(sum(packed for packed, _ in frames[:frame]))
+                    data = memoryview(unpack.decompress(f.read(frames[frame][0])))
                 got = []
-                for i, a, n in zip(ids, at, lengths):
-                    headers, payload = parse(data[a : a + n])
-                    refers = headers.get("WARC-Refers-To")
+                for place in places:
+                    at = place["record_offset"]
+                    headers, payload = parse(data[at : at + place["record_bytes"]])
+                    own, refers = headers["WARC-Record-ID"][1:-1], headers.get("WARC-Refers-To")
+                    if own != place["record_id"]:
+                        raise ValueError(f"{place['record_id']} is not where the index has it")
                     digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    got.append((i, headers["WARC-Type"], payload, int(headers["WARC-Payload-Length"]), digest, refers and int(refers[len("<urn:page:") : -1])))
-                kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
-                names = ["record_id", "type", "payload", "payload_bytes", "payload_digest", "refers_to"]
+                    got.append((own, page_of(own), headers["WARC-Type"], payload, int(headers["WARC-Payload-Length"]), digest, refers and page_of(refers[1:-1])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], names=names)
 
-    record_at = F.struct("record_offset", "record_id", "record_bytes")
-    frames = index.groupBy("bundle", "frame_offset", "frame_bytes").agg(F.array_sort(F.collect_list(record_at)).alias("r"))
-    frames = frames.select("bundle", "frame_offset", "frame_bytes", F.col("r.record_id"), F.col("r.record_offset"), F.col("r.record_bytes"))
-    return frames.mapInArrow(read, "record_id long, type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
+    frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("record_offset", "record_id", "record_bytes")).alias("places"))
+    return frames.mapInArrow(read, schema)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +230,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a response's length and digest are taken from the payload itself, so that a damaged record shows
     own = F.col("type") == "response"
     return found.select(
-        F.col("record_id").alias("page_id"),
+        "page_id",
         F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(own, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         F.col("type").alias("record_type"),

@@ -8,36 +8,75 @@ from quirelake.llm import chat, multi_index, warc
 from quirelake.llm.common import fresh_dir
 
 
+def raw_headers(folder):
+    """The headers of all records in a folder's bundles, read frame after frame by another library call."""
+    import glob
+
+    import zstandard
+
+    heads = []
+    for path in glob.glob(folder.removeprefix("file://") + "/*.warc.zst"):
+        with open(path, "rb") as f:
+            data = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            heads.append(dict(line.decode().split(": ", 1) for line in head.split(b"\r\n")[1:]))
+            data = rest[int(heads[-1]["Content-Length"]) + 4 :]
+    return heads
+
+
+def test_a_task_that_runs_again_leaves_the_index_right(spark):
+    rows = spark.createDataFrame([(i, "u", f"{i}" * 2000) for i in range(50)], "page_id long, url string, html string")
+    folder = fresh_dir(spark, "warc")
+    marked = warc.mark_revisits(rows)
+    first = warc.write_archives(marked.where("page_id >= 0"), folder, "one")  # as an attempt that Spark doesn't commit
+    again = warc.write_archives(marked.orderBy(F.desc("page_id")), folder, "two")
+    assert first.select("bundle").intersect(again.select("bundle")).count() == 0
+    assert {(r.page_id, bytes(r.payload).decode()) for r in warc.read_records(again, folder).collect()} == {(i, f"{i}" * 2000) for i in range(50)}
+
+
 def test_archives_round_trip(spark):
     big = "<p>é</p>" * 400
     rows = [(1, "http://a/ b\r\nc", big), (2, None, big), (5, "http://a", big), (3, "u", None), (4, "u", ""), (6, "u", "small"), (7, "u", "small"), (None, "u", big), (5, "http://a", big)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string")
     folder = fresh_dir(spark, "warc")
     index = warc.write_archives(warc.mark_revisits(pages), folder)
-    got = sorted(((r.record_id, r.type, r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.read_records(index, folder).collect()), key=str)
+    got = sorted(((r.page_id, r.type, r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.read_records(index, folder).collect()), key=str)
     n, sha = len(big.encode()), hashlib.sha1(big.encode()).hexdigest()
     none, small = hashlib.sha1(b"").hexdigest(), hashlib.sha1(b"small").hexdigest()
     expected = [(i, "revisit", n, sha, 5) for i in (1, 2, None)] + [(5, "response", n, sha, None)] * 2 + [(i, "response", 0, none, None) for i in (3, 4)] + [(i, "response", 5, small, None) for i in (6, 7)]
     assert got == sorted(expected, key=str)
-    some = warc.read_records(index.where("record_id = 6"), folder).collect()
+    some = warc.read_records(index.where("page_id = 6"), folder).collect()
     assert [bytes(r.payload) for r in some] == [b"small"]
+    known = {r.record_id: r for r in warc.read_records(index, folder).collect()}
+    assert len(known) == len(rows) - 1 and index.count() == len(rows)  # page 5 comes twice, with one payload
+    heads = raw_headers(folder)
+    revisits = [h["WARC-Refers-To"][1:-1] for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(heads) == len(rows) and len(revisits) == 3 and all(known[r].type == "response" and bytes(known[r].payload) == big.encode() for r in revisits)
     assert warc.write_archives(warc.mark_revisits(pages.where("false")), fresh_dir(spark, "warc")).count() == 0
 
 
 def test_seek_table_names_independent_frames(spark, tmp_path):
     import zstandard
 
-    bundle = warc._Bundle(f"file://{tmp_path}", "b.warc.zst")
+    import pyarrow.fs as pafs
+
+    bundle = warc._Bundle(f"file://{tmp_path}", "b")
     for i in range(40):
-        bundle.add(i, warc.record(i, "u", bytes([65 + i % 26]) * 100_000, None, False, "0"))
+        own, record = warc.record(i, "u", bytes([65 + i % 26]) * 100_000, None, False)
+        bundle.add(own, i, record)
     rows = bundle.close()
-    data = (tmp_path / "b.warc.zst").read_bytes()
-    frames = warc.read_seek_table(data)
-    assert len(frames) > 2 and len(frames) == 1 + max(r[2] for r in rows)
+    data = (tmp_path / bundle.name).read_bytes()
+    with pafs.LocalFileSystem().open_input_file(str(tmp_path / bundle.name)) as f:
+        frames = warc.read_seek_table(f)
+    assert len(frames) > 2 and len(frames) == 1 + max(r[3] for r in rows)
     at = 0
     for k, (packed, plain) in enumerate(frames):
-        assert {(r[3], r[4]) for r in rows if r[2] == k} == {(at, packed)}
-        assert len(zstandard.ZstdDecompressor().decompress(data[at : at + packed])) == plain
+        whole = zstandard.ZstdDecompressor().decompress(data[at : at + packed])
+        assert len(whole) == plain
+        for own, page, _, frame, offset, size in rows:
+            if frame == k:
+                assert warc.parse(whole[offset : offset + size])[0]["WARC-Record-ID"] == f"<{own}>" and own.startswith(f"urn:page:{page}:")
         at += packed
 
 
