@@ -8,23 +8,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import hash_sample, table, written
 
-#: Centroids of each half; the index has at most this many squared cells, whatever it holds.
-CENTROIDS = 64
 #: Vectors that the codebooks are fitted on, the first by the hash of their ids; every vector is indexed.
 FIT_VECTORS = 16_384
 FIT_ROUNDS = 12
+#: Centroids of each half: so many at least, more with the root of the entries, as many as the fit has 64 vectors for.
+CENTROIDS = 64
 #: A query goes through cells until they hold this share of the index. Vectors without any structure, as the
 #: test tables hold, need about a third for nine in ten of the true neighbours; see the README for recall.
 SHARE = 0.5
-#: And at least so many entries, so that a small table is searched whole.
-LEAST_ENTRIES = 1000
 #: Entries and queries that meet in one task.
-ENTRY_BLOCK, QUERY_BLOCK = 4096, 1024
+ENTRY_BLOCK, QUERY_BLOCK = 4096, 4096
+
+
+def n_centroids(entries: int) -> int:
+    return min(max(CENTROIDS, round(entries**0.5 / 2)), FIT_VECTORS // 64)
 
 
 def _codebook(x: np.ndarray, k: int) -> np.ndarray:
@@ -82,63 +84,76 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("vec") == (length["n"] if length else 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int = CENTROIDS, share: float = SHARE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int | None = None, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query, other ids only, nearest first.
 
     `vectors` and `queries` have (id, vec), as valid_vectors() gives them. Vectors that are equal are one entry
     with its k + 1 smallest ids, which is all that can matter for the k nearest; ties go to smaller ids. Rows that
-    repeat an id and vector count once. Fewer candidates give fewer rows, none give none.
+    repeat an id and vector count once. Fewer candidates give fewer rows, none give none. Where the cells hold fewer than
+    k + 1 entries a query goes on through more.
 
-    Entries are dealt evenly over blocks, whatever their cells, and meet each block of queries in one task, so a
-    crowded cell is spread; only the best k + 1 entries a block and query leave a task.
+    A query is sent to the first-half centroids whose cells it has to search, with a bit for each of those cells, and
+    is joined there with the entries; what a centroid has too many of, entries or queries, is dealt over blocks. So a
+    query meets no entry of a centroid that it doesn't search, and only its best k + 1 of a block leave a task.
     """
     spark = vectors.sparkSession
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     ordered = Window.partitionBy("vec").orderBy("id")
     few = vectors.distinct().withColumn("__n", F.row_number().over(ordered)).where(F.col("__n") <= k + 1)
     entries = written(few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")), "entries")
-    sample = [r["vec"] for r in hash_sample(entries.select("vec"), ["vec"], FIT_VECTORS, entries.count()).toLocalIterator()]
+    total = entries.count()
+    sample = [r["vec"] for r in hash_sample(entries.select("vec"), ["vec"], FIT_VECTORS, total).toLocalIterator()]
     if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return none
     fit = np.array(sample)
     half = fit.shape[1] // 2
-    books = [_codebook(fit[:, :half], centroids), _codebook(fit[:, half:], centroids)]
+    books = [_codebook(part, centroids or n_centroids(total)) for part in (fit[:, :half], fit[:, half:])]
     width = len(books[1])
 
     def assign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             x = _matrix(part.column(0))
-            cell = _nearest(x[:, :half], books[0]) * width + _nearest(x[:, half:], books[1])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32))], names=["vec", "ids", "cell"])
+            i, j = (pa.array(_nearest(x[:, h], book).astype(np.int32)) for h, book in zip((slice(half), slice(half, None)), books))
+            yield pa.RecordBatch.from_arrays([*part.columns, i, j], names=["vec", "ids", "i", "j"])
 
-    index = written(entries.mapInArrow(assign, "vec array<double>, ids array<long>, cell int"), "index")
-    sizes = np.zeros(len(books[0]) * width, np.int64)
-    for row in index.groupBy("cell").count().toLocalIterator():  # a row for each cell, at most centroids squared
-        sizes[row["cell"]] = row["count"]
-    total = int(sizes.sum())
+    index = written(entries.mapInArrow(assign, "vec array<double>, ids array<long>, i int, j int"), "index")
+    sizes = np.zeros((len(books[0]), width), np.int64)
+    for row in index.groupBy("i", "j").count().toLocalIterator():  # a row for each cell, at most centroids squared
+        sizes[row["i"], row["j"]] = row["count"]
 
     def traverse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            probes = []
-            for q in _matrix(part.column(1)):
+            ids, vecs, to, probes = [], [], [], []
+            for at, q in enumerate(_matrix(part.column(1))):
                 gaps = [((book - of) ** 2).sum(axis=1) for book, of in zip(books, (q[:half], q[half:]))]
-                bits = np.zeros(len(sizes), bool)
-                bits[multi_sequence(*gaps, sizes, max(share * total, LEAST_ENTRIES))] = True
-                probes.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(probes, pa.binary())], names=["id", "vec", "probes"])
-
-    asked = written(queries.distinct().mapInArrow(traverse, "id long, vec array<double>, probes binary"), "asked")
-    n_asked = asked.count()
-    if not n_asked:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks, rounds = -(-total // ENTRY_BLOCK), -(-n_asked // QUERY_BLOCK)
-    dealt = index.withColumn("block", F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    rounded = asked.withColumn("round", F.pmod(F.xxhash64("id"), F.lit(rounds)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+                bits = np.zeros(sizes.shape, bool)
+                bits.flat[multi_sequence(*gaps, sizes.ravel(), max(share * total, k + 1))] = True
+                for i in np.flatnonzero(bits.any(axis=1)).tolist():
+                    ids.append(at)
+                    to.append(i)
+                    probes.append(np.packbits(bits[i]).tobytes())
+            asked = part.take(pa.array(ids, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*asked.columns, pa.array(to, pa.int32()), pa.array(probes, pa.binary())], names=["id", "vec", "i", "probes"])
+
+    asked = written(queries.distinct().mapInArrow(traverse, "id long, vec array<double>, i int, probes binary"), "asked")
+    asking = np.zeros(len(sizes), np.int64)
+    for row in asked.groupBy("i").count().toLocalIterator():  # a row a centroid
+        asking[row["i"]] = row["count"]
+    if not asking.any():
+        return none
+
+    def of_centroid(numbers: np.ndarray, most: int) -> Column:
+        return F.element_at(F.array(*[F.lit(max(1, -(-int(n) // most))) for n in numbers]), F.col("i") + 1)
+
+    blocks, rounds = of_centroid(sizes.sum(axis=1), ENTRY_BLOCK), of_centroid(asking, QUERY_BLOCK)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    dealt = index.withColumn("block", F.pmod(F.xxhash64("vec"), blocks).cast("int")).withColumn("round", all_of(rounds))
+    rounded = asked.withColumn("round", F.pmod(F.xxhash64("id"), rounds).cast("int")).withColumn("block", all_of(blocks))
 
     def rerank(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(own) and len(asking):
-            own = own.sort_values("cell", kind="stable")
-            x, ids, cells = _matrix(own["vec"]), own["ids"].to_numpy(), own["cell"].to_numpy()
+            x, ids, cells = _matrix(own["vec"]), own["ids"].to_numpy(), own["j"].to_numpy()
             norms, least = (x**2).sum(axis=1), np.array([i[0] for i in ids])
             for q, v, probes in zip(asking["id"].tolist(), _matrix(asking["vec"]), asking["probes"]):
                 at = np.flatnonzero(np.unpackbits(np.frombuffer(probes, np.uint8))[cells])
@@ -153,7 +168,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int =
                 found += [(q, list(ids[at[i]]), float(exact[i])) for i in best]
         return pd.DataFrame(found, columns=["query_id", "ids", "score"])
 
-    near = dealt.groupBy("block", "round").cogroup(rounded.groupBy("block", "round")).applyInPandas(rerank, "query_id long, ids array<long>, score double")
+    by = ("i", "block", "round")
+    near = dealt.groupBy(*by).cogroup(rounded.groupBy(*by)).applyInPandas(rerank, "query_id long, ids array<long>, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     each = near.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").distinct()
     ranked = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
