@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import hash_sample, map_texts, table
+from quirelake.llm.common import hash_sample, map_texts, table, written
 from quirelake.llm.language_id import held_out
 
-#: Labelled documents that the field is fitted on, the first by the hash of their ids.
-FIT_DOCS = 3000
+#: Labelled documents that the field is fitted on, the first by the hash of their ids, and UTF-8 bytes of all their
+#: texts: a document that would go beyond that is left out of the fit.
+FIT_DOCS, FIT_BYTES = 3000, 24 << 20
 FIT_ROUNDS = 150
-#: Lines of one batch that are scored together.
-LINES = 60_000
+#: Lines whose features are worked out together, of one text or several.
+LINES = 20_000
 
 #: Shares of a line's characters by class: upper case, symbols, marks, digits, bars and brackets, blanks.
 _CLASS = np.zeros(256, np.uint8)
@@ -32,14 +35,8 @@ OWN = 7 + 5 + 5
 FEATURES = 3 * OWN + 3
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all lines of the texts: features with those of both neighbours, lengths, and the number of lines of each text."""
-    lines, counts = [], []
-    for text in texts:
-        own = text.split(b"\n")
-        lines += own
-        counts.append(len(own))
-    counts = np.array(counts, np.int64)
+def own_features(lines: list[bytes]) -> np.ndarray:
+    """The OWN features of each line."""
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer(b"".join(lines), np.uint8)
     shares = np.zeros((len(lines), CLASSES))
@@ -55,16 +52,32 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         own = line.split()
         if n := len(own):
             words[i] = n, sum(map(bytes.__eq__, own[1:], own)) / n, 1 - len(set(own)) / n
-    own = np.column_stack(
+    return np.column_stack(
         [shares[:, 1:], np.sqrt(shares[:, 1:6]), np.log1p(lengths) / 8, lengths / np.maximum(words[:, 0], 1) / 16, words[:, 1], words[:, 2], words[:, 0] == 0]
     )
-    first = np.cumsum(counts) - counts
-    before, after = np.zeros_like(own), np.zeros_like(own)
-    before[1:], after[:-1] = own[:-1], own[1:]
-    before[first], after[first + counts - 1] = 0, 0
-    opens, closes = np.zeros(len(lines)), np.zeros(len(lines))
-    opens[first], closes[first + counts - 1] = 1, 1
-    return np.column_stack([own, before, after, opens, closes, np.ones(len(lines))]), lengths, counts
+
+
+def split_lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """All lines of the texts, and the number of each text's."""
+    split = [text.split(b"\n") for text in texts]
+    return [line for own in split for line in own], np.array([len(own) for own in split], np.int64)
+
+
+def line_features(lines: list[bytes], counts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For LINES lines at a time: the first one, and their features with those of both neighbours in the same text."""
+    first = np.zeros(len(lines) + 1, bool)
+    first[np.cumsum(counts) - counts] = True
+    first[-1] = True
+    for at in range(0, len(lines), LINES):
+        end = min(at + LINES, len(lines))
+        low, high = max(0, at - 1), min(len(lines), end + 1)
+        around = own_features(lines[low:high])
+        own, opens, closes = around[at - low : end - low], first[at:end], first[at + 1 : end + 1]
+        before, after = np.zeros_like(own), np.zeros_like(own)
+        before[low - at + 1 if low == at else 0 :] = around[: end - low - 1]
+        after[: high - at - 1] = around[at - low + 1 :]
+        before[opens], after[closes] = 0, 0
+        yield at, np.column_stack([own, before, after, opens, closes, np.ones(end - at)])
 
 
 def _steps(counts: np.ndarray):
@@ -75,8 +88,8 @@ def _steps(counts: np.ndarray):
     return starts, alive
 
 
-def marginals(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward over all texts at once: P(good) of each line, pair marginals of each step, each text's log Z.
+def marginals(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Forward-backward over all texts at once: P(good) of each line and, if asked for, pair marginals of each step.
 
     scores: [line, 2]; moves: [2, 2], from bad or good to bad or good. Everything is in logarithms.
     """
@@ -97,11 +110,13 @@ def marginals(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tupl
     z = np.logaddexp(ahead[last, 0], ahead[last, 1])
     whole = np.repeat(z, counts)
     good = np.exp(np.clip(ahead[:, 1] + back[:, 1] - whole, -700, 0))
+    if not with_pairs:
+        return good, None
     inner = np.ones(len(scores), bool)
     inner[last] = False
     at = np.flatnonzero(inner)
     pairs = np.exp(np.clip(ahead[at][:, :, None] + moves[None] + (scores[at + 1] + back[at + 1])[:, None, :] - whole[at][:, None, None], -700, 0))
-    return good, pairs, z
+    return good, pairs
 
 
 class LineField:
@@ -112,20 +127,21 @@ class LineField:
 
     def means(self, texts: list[bytes]) -> np.ndarray:
         """Each text's share of good characters: its lines' marginals, weighted with their lengths."""
-        features, lengths, counts = line_features(texts)
-        scores = np.zeros((len(features), 2))
-        scores[:, 1] = features @ self.weights
-        good, _, _ = marginals(scores, counts, self.moves)
-        first, heavy = np.cumsum(counts) - counts, lengths + 1e-6
+        lines, counts = split_lines(texts)
+        scores = np.zeros((len(lines), 2))
+        for at, features in line_features(lines, counts):
+            scores[at : at + len(features), 1] = features @ self.weights
+        good, _ = marginals(scores, counts, self.moves, False)
+        first, heavy = np.cumsum(counts) - counts, np.fromiter(map(len, lines), np.int64, len(lines)) + 1e-6
         return np.add.reduceat(good * heavy, first) / np.add.reduceat(heavy, first)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """Scores of texts, worked off in groups of about LINES lines."""
+        """Scores of texts, worked off in groups of about 2 * LINES lines; of a longer text only the scores of its lines are held."""
         out, group, held = [], [], 0
         for text in texts:
             group.append(text)
             held += text.count(b"\n") + 1
-            if held >= LINES:
+            if held >= 2 * LINES:
                 out.append(self.means(group))
                 group, held = [], 0
         if group:
@@ -142,7 +158,8 @@ def fit_field(texts: list[bytes], labels: np.ndarray, rounds: int = FIT_ROUNDS)
     """
     if not len(texts) or len(set(labels.tolist())) < 2:
         return LineField(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, 2.0 if len(labels) and labels[0] else (-2.0 if len(labels) else 0.0))
-    features, _, counts = line_features(texts)
+    lines, counts = split_lines(texts)
+    features = np.concatenate([f for _, f in line_features(lines, counts)])
     doc = np.repeat(np.arange(len(texts)), counts)
     y = labels[doc].astype(float)
     last = np.cumsum(counts) - 1
@@ -155,7 +172,7 @@ def fit_field(texts: list[bytes], labels: np.ndarray, rounds: int = FIT_ROUNDS)
     for step in range(1, rounds + 1):
         scores = np.zeros((len(y), 2))
         scores[:, 1] = features @ theta[:FEATURES]
-        good, pairs, _ = marginals(scores, counts, theta[FEATURES:].reshape(2, 2))
+        good, pairs = marginals(scores, counts, theta[FEATURES:].reshape(2, 2))
         if step == rounds // 2:
             worst = np.full(len(texts), np.inf)
             np.minimum.at(worst, doc, good)
@@ -179,7 +196,11 @@ def learn(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> LineF
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(~held_out("doc_id"))
     chosen = hash_sample(known, ["doc_id"], fit_docs, known.count())
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most fit_docs rows
+    sizes = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).join(F.broadcast(chosen), "doc_id")  # at most fit_docs rows
+    sizes = sizes.groupBy("doc_id", "quality").agg(F.sum("size").alias("size"))
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = written(sizes.withColumn("upto", upto).where(F.col("upto") <= FIT_BYTES).select("doc_id", "quality"), "fit")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(fits), "doc_id")  # the same rows, or fewer
     got = rows.select("text", "quality").toPandas()
     return fit_field([bytes(t) if t is not None else b"" for t in got["text"]], got["quality"].to_numpy())
 
