@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quirelake.llm.common import table, written
+from quirelake.llm.common import discard, table, written
 
 #: The template of a turn: HEAD, role, MIDDLE, text, TAIL. Texts and roles hold none of their marks after escaping.
 HEAD, MIDDLE, TAIL = "### ", ": ", "</turn>\n"
@@ -39,10 +41,11 @@ def paths(nodes: DataFrame) -> DataFrame:
     reach = 1
     while not jumps.isEmpty():
         grown = found.join(jumps, "node").select("leaf", F.col("to").alias("node"), (F.col("depth") + reach).alias("depth"))
-        found = written(found.unionByName(grown), "paths")
+        longer = written(found.unionByName(grown), "paths")
         ahead = jumps.select(F.col("node").alias("to"), F.col("to").alias("__to"))
-        jumps = written(jumps.join(ahead, "to").select("node", F.col("__to").alias("to")), "jumps")
-        reach *= 2
+        further = written(jumps.join(ahead, "to").select("node", F.col("__to").alias("to")), "jumps")
+        discard(jumps, *([found] if reach > 1 else []))
+        found, jumps, reach = longer, further, 2 * reach
     scored = found.join(nodes.select("node", "score"), "node")
     total = scored.groupBy("leaf").agg(F.sum("score").alias("score"))
     return scored.drop("score").join(total, "leaf")
@@ -90,9 +93,14 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(parts, turn)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _spans(text: pd.Series, start: pd.Series, length: pd.Series) -> pd.Series:
+    return pd.Series([[t[a : a + n] for a, n in zip(at.tolist(), size.tolist())] for t, at, size in zip(text, start, length)], dtype=object)
+
+
 def read_masked(formatted: Column, mask: Column) -> Column:
-    """The texts under the loss mask, unescaped."""
-    return F.transform(mask, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    """The texts under the loss mask, unescaped. Cut in Python, where a span costs its own length wherever it starts."""
+    return F.transform(_spans(formatted, mask["start"], mask["length"]), unescape)
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
@@ -115,7 +123,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     out = written(format_conversations(rows.unionByName(probe)), "chat")
-    turns, masked = read_turns(F.col("formatted")), F.array_join(read_masked(F.col("formatted"), F.col("mask")), "")
+    out = out.withColumn("masked", F.array_join(read_masked(F.col("formatted"), F.col("mask")), ""))
+    turns, masked = read_turns(F.col("formatted")), F.col("masked")
     return out.select(
         "conv_id",
         F.size(turns).cast("long").alias("n_turns"),

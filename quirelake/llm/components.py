@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import written
+from quirelake.llm.common import discard, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     was = mark(now)
     while True:
-        now = written(_stars(_stars(now, large=True), large=False), "edges")
+        last, now = now, written(_stars(_stars(now, large=True), large=False), "edges")
+        discard(last)
         seen = mark(now)
         if seen == was:
             break

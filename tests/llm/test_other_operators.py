@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,7 +119,8 @@ def test_multi_sequence_takes_pairs_in_order():
 
 @pytest.mark.parametrize("share, least", [(1.0, 1.0), (0.5, 0.9)])
 def test_search_by_brute_force(spark, monkeypatch, share, least):
-    monkeypatch.setattr(multi_index, "LEAST_ENTRIES", 11)
+    monkeypatch.setattr(multi_index, "ENTRY_BLOCK", 20)
+    monkeypatch.setattr(multi_index, "QUERY_BLOCK", 8)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(600, 16)).astype("f4")
     x[100:140] = x[100]
@@ -141,3 +143,21 @@ def test_search_by_brute_force(spark, monkeypatch, share, least):
     monkeypatch.undo()
     few = multi_index.search(vectors.where("id < 4"), vectors.where("id = 0"))
     assert few.count() == 3 and multi_index.search(vectors.where("false"), vectors).count() == 0
+
+
+@pytest.mark.parametrize("n", [500, 20_000])
+def test_recall_through_the_index(spark, n):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype("f4")
+    vectors = multi_index.valid_vectors(spark.createDataFrame(pa.table({"v": np.arange(n), "e": list(x)})), "v", "e")
+    step = n // 25
+    got = multi_index.search(vectors, vectors.where(F.col("id") % step == 0)).toPandas()
+    hits = 0
+    for q in range(0, n, step):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        true = [i for i in np.lexsort((np.arange(n), d)) if i != q][:10]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert len(mine) == 10 and np.allclose(mine.score, d[mine.vec_id], rtol=1e-12)
+        hits += len(set(true) & set(mine.vec_id))
+    assert 0.9 <= hits / 250 < 1  # less than all: not every entry was searched

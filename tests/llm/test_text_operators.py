@@ -505,11 +505,38 @@ def test_marginals_by_enumeration():
     rng = np.random.default_rng(2)
     counts = np.array([3, 1, 5])
     scores, moves = rng.normal(size=(9, 2)), rng.normal(size=(2, 2))
-    good, _, _ = line_crf.marginals(scores, counts, moves)
+    good, pairs = line_crf.marginals(scores, counts, moves)
+    assert pairs.shape == (6, 2, 2) and np.allclose(pairs.sum(axis=(1, 2)), 1)
+    assert (line_crf.marginals(scores, counts, moves, False)[0] == good).all()
     parts = np.split(np.arange(9), np.cumsum(counts)[:-1])
     assert np.allclose(good, np.concatenate([brute_marginal(scores[i], moves) for i in parts]))
 
 
+def test_lines_in_blocks_of_any_size(monkeypatch):
+    texts = [b"", b"One line here\n\nANOTHER! ### 12", b"x\n" * 40, "é à\nlong ".encode() * 9, b"a"]
+    lines, counts = line_crf.split_lines(texts)
+    (_, whole), = line_crf.line_features(lines, counts)
+    own = line_crf.own_features(lines)
+    at = np.cumsum(counts) - counts
+    for i in range(len(lines)):
+        before, after = i not in at, i + 1 < len(lines) and i + 1 not in at
+        expected = [own[i], own[i - 1] if before else own[i] * 0, own[i + 1] if after else own[i] * 0, [not before, not after, 1]]
+        assert np.allclose(whole[i], np.concatenate(expected))
+    for size in (1, 2, 7, len(lines)):
+        monkeypatch.setattr(line_crf, "LINES", size)
+        assert np.array_equal(np.concatenate([f for _, f in line_crf.line_features(lines, counts)]), whole)
+
+
+def test_a_text_of_very_many_lines_is_scored_whole():
+    rng = np.random.default_rng(5)
+    field = line_crf.LineField(rng.normal(size=line_crf.FEATURES) / 9, rng.normal(size=(2, 2)), 3.0, -1.0)
+    some = ["a quiet line", "### !!! |", "", "UPPER 12 12 12"]
+    short = "\n".join(some[i % 4] for i in range(4000)).encode()
+    many = "\n".join(some[i % 4] for i in range(100_000)).encode()
+    a, b = field.score([short, many])
+    assert math.isclose(a, b, rel_tol=1e-3) and 0 < a < 1
+
+
 def test_line_field_on_held_out_labels(spark, edge, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     field = line_crf.learn(docs, labels, fit_docs=600)
