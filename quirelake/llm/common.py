@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +69,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(parts: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts, column number `text`, have about `most` bytes; at least one row each."""
+    for part in parts:
+        sizes = pc.fill_null(pc.binary_length(part.column(text).cast(pa.binary())), 0).to_numpy().astype("i8")
+        held = sizes.cumsum()
+        at = 0
+        while at < len(sizes):
+            before = int(held[at - 1]) if at else 0
+            end = max(at + 1, int(held.searchsorted(before + most, "right")))
+            yield part.slice(at, end - at)
+            at = end
+
+
 def map_texts(
     df: DataFrame,
     carry: Sequence[str],
@@ -77,8 +91,8 @@ def map_texts(
 ) -> DataFrame:
     """One row out per row in: the carried columns and `fields`, which `rows` makes from a batch's UTF-8 texts.
 
-    Texts come as bytes; one that is carried anyway goes to Python once. A batch is worked off as it arrives, so
-    memory is that of one Arrow batch.
+    Texts come as bytes; one that is carried anyway goes to Python once. A batch is worked off as it arrives, some
+    texts at a time, so memory is that of one Arrow batch.
     """
     made = T._parse_datatype_string(fields)
     carried = [df.schema[c] for c in carry]
@@ -88,7 +102,7 @@ def map_texts(
     at = list(carry).index(text) if text in carry else kept
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts, at):
             made_now = [pa.array(c, type=f.type) for c, f in zip(rows(part.column(at).cast(pa.binary()).to_pylist(), part), new_types)]
             fields = [part.schema.field(i) for i in range(kept)] + list(new_types)
             yield pa.RecordBatch.from_arrays([*part.columns[:kept], *made_now], schema=pa.schema(fields))

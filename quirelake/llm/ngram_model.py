@@ -16,16 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import written
+from quirelake.llm.common import slices, written
 
 #: Bits of a code point; stands before and after a text (control characters of a text itself count as blanks).
 WIDTH, EDGE = 21, 1
 ONE, TWO = (1 << WIDTH) - 1, (1 << 2 * WIDTH) - 1
 ORDERS = (1, 2, 3)
 #: UTF-8 bytes of short texts, or positions of a long one, that are taken apart together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Distinct trigrams that a counting task holds before it sends their sums on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Entries of a model that are broadcast together, 12 bytes each. A language with more is scored in several passes.
 SHARD = 1 << 21
 #: Entries of a row of the model's table.
@@ -111,7 +111,7 @@ def count_trigrams(texts: DataFrame) -> DataFrame:
             same = [pa.array([key[0]] * len(h), pa.string()), pa.array(np.full(len(h), key[1], np.int32))]
             return pa.RecordBatch.from_arrays([*same, pa.array(h), pa.array(n)], names=["__lang", "__half", "h", "v"])
 
-        for part in parts:
+        for part in slices(parts, 2):
             bodies = part.column(2).to_pylist()
             for key, rows in by_model(part, 0, 1).items():
                 for found, which, _ in grams([bodies[i] for i in rows]):
