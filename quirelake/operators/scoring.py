@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.functions.text import canonical_number, number_tokens
+from quirelake.functions.text import canonical_number, flatten_parts, json_string, number_tokens
 
 # Fixed values that results depend on.
 TRUSTED = ("machine_verified", "machine_verified_with_visual_check", "machine_reviewed", "human_verified")
@@ -208,3 +208,13 @@ def status_counts(elements: DataFrame, attempts: Column | None = None) -> DataFr
     deferred = F.greatest(F.lit(0), total - F.max("tried")) if attempts is not None else total
     statuses = F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n"))))
     return counts.groupBy("doc_id").agg(statuses.alias("statuses"), total.alias("elements"), deferred.alias("deferred"))
+
+
+def content_text(elements: DataFrame) -> Column:
+    """What an element is scored by: of a human-verified one the canonical structure alone, else all that was read; never ids or page numbers.
+
+    `elements` has status, canonical_structure, raw_text, candidate and visual_review, all but raw_text as JSON texts.
+    """
+    read = flatten_parts(json_string(F.col("raw_text")), F.col("candidate"), F.col("visual_review"))
+    verified = (F.col("status") == "human_verified") & F.col("canonical_structure").isNotNull()
+    return F.when(verified, flatten_parts(F.when(verified, F.col("canonical_structure")))).otherwise(read)

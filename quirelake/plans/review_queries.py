@@ -152,14 +152,15 @@ def v9_human_reviews(spark, sf_dir):
         F.concat(F.lit("h"), (k % 50).cast("string")).alias("sidecar_sha256"),
         F.when(k % 10 == 0, 2).otherwise(1).alias("n_elements"),
         F.lit(0).alias("missing_files"),
-        F.when(k % 11 == 0, "other").otherwise(F.concat(F.lit("h"), (k % 50).cast("string"))).alias("source_sha256"),
+        F.when(k % 11 == 0, "other").when(k % 13 != 0, F.concat(F.lit("h"), (k % 50).cast("string"))).alias("source_sha256"),
+        (k % 12 == 0).cast("int").alias("missing_fields"),
     )
     return rows.select("doc_id", F.array_join(validation.human_review_violations(rows), ",").alias("violations"))
 
 
 V9_SQL = """
-SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 4 = 0 THEN 'decision' END, CASE WHEN doc_id % 5 = 0 THEN 'reviewer_type' END, CASE WHEN doc_id % 7 = 0 THEN 'reviewer_name' END, CASE WHEN doc_id % 10 = 0 THEN 'element_id' END,
-       CASE WHEN doc_id % 4 >= 2 AND doc_id % 6 = 0 THEN 'corrected_structure' END, CASE WHEN doc_id % 9 = 0 THEN 'reviewed_at' END, CASE WHEN doc_id % 8 = 0 THEN 'evidence_files' END, CASE WHEN doc_id % 11 = 0 THEN 'source' END) AS violations FROM labels"""
+SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 12 = 0 THEN 'missing_fields' END, CASE WHEN doc_id % 4 = 0 THEN 'decision' END, CASE WHEN doc_id % 5 = 0 THEN 'reviewer_type' END, CASE WHEN doc_id % 7 = 0 THEN 'reviewer_name' END, CASE WHEN doc_id % 10 = 0 THEN 'element_id' END,
+       CASE WHEN doc_id % 4 >= 2 AND doc_id % 6 = 0 THEN 'corrected_structure' END, CASE WHEN doc_id % 9 = 0 THEN 'reviewed_at' END, CASE WHEN doc_id % 8 = 0 THEN 'evidence_files' END, CASE WHEN doc_id % 13 = 0 AND doc_id % 11 <> 0 THEN 'source_missing' END, CASE WHEN doc_id % 11 = 0 THEN 'source' END) AS violations FROM labels"""
 
 
 def v10_context(spark, sf_dir):

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,3 +109,10 @@ def ocr_command(max_pages: int | None, language: str, source: str, target: str)
     """Arguments of the OCR program for a file."""
     pages = [] if max_pages is None else ["--pages", f"1-{max_pages}"]
     return ["--rotate-pages", "--deskew", "--skip-text", "--jobs", "2", "-l", language, *pages, source, target]
+
+
+def ocr_prefix(setting: Column, has_module: Column, program: Column) -> Column:
+    """How the OCR program is called: the setting's words, else as a module, else the program's path; null where there is none."""
+    own = F.filter(F.split(F.coalesce(setting, F.lit("")), r"\s+"), lambda w: w != "")
+    module = F.array(*map(F.lit, ("python", "-m", "ocrmypdf")))
+    return F.when(F.size(own) > 0, own).when(F.coalesce(has_module, F.lit(False)), module).when(program.isNotNull(), F.array(program))

@@ -107,7 +107,22 @@ def model_rows(spark: SparkSession, config: dict) -> DataFrame:
     return spark.createDataFrame(rows, "name string, model string, max_input_tokens int, max_output_tokens int, temperature double")
 
 
+def typed_models(raw: DataFrame) -> DataFrame:
+    """Model settings given as text (name, model, max_input_tokens, max_output_tokens, temperature), with their types; null for what isn't a number."""
+    numbers = {c: strip(F.col(c)).try_cast(t) for c, t in (("max_input_tokens", "int"), ("max_output_tokens", "int"), ("temperature", "double"))}
+    return raw.withColumns(numbers)
+
+
 def stale_files(files: DataFrame, days: int, now: Column | None = None) -> DataFrame:
     """Paths of files older than so many days, placeholders left out; deleting them is another step."""
     cutoff = (F.current_timestamp() if now is None else now) - F.make_dt_interval(F.lit(days))
     return files.where((F.col("modificationTime") < cutoff) & (_name(F.col("path")) != ".gitkeep")).select("path")
+
+
+def video_info(entries: DataFrame) -> DataFrame:
+    """(video_id, title, url, slug) of single videos (url, webpage_url, id, title)."""
+    blank = F.lit("")
+    video = F.coalesce(F.nullif(F.col("id"), blank), safe_slug(F.col("url"), "video"))
+    title = F.coalesce(F.nullif(F.col("title"), blank), F.nullif(F.col("id"), blank), F.lit("video"))
+    named = entries.select(video.alias("video_id"), title.alias("title"), F.coalesce(F.nullif(F.col("webpage_url"), blank), F.col("url")).alias("url"))
+    return named.withColumn("slug", safe_slug(F.concat("title", F.lit("-"), "video_id"), "video"))

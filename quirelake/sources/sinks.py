@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quirelake.functions.text import strip
+from quirelake.functions.text import safe_slug, strip
 
+# Fixed values that results depend on.
 UNKNOWN = "non précisé"
+REVIEW_INSTRUCTION = "Inspect the exact evidence files, list only visible divergences and ambiguity, and write a separate review JSON. Do not edit the transcription."
 
 
 def single_quoted(value: Column) -> Column:
@@ -126,3 +132,53 @@ def context_pages(elements: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, element_id, page_index): the pages before and after an element that asks for its context, where they exist."""
     wanted = elements.where("include_context").select("doc_id", "element_id", F.explode(F.array(F.col("page_index") - 1, F.col("page_index") + 1)).alias("page_index"))
     return wanted.join(pages.select("doc_id", "page_index"), ["doc_id", "page_index"]).select("doc_id", "element_id", "page_index")
+
+
+@F.pandas_udf(T.StringType())
+def sorted_json(text: pd.Series) -> pd.Series:
+    """A JSON text as it is stored: keys in order, two blanks a level, a line feed at the end."""
+    return text.map(lambda t: json.dumps(json.loads(t), ensure_ascii=False, indent=2, sort_keys=True) + "\n", na_action="ignore")
+
+
+def write_json(rows: DataFrame, path: str, value: str = "value") -> None:
+    """Writes JSON texts, each in its stored form; a file appears only when the job commits."""
+    rows.select(sorted_json(F.col(value))).write.mode("overwrite").option("lineSep", "").text(path)
+
+
+def cached_path(source: Column, folder: str, suffix: str = ".md") -> Column:
+    """Where the text of a source file is kept: in the folder, under the slug of its name."""
+    name = F.regexp_replace(F.substring_index(source, "/", -1), r"\.[^.]*$", "")
+    return F.concat(F.lit(folder.rstrip("/") + "/"), safe_slug(name, "document"), F.lit(suffix))
+
+
+def manifest_documents(items: DataFrame) -> DataFrame:
+    """(playlist_title, manifest) of jobs.upsert() rows: a playlist's rows in their places, as one JSON text to write."""
+    values = [c for c in items.columns if c not in ("playlist_title", "position")]
+    held = F.array_sort(F.collect_list(F.struct("position", F.struct(*values).alias("v"))))
+    grouped = items.groupBy("playlist_title").agg(F.transform(held, lambda x: x["v"]).alias("videos"))
+    return grouped.select("playlist_title", F.to_json(F.struct("playlist_title", "videos"), {"ignoreNullFields": "false"}).alias("manifest"))
+
+
+def usage_lines(events: DataFrame) -> DataFrame:
+    """(value): a JSON line for each usage event."""
+    return events.select(F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def append_usage(events: DataFrame, path: str) -> None:
+    """Adds events to a usage log."""
+    usage_lines(events).write.mode("append").text(path)
+
+
+def fallback_requests(elements: DataFrame) -> DataFrame:
+    """(element_id, request) of (packet, pdf_path, pdf_page_number, element_id, status, fallback_reason) rows: what is handed on to a visual reviewer."""
+    files = {"full_page": "full_page_original.png", "normalized_crop": "element_crop_normalized.png", "ocr": "ocr_text.txt", "candidate": "extraction_candidate.json"}
+    request = F.struct(
+        F.lit("1.0").alias("schema_version"),
+        "element_id",
+        F.col("fallback_reason").alias("reason"),
+        F.col("status").alias("recommended_status"),
+        F.struct(*[F.concat("packet", F.lit(f"/{name}")).alias(key) for key, name in files.items()]).alias("evidence_files"),
+        inspection_command(F.col("pdf_path"), F.col("pdf_page_number"), F.col("element_id")).alias("inspection_command"),
+        F.lit(REVIEW_INSTRUCTION).alias("codex_instruction"),
+    )
+    return elements.where("fallback_reason IS NOT NULL").select("element_id", F.to_json(request).alias("request"))
