@@ -29,6 +29,10 @@ SQL = {
         SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS page_index, o_orderkey,
                CAST(600 AS DOUBLE) AS width, CAST(800 AS DOUBLE) AS height, 0 AS rotation, 'native_pdf_text' AS text_source, CAST(1.0 AS DOUBLE) AS text_confidence
         FROM {orders}""",
+    # and, after its last page, an empty one
+    "layout_all_pages": """
+        SELECT doc_id, page_index, o_orderkey, width, height, rotation, text_source, text_confidence FROM ({layout_pages})
+        UNION ALL SELECT o_custkey, CAST(count(*) AS INT), CAST(NULL AS BIGINT), CAST(600 AS DOUBLE), CAST(800 AS DOUBLE), 0, 'native_pdf_text', CAST(1.0 AS DOUBLE) FROM {orders} GROUP BY o_custkey""",
     "numbered": """
         SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM {lineitem}""",
     # a block for each line item, of nine kinds

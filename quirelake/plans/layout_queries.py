@@ -13,21 +13,18 @@ def _pages(spark, sf_dir):
     blocks = fixture(spark, sf_dir, "layout_blocks")
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ordinal", "text"))), lambda b: b["text"]), "\n")
     held = blocks.groupBy("doc_id", "page_index").agg(texts.alias("page_text"))
-    short = F.when(F.col("page_index") % 6 == 5, F.lit("")).otherwise(F.coalesce("page_text", F.lit("")))
-    pages = fixture(spark, sf_dir, "layout_pages").join(held, ["doc_id", "page_index"], "left").withColumn("page_text", short)
+    pages = fixture(spark, sf_dir, "layout_all_pages").join(held, ["doc_id", "page_index"], "left").withColumn("page_text", F.coalesce("page_text", F.lit("")))
     return pages.withColumn("alerts", F.when(F.col("page_index") % 4 == 1, F.array(F.lit("scan_skew_detected"))).otherwise(F.array().cast("array<string>")))
 
 
 def _blocks(spark, sf_dir):
-    """Blocks of pages that aren't empty, as _pages has it."""
-    return fixture(spark, sf_dir, "layout_blocks").where("page_index % 6 <> 5")
+    return fixture(spark, sf_dir, "layout_blocks")
 
 
 _LAYOUT = f"""
-    pages0 AS ({duck("layout_pages")}), blocks0 AS ({duck("layout_blocks")}),
-    blocks AS (SELECT * FROM blocks0 WHERE page_index % 6 <> 5),
-    pages AS (SELECT p.*, CASE WHEN p.page_index % 6 = 5 THEN '' ELSE coalesce(t, '') END AS page_text FROM pages0 p
-              LEFT JOIN (SELECT doc_id, page_index, string_agg(text, chr(10) ORDER BY block_ordinal) AS t FROM blocks0 GROUP BY ALL) USING (doc_id, page_index)),
+    pages0 AS ({duck("layout_all_pages")}), blocks AS ({duck("layout_blocks")}),
+    pages AS (SELECT p.*, coalesce(t, '') AS page_text FROM pages0 p
+              LEFT JOIN (SELECT doc_id, page_index, string_agg(text, chr(10) ORDER BY block_ordinal) AS t FROM blocks GROUP BY ALL) USING (doc_id, page_index)),
     margin AS (SELECT doc_id, page_index, arg_min(text, (round(v + 0.15 * h, 9), text)) AS printed FROM (
                  SELECT doc_id, page_index, text, least((y0 + y1) / 2 / 800, 1 - (y0 + y1) / 2 / 800) AS v, least((x0 + x1) / 2 / 600, 1 - (x0 + x1) / 2 / 600) AS h
                  FROM blocks WHERE regexp_full_match(trim(text), '[0-9]{{1,4}}')) WHERE v <= 0.16 GROUP BY ALL),

@@ -110,7 +110,7 @@ _BUDGET = f"""
 
 
 def v3_checks(spark, sf_dir):
-    return v3_checks_all(spark, sf_dir).where("l_linenumber <= 3")
+    return v3_checks_all(spark, sf_dir)
 
 
 def v3_checks_all(spark, sf_dir):
@@ -123,7 +123,7 @@ def v3_checks_all(spark, sf_dir):
 
 
 V3_SQL = f"""
-WITH p AS (SELECT DISTINCT * FROM ({duck("products")}) WHERE l_linenumber <= 3),
+WITH p AS (SELECT DISTINCT * FROM ({duck("products")})),
 c AS (SELECT *, l_orderkey % 7 = 0 AND (q * d + 3) % 10 <> 0 AS wrong, l_linenumber = 1 AND l_orderkey % 4 = 0 AS shifted, l_linenumber = 2 AND l_orderkey % 3 <> 0 AS unsure FROM p)
 SELECT l_orderkey, l_linenumber, q, d, concat_ws(',', 'x', CASE WHEN wrong THEN 'arithmetic_check_failed' END, CASE WHEN shifted THEN 'column_shift_risk' END, CASE WHEN unsure THEN 'formula_structure_ambiguous' END) AS alerts,
        CASE WHEN wrong OR shifted THEN 'blocked' ELSE 'needs_visual_review' END AS status FROM c"""
@@ -437,7 +437,7 @@ def o5_source_kind(spark, sf_dir):
 QUERIES = {
     "v1_review_violations": (v1_review_violations, V1_SQL),
     "v2_status_after_review": (v2_status_after_review, f"SELECT k AS event_id, {_STATUS} AS status_after FROM (SELECT event_id AS k FROM events)"),
-    "v3_checks_all": (v3_checks_all, None),
+    "v3_checks_all": (v3_checks_all, V3_SQL),
     "v3_checks": (v3_checks, V3_SQL),
     "v4_failed_products": (v4_failed_products, V4_SQL),
     "v7_review_budget": (v7_review_budget, f"WITH {_BUDGET} SELECT doc_id, ordinal, attempted, circuit_open, calls, status_after, fallback_reason FROM budget"),

@@ -401,7 +401,7 @@ R3_SQL = "SELECT o_custkey, count(*) FILTER (WHERE o_orderpriority[1] IN ('1', '
 
 
 def d14_chosen_elements(spark, sf_dir):
-    pages = fixture(spark, sf_dir, "layout_pages")
+    pages = fixture(spark, sf_dir, "layout_all_pages")
     wanted = F.when(F.col("o_orderkey") % 3 == 0, F.format_string("p%06d-formula-01", F.col("page_index") + 1)).when(F.col("o_orderkey") % 3 == 1, F.lit("p0"))
     return detection.choose_elements(pages.select("doc_id", "page_index", wanted.alias("wanted")), _elements(spark, sf_dir))
 
