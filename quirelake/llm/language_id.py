@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import uuid
-import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -30,20 +29,9 @@ GROUP, CELLS = 4000, 120_000
 START = "▁"
 
 
-def _odd_characters() -> str:
-    """A character class of what \\w takes besides letters, digits and _, and of marks, which it may take or leave."""
-    runs: list[list[int]] = []
-    for c in range(128, 0x110000):
-        kind = unicodedata.category(chr(c))
-        if kind[0] == "M" or kind in ("Nl", "No"):
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
-
-
-_WORDS, _ODD = re.compile(r"[^\W\d_]+"), re.compile(_odd_characters())
+#: Up to U+02FF \w takes letters, digits, _ and these numerals, and there are no marks: there it finds words, if it meets none of
+#: these and nothing from further on.
+_WORDS, _ODD = re.compile(r"[^\W\d_]+"), re.compile("[²³¹¼½¾\u0300-\U0010ffff]")
 
 
 def words_of(text: str) -> list[str]:
