@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.functions.patterns import CUE
-from quirelake.functions.text import inline_text, rstrip, split_lines, strip
+from quirelake.functions.text import inline_text, let, rstrip, split_lines, strip
 
 # Fixed values that results depend on.
 HEADER_LENGTH, HEADER_TIMES = 80, 4
@@ -20,42 +20,49 @@ def is_page_marker(line: Column) -> Column:
     return F.regexp_like(line, F.lit(MARKER))
 
 
-def numbered_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, pos, line, s) of every line: its place, itself without white space at its end, and stripped.
+def _with_lines(docs: DataFrame, text: str) -> DataFrame:
+    """Adds `__lines`, each line without white space at its end and stripped, and `__heads`, the row's running headers.
 
-    Rows are dealt by document once; all windows and groups below keep to that.
+    Headers are short lines that a text repeats often enough; headings, tables and lists never are. In sorted order a
+    line that comes up often enough equals the one so many places before it.
     """
-    source = F.regexp_replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), r"\n{4,}", "\n\n\n")
-    rows = docs.select("doc_id", F.posexplode(split_lines(source)).alias("pos", "__line"))
-    return rows.repartition("doc_id").select("doc_id", "pos", rstrip(F.col("__line")).alias("line"), strip(F.col("__line")).alias("s"))
-
-
-def _is_header(rows: DataFrame) -> DataFrame:
-    """Adds `header`: short lines that a document repeats often enough; headings, tables and lists never are."""
-    short = (F.col("s") != "") & (F.char_length("s") <= HEADER_LENGTH) & ~F.regexp_like("s", F.lit(r"^[#|*\-]"))
-    times = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "s"))
-    return rows.withColumn("header", short & (times >= HEADER_TIMES))
+    unified = F.replace(F.col(f"`{text}`"), F.lit("\r\n"), F.lit("\n"))
+    source = let(unified, lambda t: F.when(F.contains(t, F.lit("\n" * 4)), F.regexp_replace(t, r"\n{4,}", "\n\n\n")).otherwise(t))
+    lines = F.transform(split_lines(source), lambda x: F.struct(rstrip(x).alias("line"), strip(x).alias("s")))
+    staged = docs.withColumn("__lines", lines)
+    short = F.filter("__lines.s", lambda s: (s != "") & (F.char_length(s) <= HEADER_LENGTH) & ~F.regexp_like(s, F.lit(r"^[#|*\-]")))
+    staged = staged.withColumn("__short", F.array_sort(short))
+    n = F.greatest(F.size("__short") - (HEADER_TIMES - 1), F.lit(0))
+    same = F.zip_with(F.slice("__short", F.lit(1), n), F.slice("__short", F.lit(HEADER_TIMES), n), lambda a, b: F.when(a == b, a))
+    return staged.withColumn("__heads", F.array_distinct(F.array_compact(same))).drop("__short")
 
 
 def running_headers(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, header): each document's running headers."""
-    return _is_header(numbered_lines(docs, text)).where("header").select("doc_id", F.col("s").alias("header")).distinct()
+    """(doc_id, header): each text's running headers."""
+    return _with_lines(docs, text).select("doc_id", F.explode("__heads").alias("header")).distinct()
 
 
 def with_clean_markdown(docs: DataFrame, text: str = "text", clean: str = "clean") -> DataFrame:
-    """(doc_id, clean): page texts without running headers, page markers, repeated lines and runs of blank lines.
+    """Adds page texts without running headers, page markers, repeated lines and runs of blank lines.
 
-    A line repeats where its stripped text is that of the last line before it that isn't blank. Documents are told
-    apart by doc_id; one whose text is null has none.
+    A line repeats where its stripped text is that of the last line before it that isn't blank. Every row is worked
+    off by itself, whatever its id; a null text stays null.
     """
-    stay = _is_header(numbered_lines(docs, text)).where(~F.col("header") & ~is_page_marker(F.col("line")))
-    before = F.lag("s").over(Window.partitionBy("doc_id", F.col("s") == "").orderBy("pos"))
-    once = stay.withColumn("__before", before).where((F.col("s") == "") | F.col("__before").isNull() | (F.col("__before") != F.col("s")))
-    held = once.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("__lines"))
-    body = held.select("doc_id", F.regexp_replace(F.array_join("__lines.line", "\n"), r"\n{3,}", "\n\n").alias("__body"))
-    body = body.select("doc_id", strip(F.col("__body")).alias("__body"))
-    tidy = body.select("doc_id", F.when(F.col("__body") == "", F.lit("")).otherwise(F.concat("__body", F.lit("\n"))).alias("__clean"))
-    return docs.join(tidy, "doc_id", "left").withColumn(clean, F.when(F.col(text).isNotNull(), F.coalesce("__clean", F.lit("")))).drop("__clean")
+    rows = _with_lines(docs, text)
+    stay = F.filter("__lines", lambda x: ~is_page_marker(x["line"]) & ~F.array_contains("__heads", x["s"]))
+    rows = rows.withColumn("__stay", F.when(F.size("__heads") == 0, F.filter("__lines", lambda x: ~is_page_marker(x["line"]))).otherwise(stay))
+    full = F.filter(F.transform("__stay", lambda x, i: F.struct(i.alias("i"), x["s"].alias("s"))), lambda x: x["s"] != "")
+    rows = rows.withColumn("__full", full)
+    after = F.slice("__full", F.lit(2), F.greatest(F.size("__full") - 1, F.lit(0)))
+    before = F.slice("__full", F.lit(1), F.greatest(F.size("__full") - 1, F.lit(0)))
+    again = F.array_compact(F.zip_with(before, after, lambda b, x: F.when(b["s"] == x["s"], x["i"])))
+    rows = rows.withColumn("__again", again)
+    places = F.when(F.size("__stay") > 0, F.array_except(F.sequence(F.lit(0), F.size("__stay") - 1), "__again")).otherwise(F.array().cast("array<int>"))
+    kept = F.when(F.size("__again") == 0, F.col("__stay.line")).otherwise(F.transform(places, lambda i: F.get(F.col("__stay"), i)["line"]))
+    body = strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    rows = rows.withColumn("__body", body)
+    done = F.when(F.col("__body") == "", F.lit("")).otherwise(F.concat("__body", F.lit("\n")))
+    return rows.withColumn(clean, done).drop("__lines", "__heads", "__stay", "__full", "__again", "__body")
 
 
 def with_subtitle_text(docs: DataFrame, text: str = "text", clean: str = "clean") -> DataFrame:
