@@ -62,7 +62,7 @@ def with_clean_markdown(docs: DataFrame, text: str = "text", clean: str = "clean
     body = strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
     rows = rows.withColumn("__body", body)
     done = F.when(F.col("__body") == "", F.lit("")).otherwise(F.concat("__body", F.lit("\n")))
-    return rows.withColumn(clean, done).drop("__lines", "__heads", "__stay", "__full", "__again", "__body")
+    return rows.withColumn(clean, F.when(F.col(f"`{text}`").isNotNull(), done)).drop("__lines", "__heads", "__stay", "__full", "__again", "__body")
 
 
 def with_subtitle_text(docs: DataFrame, text: str = "text", clean: str = "clean") -> DataFrame:

@@ -142,7 +142,7 @@ def sorted_json(text: pd.Series) -> pd.Series:
 
 def write_json(rows: DataFrame, path: str, value: str = "value") -> None:
     """Writes JSON texts, each in its stored form; a file appears only when the job commits."""
-    rows.select(sorted_json(F.col(value))).write.mode("overwrite").option("lineSep", "").text(path)
+    rows.select(F.rtrim(sorted_json(F.col(value)), F.lit("\n"))).write.mode("overwrite").text(path)  # the writer ends each with a line feed
 
 
 def cached_path(source: Column, folder: str, suffix: str = ".md") -> Column:
