@@ -74,7 +74,7 @@ def test_documents_end_to_end(spark):
 
 def test_sinks_write_and_read_again(spark, tmp_path):
     rows = spark.createDataFrame([('{"b":[1,{"z":null,"a":"é"}],"a":1}',)], "value string")
-    sinks.write_json(rows, f"file://{tmp_path}/json")
+    sinks.write_json(rows.coalesce(1), f"file://{tmp_path}/json")
     (path,) = (tmp_path / "json").glob("part-*")
     assert path.read_text() == json.dumps(json.loads(rows.first()[0]), ensure_ascii=False, indent=2, sort_keys=True) + "\n"
     events = spark.createDataFrame([("m", 3, None)], "model string, input_tokens long, error string")
