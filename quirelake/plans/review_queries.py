@@ -291,17 +291,17 @@ def e5_case_statuses(spark, sf_dir):
 
 
 def _regression(spark, sf_dir):
-    nation = _t(spark, sf_dir, "nation")
-    expected = nation.select(F.col("n_name").alias("id"), F.concat(F.lit("d"), (F.col("n_nationkey") % 4).cast("string")).alias("difficulty"))
-    seen = nation.where("n_nationkey % 6 <> 5").select(
+    cases = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("n_name"), F.col("c_custkey").alias("n_nationkey"))
+    expected = cases.select(F.col("n_name").alias("id"), F.concat(F.lit("d"), (F.col("n_nationkey") % 4).cast("string")).alias("difficulty"))
+    seen = cases.where("n_nationkey % 6 <> 5").select(
         F.col("n_nationkey").alias("row_no"),
         F.when(F.col("n_nationkey") % 8 == 7, F.concat("n_name", F.lit("?"))).otherwise(F.col("n_name")).alias("id"),
-        F.concat(F.lit("d"), F.when(F.col("n_nationkey") == 4, 9).otherwise(F.col("n_nationkey") % 4).cast("string")).alias("difficulty"),
-        F.when(F.col("n_nationkey") == 6, "planned").otherwise("covered").alias("status"),
-        F.when(F.col("n_nationkey") == 9, F.array().cast("array<string>")).otherwise(F.array(F.lit("t"))).alias("tests"),
+        F.concat(F.lit("d"), F.when(F.col("n_nationkey") % 24 == 4, 9).otherwise(F.col("n_nationkey") % 4).cast("string")).alias("difficulty"),
+        F.when(F.col("n_nationkey") % 24 == 6, "planned").otherwise("covered").alias("status"),
+        F.when(F.col("n_nationkey") % 24 == 9, F.array().cast("array<string>")).otherwise(F.array(F.lit("t"))).alias("tests"),
         F.when(F.col("n_nationkey") % 3 == 0, F.array(F.lit("r"))).otherwise(F.array().cast("array<string>")).alias("real_annotations"),
     )
-    twice = seen.where("row_no = 2").withColumn("row_no", F.lit(99))
+    twice = seen.where("row_no % 24 = 2").withColumn("row_no", F.col("row_no") + 1_000_000_000)
     return expected, seen.unionByName(twice)
 
 
@@ -315,10 +315,10 @@ def e6_regression_report(spark, sf_dir):
 
 
 _REGRESSION = """
-    n AS (SELECT *, n_nationkey % 6 = 5 AS gone, n_nationkey % 8 = 7 AS odd FROM nation),
+    n AS (SELECT *, n_nationkey % 6 = 5 AS gone, n_nationkey % 8 = 7 AS odd FROM (SELECT c_name AS n_name, c_custkey AS n_nationkey FROM customer)),
     errs AS (SELECT 'missing_case' AS error, n_name AS id FROM n WHERE gone OR odd UNION ALL SELECT 'unexpected_case', n_name || '?' FROM n WHERE odd AND NOT gone
-             UNION ALL SELECT 'difficulty_mismatch', n_name FROM n WHERE n_nationkey = 4 UNION ALL SELECT 'not_covered', n_name FROM n WHERE n_nationkey = 6
-             UNION ALL SELECT 'missing_tests', n_name FROM n WHERE n_nationkey = 9 UNION ALL SELECT 'duplicate_case', n_name FROM n WHERE n_nationkey = 2)"""
+             UNION ALL SELECT 'difficulty_mismatch', n_name FROM n WHERE n_nationkey % 24 = 4 UNION ALL SELECT 'not_covered', n_name FROM n WHERE n_nationkey % 24 = 6
+             UNION ALL SELECT 'missing_tests', n_name FROM n WHERE n_nationkey % 24 = 9 UNION ALL SELECT 'duplicate_case', n_name FROM n WHERE n_nationkey % 24 = 2)"""
 
 
 def e7_status_counts(spark, sf_dir):
@@ -473,8 +473,8 @@ QUERIES = {
     "e6_regression_errors": (e6_regression_errors, f"WITH {_REGRESSION} SELECT error, id FROM errs"),
     "e6_regression_report": (
         e6_regression_report,
-        f"""WITH {_REGRESSION}, c AS (SELECT count(*) AS x FROM nation WHERE n_name NOT IN (SELECT id FROM errs)), r AS (SELECT count(*) FILTER (WHERE n_nationkey % 3 = 0 AND NOT gone) AS y FROM n)
-            SELECT 'fail' AS status, 25::BIGINT AS cases_expected, x AS cases_covered, round_even(x / 25, 6) AS synthetic_regression_coverage, y AS real_cases, round_even(y / 25, 6) AS real_source_coverage, (SELECT count(*) FROM errs) AS errors FROM c, r""",
+        f"""WITH {_REGRESSION}, c AS (SELECT count(*) AS x FROM n WHERE n_name NOT IN (SELECT id FROM errs)), r AS (SELECT count(*) FILTER (WHERE n_nationkey % 3 = 0 AND NOT gone) AS y FROM n)
+            SELECT 'fail' AS status, z AS cases_expected, x AS cases_covered, round_even(x / z, 6) AS synthetic_regression_coverage, y AS real_cases, round_even(y / z, 6) AS real_source_coverage, (SELECT count(*) FROM errs) AS errors FROM c, r, (SELECT count(*) AS z FROM n)""",
     ),
     "e7_status_counts": (e7_status_counts, "SELECT user_id AS doc_id, count(*) FILTER (WHERE event_id % 17 = 0) AS blocked, count(*) AS elements, count(*) AS deferred FROM events GROUP BY 1"),
     "r1_apply_reviews": (r1_apply_reviews, R1_SQL),
