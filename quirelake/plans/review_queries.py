@@ -22,16 +22,25 @@ V4_SQL = f"""
 WITH p AS ({duck("products")}) SELECT l_orderkey, sum((l_orderkey % 7 = 0 AND (q * d + 3) % 10 <> 0)::INT)::BIGINT AS failed FROM p GROUP BY 1"""
 
 
+def _key():
+    """What decides about an event: its value in hundredths and the number in its JSON."""
+    return F.round(F.col("value") * 100).cast("long") * 100 + F.get_json_object("props", "$.k").cast("long")
+
+
+_KEYED = "(SELECT *, round(value * 100)::BIGINT * 100 + (props->>'k')::BIGINT AS k FROM events)"
+
+
 def _reviewed(spark, sf_dir):
     """An element and its review for each event."""
-    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    k = F.col("event_id")
+    e = _t(spark, sf_dir, "events").withColumn("k", _key())
+    k = F.col("k")
     kind = F.element_at(F.array(*map(F.lit, ("table", "formula", "figure", "chart", "payoff_diagram"))), (k % 5 + 1).cast("int"))
     none = F.array().cast("array<string>")
     said = F.struct(F.when(k % 13 == 0, F.lit("Column 2")).otherwise(F.lit("cell")).alias("location"), F.lit("1,5").alias("ocr_value"), F.when(k % 11 == 0, F.lit("-1.5")).otherwise(F.lit("1.5")).alias("preferred_candidate"))
     return e.select(
         "event_id",
         "user_id",
+        "k",
         kind.alias("element_type"),
         F.when(k % 17 == 0, "blocked").otherwise("needs_visual_review").alias("status"),
         F.when(k % 19 == 0, F.array(F.lit("scan_skew_detected"))).otherwise(none).alias("alerts"),
@@ -61,8 +70,8 @@ def v2_status_after_review(spark, sf_dir):
 
 
 def v1_review_violations(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events").select("event_id")
-    k = F.col("event_id")
+    rows = _t(spark, sf_dir, "events").withColumn("k", _key())
+    k = F.col("k")
     odd = [
         (k % 7 == 1, '"media_readable":true', '"media_readable":"yes"'),
         (k % 7 == 2, '"observed_rotation":90', '"observed_rotation":45'),
@@ -81,16 +90,16 @@ def v1_review_violations(spark, sf_dir):
     return rows.select("event_id", F.array_join(found, ",").alias("violations"))
 
 
-V1_SQL = """
-SELECT event_id, concat_ws(',', CASE event_id % 7 WHEN 5 THEN 'missing_keys' END, CASE WHEN event_id % 11 = 0 THEN 'element_id' END,
-       CASE event_id % 7 WHEN 1 THEN 'media_readable' WHEN 2 THEN 'observed_rotation' WHEN 3 THEN 'disagreement' WHEN 4 THEN 'confidence_range' WHEN 5 THEN 'missing_context' WHEN 6 THEN 'observed_type' END) AS violations FROM events"""
+V1_SQL = f"""
+SELECT event_id, concat_ws(',', CASE k % 7 WHEN 5 THEN 'missing_keys' END, CASE WHEN k % 11 = 0 THEN 'element_id' END,
+       CASE k % 7 WHEN 1 THEN 'media_readable' WHEN 2 THEN 'observed_rotation' WHEN 3 THEN 'disagreement' WHEN 4 THEN 'confidence_range' WHEN 5 THEN 'missing_context' WHEN 6 THEN 'observed_type' END) AS violations FROM {_KEYED}"""
 
 
 def _attempts(spark, sf_dir):
     rows = _reviewed(spark, sf_dir)
-    k = F.col("event_id")
+    k = F.col("k")
     error = F.when(k % 301 == 0, F.lit("RESOURCE_EXHAUSTED")).when(k % 10 == 3, F.lit("timeout"))
-    return rows.select(F.col("user_id").alias("doc_id"), k.alias("ordinal"), F.when(k % 5 >= 2, "image_only").otherwise(F.col("status")).alias("status"), error.alias("error"), validation.status_after_review(rows).alias("reviewed_status"), (k % 6 == 0).alias("repaired"))
+    return rows.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ordinal"), F.when(k % 5 >= 2, "image_only").otherwise(F.col("status")).alias("status"), error.alias("error"), validation.status_after_review(rows).alias("reviewed_status"), (k % 6 == 0).alias("repaired"))
 
 
 def v7_review_budget(spark, sf_dir):
@@ -98,12 +107,12 @@ def v7_review_budget(spark, sf_dir):
 
 
 _BUDGET = f"""
-    a AS (SELECT user_id AS doc_id, event_id AS k, CASE WHEN event_id % 301 = 0 THEN 'RESOURCE_EXHAUSTED' WHEN event_id % 10 = 3 THEN 'timeout' END AS error,
-                 CASE WHEN event_id % 5 >= 2 THEN 'image_only' WHEN event_id % 17 = 0 THEN 'blocked' ELSE 'needs_visual_review' END AS status FROM events),
-    b AS (SELECT *, {_STATUS} AS reviewed, row_number() OVER (PARTITION BY doc_id ORDER BY k) <= 40 AS inside FROM a),
-    c AS (SELECT *, coalesce(max((inside AND k % 301 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS circuit_open FROM b),
+    a AS (SELECT user_id AS doc_id, event_id, k, CASE WHEN k % 301 = 0 THEN 'RESOURCE_EXHAUSTED' WHEN k % 10 = 3 THEN 'timeout' END AS error,
+                 CASE WHEN k % 5 >= 2 THEN 'image_only' WHEN k % 17 = 0 THEN 'blocked' ELSE 'needs_visual_review' END AS status FROM {_KEYED}),
+    b AS (SELECT *, {_STATUS} AS reviewed, row_number() OVER (PARTITION BY doc_id ORDER BY event_id) <= 40 AS inside FROM a),
+    c AS (SELECT *, coalesce(max((inside AND k % 301 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS circuit_open FROM b),
     d AS (SELECT *, inside AND NOT circuit_open AS attempted FROM c),
-    budget AS (SELECT doc_id, k AS ordinal, attempted, circuit_open, CASE WHEN NOT attempted THEN 0 WHEN k % 6 = 0 THEN 2 ELSE 1 END AS calls, error,
+    budget AS (SELECT doc_id, event_id AS ordinal, attempted, circuit_open, CASE WHEN NOT attempted THEN 0 WHEN k % 6 = 0 THEN 2 ELSE 1 END AS calls, error,
         CASE WHEN attempted AND error IS NOT NULL THEN 'human_review_required' WHEN attempted THEN reviewed WHEN status = 'image_only' THEN status ELSE 'human_review_required' END AS status_after,
         CASE WHEN attempted AND error IS NOT NULL THEN error WHEN attempted AND reviewed IN ('needs_visual_review', 'human_review_required', 'blocked') THEN 'visual_review_status:' || reviewed
              WHEN NOT attempted AND status <> 'image_only' THEN CASE WHEN circuit_open THEN 'gemini_visual_review_quota_exhausted' ELSE 'gemini_visual_review_budget_exhausted' END END AS fallback_reason FROM d)"""
@@ -138,8 +147,8 @@ def v8_unchanged(spark, sf_dir):
 
 
 def v9_human_reviews(spark, sf_dir):
-    k = F.col("doc_id")
-    rows = _t(spark, sf_dir, "labels").select(
+    k = F.col("n_chars")
+    rows = _t(spark, sf_dir, "documents").select(
         "doc_id",
         F.lit("1.0").alias("schema_version"),
         F.concat(F.lit("r"), k.cast("string")).alias("review_id"),
@@ -159,13 +168,13 @@ def v9_human_reviews(spark, sf_dir):
 
 
 V9_SQL = """
-SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 12 = 0 THEN 'missing_fields' END, CASE WHEN doc_id % 4 = 0 THEN 'decision' END, CASE WHEN doc_id % 5 = 0 THEN 'reviewer_type' END, CASE WHEN doc_id % 7 = 0 THEN 'reviewer_name' END, CASE WHEN doc_id % 10 = 0 THEN 'element_id' END,
-       CASE WHEN doc_id % 4 >= 2 AND doc_id % 6 = 0 THEN 'corrected_structure' END, CASE WHEN doc_id % 9 = 0 THEN 'reviewed_at' END, CASE WHEN doc_id % 8 = 0 THEN 'evidence_files' END, CASE WHEN doc_id % 13 = 0 AND doc_id % 11 <> 0 THEN 'source_missing' END, CASE WHEN doc_id % 11 = 0 THEN 'source' END) AS violations FROM labels"""
+SELECT doc_id, concat_ws(',', CASE WHEN n_chars % 12 = 0 THEN 'missing_fields' END, CASE WHEN n_chars % 4 = 0 THEN 'decision' END, CASE WHEN n_chars % 5 = 0 THEN 'reviewer_type' END, CASE WHEN n_chars % 7 = 0 THEN 'reviewer_name' END, CASE WHEN n_chars % 10 = 0 THEN 'element_id' END,
+       CASE WHEN n_chars % 4 >= 2 AND n_chars % 6 = 0 THEN 'corrected_structure' END, CASE WHEN n_chars % 9 = 0 THEN 'reviewed_at' END, CASE WHEN n_chars % 8 = 0 THEN 'evidence_files' END, CASE WHEN n_chars % 13 = 0 AND n_chars % 11 <> 0 THEN 'source_missing' END, CASE WHEN n_chars % 11 = 0 THEN 'source' END) AS violations FROM documents"""
 
 
 def v10_context(spark, sf_dir):
-    rows = _reviewed(spark, sf_dir).withColumn("alerts", F.when(F.col("event_id") % 6 == 0, F.array(F.lit("figure_caption_on_previous_page"))).otherwise(F.col("alerts")))
-    return rows.groupBy("element_type").agg(F.count_if(validation.needs_neighbours(F.col("alerts"), F.col("event_id") % 50 == 0)).alias("n"))
+    rows = _reviewed(spark, sf_dir).withColumn("alerts", F.when(F.col("k") % 6 == 0, F.array(F.lit("figure_caption_on_previous_page"))).otherwise(F.col("alerts")))
+    return rows.groupBy("element_type").agg(F.count_if(validation.needs_neighbours(F.col("alerts"), F.col("k") % 50 == 0)).alias("n"))
 
 
 def m1_upsert(spark, sf_dir):
@@ -436,7 +445,7 @@ def o5_source_kind(spark, sf_dir):
 
 QUERIES = {
     "v1_review_violations": (v1_review_violations, V1_SQL),
-    "v2_status_after_review": (v2_status_after_review, f"SELECT k AS event_id, {_STATUS} AS status_after FROM (SELECT event_id AS k FROM events)"),
+    "v2_status_after_review": (v2_status_after_review, f"SELECT event_id, {_STATUS} AS status_after FROM {_KEYED}"),
     "v3_checks_all": (v3_checks_all, V3_SQL),
     "v3_checks": (v3_checks, V3_SQL),
     "v4_failed_products": (v4_failed_products, V4_SQL),
@@ -445,7 +454,7 @@ QUERIES = {
     "v9_human_reviews": (v9_human_reviews, V9_SQL),
     "v10_context": (
         v10_context,
-        "SELECT CASE event_id % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'formula' WHEN 2 THEN 'figure' WHEN 3 THEN 'chart' ELSE 'payoff_diagram' END AS element_type, count(*) FILTER (WHERE event_id % 6 = 0 OR event_id % 50 = 0) AS n FROM events GROUP BY 1",
+        f"SELECT CASE k % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'formula' WHEN 2 THEN 'figure' WHEN 3 THEN 'chart' ELSE 'payoff_diagram' END AS element_type, count(*) FILTER (WHERE k % 6 = 0 OR k % 50 = 0) AS n FROM {_KEYED} GROUP BY 1",
     ),
     "m1_upsert": (m1_upsert, f"WITH {_UPSERT} SELECT * FROM m"),
     "m2_still_to_do": (m2_still_to_do, f"WITH {_UPSERT} SELECT DISTINCT url FROM u WHERE url NOT IN (SELECT url FROM m WHERE status = 'done')"),
@@ -476,7 +485,7 @@ QUERIES = {
         f"""WITH {_REGRESSION}, c AS (SELECT count(*) AS x FROM n WHERE n_name NOT IN (SELECT id FROM errs)), r AS (SELECT count(*) FILTER (WHERE n_nationkey % 3 = 0 AND NOT gone) AS y FROM n)
             SELECT 'fail' AS status, z AS cases_expected, x AS cases_covered, round_even(x / z, 6) AS synthetic_regression_coverage, y AS real_cases, round_even(y / z, 6) AS real_source_coverage, (SELECT count(*) FROM errs) AS errors FROM c, r, (SELECT count(*) AS z FROM n)""",
     ),
-    "e7_status_counts": (e7_status_counts, "SELECT user_id AS doc_id, count(*) FILTER (WHERE event_id % 17 = 0) AS blocked, count(*) AS elements, count(*) AS deferred FROM events GROUP BY 1"),
+    "e7_status_counts": (e7_status_counts, f"SELECT user_id AS doc_id, count(*) FILTER (WHERE k % 17 = 0) AS blocked, count(*) AS elements, count(*) AS deferred FROM {_KEYED} GROUP BY 1"),
     "r1_apply_reviews": (r1_apply_reviews, R1_SQL),
     "k3_front_matter": (k3_front_matter, K3_SQL),
     "k4_export_lines": (k4_export_lines, "SELECT conv_id, turn, md5('a' || chr(10) || text || chr(10) || 'end') AS text_md5 FROM conversations"),
