@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,9 +52,40 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    if _open():
+        _open()[-1].append(out)
     return out
 
 
+_local = threading.local()
+
+
+def _open() -> list[list[DataFrame]]:
+    """What each scratch() that this thread is in holds."""
+    if not hasattr(_local, "scratch"):
+        _local.scratch = []
+    return _local.scratch
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what written() makes inside once it is left; all but the tables that are given to the function it yields."""
+    held: list[DataFrame] = []
+    _open().append(held)
+
+    def keep(df: DataFrame) -> DataFrame:
+        held[:] = [t for t in held if t is not df]
+        if len(_open()) > 1:
+            _open()[-2].append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open().pop()
+        discard(*held)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for df in tables:

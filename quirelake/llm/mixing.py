@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import WORD, running_total, table, written
+from quirelake.llm.common import WORD, running_total, scratch, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -60,19 +60,21 @@ def mix_plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     the rest of the target is met to within half a row: those below `cut`, and `some` of those at `cut`. Rows of one
     place (__h) are alike; they are one unit of the running totals, which no task makes alone. Rows of size 0 are in no unit.
     """
-    units = sized.groupBy("source", "__h").agg(F.sum("size").alias("__words"), F.max("size").alias("__each"))
-    units = written(running_total(units, [F.col("source").asc_nulls_last(), F.col("__h")], "__words", "__at"), "units")
-    sources = units.groupBy("source").agg(F.sum("__words").alias("source_size"), F.min("__at").alias("__begin"))
-    targets = water_fill(source_weights(written(sources, "sources"), weights), share, max_epochs)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = targets.withColumn("whole", epochs).withColumn("__need", F.col("target") - F.col("whole") * F.col("source_size"))
-    named = targets.withColumnRenamed("source", "__s")
-    before = F.col("__at") - F.col("__begin")
-    last = units.where("__words > 0").join(named, F.col("source").eqNullSafe(F.col("__s"))).where((before <= F.col("__need")) & (before + F.col("__words") > F.col("__need")))
-    some = F.ceil((F.col("__need") - before) / F.col("__each") - 0.5).cast("long")
-    cut = last.groupBy("__s").agg(F.min(F.struct("__h", some.alias("some"))).alias("__cut"))
-    found = targets.join(cut, F.col("source").eqNullSafe(F.col("__s")), "left")
-    return found.select("source", "source_size", "target", "whole", F.col("__cut.__h").alias("cut"), F.coalesce("__cut.some", F.lit(0)).alias("some"))
+    with scratch() as keep:
+        units = sized.groupBy("source", "__h").agg(F.sum("size").alias("__words"), F.max("size").alias("__each"))
+        units = written(running_total(units, [F.col("source").asc_nulls_last(), F.col("__h")], "__words", "__at"), "units")
+        sources = units.groupBy("source").agg(F.sum("__words").alias("source_size"), F.min("__at").alias("__begin"))
+        targets = water_fill(source_weights(written(sources, "sources"), weights), share, max_epochs)
+        epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+        targets = targets.withColumn("whole", epochs).withColumn("__need", F.col("target") - F.col("whole") * F.col("source_size"))
+        named = targets.withColumnRenamed("source", "__s")
+        before = F.col("__at") - F.col("__begin")
+        last = units.where("__words > 0").join(named, F.col("source").eqNullSafe(F.col("__s"))).where((before <= F.col("__need")) & (before + F.col("__words") > F.col("__need")))
+        some = F.ceil((F.col("__need") - before) / F.col("__each") - 0.5).cast("long")
+        cut = last.groupBy("__s").agg(F.min(F.struct("__h", some.alias("some"))).alias("__cut"))
+        found = targets.join(cut, F.col("source").eqNullSafe(F.col("__s")), "left")
+        plan = found.select("source", "source_size", "target", "whole", F.col("__cut.__h").alias("cut"), F.coalesce("__cut.some", F.lit(0)).alias("some"))
+        return keep(written(plan, "plan"))
 
 
 def take(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def take(sized: DataFrame, plan: DataFrame) -> DataFrame:
     What a row is due follows from its place and its source's line of the plan. Of rows that are alike and at the cut
     some are taken and others not: they are numbered by a running total of their own.
     """
-    named = written(plan.withColumnRenamed("source", "__s"), "plan")
+    named = plan.withColumnRenamed("source", "__s")
     known = sized.join(named, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     at_cut = F.coalesce(F.col("__h") == F.col("cut"), F.lit(False)) & (F.col("size") > 0)
     extra = F.when(F.col("cut").isNull() | (F.col("__h") >= F.col("cut")), F.lit(0)).otherwise(F.lit(1)).cast("long")

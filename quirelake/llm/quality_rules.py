@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm import ngram_model
-from quirelake.llm.common import map_texts, table, written
+from quirelake.llm.common import map_texts, scratch, table, written
 
 MIN_WORDS = 50
 #: A document fails when more than so many percent of its words lie in repeated 3-word windows.
@@ -132,16 +132,15 @@ def quality_rules(
         F.coalesce(F.md5(raw), F.lit("")).alias("__key"),
     ]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], *apart, *marks)
-    counted = ngram_model.count_trigrams(docs.select(*marks[:2], raw.alias("__bytes")))
-    model, sizes = ngram_model.write_model(ngram_model.model_entries(counted), slice_entries)
     keys = [*named.values(), "__lang", "__half", "__key"]
-    if not sizes:
-        sizes = {"": 0}
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     bits = [(-F.col(f"__s{k}") / F.col("__n")).alias(f"bits{k}") for k in ngram_model.ORDERS]
     base = [c.split()[0] for c in BASE.split(", ")]
-    scored = _scores(rows, keys, text, model, sizes, shard).select(*keys, *base, failed.alias("base_failed"), *bits)
-    scored = written(scored, "scored")
+    with scratch() as keep:
+        counted = ngram_model.count_trigrams(docs.select(*marks[:2], raw.alias("__bytes")))
+        model, sizes = ngram_model.write_model(ngram_model.model_entries(counted), slice_entries)
+        scored = _scores(rows, keys, text, model, sizes or {"": 0}, shard).select(*keys, *base, failed.alias("base_failed"), *bits)
+        scored = keep(written(scored, "scored"))
 
     bounds, inside = [], F.lit(True)
     for k, (below, above) in zip(ngram_model.ORDERS, BANDS):

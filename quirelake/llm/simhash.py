@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import map_texts, table, written
+from quirelake.llm.common import map_texts, scratch, table, written
 from quirelake.llm.components import components
 
 SHINGLE = 3
@@ -165,10 +165,12 @@ def classes(docs: DataFrame, carry: list[str], text_col: str, block: int = BLOCK
 
     Equal fingerprints are one node however many rows carry them. Other columns aren't read.
     """
-    prints = written(fingerprints(docs, carry, text_col), "prints")
-    nodes = written(prints.select("fp").distinct(), "nodes")
-    roots = components(links(nodes, block), "a", "b")
-    return prints, written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+    with scratch() as keep:
+        prints = keep(written(fingerprints(docs, carry, text_col), "prints"))
+        nodes = written(prints.select("fp").distinct(), "nodes")
+        roots = components(links(nodes, block), "a", "b")
+        rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+        return prints, keep(written(rooted, "rooted"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

@@ -1,14 +1,28 @@
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.llm import chat, multi_index, warc
+from quirelake.llm import chat, common, multi_index, warc
 from quirelake.llm.common import fresh_dir
 
 
+def test_scratch_tables_go(spark):
+    def there(df):
+        return os.path.exists(df.written_at.removeprefix("file:").replace("///", "/").replace("//", "/"))
+
+    with common.scratch() as keep_all:
+        with common.scratch() as keep:
+            a, b = (common.written(spark.range(3), "t") for _ in range(2))
+            keep(b)
+        assert not there(a) and there(b)
+        c = keep_all(common.written(b, "t"))
+    assert not there(b) and there(c) and c.count() == 3
+
+
 def raw_headers(folder):
     """The headers of all records in a folder's bundles, read frame after frame by another library call."""
     import glob
