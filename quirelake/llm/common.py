@@ -115,17 +115,35 @@ def slices(parts: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> I
             at = end
 
 
+_held: dict[str, object] = {}
+
+
+def worker_cache(key: str, make: Callable[[], object]):
+    """What a Python worker keeps from task to task, made once: one thing at a time."""
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go(but: str | None = None) -> None:
+    """Workers are used again by other operators; what those before have kept goes."""
+    for key in [k for k in _held if k != but]:
+        del _held[key]
+
+
 def map_texts(
     df: DataFrame,
     carry: Sequence[str],
     text: str,
     fields: str,
     rows: Callable[[list[bytes | None], pa.RecordBatch], Sequence],
+    cache: str | None = None,
 ) -> DataFrame:
     """One row out per row in: the carried columns and `fields`, which `rows` makes from a batch's UTF-8 texts.
 
     Texts come as bytes; one that is carried anyway goes to Python once. A batch is worked off as it arrives, some
-    texts at a time, so memory is that of one Arrow batch.
+    texts at a time, so memory is that of one Arrow batch. `cache` is the key of the worker_cache() that `rows` uses.
     """
     made = T._parse_datatype_string(fields)
     carried = [df.schema[c] for c in carry]
@@ -135,6 +153,7 @@ def map_texts(
     at = list(carry).index(text) if text in carry else kept
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(cache)
         for part in slices(parts, at):
             made_now = [pa.array(c, type=f.type) for c, f in zip(rows(part.column(at).cast(pa.binary()).to_pylist(), part), new_types)]
             fields = [part.schema.field(i) for i in range(kept)] + list(new_types)

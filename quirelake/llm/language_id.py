@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import map_texts, table, written
+from quirelake.llm.common import map_texts, table, worker_cache, written
 
 #: Documents of each language, the first by the hash of their ids, that the piece probabilities are fitted on.
 FIT_DOCS = 400
@@ -218,9 +218,6 @@ class Identifier:
         return out
 
 
-_identifiers: dict[str, Identifier] = {}
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -270,17 +267,15 @@ def identify(docs: DataFrame, languages: list[str], p: np.ndarray, carry: list[s
     def rows(texts: list[bytes | None], _: pa.RecordBatch) -> list:
         if not languages:
             return [["und"] * len(texts), [0.0] * len(texts)]
-        if key not in _identifiers:
-            _identifiers.clear()
-            _identifiers[key] = Identifier(vocabulary_path, p)
-        logs = _identifiers[key]([(t or b"").decode("utf-8", "replace") for t in texts])
+        identifier = worker_cache(key, lambda: Identifier(vocabulary_path, p))
+        logs = identifier([(t or b"").decode("utf-8", "replace") for t in texts])
         none = np.isnan(logs[:, 0])
         logs[none] = 0
         best = logs.argmax(axis=1)
         share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
         return [["und" if n else languages[b] for n, b in zip(none, best)], np.where(none, 0.0, share)]
 
-    return map_texts(docs, carry, text_col, "lang_pred string, score double", rows)
+    return map_texts(docs, carry, text_col, "lang_pred string, score double", rows, key)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import slices, written
+from quirelake.llm.common import let_go, slices, written
 
 #: Bits of a code point; stands before and after a text (control characters of a text itself count as blanks).
 WIDTH, EDGE = 21, 1
@@ -111,6 +111,7 @@ def count_trigrams(texts: DataFrame) -> DataFrame:
             same = [pa.array([key[0]] * len(h), pa.string()), pa.array(np.full(len(h), key[1], np.int32))]
             return pa.RecordBatch.from_arrays([*same, pa.array(h), pa.array(n)], names=["__lang", "__half", "h", "v"])
 
+        let_go()
         for part in slices(parts, 2):
             bodies = part.column(2).to_pylist()
             for key, rows in by_model(part, 0, 1).items():

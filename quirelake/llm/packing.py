@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import map_texts, running_total, table, written
+from quirelake.llm.common import map_texts, running_total, table, worker_cache, written
 
 SEQUENCE = 1024
 #: A window of the deficit round-robin, in tokens: each holds the sources in their target proportions.
@@ -110,14 +110,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder a Python worker and tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return worker_cache(f"encoder {path}", lambda: Encoder(path))
 
 
 def default_tokenizer() -> str:
@@ -135,7 +130,7 @@ def encode_documents(docs: DataFrame, carry: list[str], text_col: str, tokenizer
         width = np.dtype(encode.type).itemsize
         return [ids, [len(x) // width for x in ids]]
 
-    return map_texts(docs, carry, text_col, "ids binary, doc_tokens long", rows)
+    return map_texts(docs, carry, text_col, "ids binary, doc_tokens long", rows, f"encoder {tokenizer}")
 
 
 def plan_pieces(rows: DataFrame, weights: DataFrame | None = None, sequence: int = SEQUENCE, window: int = WINDOW, seed: int = SEED) -> DataFrame:
