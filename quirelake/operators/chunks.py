@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.functions.text import count_tokens, split_lines, strip
+from quirelake.functions.text import count_tokens, let, split_lines, strip
 
-CHUNK = "struct<done:array<string>,held:string,n:int>"
+#: Costs that a fold takes in one block.
+BLOCK = 512
 
 # Fixed values that results depend on: providers in the order they are looked for, those that can be named, and
 # keys that stand for none.
@@ -24,46 +25,77 @@ def sections(text: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
-def _pack(parts: Column, limit: Column, size) -> Column:
-    """Joins neighbours by a blank line while `size(held, next)` stays within the limit."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("n")).cast(CHUNK)
+def _cuts(costs: Column, begin: Column, step) -> Column:
+    """Places at which `step(state, cost)` begins anew, of a fold over an array of numbers; begin and step give whole numbers.
 
-    def step(state: Column, part: Column) -> Column:
-        total = size(state, part)
-        full = state["held"].isNotNull() & (total > limit)
-        return F.struct(
-            F.when(full, F.array_append(state["done"], state["held"])).otherwise(state["done"]).alias("done"),
-            F.when(full | state["held"].isNull(), part).otherwise(F.concat(state["held"], F.lit("\n\n"), part)).alias("held"),
-            F.when(full | state["held"].isNull(), count_tokens(part)).otherwise(total).cast("int").alias("n"),
-        ).cast(CHUNK)
+    step gives (begins, state after). A place is appended to the cuts of its block of some hundred costs, and a block's
+    cuts to those before as one value, so no long array is copied for each cost.
+    """
+    inner, outer = "struct<cuts:array<int>,n:bigint>", "struct<blocks:array<array<int>>,n:bigint>"
+    none = F.array().cast("array<int>")
+
+    def one(state: Column, x: Column) -> Column:
+        def moved(both: Column) -> Column:
+            cuts = F.when(both["begins"], F.array_append(state["cuts"], x["i"])).otherwise(state["cuts"])
+            return F.struct(cuts.alias("cuts"), both["n"].cast("bigint").alias("n")).cast(inner)
+
+        begins, after = step(state["n"], x["cost"])
+        return let(F.struct(F.coalesce(begins, F.lit(False)).alias("begins"), after.alias("n")), moved)
+
+    def block(placed: Column) -> Column:
+        def more(state: Column, b: Column) -> Column:
+            part = F.slice(placed, b * BLOCK + 1, F.lit(BLOCK))
+            done = F.aggregate(part, F.struct(none.alias("cuts"), state["n"].alias("n")).cast(inner), one)
+            return let(done, lambda d: F.struct(F.array_append(state["blocks"], d["cuts"]).alias("blocks"), d["n"].alias("n")).cast(outer))
 
-    return F.aggregate(parts, start, step, lambda s: F.when(s["held"].isNotNull(), F.array_append(s["done"], s["held"])).otherwise(s["done"]))
+        start = F.struct(F.array().cast("array<array<int>>").alias("blocks"), begin.cast("bigint").alias("n")).cast(outer)
+        blocks = F.sequence(F.lit(0), F.floor((F.size(placed) - 1) / BLOCK).cast("int"))
+        return F.when(F.size(placed) == 0, none).otherwise(F.aggregate(blocks, start, more, lambda s: F.flatten(s["blocks"])))
+
+    return let(F.transform(costs, lambda c, i: F.struct(i.alias("i"), c.alias("cost"))), block)
+
+
+def _joined(parts: Column, cuts: Column, at: Column, j: Column) -> Column:
+    """The parts from a cut up to the next, a blank line between them."""
+    end = F.coalesce(F.get(cuts, j + 1), F.size(parts))
+    return F.array_join(F.slice(parts, at + 1, end - at), "\n\n")
 
 
 def split_long_section(section: Column, limit: Column) -> Column:
     """Paragraphs of a section joined while the joined text stays within the limit; one that is too long stays whole."""
     paragraphs = F.filter(F.transform(F.split(section, "\n\n"), strip), lambda p: p != "")
-    return _pack(paragraphs, limit, lambda s, p: count_tokens(strip(F.concat(s["held"], F.lit("\n\n"), p))))
+
+    def step(held: Column, chars: Column) -> tuple[Column, Column]:
+        joined = held + 2 + chars
+        begins = (held < 0) | (F.greatest(F.lit(1), F.floor(joined / 4)) > limit)
+        return begins, F.when(begins, chars).otherwise(joined)
+
+    def packed(parts: Column) -> Column:
+        cuts = _cuts(F.transform(parts, F.char_length), F.lit(-1), step)
+        return let(cuts, lambda places: F.transform(places, lambda at, j: _joined(parts, places, at, j)))
+
+    return let(paragraphs, packed)
 
 
 def chunk_texts(text: Column, limit: int) -> Column:
     """Chunks of whole sections by the sum of their tokens; a section over the limit is split and joins nothing."""
     most = F.lit(limit)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("n")).cast(CHUNK)
-
-    def step(state: Column, part: Column) -> Column:
-        own = count_tokens(part)
-        long = own > most
-        flush = state["held"].isNotNull() & ((state["n"] + own > most) | long)
-        done = F.when(flush, F.array_append(state["done"], strip(state["held"]))).otherwise(state["done"])
-        joined = F.when(flush | state["held"].isNull(), part).otherwise(F.concat(state["held"], F.lit("\n\n"), part))
-        return F.struct(
-            F.when(long, F.concat(done, split_long_section(part, most))).otherwise(done).alias("done"),
-            F.when(~long, joined).alias("held"),
-            F.when(long, F.lit(0)).otherwise(F.when(flush, own).otherwise(state["n"] + own)).cast("int").alias("n"),
-        ).cast(CHUNK)
-
-    return F.aggregate(sections(text), start, step, lambda s: F.when(s["held"].isNotNull(), F.array_append(s["done"], strip(s["held"]))).otherwise(s["done"]))
+
+    def step(held: Column, own: Column) -> tuple[Column, Column]:
+        begins = (held < 0) | (held + own > most) | (own > most)
+        return begins, F.when(own > most, F.lit(-1)).when(begins, own).otherwise(held + own)
+
+    def packed(parts: Column) -> Column:
+        def chunk(places: Column) -> Column:
+            def one(at: Column, j: Column) -> Column:
+                whole = F.get(parts, at)
+                return F.when(count_tokens(whole) > most, split_long_section(whole, most)).otherwise(F.array(_joined(parts, places, at, j)))
+
+            return F.flatten(F.transform(places, one))
+
+        return let(_cuts(F.transform(parts, count_tokens), F.lit(-1), step), chunk)
+
+    return let(sections(text), packed)
 
 
 def chunked(docs: DataFrame, limit: int, text: str = "text") -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quirelake.functions.text import count_tokens, safe_slug, strip
 from quirelake.operators import chunks, detection, jobs, lines, validation
 from quirelake.sources import sinks
-from quirelake.sources.adapters import call_model
+from quirelake.sources.adapters import call_model, extract_lazily, review_in_order
+from quirelake.sources.staging import staged
 
 Model = Callable[[str, str, str], str]
 
@@ -84,35 +85,43 @@ def run_documents(docs: DataFrame, model: Model, instructions: str, deep_limit:
     """(doc_id, status, transcription, summary, export, error) of (doc_id, title, source_file, markdown) rows, one a document.
 
     `unusable` where the extracted text doesn't do, `summary_unavailable` where a call failed: then the transcription stays,
-    the summary says so and nothing is exported. Otherwise `done`.
+    the summary says so and nothing is exported. Otherwise `done`. Texts are cleaned once, into a staged table that the calls
+    and the transcriptions read.
     """
-    usable = docs.withColumn("usable", F.coalesce(lines.is_usable_markdown(F.col("markdown")), F.lit(False)))
-    clean = lines.with_clean_markdown(usable.where("usable"), "markdown", "clean")
-    summed = summarize_texts(clean.select("doc_id", F.col("clean").alias("text")), model, instructions, deep_limit, chunk_limit)
-    rows = usable.join(clean.select("doc_id", "clean"), "doc_id", "left").join(summed, "doc_id", "left")
-    title, source = F.col("title"), F.col("source_file")
+    fine = F.coalesce(lines.is_usable_markdown(F.col("markdown")), F.lit(False))
+    usable = docs.select("doc_id", "title", "source_file", F.when(fine, F.col("markdown")).alias("markdown"))
+    clean = staged(usable.select("doc_id", "title", "source_file", lines.clean_markdown(F.col("markdown")).alias("clean")), "clean")
+    texts = clean.where("clean IS NOT NULL").select("doc_id", F.col("clean").alias("text"))
+    rows = clean.join(summarize_texts(texts, model, instructions, deep_limit, chunk_limit), "doc_id", "left")
+    title, source, there = F.col("title"), F.col("source_file"), F.col("clean").isNotNull()
     slug = safe_slug(title, "document")
     paths = [F.concat(F.lit("output/pdfs/"), slug, F.lit(end)) for end in (".transcription.md", ".error.json")]
-    good = F.col("usable") & F.col("error").isNull()
+    good = there & F.col("error").isNull()
     note = F.concat(sinks.summary_front_matter(title, source, "pdf"), F.lit("\n"), strip(F.col("answer")), F.lit("\n"))
-    summary = F.when(good, note).when(F.col("usable"), sinks.unavailable_markdown(title, source, *paths))
-    status = F.when(~F.col("usable"), "unusable").when(good, "done").otherwise("summary_unavailable")
-    made = rows.select(
-        "doc_id", status.alias("status"), F.when(F.col("usable"), sinks.transcription_markdown(title, source, F.col("clean"))).alias("transcription"), summary.alias("summary"), "error",
-    )
+    summary = F.when(good, note).when(there, sinks.unavailable_markdown(title, source, *paths))
+    status = F.when(~there, "unusable").when(good, "done").otherwise("summary_unavailable")
+    made = rows.select("doc_id", status.alias("status"), F.when(there, sinks.transcription_markdown(title, source, F.col("clean"))).alias("transcription"), summary.alias("summary"), "error")
     return made.withColumn("export", F.when(F.col("status") == "done", sinks.without_model_lines(F.col("summary"))))
 
 
-def run_evidence(blocks: DataFrame, pages: DataFrame, review: Callable[[DataFrame], DataFrame], budget: int = validation.BUDGET) -> DataFrame:
-    """Every detected element after its checks and review, with `status_after` and what review_budget() says of it.
+def run_files(files: DataFrame, engines: dict[str, Callable[[bytes], str]], model: Model, instructions: str, deep_limit: int, chunk_limit: int) -> DataFrame:
+    """run_documents() from the files' bytes: (doc_id, title, source_file, content, fallback_order) rows, with `engine` and `attempts`.
 
-    `review` adds to elements what a visual review says of each: media_readable, observed_type, recommended_status,
-    disagreements, n_ambiguous, n_missing, structure_confidence, formula_confidence, has_formula, error and repaired.
-    Elements go by page and place; the budget and the quota stop are the document's.
+    Extraction stops at a file's first usable text and is staged, so no engine runs twice for a file. One call takes any
+    number of files: a batch is the table.
+    """
+    extracted = staged(extract_lazily(files, engines).drop("content"), "extracted")
+    return run_documents(extracted, model, instructions, deep_limit, chunk_limit).join(extracted.select("doc_id", "engine", "attempts"), "doc_id")
+
+
+def run_evidence(blocks: DataFrame, pages: DataFrame, reviewer: Callable[[dict], dict], budget: int = validation.BUDGET) -> DataFrame:
+    """Every detected element after its checks and review, with `status_after` and what validation.settled() says of it.
+
+    `reviewer` is called for elements by page and place, at most `budget` times a document and never after a quota error of
+    that document (see adapters.review_in_order).
     """
     found = detection.link_previous_page(detection.detect_elements(blocks, pages))
-    checked = validation.with_checks(found.withColumn("has_formula", F.lit(False)))
-    seen = review(checked.drop("has_formula")).withColumn("has_rows", F.col("columns").isNotNull())
-    judged = seen.withColumn("reviewed_status", validation.status_after_review(seen))
-    placed = judged.withColumn("place", F.col("ordinal")).withColumn("ordinal", F.struct("page_index", "ordinal"))
-    return validation.review_budget(placed, budget).withColumn("ordinal", F.col("place")).drop("place")
+    checked = validation.with_checks(found.withColumn("has_formula", F.lit(False))).drop("has_formula")
+    seen = review_in_order(checked, reviewer, budget).withColumn("has_rows", F.col("columns").isNotNull())
+    answered = F.col("attempted") & F.col("error").isNull()
+    return validation.settled(seen.withColumn("reviewed_status", F.when(answered, validation.status_after_review(seen))))

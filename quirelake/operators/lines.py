@@ -20,49 +20,72 @@ def is_page_marker(line: Column) -> Column:
     return F.regexp_like(line, F.lit(MARKER))
 
 
-def _with_lines(docs: DataFrame, text: str) -> DataFrame:
-    """Adds `__lines`, each line without white space at its end and stripped, and `__heads`, the row's running headers.
+def _lines_of(text: Column) -> Column:
+    """The lines of a text: without white space at the end (`line`) and stripped (`s`)."""
+    unified = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    source = let(unified, lambda t: F.when(F.contains(t, F.lit("\n" * 4)), F.regexp_replace(t, r"\n{4,}", "\n\n\n")).otherwise(t))
+    return F.transform(split_lines(source), lambda x: F.struct(rstrip(x).alias("line"), strip(x).alias("s")))
+
 
-    Headers are short lines that a text repeats often enough; headings, tables and lists never are. In sorted order a
-    line that comes up often enough equals the one so many places before it.
+def _header_lines(lines: Column) -> Column:
+    """Running headers with the places they stand at (s, i), in order.
+
+    Headers are short lines that a text repeats often enough; headings, tables and lists never are. In sorted order the
+    lines of such a run have, within its length, one that many places further on that is equal.
     """
-    unified = F.replace(F.col(f"`{text}`"), F.lit("\r\n"), F.lit("\n"))
-    source = let(unified, lambda t: F.when(F.contains(t, F.lit("\n" * 4)), F.regexp_replace(t, r"\n{4,}", "\n\n\n")).otherwise(t))
-    lines = F.transform(split_lines(source), lambda x: F.struct(rstrip(x).alias("line"), strip(x).alias("s")))
-    staged = docs.withColumn("__lines", lines)
-    short = F.filter("__lines.s", lambda s: (s != "") & (F.char_length(s) <= HEADER_LENGTH) & ~F.regexp_like(s, F.lit(r"^[#|*\-]")))
-    staged = staged.withColumn("__short", F.array_sort(short))
-    n = F.greatest(F.size("__short") - (HEADER_TIMES - 1), F.lit(0))
-    same = F.zip_with(F.slice("__short", F.lit(1), n), F.slice("__short", F.lit(HEADER_TIMES), n), lambda a, b: F.when(a == b, a))
-    return staged.withColumn("__heads", F.array_distinct(F.array_compact(same))).drop("__short")
+    placed = F.transform(lines, lambda x, i: F.struct(x["s"].alias("s"), i.alias("i")))
+    short = F.filter(placed, lambda x: (x["s"] != "") & (F.char_length(x["s"]) <= HEADER_LENGTH) & ~F.regexp_like(x["s"], F.lit(r"^[#|*\-]")))
+
+    def repeated(run: Column) -> Column:
+        def at(place: Column) -> Column:
+            return F.when(place >= 0, F.get(run, place)["s"])
+
+        def often(x: Column, j: Column) -> Column:
+            found = F.lit(False)
+            for k in range(HEADER_TIMES):
+                found = found | F.coalesce((at(j - k) == x["s"]) & (at(j - k + HEADER_TIMES - 1) == x["s"]), F.lit(False))
+            return F.when(found, x)
+
+        return F.when(F.size(run) >= HEADER_TIMES, F.array_compact(F.transform(run, often))).otherwise(F.slice(run, F.lit(1), F.lit(0)))
+
+    return let(F.array_sort(short), repeated)
 
 
 def running_headers(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, header): each text's running headers."""
-    return _with_lines(docs, text).select("doc_id", F.explode("__heads").alias("header")).distinct()
+    heads = _header_lines(_lines_of(F.col(f"`{text}`")))
+    return docs.select("doc_id", F.explode(F.array_distinct(heads["s"])).alias("header")).distinct()
 
 
-def with_clean_markdown(docs: DataFrame, text: str = "text", clean: str = "clean") -> DataFrame:
-    """Adds page texts without running headers, page markers, repeated lines and runs of blank lines.
+def clean_markdown(text: Column) -> Column:
+    """A page text without running headers, page markers, repeated lines and runs of blank lines; null stays null.
 
-    A line repeats where its stripped text is that of the last line before it that isn't blank. Every row is worked
-    off by itself, whatever its id; a null text stays null.
+    A line repeats where its stripped text is that of the last line before it that isn't blank. Each step is named once in
+    the next (`let`), so the expression is as long wherever it is put: a filter on it costs one more evaluation. Lines
+    are told apart by place, in time proportional to a text's lines but for one sort of the short ones.
     """
-    rows = _with_lines(docs, text)
-    stay = F.filter("__lines", lambda x: ~is_page_marker(x["line"]) & ~F.array_contains("__heads", x["s"]))
-    rows = rows.withColumn("__stay", F.when(F.size("__heads") == 0, F.filter("__lines", lambda x: ~is_page_marker(x["line"]))).otherwise(stay))
-    full = F.filter(F.transform("__stay", lambda x, i: F.struct(i.alias("i"), x["s"].alias("s"))), lambda x: x["s"] != "")
-    rows = rows.withColumn("__full", full)
-    after = F.slice("__full", F.lit(2), F.greatest(F.size("__full") - 1, F.lit(0)))
-    before = F.slice("__full", F.lit(1), F.greatest(F.size("__full") - 1, F.lit(0)))
-    again = F.array_compact(F.zip_with(before, after, lambda b, x: F.when(b["s"] == x["s"], x["i"])))
-    rows = rows.withColumn("__again", again)
-    places = F.when(F.size("__stay") > 0, F.array_except(F.sequence(F.lit(0), F.size("__stay") - 1), "__again")).otherwise(F.array().cast("array<int>"))
-    kept = F.when(F.size("__again") == 0, F.col("__stay.line")).otherwise(F.transform(places, lambda i: F.get(F.col("__stay"), i)["line"]))
-    body = strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
-    rows = rows.withColumn("__body", body)
-    done = F.when(F.col("__body") == "", F.lit("")).otherwise(F.concat("__body", F.lit("\n")))
-    return rows.withColumn(clean, F.when(F.col(f"`{text}`").isNotNull(), done)).drop("__lines", "__heads", "__stay", "__full", "__again", "__body")
+
+    def without(rows: Column, places: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(rows) - 1), places)
+        return F.when((F.size(places) == 0) | (F.size(rows) == 0), rows).otherwise(F.transform(kept, lambda i: F.get(rows, i)))
+
+    def first_of_each(rows: Column) -> Column:
+        full = F.filter(F.transform(rows, lambda x, i: F.struct(i.alias("i"), x["s"].alias("s"))), lambda x: x["s"] != "")
+        again = let(full, lambda f: F.array_compact(F.transform(f, lambda x, j: F.when((j > 0) & (F.get(f, F.greatest(j - 1, F.lit(0)))["s"] == x["s"]), x["i"]))))
+        return let(again, lambda places: without(rows, places))
+
+    def unmarked(rows: Column) -> Column:
+        markers = F.array_compact(F.transform(rows, lambda x, i: F.when(is_page_marker(x["line"]), i)))
+        return let(F.concat(_header_lines(rows)["i"], markers), lambda places: without(rows, places))
+
+    lines = let(let(_lines_of(text), unmarked), first_of_each)
+    body = strip(F.regexp_replace(F.array_join(lines["line"], "\n"), r"\n{3,}", "\n\n"))
+    return let(body, lambda b: F.when(b == "", b).otherwise(F.concat(b, F.lit("\n"))))
+
+
+def with_clean_markdown(docs: DataFrame, text: str = "text", clean: str = "clean") -> DataFrame:
+    """Adds clean_markdown() of a text; every row is worked off by itself, whatever its id."""
+    return docs.withColumn(clean, clean_markdown(F.col(f"`{text}`")))
 
 
 def with_subtitle_text(docs: DataFrame, text: str = "text", clean: str = "clean") -> DataFrame:

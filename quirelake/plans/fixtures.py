@@ -16,6 +16,9 @@ SQL = {
                || text || chr(10) || 'PAGE  12' || chr(10) || chr(10) || chr(10) || chr(10) || chr(10) || chr(10) || 'kept ' || chr(10) || ' 3 / 7 ' || chr(10)
                || chr(10) || 'kept' || chr(10) || text AS text
         FROM {documents}""",
+    # what is in the files of documents, under a heading, and in those of parts, which is little
+    "extracted": """
+        SELECT doc_id, '# T' || chr(10) || text AS text FROM ({markdown}) UNION ALL SELECT -1 - p_partkey, p_name FROM {part}""",
     # the same prose as sections: every fifth line a heading, blank lines between lines
     "sectioned": """
         SELECT doc_id, lang, '# A' || chr(10) || replace(replace(text, '. ', '.' || chr(10) || chr(10)), ',', chr(10) || '## B') AS text FROM {documents}""",

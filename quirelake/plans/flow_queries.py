@@ -64,11 +64,50 @@ SELECT 'Liste n° ' || doc_id % 10 AS playlist_title, 'cache/jobs/playlist-liste
        count(*) FILTER (WHERE NOT lost AND NOT failed) AS kept FROM v GROUP BY doc_id % 10"""
 
 
+def layout_engine(content: bytes) -> str:
+    """An engine that fails for some files and finds nothing in others."""
+    text = content.decode()
+    if len(text) % 3 == 0:
+        raise RuntimeError("no layout")
+    return "" if len(text) % 3 == 1 else text
+
+
+def text_engine(content: bytes) -> str:
+    return content.decode()
+
+
 def o1_run_documents(spark, sf_dir):
-    docs = fixture(spark, sf_dir, "markdown")
-    usable = F.when(F.col("doc_id") % 5 == 0, F.substring("text", 1, 150)).otherwise(F.concat(F.lit("# T\n"), "text"))
-    made = flows.run_documents(docs.select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.lit("in/a.pdf").alias("source_file"), usable.alias("markdown")), counting_model, "sum up", DEEP_LIMIT, CHUNK_LIMIT)
-    return made.select("doc_id", "status", F.char_length("transcription").alias("transcription_chars"), F.md5("summary").alias("summary_md5"), F.md5("export").alias("export_md5"), "error")
+    """Files to notes; those of parts' names have too little text."""
+    files = fixture(spark, sf_dir, "extracted").select(
+        "doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.lit("in/a.pdf").alias("source_file"),
+        F.col("text").cast("binary").alias("content"), F.array(F.lit("layout"), F.lit("text")).alias("fallback_order"),
+    )
+    made = flows.run_files(files, {"layout": layout_engine, "text": text_engine}, counting_model, "sum up", DEEP_LIMIT, CHUNK_LIMIT)
+    return made.select(
+        "doc_id", "status", F.char_length("transcription").alias("transcription_chars"), F.md5("summary").alias("summary_md5"), F.md5("export").alias("export_md5"), "error", "engine",
+        F.size("attempts").alias("attempts"), F.get(F.col("attempts.error"), F.lit(0)).alias("first_error"),
+    )
+
+
+_O1_CLEAN = _CLEAN.replace(duck("markdown"), f"SELECT doc_id, '' AS lang, text FROM ({duck('extracted')}) WHERE doc_id >= 0 AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 200")
+_O1_CHUNKS = C4_SQL.replace(duck("sectioned"), f"SELECT doc_id, lang, clean AS text FROM clean WHERE greatest(1, length(clean) // 4) > {DEEP_LIMIT}").replace("md5(body) AS text_md5", "body")
+O1_SQL = f"""
+WITH {_O1_CLEAN},
+chunks AS ({_O1_CHUNKS}),
+asked AS (SELECT doc_id, index, 'PARTIE ' || (index + 1) || '/' || count(*) OVER (PARTITION BY doc_id) || chr(10) || chr(10) || body AS t FROM chunks),
+gathered AS (SELECT doc_id, string_agg(' pdf_chunk: ' || length(t) || chr(10), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY index) AS t, min_by({_failure("length(t)")}, index) FILTER (WHERE length(t) % 17 IN (3, 5)) AS failed FROM asked GROUP BY doc_id),
+calls AS (SELECT doc_id, 'pdf_deep' AS model, length(clean) AS n, {_failure("length(clean)")} AS error FROM clean WHERE greatest(1, length(clean) // 4) <= {DEEP_LIMIT}
+          UNION ALL SELECT doc_id, 'pdf_final_synthesis', length(t), coalesce(failed, {_failure("length(t)")}) FROM gathered),
+f AS (SELECT doc_id, text, length(text) AS n FROM ({duck("extracted")})),
+made AS (SELECT f.doc_id, clean, error, CASE WHEN clean IS NOT NULL AND error IS NULL THEN {_front("pdf", "'Doc ' || f.doc_id", "'in/a.pdf'")} || chr(10) || model || ': ' || calls.n || chr(10) END AS note,
+                CASE WHEN clean IS NOT NULL AND error IS NOT NULL THEN '---' || chr(10) || 'title: "Doc ' || f.doc_id || '"' || chr(10) || 'source_file: "in/a.pdf"' || chr(10) || 'artifact_type: technical_pdf_summary' || chr(10) || 'status: summary_unavailable' || chr(10) || '---' || chr(10)
+                     || chr(10) || '# Synthèse distante indisponible' || chr(10) || chr(10) || '- Transcription : `output/pdfs/doc-' || f.doc_id || '.transcription.md`' || chr(10) || '- Rapport d''erreur : `output/pdfs/doc-' || f.doc_id || '.error.json`' || chr(10) END AS sorry,
+                CASE WHEN clean IS NULL THEN NULL WHEN f.n % 3 = 2 THEN 'layout' ELSE 'text' END AS engine, CASE WHEN clean IS NOT NULL AND f.n % 3 = 2 THEN 1 ELSE 2 END AS attempts,
+                CASE WHEN f.n % 3 = 0 THEN 'RuntimeError: no layout' WHEN clean IS NULL OR f.n % 3 = 1 THEN 'unusable text' END AS first_error
+         FROM f LEFT JOIN clean USING (doc_id) LEFT JOIN calls USING (doc_id))
+SELECT doc_id, CASE WHEN clean IS NULL THEN 'unusable' WHEN error IS NULL THEN 'done' ELSE 'summary_unavailable' END AS status,
+       (length(regexp_replace(clean, '^\\s+|\\s+$', '', 'g')) + length('---' || chr(10) || 'title: "Doc ' || doc_id || '"' || chr(10) || 'source_file: "in/a.pdf"' || chr(10) || 'artifact_type: technical_pdf_transcription' || chr(10) || 'status: extracted_to_review' || chr(10) || '---' || chr(10)) + 2)::INT AS transcription_chars,
+       md5(coalesce(note, sorry)) AS summary_md5, md5(note) AS export_md5, error, engine, attempts, first_error FROM made"""
 
 
 def o6_evidence_run(spark, sf_dir):
@@ -79,26 +118,35 @@ def o6_evidence_run(spark, sf_dir):
     )
 
 
-def reviewed_elements(elements):
+class _Failed(Exception):
+    """A review that failed, after a second call or not."""
+
+    def __init__(self, said: str, repaired: bool):
+        super().__init__(said)
+        self.repaired = repaired
+
+
+def reviewed_elements(element: dict) -> dict:
     """A reviewer that reads most elements right, is unsure of some and fails for others."""
-    p, k = F.col("page_index"), F.col("ordinal")
-    none = F.array().cast("array<struct<location:string,ocr_value:string,preferred_candidate:string>>")
-    return elements.withColumns(
-        {
-            "media_readable": k % 5 != 4,
-            "observed_type": F.col("element_type"),
-            "recommended_status": F.when(k % 4 == 3, "human_review_required").otherwise("machine_verified_with_visual_check"),
-            "disagreements": none,
-            "n_ambiguous": F.lit(0),
-            "n_missing": F.lit(0),
-            "numeric_confidence": F.lit(0.97),
-            "structure_confidence": F.lit(0.95),
-            "formula_confidence": F.lit(0.95),
-            "has_formula": F.lit(True),
-            "error": F.when((p == 7) & (k == 1), F.lit("RESOURCE_EXHAUSTED")).when(k % 6 == 5, F.lit("timeout")),
-            "repaired": k % 3 == 2,
-        }
-    )
+    p, k = element["page_index"], element["ordinal"]
+    repaired = k % 3 == 2
+    if p == 7 and k == 1:
+        raise _Failed("RESOURCE_EXHAUSTED", repaired)
+    if k % 6 == 5:
+        raise _Failed("timeout", repaired)
+    return {
+        "media_readable": k % 5 != 4,
+        "observed_type": element["element_type"],
+        "recommended_status": "human_review_required" if k % 4 == 3 else "machine_verified_with_visual_check",
+        "disagreements": [],
+        "n_ambiguous": 0,
+        "n_missing": 0,
+        "numeric_confidence": 0.97,
+        "structure_confidence": 0.95,
+        "formula_confidence": 0.95,
+        "has_formula": True,
+        "repaired": repaired,
+    }
 
 
 O6_SQL = f"""
@@ -118,7 +166,7 @@ SELECT doc_id, after AS status, count(*) AS n, count(*) FILTER (WHERE attempted)
        count(*) FILTER (WHERE handed) AS handed_on FROM i GROUP BY 1, 2"""
 
 QUERIES = {
-    "o1_run_documents": (o1_run_documents, None),
+    "o1_run_documents": (o1_run_documents, O1_SQL),
     "o3_run_videos": (o3_run_videos, f"WITH {_VIDEOS} SELECT * EXCLUDE (doc_id) FROM videos"),
     "o4_playlist_jobs": (o4_playlist_jobs, O4_SQL),
     "o6_evidence_run": (o6_evidence_run, O6_SQL),

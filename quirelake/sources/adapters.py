@@ -9,11 +9,14 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quirelake.functions.text import strip
+from quirelake.functions.text import QUOTA_MARKS, strip
+from quirelake.operators.lines import BLOCK_LENGTH, BLOCKS, USABLE_LENGTH
 
 PAGES = "doc_id string, page_index int, text string, images int, error string"
 
@@ -76,6 +79,101 @@ def call_model(rows: DataFrame, model: Callable[[str, str, str], str], instructi
     return rows.mapInPandas(run, schema)
 
 
+def usable(text: str) -> bool:
+    """lines.is_usable_markdown() of one text, for what decides inside a task."""
+    body = text.strip()
+    headings = any(line.startswith("#") for line in body.splitlines())
+    return len(body) >= USABLE_LENGTH and (headings or sum(len(part.strip()) > BLOCK_LENGTH for part in body.split("\n\n")) >= BLOCKS)
+
+
+def extract_lazily(files: DataFrame, engines: dict[str, Callable[[bytes], str]], order: str = "fallback_order") -> DataFrame:
+    """Adds `markdown`, `engine` and `attempts` (engine, error) to rows with `content` and an array `order` of engines' names.
+
+    Engines are tried in their order inside the task, and no further one is started once a text is usable. A failure, a
+    name that no engine has and a text that isn't usable are attempts with an error; where none does, markdown and
+    engine are null and the last attempt says why.
+    """
+    added = T._parse_datatype_string("markdown string, engine string, attempts array<struct<engine:string,error:string>>")
+    content, names = files.columns.index("content"), files.columns.index(order)
+
+    def one(data: bytes | None, wanted: list[str] | None) -> tuple:
+        attempts = []
+        for name in wanted or []:
+            try:
+                text = engines[name](data)
+                error = None if text is not None and usable(text) else "unusable text"
+            except Exception as failure:
+                text, error = None, f"{type(failure).__name__}: {failure}"
+            attempts.append({"engine": name, "error": error})
+            if error is None:
+                return text, name, attempts
+        return None, None, attempts
+
+    return _with_fields(files, added, lambda: lambda part: [one(c, w) for c, w in zip(part.column(content).to_pylist(), part.column(names).to_pylist())])
+
+
+def _with_fields(rows: DataFrame, added: T.StructType, make: Callable[[], Callable[[pa.RecordBatch], list[tuple]]]) -> DataFrame:
+    """Rows with the fields that a function of Arrow batches gives (a tuple a row); `make` makes one for each partition, so it may keep state."""
+    types = to_arrow_schema(added)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for part in parts:
+            made = of(part)
+            arrays = [pa.array([m[i] for m in made], f.type) for i, f in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *arrays], schema=pa.schema([*part.schema, *types]))
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added.fields]))
+
+
+#: What a visual review says of an element.
+REVIEW = (
+    "media_readable boolean, observed_type string, recommended_status string, disagreements array<struct<location:string,ocr_value:string,preferred_candidate:string>>, "
+    "n_ambiguous int, n_missing int, numeric_confidence double, structure_confidence double, formula_confidence double, has_formula boolean"
+)
+
+
+def review_in_order(elements: DataFrame, reviewer: Callable[[dict], dict], budget: int, order: tuple[str, ...] = ("page_index", "ordinal"), fields: str = REVIEW) -> DataFrame:
+    """Elements with what `reviewer` says of them (`fields`), `error`, `repaired`, `attempted` and `circuit_open`.
+
+    A document's elements come to one task in their order, which holds no more of them than an Arrow batch: it counts the
+    document's attempts and remembers a quota error from batch to batch, so no call is made beyond `budget` nor
+    after that error. A reviewer takes an element as a dict; what it raises is the element's error (its attribute
+    `repaired` tells of a second call). It may say `repaired` itself. Fields of elements that weren't tried are null.
+    """
+    said = T._parse_datatype_string(fields)
+    added = T.StructType([*said.fields, *T._parse_datatype_string("error string, repaired boolean, attempted boolean, circuit_open boolean").fields])
+    elements = elements.drop(*added.names)  # a review's values take the place of those before
+    document = elements.columns.index("doc_id")
+
+    def make() -> Callable[[pa.RecordBatch], list[tuple]]:
+        now, tried, opened = object(), 0, False
+
+        def review(part: pa.RecordBatch) -> list[tuple]:
+            nonlocal now, tried, opened
+            out = []
+            for i, doc in enumerate(part.column(document).to_pylist()):
+                if doc != now:
+                    now, tried, opened = doc, 0, False
+                answer, error, repaired = {}, None, False
+                attempted, was_open = tried < budget and not opened, opened
+                if attempted:
+                    tried += 1
+                    try:
+                        answer = reviewer(part.slice(i, 1).to_pylist()[0])
+                        repaired = bool(answer.get("repaired", False))
+                    except Exception as failure:
+                        error, repaired = str(failure), bool(getattr(failure, "repaired", False))
+                        opened = any(mark in error.lower() for mark in QUOTA_MARKS)
+                out.append((*(answer.get(f.name) for f in said.fields), error, repaired, attempted, was_open))
+            return out
+
+        return review
+
+    dealt = elements.repartition("doc_id").sortWithinPartitions("doc_id", *order)
+    return _with_fields(dealt, added, make)
+
+
 def review_once_repaired(rows: DataFrame, model: Callable[[str, str, str], str], instructions: str, valid: Callable[[dict], str | None]) -> DataFrame:
     """(element_id, review, error, repaired) of (element_id, text, model) rows: an invalid answer is asked for once more, with what was wrong."""
     import json

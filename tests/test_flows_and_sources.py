@@ -1,10 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as tx
-from quirelake.operators import chunks, detection, flows, lines
+from quirelake.operators import chunks, detection, flows, lines, validation
 from quirelake.plans.source_queries import counting_model
 from quirelake.sources import adapters, files, sinks
 
@@ -42,6 +43,151 @@ def test_cleaning_keeps_rows_apart(spark):
     assert heads == {(1, "Head"), (4, "x")}
 
 
+def test_a_filter_on_cleaned_text_ends(spark):
+    text = "\n".join(f"line {i} of some words\nPage {i}\nHead" for i in range(300))
+    cleaned = lines.with_clean_markdown(spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string"))
+    kept = cleaned.where((F.char_length("clean") > 10) & (chunks.count_tokens(F.col("clean")) < 10**6))
+    assert {r.clean for r in kept.collect()} == {brute_clean(text)}
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") < 4 * cleaned._jdf.queryExecution().optimizedPlan().toString().count("transform(")
+
+
+def test_a_million_lines_in_one_text(spark):
+    n = 1 << 20
+    text = F.concat_ws("\n", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("row "), F.floor(i / 4 * F.when(i % 2 == 0, 1).otherwise(0)).cast("string"))))
+    row = lines.with_clean_markdown(spark.range(1).select(text.alias("text"))).where(F.char_length("clean") > 1).select(F.size(F.split("clean", "\n")).alias("n")).first()
+    assert row.n == n // 4  # `row 0` is a header; of the others each comes twice, side by side, and the text ends with a line feed
+
+
+def brute_pack(parts, limit):
+    done, held = [], None
+    for part in parts:
+        if held is not None and max(1, len(f"{held}\n\n{part}") // 4) <= limit:
+            held = f"{held}\n\n{part}"
+        else:
+            done, held = done + ([held] if held is not None else []), part
+    return done + ([held] if held is not None else [])
+
+
+def brute_chunks(text, limit):
+    found, now = [], []
+    for i, line in enumerate(text.splitlines()):
+        if i and line.startswith("#"):
+            found, now = [*found, now], []
+        now.append(line)
+    out, held, n = [], [], 0
+    for part in filter(None, ("\n".join(lines_).strip() for lines_ in [*found, now])):
+        own = max(1, len(part) // 4)
+        if held and (n + own > limit or own > limit):
+            out, held, n = [*out, "\n\n".join(held)], [], 0
+        if own > limit:
+            out += brute_pack([p.strip() for p in part.split("\n\n") if p.strip()], limit)
+        else:
+            held, n = [*held, part], n + own
+    return out + (["\n\n".join(held)] if held else [])
+
+
+@pytest.mark.parametrize("limit", [1, 5, 40, 10**6])
+def test_chunks_by_brute_force(spark, limit):
+    rng = random.Random(limit)
+    piece = lambda: rng.choice(["# h", "word " * rng.randrange(60), "", "\n", " \n\n", "#", "x"])
+    texts = ["\n".join(piece() for _ in range(rng.randrange(80))) for _ in range(60)] + ["", "\n\n", "# a\n\n" + "p\n\n" * 1500]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id int, t string")
+    got = {r.doc_id: r for r in docs.select("doc_id", chunks.chunk_texts(F.col("t"), limit).alias("c"), chunks.split_long_section(F.col("t"), F.lit(limit)).alias("p")).collect()}
+    assert got[len(texts)].c is None and got[len(texts)].p is None
+    for i, text in enumerate(texts):
+        assert got[i].c == brute_chunks(text, limit)
+        assert got[i].p == brute_pack([p.strip() for p in text.split("\n\n") if p.strip()], limit)
+
+
+@pytest.mark.parametrize("joint", ["\n\n", "\n# "])
+def test_a_million_paragraphs_in_one_text(spark, joint):
+    n = 1 << 20
+    text = F.concat(F.lit("# a"), F.lit(joint), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.lit("para")), joint))
+    row = spark.range(1).select(chunks.chunk_texts(text, 100).alias("c")).select(F.size("c").alias("n"), F.size(F.split(F.array_join("c", "\n"), "para")).alias("words")).first()
+    assert row.words == n + 1 and row.n > n // 100
+
+
+def test_engines_stop_at_the_first_usable_text(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def engine(name, fails):
+        def run(content):
+            with calls.open("a") as log:
+                log.write(f"{name} {content.decode()[:1]}\n")
+            if content.decode()[0] in fails:
+                raise ValueError(name)
+            return "# T\n" + content.decode() * 50 if content.decode()[0] != "w" else "weak"
+
+        return run
+
+    engines = {"a": engine("a", "bc"), "b": engine("b", "c"), "c": engine("c", "c")}
+    rows = [("ok text", ["a", "b", "c"]), ("b text", ["a", "b", "c"]), ("c text", ["a", "b", "c"]), ("weak", ["c", "a"]), ("x text", ["nobody", "b"]), ("n", []), (None, None)]
+    files_ = spark.createDataFrame([(i, t, o, "clash") for i, (t, o) in enumerate(rows)], "doc_id int, t string, fallback_order array<string>, error string").withColumn("content", F.col("t").cast("binary"))
+    got = {r.doc_id: (r.engine, [tuple(a) for a in r.attempts]) for r in adapters.extract_lazily(files_, engines).collect()}
+    weak, bad = "unusable text", "ValueError: "
+    assert got == {
+        0: ("a", [("a", None)]), 1: ("b", [("a", bad + "a"), ("b", None)]), 2: (None, [(e, bad + e) for e in "abc"]), 3: (None, [("c", weak), ("a", weak)]),
+        4: ("b", [("nobody", "KeyError: 'nobody'"), ("b", None)]), 5: (None, []), 6: (None, []),
+    }
+    assert sorted(calls.read_text().split("\n")[:-1]) == sorted(["a o", "a b", "b b", "a c", "b c", "c c", "c w", "a w", "b x"])
+
+
+def test_usable_means_the_same_in_a_task(spark):
+    texts = ["", "x" * 300, "#" + "x" * 199, "#" + "x" * 198, "\u2003# " + "y" * 200, "z\x0b#" + "y" * 200, "\n\n".join(["p" * 81] * 3), "\n\n".join(["p" * 80] * 3), "\n\n".join([" " + "p" * 81 + " "] * 2 + ["q" * 100])]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", lines.is_usable_markdown(F.col("t"))).collect()
+    assert {r[0]: r[1] for r in got} == {t: adapters.usable(t) for t in texts}
+
+
+@pytest.mark.parametrize("batch", [7, 10000])
+def test_a_review_stops_at_its_budget_and_at_a_quota_error(spark, tmp_path, batch):
+    calls = tmp_path / "calls"
+
+    def reviewer(element):
+        with calls.open("a") as log:
+            log.write(f"{element['doc_id']} {element['ordinal']}\n")
+        if element["doc_id"] == 2 and element["ordinal"] == 11:
+            raise RuntimeError("Quota exceeded for today")
+        if element["ordinal"] % 9 == 4:
+            raise TimeoutError("slow")
+        return {"media_readable": True, "observed_type": element["element_type"], "recommended_status": "machine_verified_with_visual_check", "disagreements": [], "n_ambiguous": 0, "n_missing": 0, "repaired": element["ordinal"] % 5 == 1}
+
+    rows = [(d, i // 10, i, "table", "needs_visual_review" if i % 4 else "image_only", ["x"]) for d, n in ((1, 90), (2, 60), (3, 5), (None, 50)) for i in range(n)]
+    elements = spark.createDataFrame(rows, "doc_id int, page_index int, ordinal int, element_type string, status string, alerts array<string>").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        seen = adapters.review_in_order(elements, reviewer, 40).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    made = [line.split() for line in calls.read_text().splitlines()]
+    assert sorted(made) == sorted([[str(d), str(i)] for d, n in ((1, 40), (2, 12), (3, 5), (None, 40)) for i in range(n)])
+    # the window form, told what each call would give, says the same
+    told = elements.withColumns(
+        {
+            "error": F.when((F.col("doc_id") == 2) & (F.col("ordinal") == 11), "Quota exceeded for today").when(F.col("ordinal") % 9 == 4, "slow"),
+            "repaired": F.col("ordinal") % 5 == 1, "reviewed_status": F.lit("machine_verified_with_visual_check"),
+        }
+    )
+    window = {(r.doc_id, r.ordinal): (r.attempted, r.circuit_open, r.status_after, r.fallback_reason) for r in validation.review_budget(told).collect()}
+    again = validation.settled(adapters.review_in_order(elements, reviewer, 40).withColumn("reviewed_status", F.lit("machine_verified_with_visual_check")))
+    assert {(r.doc_id, r.ordinal): (r.attempted, r.circuit_open, r.status_after, r.fallback_reason) for r in again.collect()} == window
+    assert all((r.observed_type == "table") == (r.attempted and r.error is None) for r in seen)
+
+
+def test_files_to_notes_in_one_run(spark):
+    body = "# T\n" + "many words here. " * 30
+    rows = [(1, "One", "a.pdf", body, ["bad", "good"]), (2, "Two", "b.pdf", "short", ["bad", "good"]), (3, "Three", "c.pdf", None, ["good"])]
+    files_ = spark.createDataFrame(rows, "doc_id long, title string, source_file string, t string, fallback_order array<string>").withColumn("content", F.col("t").cast("binary")).drop("t")
+
+    def bad(content):
+        raise RuntimeError("broken")
+
+    got = {r.doc_id: r for r in flows.run_files(files_, {"bad": bad, "good": lambda content: content.decode()}, lambda told, text, model: "fine", "sum up", 800, 300).collect()}
+    assert (got[1].status, got[1].engine, len(got[1].attempts)) == ("done", "good", 2) and got[1].summary.endswith("\nfine\n")
+    assert (got[2].status, got[2].engine, got[2].attempts[1].error) == ("unusable", None, "unusable text")
+    assert got[3].status == "unusable" and "AttributeError" in got[3].attempts[0].error
+
+
 def test_white_space_of_any_script(spark):
     blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
     texts = ["".join(blanks) + "a b" + "".join(reversed(blanks)), "​x", "", "".join(blanks)]
