@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.functions.patterns import CUE
+from quirelake.functions.patterns import is_cue
 from quirelake.functions.text import inline_text, let, rstrip, split_lines, strip
 
 # Fixed values that results depend on.
@@ -91,8 +91,8 @@ def with_clean_markdown(docs: DataFrame, text: str = "text", clean: str = "clean
 def with_subtitle_text(docs: DataFrame, text: str = "text", clean: str = "clean") -> DataFrame:
     """Adds what is said in an SRT or WebVTT text: no cue numbers, timings, notes, tags or repeated lines."""
     lines = F.transform(split_lines(F.col(text)), strip)
-    drop = r"(?U)^$|^\d+$|^(?i:WEBVTT)$|^(?:NOTE|STYLE|REGION)|" + CUE
-    said = F.filter(lines, lambda x: ~F.regexp_like(x, F.lit(drop)))
+    drop = r"(?U)^$|^\d+$|^(?i:WEBVTT)$|^(?:NOTE|STYLE|REGION)"
+    said = F.filter(lines, lambda x: ~F.regexp_like(x, F.lit(drop)) & ~is_cue(x))
     # entities need Python, which takes whole columns: one text with its line breaks goes through it
     numbered = docs.withColumn("__said", F.array_join(F.transform(said, lambda x: F.regexp_replace(x, "<[^>]+>", "")), "\n"))
     from quirelake.functions.text import squeeze, unescape_entities

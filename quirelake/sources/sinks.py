@@ -13,7 +13,7 @@ from quirelake.functions.text import safe_slug, strip
 
 # Fixed values that results depend on.
 UNKNOWN = "non précisé"
-REVIEW_INSTRUCTION = "Inspect the exact evidence files, list only visible divergences and ambiguity, and write a separate review JSON. Do not edit the transcription."
+REVIEW_INSTRUCTION = "Look at the files of this packet, say in a review file of its own what differs from the transcription or can be read in more than one way, and leave the transcription as it is."
 
 
 def single_quoted(value: Column) -> Column:
