@@ -17,6 +17,8 @@ HEAD, MIDDLE, TAIL = "### ", ": ", "</turn>\n"
 #: in escaped text every backslash begins one of these pairs.
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"), (":", "\\c"))
 TRAINED = "assistant"
+#: Parts in which a tree's leaves are ranked first.
+RANK_PARTS = 32
 
 
 def escape(text: Column) -> Column:
@@ -27,40 +29,73 @@ def unescape(text: Column) -> Column:
     return reduce(lambda t, pair: F.replace(t, F.lit(pair[1]), F.lit(pair[0])), reversed(ESCAPES), text)
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(leaf, node, depth, score): every root-to-leaf path of (node, parent, score) rows, from depth 0 at the leaf.
+def climbs(nodes: DataFrame) -> DataFrame:
+    """(node, score, depth, is_leaf) of (node, parent, score) rows: the sum of scores from the node up to its root, and the edges between.
 
-    Each round is a self-join that doubles the reach: a node's jump goes to the node of its jump, and every path
-    grows by its nodes' jumps, so n levels take log2(n) rounds. A parent that isn't there ends the path. `score` is
-    the path's sum, null scores being 0. Nodes must be unique; rows on a cycle have no leaf and give nothing.
+    Pointers double: in each round a node's pointer goes to where the node it points to points, so n levels take log2(n)
+    rounds of one row a node. A parent that isn't there ends the path; null scores are 0. A row that still
+    points somewhere once pointers reach further than there are nodes is on a cycle or below one and has no root: it is
+    left out. Nodes that come twice are an error.
     """
-    nodes = nodes.select("node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    inner = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct()
-    jumps = written(nodes.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", F.col("parent").alias("to")), "jumps")
-    found = nodes.join(inner, "node", "left_anti").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth"))
+    given = nodes.select("node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    parents = given.select(F.col("parent").alias("__p")).where("__p IS NOT NULL").distinct()
+    there = given.select(F.col("node").alias("__to"))
+    state = given.join(there, F.col("parent") == F.col("__to"), "left").join(parents, F.col("node") == F.col("__p"), "left")
+    up = F.col("__to").isNotNull().cast("long")
+    state = written(state.select("node", F.col("__to").alias("to"), "score", up.alias("depth"), F.col("__p").isNull().alias("is_leaf")), "climbs")
+    n, distinct = state.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
+    if n > distinct:
+        raise ValueError("nodes must be unique")
     reach = 1
-    while not jumps.isEmpty():
+    while reach < n and not state.where("to IS NOT NULL").isEmpty():
+        ahead = state.select(F.col("node").alias("to"), F.col("to").alias("__to"), F.col("score").alias("__score"), F.col("depth").alias("__depth"))
+        moved = state.where("to IS NOT NULL").join(ahead, "to").select("node", F.col("__to").alias("to"), (F.col("score") + F.col("__score")).alias("score"), (F.col("depth") + F.col("__depth")).alias("depth"), "is_leaf")
+        further = written(moved.unionByName(state.where("to IS NULL")), "climbs")
+        discard(state)
+        state, reach = further, 2 * reach
+    return state.where("to IS NULL").drop("to")
+
+
+def best_leaves(nodes: DataFrame, trees: DataFrame, best: int = 1) -> DataFrame:
+    """(leaf, tree, rank, score, depth): the leaves of the `best` highest-scoring root-to-leaf paths of each tree, ties to the smaller leaf.
+
+    `trees` has (node, tree). Paths are ranked by their sums alone; none is enumerated. Of a tree only the best of each
+    of some parts are ranked together.
+    """
+    ends = climbs(nodes).where("is_leaf").select(F.col("node").alias("leaf"), "score", "depth")
+    leaves = ends.join(trees.select(F.col("node").alias("leaf"), "tree"), "leaf").withColumn("__part", F.pmod(F.xxhash64("leaf"), F.lit(RANK_PARTS)))
+    order = [F.desc("score"), F.col("leaf")]
+    some = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree", "__part").orderBy(*order))).where(F.col("rank") <= best)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(*order))).where(F.col("rank") <= best)
+    return ranked.select("leaf", "tree", "rank", "score", "depth")
+
+
+def paths(nodes: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """(leaf, node, depth, score, ...): the paths of `leaves` (best_leaves() rows; by default all leaves of (node, parent, score) rows) up to
+    their roots, from depth 0 at the leaf, with the path's score and the leaf's other columns.
+
+    Each round is a self-join that doubles the reach: every path grows by its nodes' jumps, and a jump goes on to the jump
+    of its end, so n levels take log2(n) rounds. Only the chosen paths are enumerated. Rows on a cycle or below one have no root and give nothing.
+    """
+    if leaves is None:
+        leaves = climbs(nodes).where("is_leaf").select(F.col("node").alias("leaf"), "score", "depth")
+    chosen = written(leaves.withColumnRenamed("depth", "__levels"), "leaves")
+    levels = chosen.agg(F.max("__levels")).first()[0] or 0
+    jumps = written(nodes.select("node", F.col("parent").alias("to")).where("to IS NOT NULL").join(nodes.select(F.col("node").alias("to")), "to", "left_semi"), "jumps")
+    found = chosen.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("depth"))
+    reach = 1
+    while reach <= levels:
         grown = found.join(jumps, "node").select("leaf", F.col("to").alias("node"), (F.col("depth") + reach).alias("depth"))
         longer = written(found.unionByName(grown), "paths")
         ahead = jumps.select(F.col("node").alias("to"), F.col("to").alias("__to"))
         further = written(jumps.join(ahead, "to").select("node", F.col("__to").alias("to")), "jumps")
         discard(jumps, *([found] if reach > 1 else []))
         found, jumps, reach = longer, further, 2 * reach
-    scored = found.join(nodes.select("node", "score"), "node")
-    total = scored.groupBy("leaf").agg(F.sum("score").alias("score"))
-    return scored.drop("score").join(total, "leaf")
-
-
-def best_paths(found: DataFrame, trees: DataFrame, best: int = 1) -> DataFrame:
-    """The `best` highest-scoring paths of each tree, ties to the smaller leaf; `trees` has (node, tree)."""
-    leaves = found.where("depth = 0").select("leaf", "score").join(trees.select(F.col("node").alias("leaf"), "tree"), "leaf")
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-    chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= best).select("leaf", "tree", "rank")
-    return found.join(chosen, "leaf")
+    return found.join(chosen.drop("__levels"), "leaf")
 
 
 def format_paths(chosen: DataFrame, messages: DataFrame) -> DataFrame:
-    """(tree, leaf, rank, formatted, mask) of best_paths(): each path as one text, root first, and its loss mask.
+    """(tree, leaf, rank, formatted, mask) of the paths() of best_leaves(): each path as one text, root first, and its loss mask.
 
     `messages` has (node, role, text). `mask` holds (start, length) spans, in code points, of the assistant's texts.
     """
@@ -113,9 +148,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     placed = rows.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("n"))
     known = placed.withColumn("node", F.struct("conv_id", "n"))
     messages = written(known.withColumn("parent", F.when(F.col("n") > 1, F.struct("conv_id", (F.col("n") - 1).alias("n")))), "messages")
-    found = paths(messages.select("node", "parent", F.lit(0.0).alias("score")))
-    trees = messages.select("node", F.struct("conv_id").alias("tree"))
-    return format_paths(best_paths(found, trees), messages.select("node", "role", "text")).select("tree.conv_id", "formatted", "mask")
+    nodes = messages.select("node", "parent", F.lit(0.0).alias("score"))
+    best = best_leaves(nodes, messages.select("node", F.struct("conv_id").alias("tree")))
+    return format_paths(paths(nodes, best), messages.select("node", "role", "text")).select("tree.conv_id", "formatted", "mask")
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,13 +105,53 @@ def test_trees_are_ranked_and_formatted(spark):
     assert {k: [n for _, n, _ in sorted(v)] for k, v in by_leaf.items()} == {"a1": ["a1", "a", "r"], "b2": ["b2", "b1", "b", "r"], "lost": ["lost"]}
     trees = nodes.select("node", F.lit("t").alias("tree"))
     said = [("r", "user", "q"), ("b", "assistant", "\\### Assistant: </turn> ok"), ("b1", "user", None), ("b2", "assistant", "done\\b")]
-    out = chat.format_paths(chat.best_paths(found.where("leaf <> 'lost'"), trees), spark.createDataFrame(said, "node string, role string, text string"))
+    best = chat.best_leaves(nodes.where("node <> 'lost'"), trees)
+    out = chat.format_paths(chat.paths(nodes, best), spark.createDataFrame(said, "node string, role string, text string"))
     row = out.select("leaf", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_masked(F.col("formatted"), F.col("mask")).alias("masked"), "formatted").first()
     assert row.leaf == "b2"
     assert [(t.role, t.text) for t in row.turns] == [("user", "q"), ("assistant", said[1][2]), ("user", ""), ("assistant", "done\\b")]
     assert row.masked == [said[1][2], "done\\b"] and row.formatted.count("</turn>") == 4
 
 
+def brute_paths(rows):
+    parent, score = {n: p for n, p, _ in rows}, {n: s or 0.0 for n, _, s in rows}
+    out = {}
+    for leaf in set(parent) - {p for p in parent.values()}:
+        path, node = [], leaf
+        while node in parent and node not in path:
+            path.append(node)
+            node = parent[node]
+        if node not in parent:  # else it goes round
+            out[leaf] = (sum(score[n] for n in path), path)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_trees_with_cycles_by_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(i, None if i == 0 else int(rng.integers(-1, i)), float(rng.integers(4)) if i % 5 else None) for i in range(60)]
+    rows += [(100, 101, 1.0), (101, 102, 1.0), (102, 100, 1.0), (103, 101, 1.0), (104, 103, 1.0), (105, 105, 1.0)]  # a ring, what hangs on it, a loop
+    rows += [(200 + i, 199 + i if i else None, 1.0) for i in range(70)]
+    nodes = spark.createDataFrame(rows, "node long, parent long, score double")
+    want = brute_paths(rows)
+    found = {}
+    for r in chat.paths(nodes).collect():
+        found.setdefault(r.leaf, (r.score, []))[1].append((r.depth, r.node))
+    assert {k: (s, [n for _, n in sorted(p)]) for k, (s, p) in found.items()} == want
+    trees = nodes.select("node", (F.col("node") % 2).alias("tree"))
+    best = {(r.tree, r["rank"]): r.leaf for r in chat.best_leaves(nodes, trees, 3).collect()}
+    for tree in (0, 1):
+        order = sorted((-s, leaf) for leaf, (s, _) in want.items() if leaf % 2 == tree)[:3]
+        assert [best[tree, k + 1] for k in range(len(order))] == [leaf for _, leaf in order]
+
+
+def test_only_rings_and_repeated_nodes(spark):
+    ring = spark.createDataFrame([(3, 4, 1.0), (4, 3, 1.0)], "node long, parent long, score double")
+    assert chat.paths(ring).count() == 0
+    with pytest.raises(ValueError):
+        chat.climbs(ring.union(ring))
+
+
 def test_conversations_with_odd_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, 1, None, "x"), (1, None, "assistant", ""), (None, 0, "assistant", "y" * 50_000), (2, 0, "user", "a\n</turn>\n### user: b")]
     rows += [(3, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(70)]
