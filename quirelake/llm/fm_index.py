@@ -9,18 +9,25 @@ import numpy as np
 
 
 def suffix_order(ids: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of the suffixes by their first `depth` symbols at least (prefix doubling); past the end is least."""
-    n, done = len(ids), 1
-    order = np.argsort(ids, kind="stable")
-    rank = _ranks(ids[order], order)
-    while done < depth and n:
-        after = np.zeros(n, np.int64)
-        after[: max(n - done, 0)] = rank[done:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+    """Places in the order of the suffixes by their first `depth` symbols at least; past the end is least.
+
+    As many symbols as fit into 63 bits are sorted at once, from there ranks double.
+    """
+    n = len(ids)
+    bits = max(1, int(ids.max(initial=0) + 1).bit_length())
+    done = max(1, min(depth, 63 // bits))
+    key = np.zeros(n, np.int64)
+    for k in range(done):
+        key <<= bits
+        key[: max(n - k, 0)] += ids[k:] + 1
+    order = np.argsort(key, kind="stable")
+    while done < depth:
         rank = _ranks(key[order], order)
+        key = rank * (n + 1)
+        key[: max(n - done, 0)] += rank[done:] + 1
+        order = np.argsort(key, kind="stable")
         done *= 2
-    return order
+    return order.astype(np.int32 if n < 1 << 31 else np.int64)
 
 
 def _ranks(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -30,6 +37,16 @@ def _ranks(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _by_symbol(symbols: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative ids, 16 bits at a time (which numpy sorts by counting)."""
+    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    shift = 16
+    while int(symbols.max(initial=0)) >> shift:
+        order = order[np.argsort((symbols[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+        shift += 16
+    return order
+
+
 @dataclass
 class Grams:
     """N-grams of one length: their words (a row each), and the intervals of the index of the text (`lo`) and of the text reversed (`rlo`)."""
@@ -49,17 +66,17 @@ class FmIndex:
 
     def __init__(self, ids: np.ndarray, depth: int):
         self.depth = depth
-        closed = np.concatenate([[0], np.asarray(ids, np.int64), [0]])
+        closed = np.concatenate([[0], ids, [0]]).astype(np.int32 if max(ids.max(initial=0), len(ids)) < 1 << 30 else np.int64)
         self.bwt, self.map = self._transform(closed)
         self.rbwt, self.rmap = self._transform(closed[::-1])
-        self.starts = np.searchsorted(np.sort(closed), np.arange(closed.max() + 2))
+        self.starts = np.append(0, np.cumsum(np.bincount(closed)))
 
     def _transform(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol before each suffix in order (0 before the first), and where that suffix one longer stands."""
         order = suffix_order(text, self.depth)
-        bwt = np.where(order > 0, text[order - 1], 0)
-        where = np.empty(len(bwt), np.int64)
-        where[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+        bwt = np.where(order > 0, text[order - 1], 0).astype(text.dtype)
+        where = np.empty(len(bwt), order.dtype)
+        where[_by_symbol(bwt)] = np.arange(len(bwt), dtype=order.dtype)
         return bwt, where
 
     def words(self) -> Grams:
@@ -87,10 +104,10 @@ class FmIndex:
         if total == 0:
             none = np.zeros(0, np.int64)
             return none, none, none, none, none
-        of = np.repeat(np.arange(len(lo)), count)
+        of = np.repeat(np.arange(len(lo), dtype=np.int32 if len(lo) < 1 << 31 else np.int64), count)
         begin = np.cumsum(count) - count
-        rows = np.arange(total) - np.repeat(begin, count) + np.repeat(lo, count)
-        key = of * (int(bwt.max()) + 1) + bwt[rows]
+        rows = (np.arange(total) + np.repeat(lo - begin, count)).astype(bwt.dtype)
+        key = of * np.int64(int(bwt.max()) + 1) + bwt[rows]
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))

@@ -10,12 +10,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import let_go, table, written
+from quirelake.llm.common import discard, let_go, partitions, table, written
 from quirelake.llm.fm_index import FmIndex
 
 LONGEST, LEAST, MOST = 5, 100, 2000
 #: A shard is closed once it holds so many words (and is never cut inside a piece).
-SHARD_WORDS = 3 << 19
+SHARD_WORDS = 3 << 20
 #: Parts in which a language's phrases are ranked before the best of each are ranked together.
 RANK_PARTS = 64
 
@@ -53,8 +53,7 @@ class _Shard:
     def row(self, shard: int) -> dict:
         names = {id(ids): lang for lang, ids in self.by_lang.items()}
         text = np.concatenate(self.parts)
-        # ends of pieces that follow each other are one
-        text = text[(text > 0) | (np.append(1, text[:-1]) > 0)]
+        text = _closed_up(text)
         counts = np.bincount(text, minlength=len(self.taken) + 1)[1:]
         vocabulary = [{"lang": names[id(ids)], "word": word.decode(), "n": n} for (ids, word), n in zip(self.taken, counts.tolist())]
         return {"shard": shard, "seq": _pack(text.astype(np.int32)), "vocabulary": vocabulary}
@@ -111,74 +110,157 @@ def _frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
     return rows.withColumn("total", F.sum("n").over(Window.partitionBy(*key))).where(F.col("total") >= least)
 
 
-_PAIRS = "shard long, seq binary, a binary, b binary, n binary"
+def _shuffled(seq: np.ndarray, words: list[np.ndarray], n: np.ndarray, shard: int, buckets: int) -> pa.Table:
+    """A shard's text (bucket null) and its n-grams with their counts in pieces by a hash of their words, all packed."""
+    mixed = np.zeros(len(n), np.uint64)
+    for w in words:
+        mixed = (mixed ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+    bucket = (mixed % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    heads = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    pieces = [[_pack(part) for part in np.split(v.astype(np.int64)[order], heads[1:])] if len(heads) else [] for v in (*words, n)]
+    columns = {"shard": pa.array([shard] * (len(heads) + 1), pa.int64()), "bucket": pa.array([None, *bucket[order][heads].tolist()], pa.int32())}
+    columns["seq"] = pa.array([_pack(seq.astype(np.int64)), *[None] * len(heads)], pa.binary())
+    names = [f"w{i + 1}" for i in range(len(words))] + ["n"]
+    return pa.table(columns | {c: pa.array([None, *v], pa.binary()) for c, v in zip(names, pieces)})
+
+
+def _columns(size: int) -> dict[str, pa.DataType]:
+    return {"shard": pa.int64(), "bucket": pa.int32(), "seq": pa.binary(), **{f"w{i + 1}": pa.binary() for i in range(size)}, "n": pa.binary()}
+
+
+def _ddl(columns: dict[str, pa.DataType]) -> str:
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return ", ".join(f"{c} {kinds[t]}" for c, t in columns.items())
+
+
+def _none(columns: dict[str, pa.DataType]) -> pa.Table:
+    return pa.table({c: pa.array([], t) for c, t in columns.items()})
+
+
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    """What packed values hold, one after the other."""
+    return np.concatenate([np.zeros(0, np.int64), *(_unpack(v, np.int64) for v in column.to_pylist())])
+
+
+def _buckets(rows: DataFrame) -> int:
+    """A bucket is what one step of one task sums up; some for each partition."""
+    return 8 * partitions(rows.sparkSession)
+
+
+def _closed_up(text: np.ndarray) -> np.ndarray:
+    """The text with one 0 where several follow each other."""
+    return text[(text > 0) | (np.append(1, text[:-1]) > 0)]
 
 
 def _count_pairs(shards: DataFrame, words: DataFrame) -> DataFrame:
-    """(shard, seq, a, b, n): the shard's text in global ids without rare words, and its pairs with their counts, packed."""
+    """_shuffled() rows: each shard's text in global ids without rare words, and its pairs."""
+    columns, buckets = _columns(2), _buckets(shards)
 
     def count(key: tuple, shard: pa.Table, known: pa.Table) -> pa.Table:
         if not shard.num_rows or not known.num_rows:
-            return pa.Table.from_pylist([], schema=arrow)
+            return _none(columns)
         text = _unpack(shard.column("seq")[0].as_py(), np.int32)
         local, ids = known.column("local").to_numpy(), known.column("id").to_numpy()
-        kept = _kept(text, local)
-        names = np.append(0, ids[np.argsort(local)])
-        pairs = list(FmIndex(kept, 2).grams(2, 2))[0]
-        a, b = names[pairs.words[:, 0]], names[pairs.words[:, 1]]
-        row = {"shard": key[0].as_py(), "seq": _pack(names[kept]), "a": _pack(a), "b": _pack(b), "n": _pack(pairs.count.astype(np.int64))}
-        return pa.Table.from_pylist([row], schema=arrow)
-
-    arrow = pa.schema([("shard", pa.int64()), ("seq", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
-    return written(shards.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(count, _PAIRS), "phrase-pairs")
+        # frequent words are numbered anew in the order of their local ids, all others are 0
+        anew = np.zeros(int(max(text.max(initial=0), local.max())) + 1, np.int32)
+        anew[np.sort(local)] = np.arange(1, len(local) + 1)
+        kept, names = _closed_up(anew[text]), np.append(0, ids[np.argsort(local)])
+        (pairs,) = FmIndex(kept, 2).grams(2, 2)
+        return _shuffled(names[kept], [names[pairs.words[:, 0]], names[pairs.words[:, 1]]], pairs.count, key[0].as_py(), buckets)
+
+    return written(shards.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(count, _ddl(columns)), "phrase-pairs")
+
+
+def _often(grams: DataFrame, size: int, least: int, by_shard: bool) -> DataFrame:
+    """(shard, w1, ..., n), packed: the n-grams whose counts over all shards add up to `least`, with their sums (shard null) and, if asked, for each shard its own."""
+    names = [f"w{i + 1}" for i in range(size)]
+    columns = {"shard": pa.int64(), **{c: pa.binary() for c in [*names, "n"]}}
+
+    def total(key: tuple, pieces: pa.Table) -> pa.Table:
+        words, n = [_joined(pieces.column(c)) for c in names], _joined(pieces.column("n"))
+        sizes = [len(_unpack(v, np.int64)) for v in pieces.column("n").to_pylist()]
+        shard = np.repeat(pieces.column("shard").to_numpy(), sizes)
+        order = np.lexsort(words[::-1])
+        words, n, shard = [w[order] for w in words], n[order], shard[order]
+        heads = np.flatnonzero(np.any([np.diff(w, prepend=-1) != 0 for w in words], axis=0))
+        sums = np.add.reduceat(n, heads)
+        frequent = sums >= least
+        out = [(None, [w[heads[frequent]] for w in words], sums[frequent])]
+        if by_shard and frequent.any():
+            mine = np.repeat(frequent, np.diff(np.append(heads, len(n))))
+            order = np.argsort(shard[mine], kind="stable")
+            cuts = np.flatnonzero(np.diff(shard[mine][order])) + 1
+            parts = zip(np.split(shard[mine][order], cuts), zip(*[np.split(w[mine][order], cuts) for w in words]))
+            out += [(int(of[0]), list(w), np.zeros(0)) for of, w in parts]
+        return pa.table({"shard": pa.array([of for of, _, _ in out], pa.int64()), **{c: pa.array([_pack(w[i]) for _, w, _ in out], pa.binary()) for i, c in enumerate(names)}, "n": pa.array([_pack(v.astype(np.int64)) for _, _, v in out], pa.binary())})
+
+    return written(grams.where("bucket IS NOT NULL").select("bucket", "shard", *names, "n").groupBy("bucket").applyInArrow(total, _ddl(columns)), f"phrase-often-{size}")
+
+
+def _chains(text: np.ndarray, frequent: np.ndarray, size: int) -> np.ndarray:
+    """The stretches of a text all of whose n-grams of `size` words are frequent, those of `size` + 1 words and more; 0 ends each.
+
+    `frequent` tells it of the n-gram from each place. Stretches may share the words at their ends.
+    """
+    edges = np.diff(np.concatenate([[0], frequent.astype(np.int8), [0]]))
+    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    first, last = first[last - first > 1], last[last - first > 1]
+    sizes = last - first + size  # words and the 0
+    begin = np.cumsum(sizes) - sizes
+    places = np.arange(int(sizes.sum())) + np.repeat(first - begin, sizes)
+    out = np.append(text, 0)[np.minimum(places, len(text))]
+    out[begin + sizes - 1] = 0
+    return out
 
 
-def _kept(text: np.ndarray, local: np.ndarray) -> np.ndarray:
-    """Ids of `text` numbered anew: the k-th least of `local` is k, all others 0, and of neighbouring zeros one stays."""
-    anew = np.zeros(int(max(text.max(initial=0), local.max(initial=0))) + 1, np.int64)
-    anew[np.sort(local)] = np.arange(1, len(local) + 1)
-    out = anew[text]
-    return out[(out > 0) | (np.append(1, out[:-1]) > 0)]
+def _extended(shards: DataFrame, often: DataFrame, size: int, longest: int) -> DataFrame:
+    """The shards' n-grams of more than `size` and up to `longest` words all of whose parts of `size` words are among their `often`.
 
+    _shuffled() rows, `seq` being what is left of the text; words that a gram doesn't have are 0.
+    """
+    given, columns, buckets = [f"w{i + 1}" for i in range(size)], _columns(longest), _buckets(shards)
 
-def _unpacked(pairs: DataFrame) -> DataFrame:
-    """(a, b, shard, n) rows of packed ones."""
+    def count(key: tuple, shard: pa.Table, known: pa.Table) -> pa.Table:
+        if not shard.num_rows or not known.num_rows:
+            return _none(columns)
+        words, text = np.unique(np.append(_unpack(shard.column("seq")[0].as_py(), np.int64), 0), return_inverse=True)  # 0 is the least
+        here = max(len(text) - size, 0)
+        # grams by number: of those of one word the word's, of longer ones that of (all but the last, the last) among all pairs of numbers
+        mine, theirs = text[:here], np.searchsorted(words, _joined(known.column("w1")))
+        for i in range(1, size):
+            more = np.searchsorted(words, _joined(known.column(f"w{i + 1}")))
+            both = np.concatenate([mine * len(words) + text[i : here + i], theirs * len(words) + more])
+            both = np.unique(both, return_inverse=True)[1]
+            mine, theirs = both[:here], both[here:]
+        listed = np.zeros(int(max(mine.max(initial=0), theirs.max(initial=0))) + 1, bool)
+        listed[theirs] = True
+        left = _chains(text, listed[mine], size)
+        grams = list(FmIndex(left, longest).grams(size + 1, longest))
+        full = np.zeros((sum(len(g.count) for g in grams), longest), np.int64)
+        at = 0
+        for g in grams:
+            full[at : at + len(g.count), : g.words.shape[1]] = words[g.words]
+            at += len(g.count)
+        return _shuffled(words[left], list(full.T), np.concatenate([g.count for g in grams]), key[0].as_py(), buckets)
+
+    texts, known = shards.where("bucket IS NULL").select("shard", "seq"), often.where("shard IS NOT NULL").select("shard", *given)
+    return written(texts.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(count, _ddl(columns)), "phrase-grams")
+
+
+def _summed(often: DataFrame, size: int) -> DataFrame:
+    """(gram, a): the frequent n-grams, as arrays of ids, and their counts, a row each."""
+    names = [f"w{i + 1}" for i in range(size)]
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for shard, *packed in zip(*(part.column(i).to_pylist() for i in range(4))):
-                a, b, n = (_unpack(x, np.int64) for x in packed)
-                for at in range(0, len(a), 1 << 16):
-                    cut = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut]), pa.array(np.full(len(a[cut]), shard)), pa.array(n[cut])], names=["a", "b", "shard", "n"])
-
-    return pairs.select("shard", "a", "b", "n").mapInArrow(rows, "a long, b long, shard long, n long")
+            for packed in zip(*(part.column(i).to_pylist() for i in range(size + 1))):
+                *words, n = (_unpack(x, np.int64) for x in packed)
+                yield pa.RecordBatch.from_arrays([*(pa.array(w) for w in words), pa.array(n)], names=[*names, "a"])
 
-
-def _count_longer(shards: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
-    """(w1 ... w<longest>, n): n-grams of 3 words and more all of whose pairs are frequent, by shard; absent words are 0."""
-    names = [f"w{i + 1}" for i in range(longest)]
-    arrow = pa.schema([(c, pa.int64()) for c in [*names, "n"]])
-
-    def count(key: tuple, shard: pa.Table, known: pa.Table) -> pa.Table:
-        if not shard.num_rows or not known.num_rows:
-            return pa.Table.from_pylist([], schema=arrow)
-        text = _unpack(shard.column("seq")[0].as_py(), np.int64)
-        words, coded = np.unique(np.append(text, 0), return_inverse=True)  # 0 is the least
-        coded, size = coded[:-1], len(words)
-        a, b = (np.searchsorted(words, known.column(c).to_numpy()) for c in ("a", "b"))
-        frequent = np.isin(coded[:-1] * size + coded[1:], a * size + b)
-        # a word stays with the neighbours that it makes frequent pairs with; elsewhere the text is cut
-        cut = np.insert(coded, np.flatnonzero(~frequent) + 1, 0)
-        cut = cut[(cut > 0) | (np.append(1, cut[:-1]) > 0)]
-        out = []
-        for grams in FmIndex(cut, longest).grams(3, longest):
-            full = np.zeros((len(grams.count), longest), np.int64)
-            full[:, : grams.words.shape[1]] = words[grams.words]
-            out.append(pa.Table.from_arrays([*(pa.array(full[:, i]) for i in range(longest)), pa.array(grams.count.astype(np.int64))], schema=arrow))
-        return pa.concat_tables(out) if out else pa.Table.from_pylist([], schema=arrow)
-
-    return shards.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(count, ", ".join(f"{c} long" for c in [*names, "n"]))
+    plain = often.where("shard IS NULL").select(*names, "n").mapInArrow(rows, ", ".join(f"{c} long" for c in [*names, "a"]))
+    return plain.select(F.filter(F.array(*names), lambda w: w > 0).alias("gram"), "a")
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -189,32 +271,44 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     count of a phrase that is one word longer on that side (0: none that is frequent). n counts all words of a language.
 
     Each task indexes the texts it reads in shards. Words are summed over the shards first, then pairs of frequent words,
-    then longer phrases of frequent pairs (no phrase is more frequent than its parts, so none is lost); shards send each
-    n-gram once, with its count. What returns to a shard are its own frequent words and pairs. Texts are read once.
+    triples of frequent pairs, and longer phrases of frequent triples (no phrase is more frequent than its parts, so none
+    is lost); shards send each n-gram once, with its count, and get back their own frequent ones. Texts are read once.
     """
     shards = _shards(docs, text_col, lang_col, shard_words)
     words = shards.select("shard", F.posexplode("vocabulary").alias("at", "v")).select("shard", (F.col("at") + 1).cast("long").alias("local"), "v.lang", "v.word", "v.n")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     # the place of a word in the first shard that has it is its global id
     place = F.col("shard") * F.lit(1 << 31) + F.col("local")
     frequent = _frequent(words, ["lang", "word"], least).withColumn("id", F.min(place).over(Window.partitionBy("lang", "word")))
-    known = written(frequent, "phrase-words")
+    known = written(frequent.select("shard", "local", "id", "total", F.when(F.col("id") == place, F.struct("lang", "word")).alias("named")), "phrase-words")
+    names_of = written(known.where("named IS NOT NULL").select("id", "named.*", "total"), "phrase-names")
     pairs = _count_pairs(shards.select("shard", "seq"), known.select("shard", "local", "id"))
-    often = written(_frequent(_unpacked(pairs), ["a", "b"], least), "phrase-frequent-pairs")
-    longer = _count_longer(pairs.select("shard", "seq"), often.select("shard", "a", "b"), longest)
-    names = [f"w{i + 1}" for i in range(longest)]
-    summed = longer.groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    zero = F.lit(0).cast("long")
-    two = often.groupBy(F.col("a").alias("w1"), F.col("b").alias("w2")).agg(F.max("total").alias("a")).select("w1", "w2", *[zero.alias(c) for c in names[2:]], "a")
-    long = summed.unionByName(two).withColumn("gram", F.filter(F.array(*names), lambda w: w > 0)).select("gram", "a")
-    names_of = known.where(F.col("id") == place).select("id", "lang", "word", "total")
-    spelled = long.select("gram", "a", F.posexplode("gram").alias("at", "id")).join(names_of.drop("total"), "id")
-    many = spelled.groupBy("gram").agg(F.max("a").alias("a"), F.max("lang").alias("lang"), F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]).alias("words"))
-    single = names_of.select("lang", F.array("word").alias("words"), F.col("total").alias("a"))
-    phrases = written(single.unionByName(many.select("lang", "words", "a")), "phrases")
+    discard(shards, known)
+    found = [names_of.select(F.array("word").alias("words"), "lang", F.col("total").alias("a"))]
+    held, often = pairs, None
+    for size in range(2, min(longest, 4) + 1):
+        length = size if size < 4 else longest  # from triples on, all longer phrases at once
+        if size > 2:
+            before, held = held, _extended(held, often, size - 1, length)
+            discard(before, often)
+        often = _often(held, length, least, by_shard=length < longest)
+        found.append(_spelled(_summed(often, length), names_of))
+    phrases = found[0].select("lang", "words", "a")
+    for more in found[1:]:
+        phrases = phrases.unionByName(more)
+    phrases = written(phrases, "phrases")
+    discard(held, names_of, *([often] if often is not None else []))
     return _with_sides(phrases), totals
 
 
+def _spelled(grams: DataFrame, names: DataFrame) -> DataFrame:
+    """(lang, words, a) of (gram, a) rows: ids by what they stand for."""
+    met = grams.select("gram", "a", F.posexplode("gram").alias("at", "id")).join(names.drop("total"), "id")
+    spelled = F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"])
+    many = met.groupBy("gram").agg(F.max("a").alias("a"), F.max("lang").alias("lang"), spelled.alias("words"))
+    return written(many.select("lang", "words", "a"), "phrase-spelled")
+
+
 def _with_sides(phrases: DataFrame) -> DataFrame:
     size = F.size("words")
     longer = phrases.where(size > 1)
