@@ -136,13 +136,20 @@ def context_pages(elements: DataFrame, pages: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def sorted_json(text: pd.Series) -> pd.Series:
-    """A JSON text as it is stored: keys in order, two blanks a level, a line feed at the end."""
-    return text.map(lambda t: json.dumps(json.loads(t), ensure_ascii=False, indent=2, sort_keys=True) + "\n", na_action="ignore")
+    """A JSON text as it is stored: keys in order, two blanks a level, a line feed at the end; null for what isn't JSON."""
+
+    def stored(t: str) -> str | None:
+        try:
+            return json.dumps(json.loads(t), ensure_ascii=False, indent=2, sort_keys=True) + "\n"
+        except ValueError:
+            return None
+
+    return text.map(stored, na_action="ignore")
 
 
 def write_json(rows: DataFrame, path: str, value: str = "value") -> None:
-    """Writes JSON texts, each in its stored form; a file appears only when the job commits."""
-    rows.select(F.rtrim(sorted_json(F.col(value)), F.lit("\n"))).write.mode("overwrite").text(path)  # the writer ends each with a line feed
+    """Writes JSON texts, each in its stored form, into part files; one appears only when the job commits. A file for each text: file_per_row."""
+    rows.where(F.col(value).isNotNull()).select(F.rtrim(sorted_json(F.col(value)), F.lit("\n"))).write.mode("overwrite").text(path)  # the writer ends each with a line feed
 
 
 def cached_path(source: Column, folder: str, suffix: str = ".md") -> Column:

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from quirelake.functions import text as tx
 from quirelake.operators import chunks, detection, flows, lines, validation
 from quirelake.plans.source_queries import counting_model
 from quirelake.sources import adapters, files, sinks
+from quirelake.sources import file_per_row as fpr
 
 
 def brute_clean(text):
@@ -262,3 +264,40 @@ def test_programs_and_paths(spark):
     rows = [(" a  --b ", True, "/p"), ("", True, "/p"), (None, False, "/p"), (None, None, None)]
     got = [r[0] for r in spark.createDataFrame(rows, "s string, m boolean, p string").select(adapters.ocr_prefix(F.col("s"), F.col("m"), F.col("p"))).collect()]
     assert got == [["a", "--b"], ["python", "-m", "ocrmypdf"], ["/p"], None]
+
+
+def test_a_file_for_each_document(spark, tmp_path):
+    root = f"file://{tmp_path}/out"
+    rows = spark.createDataFrame([(f"a/{i}.json", f'{{"b":{i},"a":"é"}}') for i in range(30)] + [("none.json", None), ("bad.json", "{")], "name string, value string").repartition(4)
+    fpr.write_files(rows, root, F.col("name"), sinks.sorted_json(F.col("value")))
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()) == sorted(f"a/{i}.json" for i in range(30))
+    assert (tmp_path / "out/a/7.json").read_text() == '{\n  "a": "é",\n  "b": 7\n}\n' and not (tmp_path / "out/_attempts").exists()
+    again = rows.where("name = 'a/7.json'")
+    fpr.write_files(again, root, F.col("name"), F.lit(b"\x00new"))  # a rerun replaces
+    assert (tmp_path / "out/a/7.json").read_bytes() == b"\x00new" and len(list((tmp_path / "out/a").iterdir())) == 30
+
+
+def test_a_job_that_fails_leaves_nothing(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    (tmp_path / "kept.txt").write_text("before")
+    good = spark.range(40).select(F.when(F.col("id") == 0, "kept.txt").otherwise(F.concat(F.col("id").cast("string"), F.lit(".txt"))).alias("name"), F.lit("new").alias("value")).repartition(4)
+    for broken in (F.when(F.col("name") == "39.txt", "../out.txt").otherwise(F.col("name")), F.when(F.col("name") == "39.txt", "38.txt").otherwise(F.col("name")), F.when(F.col("name") == "39.txt", F.raise_error(F.lit("killed"))).otherwise(F.col("name"))):
+        with pytest.raises(Exception):
+            fpr.write_files(good, root, broken, F.col("value"))
+        for _ in range(50):  # tasks that outlive their job clear up as they end
+            if len(list(tmp_path.iterdir())) > 1:
+                time.sleep(0.1)
+        assert [p.name for p in tmp_path.iterdir()] == ["kept.txt"] and (tmp_path / "kept.txt").read_text() == "before"
+
+
+def test_manifests_are_saved_and_a_run_goes_on_from_them(spark, tmp_path):
+    videos = spark.createDataFrame([(f"u{i}", f"T{i}", f"t{i}", None if i % 3 == 0 else f"WEBVTT\n\nsaid {i}") for i in range(9)], "url string, title string, slug string, subtitles string")
+    model = lambda told, text, name: f"note of {text.strip()}"
+    first = flows.run_videos(videos, model, "sum up", 400).drop("summary")
+    items = first.withColumns({"playlist_title": F.lit("Été"), "position": F.substring("url", 2, 3).cast("int")})
+    fpr.save_manifests(sinks.manifest_documents(items), f"file://{tmp_path}/jobs")
+    assert [p.name for p in (tmp_path / "jobs").iterdir()] == ["playlist-ete_manifest.json"]
+    saved = fpr.load_manifests(spark, f"file://{tmp_path}/jobs")
+    assert [(r.position, r.url, r.status) for r in saved.orderBy("position").collect()] == [(i, f"u{i}", "failed" if i % 3 == 0 else "done") for i in range(9)]
+    found = videos.withColumn("subtitles", F.lit("WEBVTT\n\nfound"))
+    assert {(r.url, r.status) for r in flows.run_videos(found, model, "sum up", 400, saved).collect()} == {(f"u{i}", "done") for i in (0, 3, 6)}
