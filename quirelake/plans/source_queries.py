@@ -309,14 +309,11 @@ SELECT o_custkey, complexity, l[1] AS preferred_engine, array_to_string(l, ',')
 
 
 def c1_tokenizer_tokens(spark, sf_dir):
-    """Tokens of every text by a public tokenizer's file; there is no SQL for those."""
-    try:
-        import public_tokenizers
-
-        path = public_tokenizers.path("byte_bpe_50k.json")
-    except ImportError:
-        path = ""
-    return _t(spark, sf_dir, "documents").select("doc_id", tx.token_counter(path)(F.col("text")).alias("tokens"))
+    """Tokens of every text by a public tokenizer's file, and the way they were counted; there is no SQL for those."""
+    import public_tokenizers
+
+    counted = tx.counted_by(public_tokenizers.path("byte_bpe_50k.json"))(F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", counted.alias("c")).select("doc_id", "c.tokens", "c.way")
 
 
 def counting_model(instructions: str, text: str, model: str) -> str:

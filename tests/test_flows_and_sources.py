@@ -241,6 +241,8 @@ def test_tokens_by_a_file(spark):
     docs = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
     own = Tokenizer.from_file(path)
     assert {r[0]: r[1] for r in docs.select("t", tx.token_counter(path)(F.col("t"))).collect()} == {None: None} | {t: len(own.encode(t, add_special_tokens=False).ids) for t in texts}
+    for file, way in ((path, "file"), ("/nowhere", "estimate")):
+        assert {r[0]: r[1].way for r in docs.select("t", tx.counted_by(file)(F.col("t"))).collect()} == {None: None} | {t: way for t in texts}
     assert {r[0]: r[1] for r in docs.select("t", tx.token_counter("/nowhere")(F.col("t"))).collect()} == {None: None} | {t: max(1, len(t) // 4) for t in texts}
 
 
