@@ -22,6 +22,9 @@ SHAPES = {
     "op8_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9_multi_index": "query_id bigint, rank int, vec_id bigint, score double",
     "op10_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op11_phrases": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op12_decontaminate": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op13_merkle": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
 }
 
 
@@ -54,7 +57,7 @@ def test_columns_and_types(rows, name):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_rows_by_sql(rows, name):
     db = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "benchmark"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = db.sql(ORACLES[name])
     names = [c.split()[0] for c in SHAPES[name].split(", ")]
