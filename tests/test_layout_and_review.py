@@ -183,3 +183,32 @@ def test_hints_and_checks_over_all_rows_and_whole_texts(spark):
     assert checked.select("l_orderkey", "l_linenumber").distinct().count() == lines
     for r in checked.where("l_linenumber > 3").collect():
         assert ("arithmetic_check_failed" in r.alerts) == (r.l_orderkey % 7 == 0 and (r.q * r.d + 3) % 10 != 0)
+
+
+def test_covered_boxes_by_grid(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    n = 20_000
+    at, side = rng.uniform(-50, 3000, (n, 2)), rng.choice([0.0, 0.5, 4.0, 32.0, 33.0, 250.0], (n, 2)) * rng.choice([1.0, 0.97], (n, 1))
+    boxes = pd.DataFrame({"doc_id": "d", "page_index": 0, "ordinal": range(n), "element_type": rng.choice(["table", "figure", "chart", "formula"], n)})
+    boxes["number"] = [f"1.{i}" if i % 2 else None for i in range(n)]
+    boxes[["x0", "y0"]], boxes[["x1", "y1"]] = at, at + side
+    boxes.loc[n - 40 :, "number"] = "wide"  # boxes over most of the page, too
+    boxes.loc[n - 40 :, ["x0", "y0", "x1", "y1"]] = [0.0, 100.0, 2900.0, 900.0]
+    boxes.loc[0, "x0"] = None
+    rows = spark.createDataFrame(boxes.astype(object).where(boxes.notna(), None), "doc_id string, page_index int, ordinal int, element_type string, number string, x0 double, y0 double, x1 double, y1 double")
+    got = {r.ordinal for r in detection.covered_elements(rows).collect()}
+    family = boxes.element_type.map({"table": "t", "figure": "f", "chart": "f"})
+    want = set()
+    for f in ("t", "f"):
+        outer = boxes[(family == f) & boxes.number.notna()][["x0", "y0", "x1", "y1"]].to_numpy()
+        for i, x0, y0, x1, y1 in boxes[(family == f) & boxes.number.isna()][["ordinal", "x0", "y0", "x1", "y1"]].itertuples(index=False):
+            wide = np.clip(np.minimum(x1, outer[:, 2]) - np.maximum(x0, outer[:, 0]), 0, None)
+            high = np.clip(np.minimum(y1, outer[:, 3]) - np.maximum(y0, outer[:, 1]), 0, None)
+            area = (x1 - x0) * (y1 - y0)
+            if area > 0 and (wide * high / area >= 0.7).any():
+                want.add(int(i))
+    assert got == want and len(want) > 100
+    assert detection.covered_elements(rows.limit(0)).count() == 0
