@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quirelake.functions.text import numeric_signature, number_tokens, parse_cell
 from quirelake.operators import detection, ocr_geometry
 from quirelake.plans.fixtures import duck, fixture
+from quirelake.sources import layouts
+from quirelake.sources.staging import fresh_folder
 
 
 def _pages(spark, sf_dir):
@@ -36,6 +38,23 @@ _LAYOUT = f"""
               FROM (SELECT *, CASE length(printed_page_raw) WHEN 1 THEN 0.55 WHEN 2 THEN 0.85 ELSE 0.95 END AS base FROM identity))"""
 
 
+def _layout_files(spark, sf_dir):
+    """A file for each document with all its pages and blocks."""
+    folder = fresh_folder(spark, "layouts")
+    layouts.write_json_lines(fixture(spark, sf_dir, "layout_all_pages"), _blocks(spark, sf_dir), folder)
+    return folder
+
+
+def s7_layout_blocks(spark, sf_dir):
+    return layouts.read_blocks(spark, _layout_files(spark, sf_dir), layouts.json_lines, ending=".jsonl")
+
+
+def s8_page_texts(spark, sf_dir):
+    folder = _layout_files(spark, sf_dir)
+    counts = layouts.page_counts(layouts.read_pages(spark, folder, layouts.json_lines, ("doc_id",), ending=".jsonl"))
+    return layouts.read_pages(spark, folder, layouts.json_lines, ("doc_id", "page_index", "page_text"), ending=".jsonl").join(counts, "doc_id")
+
+
 def g1_text_blocks(spark, sf_dir):
     words = ocr_geometry.read_words(fixture(spark, sf_dir, "ocr_words"))
     made = ocr_geometry.text_blocks(words, 612.0, 792.0, 300)
@@ -212,6 +231,14 @@ WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber, (l_partkey % 900 + 100)::VA
 SELECT l_orderkey, n, l_linenumber, '$' || n || '|1' || n || '|-' || n || '.' || l_linenumber || '|-' || n || '|.' || n AS tokens FROM a"""
 
 QUERIES = {
+    "s7_layout_blocks": (
+        s7_layout_blocks,
+        f"WITH b AS ({duck('layout_blocks')}) SELECT doc_id::VARCHAR AS doc_id, page_index, block_ordinal, block_type, text, x0, y0, x1, y1 FROM b",
+    ),
+    "s8_page_texts": (
+        s8_page_texts,
+        f"WITH {_LAYOUT} SELECT doc_id::VARCHAR AS doc_id, page_index, page_text, count(*) OVER (PARTITION BY doc_id) AS page_count FROM pages",
+    ),
     "g1_text_blocks": (g1_text_blocks, G1_SQL),
     "g2_skew": (g2_skew, G2_SQL),
     "g3_mean_confidence": (g3_mean_confidence, f"WITH {_WORDS} SELECT doc_id, round(avg(conf) FILTER (WHERE conf >= 0) / 100, 6) AS confidence FROM w GROUP BY doc_id"),

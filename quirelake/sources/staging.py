@@ -6,17 +6,16 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def staged(rows: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in spark.checkpoint.dir: worked out once, kept when executors are lost, read by name of column.
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A folder's path in spark.checkpoint.dir that nothing else writes to.
 
-    Where that folder isn't set, one of our own serves sessions that run in one process; others raise.
+    Where that setting is unset, a folder of our own serves sessions that run in one process; others raise.
     """
-    spark = rows.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
@@ -25,6 +24,11 @@ def staged(rows: DataFrame, label: str) -> DataFrame:
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="quirelake-")
         folder = _own[app]
-    path = f"{folder.rstrip('/')}/quirelake/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/quirelake/{label}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: worked out once, kept when executors are lost, read by name of column."""
+    path = fresh_folder(rows.sparkSession, label)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
