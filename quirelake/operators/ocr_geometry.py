@@ -106,3 +106,42 @@ def red_share_of_images(images: DataFrame) -> DataFrame:
         return pd.Series([one(n, raw) for n, raw in zip(channels, data)], dtype="float64")
 
     return images.select("image_id", share("channels", "data").alias("red_ratio"))
+
+
+def red_share_of_png(images: DataFrame) -> DataFrame:
+    """(image_id, red_ratio, has_red_annotations) of (image_id, content, box, width, height) rows: PNG bytes and a part of the page.
+
+    The box, in the page's units (`width`, `height`), is cut to the page and counts with every pixel that it touches; a null
+    box is the whole image. Colours count times their alpha. Grey images and unreadable bytes give 0, a box without an area
+    on its page is null.
+    """
+    from quirelake.operators.detection import intersect_page
+
+    @F.pandas_udf("double")
+    def share(content: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        import numpy as np
+
+        from quirelake.functions import png
+
+        def one(data: bytes | None, *box: float) -> float:
+            try:
+                pixels = png.on_black(png.decode(data or b""))
+            except png.NotPng:
+                return 0.0
+            if pixels.shape[2] < 3:
+                return 0.0
+            high, wide = pixels.shape[:2]
+            left, top = int(np.floor(box[0] * wide)), int(np.floor(box[1] * high))
+            part = pixels[top : max(top + 1, int(np.ceil(box[3] * high))), left : max(left + 1, int(np.ceil(box[2] * wide)))]
+            r, g, b = (part[..., c].astype(np.int16) for c in range(3))
+            return float(((r >= RED) & (r - g >= RED_LEAD) & (r - b >= RED_LEAD)).mean())
+
+        return pd.Series([one(*row) for row in zip(content, x0, y0, x1, y1)], dtype="float64")
+
+    part = intersect_page(F.col("box"), F.col("width"), F.col("height"))
+    whole = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1"))
+    shares = F.struct((part["x0"] / F.col("width")).alias("x0"), (part["y0"] / F.col("height")).alias("y0"), (part["x1"] / F.col("width")).alias("x1"), (part["y1"] / F.col("height")).alias("y1"))
+    at = images.select("image_id", "content", F.when(F.col("box").isNull(), whole).when(part.isNotNull(), shares).alias("at"), (F.col("box").isNotNull() & part.isNull()).alias("off"))
+    # a box off its page is worked out as the whole image, and then left out
+    edges = [F.coalesce(F.col(f"at.{c}"), whole[c]) for c in ("x0", "y0", "x1", "y1")]
+    return at.select("image_id", F.when(~F.col("off"), share("content", *edges)).alias("red_ratio")).withColumn("has_red_annotations", F.col("red_ratio") >= RED_ALERT)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from quirelake.functions import png
 from quirelake.functions.text import numeric_signature, number_tokens, parse_cell
 from quirelake.operators import detection, ocr_geometry
 from quirelake.plans.fixtures import duck, fixture
@@ -101,6 +103,23 @@ def g5_red_share(spark, sf_dir):
     return ocr_geometry.red_share(pixels, "l_orderkey").withColumn("red_ratio", F.round("red_ratio", 6))
 
 
+def g5_png_red_share(spark, sf_dir):
+    """The pixels of g5_red_share as an image an order, in order of their values; the share is that of the image's bytes."""
+
+    @F.pandas_udf("binary")
+    def image(pixels: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return pd.Series([png.encode_rgb(np.array(list(p), np.uint8).reshape(-1, 1, 3)) for p in pixels])
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    pixel = F.struct(*[v.cast("int").alias(n) for n, v in (("r", F.col("l_partkey") * 7 % 256), ("g", F.col("l_suppkey") * 5 % 256), ("b", F.col("l_linenumber") * 31 % 256))])
+    drawn = rows.groupBy("l_orderkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(pixel)), lambda p: F.array(p["r"], p["g"], p["b"]))).alias("pixels"))
+    box = F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")
+    images = drawn.select(F.col("l_orderkey").alias("image_id"), image("pixels").alias("content"), box.alias("box"), F.lit(1.0).alias("width"), F.lit(1.0).alias("height"))
+    return ocr_geometry.red_share_of_png(images).select(F.col("image_id").alias("l_orderkey"), F.round("red_ratio", 6).alias("red_ratio"), "has_red_annotations")
+
+
 def d1_page_identity(spark, sf_dir):
     known = detection.page_identity(_pages(spark, sf_dir), _blocks(spark, sf_dir))
     return known.select("doc_id", "page_index", "document_page_id", "printed_page_raw", F.coalesce("printed_page_normalized", F.lit(-1)).alias("printed_page_normalized"), F.round("printed_page_confidence", 4).alias("printed_page_confidence"))
@@ -230,6 +249,9 @@ E3_SQL = """
 WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber, (l_partkey % 900 + 100)::VARCHAR AS n FROM lineitem)
 SELECT l_orderkey, n, l_linenumber, '$' || n || '|1' || n || '|-' || n || '.' || l_linenumber || '|-' || n || '|.' || n AS tokens FROM a"""
 
+G5_SQL = """WITH p AS (SELECT l_orderkey, l_partkey * 7 % 256 AS r, l_suppkey * 5 % 256 AS g, l_linenumber * 31 % 256 AS b FROM lineitem),
+           s AS (SELECT l_orderkey, avg((r >= 180 AND r - g >= 70 AND r - b >= 70)::INT) AS x FROM p GROUP BY 1) SELECT l_orderkey, round(x, 6) AS red_ratio, x >= 0.0005 AS has_red_annotations FROM s"""
+
 QUERIES = {
     "s7_layout_blocks": (
         s7_layout_blocks,
@@ -246,11 +268,8 @@ QUERIES = {
         g4_lenient_numbers,
         f"WITH w AS ({duck('ocr_words')}) SELECT doc_id, sum(coalesce(TRY_CAST(line_num AS INT), 0))::BIGINT AS lines, sum(coalesce(TRY_CAST(conf AS DOUBLE), -1)) AS confidences FROM w GROUP BY doc_id",
     ),
-    "g5_red_share": (
-        g5_red_share,
-        """WITH p AS (SELECT l_orderkey, l_partkey * 7 % 256 AS r, l_suppkey * 5 % 256 AS g, l_linenumber * 31 % 256 AS b FROM lineitem),
-           s AS (SELECT l_orderkey, avg((r >= 180 AND r - g >= 70 AND r - b >= 70)::INT) AS x FROM p GROUP BY 1) SELECT l_orderkey, round(x, 6) AS red_ratio, x >= 0.0005 AS has_red_annotations FROM s""",
-    ),
+    "g5_red_share": (g5_red_share, G5_SQL),
+    "g5_png_red_share": (g5_png_red_share, G5_SQL),
     "d1_page_identity": (
         d1_page_identity,
         f"""WITH {_LAYOUT} SELECT doc_id, page_index, printf('%d:p%06d', doc_id, page_index + 1) AS document_page_id, printed_page_raw, coalesce(printed_page_raw::INT, -1) AS printed_page_normalized,
