@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ FIT_ROUNDS = 3
 UNKNOWN, LEAST = 1e-9, 1e-8
 #: Letters of a piece of a longer word that the fit sees; scoring takes words as they are.
 FIT_LETTERS = 100
+#: Words of a language that the fit takes, the most frequent of those documents, and word and language pairs in all.
+FIT_WORDS, FIT_PAIRS = 50_000, 40_000_000
 #: Sums are brought back to about 1 after so many letters, which keeps those of any word within a double's range.
 RESCALE = 8
 #: Letters of the words that a worker remembers; beyond that it begins anew.
@@ -231,8 +234,9 @@ def held_out(id_col: str):
 def fit_languages(docs: DataFrame, vocabulary_path: str, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their piece probabilities, from (id, text, lang) rows: at most `fit_docs` of each language.
 
-    The words of the chosen documents are counted by Spark; what reaches the driver is bounded by the sample, and
-    by a row a language.
+    The words of the chosen documents are counted by Spark, each task's first. At most FIT_WORDS of a language reach the
+    driver, and fewer where so many languages' words would make more than FIT_PAIRS pairs; words as frequent go by their
+    order. Besides, a row a language does.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     size = 1 << 40
@@ -244,10 +248,13 @@ def fit_languages(docs: DataFrame, vocabulary_path: str, fit_docs: int = FIT_DOC
 
     def words(parts):
         for part in parts:
-            rows = [(lang, w[i : i + FIT_LETTERS]) for lang, text in zip(part["lang"], part["text"]) for w in words_of(text) for i in range(0, len(w), FIT_LETTERS)]
-            yield pd.DataFrame(rows, columns=["lang", "word"])
+            n = Counter((lang, w[i : i + FIT_LETTERS]) for lang, text in zip(part["lang"], part["text"]) for w in words_of(text) for i in range(0, len(w), FIT_LETTERS))
+            yield pd.DataFrame([(*key, times) for key, times in n.items()], columns=["lang", "word", "n"])
 
-    counted = chosen.select("lang", "text").mapInPandas(words, "lang string, word string").groupBy("lang", "word").count().toPandas()
+    each = min(FIT_WORDS, max(1, FIT_PAIRS // max(1, cut.count()) ** 2))
+    met = chosen.select("lang", "text").mapInPandas(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("count"))
+    frequent = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+    counted = met.withColumn("place", F.row_number().over(frequent)).where(F.col("place") <= each).drop("place").toPandas()
     if counted.empty:
         return [], np.zeros((0, 0))
     languages = sorted(counted["lang"].unique())

@@ -488,6 +488,8 @@ def test_languages_are_told_apart(prose, edge, empty):
     odd = {r.doc_id: r for r in language_id.identify(edge, languages, p, ["doc_id"], "text", path).collect()}
     assert odd[1].lang_pred == odd[2].lang_pred == odd[3].lang_pred == "und" and odd[4].lang_pred in languages
     assert language_id.identify(empty, languages, p, ["doc_id"], "text", path).count() == 0
+    few = language_id.fit_languages(learned, path, fit_docs=30)
+    assert few[0] == languages and (few[1] == p).all()
     none, nothing = language_id.fit_languages(learned.where("false"), path)
     assert none == [] and language_id.identify(edge, none, nothing, ["doc_id"], "text", path).where("lang_pred <> 'und'").count() == 0
 
@@ -553,3 +555,17 @@ def test_line_field_on_held_out_labels(spark, edge, empty):
 def test_kept_text_hash(edge):
     row = line_dedup.dedup_lines(edge).where("doc_id = 6").select(F.sha2("__lines.kept", 256)).first()
     assert row[0] == hashlib.sha256(b"x\n").hexdigest()
+
+
+def test_words_of_a_fit_are_the_most_frequent(spark, monkeypatch):
+    rows = [(i, f"common w{i} " + "b b a a c ", lang) for i, lang in enumerate(["x", "x", "y", "y", "y"])]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(language_id.Lattice, "fit", lambda self, words, counts, rounds=3: seen.update(zip(words, counts.tolist())))
+    monkeypatch.setattr(language_id, "FIT_WORDS", 3)
+    language_id.fit_languages(docs, language_id.default_vocabulary())
+    assert seen == {"a": [4.0, 6.0], "b": [4.0, 6.0], "c": [2.0, 3.0]}
+    seen.clear()
+    monkeypatch.setattr(language_id, "FIT_PAIRS", 8)
+    language_id.fit_languages(docs, language_id.default_vocabulary())
+    assert seen == {"a": [4.0, 6.0], "b": [4.0, 6.0]}
