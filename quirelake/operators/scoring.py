@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.functions.folding import casefold
 from quirelake.functions.text import canonical_number, flatten_parts, json_string, number_tokens
 
 # Fixed values that results depend on.
@@ -51,7 +52,7 @@ def best_elements(cases: DataFrame, elements: DataFrame) -> DataFrame:
     pdf_page_number and want_id, want_type, want_figure, want_table, want_text; `elements` has source,
     pdf_page_number, element_ordinal, element_id, element_type, figure_number, table_number, raw_text, ...
     """
-    asked = cases.withColumn("want_text", F.lower(F.coalesce("want_text", F.lit(""))))
+    asked = cases.withColumn("want_text", casefold(F.coalesce("want_text", F.lit(""))))
     pairs = asked.join(elements, ["source", "pdf_page_number"])
     same_id = F.coalesce(F.col("want_id") == F.col("element_id"), F.lit(False))
     exact = F.max(same_id.cast("int")).over(Window.partitionBy("source", "case_id")) == 1
@@ -60,7 +61,7 @@ def best_elements(cases: DataFrame, elements: DataFrame) -> DataFrame:
         return F.coalesce(F.col(name), F.lit("")).isin("") | F.coalesce(F.col(name) == F.col(column), F.lit(False))
 
     fits = wanted("want_type", "element_type") & wanted("want_figure", "figure_number") & wanted("want_table", "table_number")
-    holds = F.contains(F.lower(F.coalesce("raw_text", F.lit(""))), F.col("want_text"))
+    holds = F.contains(casefold(F.coalesce("raw_text", F.lit(""))), F.col("want_text"))
     chosen = pairs.withColumn("__exact", exact).where((~F.col("__exact") | same_id) & fits & holds)
     kept = [c for c in elements.columns if c not in ("source", "pdf_page_number")]
     best = chosen.groupBy("source", "case_id").agg(F.min_by(F.struct(*kept), "element_ordinal").alias("__e"))
@@ -73,7 +74,7 @@ def is_correct(kind: Column, expected: Column, aliases: Column, content: Column,
     return (
         F.when(kind == "element_present", F.lit(True))
         .when(kind == "data_digitized", digitized.cast("string").eqNullSafe(expected))
-        .when(kind == "text_contains", F.contains(F.lower(content), F.lower(expected)))
+        .when(kind == "text_contains", F.contains(casefold(content), casefold(expected)))
         .when(kind == "quantitative_token", F.arrays_overlap(accepted, number_tokens(content)))
     )
 

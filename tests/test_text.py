@@ -81,3 +81,14 @@ def test_engines(spark):
     assert got == [["ocrmypdf", "mineru", "text"], ["mineru", "ocrmypdf", "text"], ["mineru", "text", "ocrmypdf"], ["text", "mineru", "ocrmypdf"]]
     none = rows.select(complexity.engine_order(F.col("s"), F.col("c"), F.create_map(F.lit("x"), F.lit(True))).alias("o")).first().o
     assert none == ["text"]
+
+
+def test_every_code_point_folds(spark):
+    import sys
+
+    from quirelake.functions.folding import casefold
+
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    rows = [(i, "".join(every[i : i + 97])) for i in range(0, len(every), 97)] + [(-1, "Straße ΣΑΣ ς ŉ ﬃ İ"), (-2, ""), (-3, None), (-4, "PLAIN")]
+    got = {r.i: r.folded for r in spark.createDataFrame(rows, "i int, t string").select("i", casefold(F.col("t")).alias("folded")).collect()}
+    assert all(got[i] == (t and t.casefold()) if t else got[i] == t for i, t in rows)
