@@ -45,11 +45,11 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quirelake/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts lineage, survives lost executors and is computed once."""
+def written(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """The rows as a table in the shared folder, in folders by the columns `by`: cuts lineage, survives lost executors and is computed once."""
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     if _open():

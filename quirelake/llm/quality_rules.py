@@ -57,11 +57,13 @@ def base_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
     return len(words), int(_IN_WORD[codes].sum(dtype=np.int64)), int(_SYMBOLS[codes].sum(dtype=np.int64)), len(lines) - len(set(lines)), _repeated_words(words)
 
 
-def _scores(docs: DataFrame, carry: list[str], text: str, model: DataFrame, sizes: dict[str, int], shard: int) -> DataFrame:
-    """The carried columns with the base counts and `__s1`, `__s2`, `__s3`, `__n`: ngram_model.log_sums() of each text.
+def _scores(docs: DataFrame, carry: list[str], text: str, model: DataFrame, sizes: dict[str, int], shard: int, columns: list) -> list[DataFrame]:
+    """Tables of `columns` over the carried ones, the base counts and `__s1`, `__s2`, `__s3`, `__n`: ngram_model.log_sums() of each text.
 
-    A pass over the rows of some languages has their models by broadcast, about `shard` entries. A language that needs
-    more has several passes, whose sums add up; the texts of that language are written between them.
+    A pass over the rows of some languages has their models by broadcast, about `shard` entries; its rows are a table
+    before the broadcast is destroyed. Where there are several passes, rows are dealt by pass once, so that each reads
+    its own alone. A language that needs more than a shard has several passes, whose sums add up; the texts of that
+    language are written between them. Rows of a language without a model go with the first pass.
     """
     lang, half = carry.index("__lang"), carry.index("__half")
     none = np.zeros(0, np.int64), np.zeros(0, np.float32)
@@ -82,19 +84,25 @@ def _scores(docs: DataFrame, carry: list[str], text: str, model: DataFrame, size
             base = [list(x) for x in zip(*map(base_counts, texts))] or [[]] * 5
             return [*(base if last else []), *found.T]
 
-        return map_texts(rows, kept, text, f"{BASE}, {types}" if last else types, of).drop(*before.values())
+        made = map_texts(rows, kept, text, f"{BASE}, {types}" if last else types, of).drop(*before.values())
+        made = written(made.select(*columns), "scored") if last else written(made, "partial")
+        known.destroy()
+        return made
 
+    groups = ngram_model.passes(sizes, shard)
+    if len(groups) > 1:
+        numbers = F.create_map(*[F.lit(x) for k, (langs, _) in enumerate(groups) for name in langs for x in (name, k)])
+        dealt = docs.withColumn("__pass", F.coalesce(F.try_element_at(numbers, F.col("__lang")), F.lit(0)))
+        dealt = written(dealt.hint("rebalance", "__pass"), "passes", "__pass")
     found = []
-    for langs, parts in ngram_model.passes(sizes, shard):
+    for k, (langs, parts) in enumerate(groups):
         rows, own = docs, model
-        if len(langs) < len(sizes):
-            rows, own = docs.where(F.col("__lang").isin(langs)), model.where(F.col("__lang").isin(langs))
-        for k in range(parts):
-            rows = one(rows, own.where(F.pmod("slice", F.lit(parts)) == k), k > 0, k + 1 == parts)
-            if k + 1 < parts:
-                rows = written(rows, "partial")
+        if len(groups) > 1:
+            rows, own = dealt.where(F.col("__pass") == k).select(*docs.columns), model.where(F.col("__lang").isin(langs))
+        for n in range(parts):
+            rows = one(rows, own.where(F.pmod("slice", F.lit(parts)) == n), n > 0, n + 1 == parts)
         found.append(rows)
-    return reduce(DataFrame.unionByName, found)
+    return found
 
 
 def _quartiles(scored: DataFrame) -> DataFrame:
@@ -139,8 +147,8 @@ def quality_rules(
     with scratch() as keep:
         counted = ngram_model.count_trigrams(docs.select(*marks[:2], raw.alias("__bytes")))
         model, sizes = ngram_model.write_model(ngram_model.model_entries(counted), slice_entries)
-        scored = _scores(rows, keys, text, model, sizes or {"": 0}, shard).select(*keys, *base, failed.alias("base_failed"), *bits)
-        scored = keep(written(scored, "scored"))
+        scored = [keep(t) for t in _scores(rows, keys, text, model, sizes or {"": 0}, shard, [*keys, *base, failed.alias("base_failed"), *bits])]
+    scored = reduce(DataFrame.unionByName, scored)
 
     bounds, inside = [], F.lit(True)
     for k, (below, above) in zip(ngram_model.ORDERS, BANDS):
