@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import map_texts, running_total, table, worker_cache, written
+from quirelake.llm.mixing import source_weights
 
 SEQUENCE = 1024
 #: A window of the deficit round-robin, in tokens: each holds the sources in their target proportions.
@@ -222,4 +223,7 @@ def pack_documents(
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    """Sources weigh as they do in mixing, whatever they hold."""
+    docs = table(spark, sf_dir, "documents")
+    weights = source_weights(written(docs.select("source").distinct(), "sources"))
+    return pack_documents(docs, weights=written(weights, "weights"))
