@@ -18,9 +18,9 @@ FIT_VECTORS = 16_384
 FIT_ROUNDS = 12
 #: Centroids of each half: so many at least, more with the root of the entries, as many as the fit has 64 vectors for.
 CENTROIDS = 64
-#: A query goes through cells until they hold this share of the index. Vectors without any structure, as the
-#: test tables hold, need about a third for nine in ten of the true neighbours; see the README for recall.
-SHARE = 0.5
+#: A query goes through cells until they hold the share of the index in which so many of the true neighbours of so
+#: many trial entries lie. Vectors with structure need little of it, those without any (as in the test tables) a third or more.
+RECALL, TRIALS = 0.97, 128
 #: Entries and queries that meet in one task.
 ENTRY_BLOCK, QUERY_BLOCK = 4096, 4096
 
@@ -84,7 +84,44 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("vec") == (length["n"] if length else 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int | None = None, share: float = SHARE) -> DataFrame:
+def share_for(index: DataFrame, books: list[np.ndarray], sizes: np.ndarray, total: int, k: int, recall: float) -> float:
+    """The share of the index that holds `recall` of the true k nearest of TRIALS entries, the first by hash, when cells are taken by distance.
+
+    The trials meet every entry, and each task keeps their k + 1 nearest only. A neighbour counts with what the cells
+    before its own hold.
+    """
+    trial = np.array([r["vec"] for r in hash_sample(index.select("vec"), ["vec"], TRIALS, total).toLocalIterator()])
+    width = len(books[1])
+
+    def nearest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps, cells = np.zeros((len(trial), 0)), np.zeros((len(trial), 0), np.int64)
+        for part in parts:
+            x = _matrix(part.column(0))
+            cell = part.column(1).to_numpy() * width + part.column(2).to_numpy()
+            gaps = np.concatenate([gaps, (x**2).sum(axis=1)[None] - 2 * trial @ x.T], axis=1)
+            cells = np.concatenate([cells, np.broadcast_to(cell, (len(trial), len(x)))], axis=1)
+            if gaps.shape[1] > k + 1:
+                at = np.argpartition(gaps, k, axis=1)[:, : k + 1]
+                gaps, cells = np.take_along_axis(gaps, at, 1), np.take_along_axis(cells, at, 1)
+        names = np.repeat(np.arange(len(trial)), gaps.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(gaps.ravel()), pa.array(cells.ravel())], names=["q", "gap", "cell"])
+
+    close = index.select("vec", "i", "j").mapInArrow(nearest, "q long, gap double, cell long")
+    ranked = close.withColumn("__n", F.row_number().over(Window.partitionBy("q").orderBy("gap", "cell")))
+    half, flat, needed = len(books[0][0]), sizes.ravel(), []
+    ahead: dict[int, np.ndarray] = {}
+    for row in ranked.where(F.col("__n").between(2, k + 1)).toLocalIterator():  # k rows a trial; the first is the entry itself
+        if row["q"] not in ahead:
+            v = trial[row["q"]]
+            first, second = (((book - of) ** 2).sum(axis=1) for book, of in zip(books, (v[:half], v[half:])))
+            order = np.argsort((first[:, None] + second[None]).ravel(), kind="stable")
+            ahead[row["q"]] = np.empty(len(flat))
+            ahead[row["q"]][order] = np.cumsum(flat[order]) - flat[order]
+        needed.append((ahead[row["q"]][row["cell"]] + 1) / total)
+    return float(np.quantile(needed, recall, method="higher")) if needed else 1.0
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int | None = None, share: float | None = None, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query, other ids only, nearest first.
 
     `vectors` and `queries` have (id, vec), as valid_vectors() gives them. Vectors that are equal are one entry
@@ -92,7 +129,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int |
     repeat an id and vector count once. Fewer candidates give fewer rows, none give none. Where the cells hold fewer than
     k + 1 entries a query goes on through more.
 
-    A query is sent to the first-half centroids whose cells it has to search, with a bit for each of those cells, and
+    Cells are searched until they hold `share` of the index; without one, the share that trials show to hold `recall`
+    of the true neighbours. A query is sent to the first-half centroids whose cells it has to search, with a bit for each of those cells, and
     is joined there with the entries; what a centroid has too many of, entries or queries, is dealt over blocks. So a
     query meets no entry of a centroid that it doesn't search, and only its best k + 1 of a block leave a task.
     """
@@ -120,6 +158,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int |
     sizes = np.zeros((len(books[0]), width), np.int64)
     for row in index.groupBy("i", "j").count().toLocalIterator():  # a row for each cell, at most centroids squared
         sizes[row["i"], row["j"]] = row["count"]
+    if share is None:
+        share = share_for(index, books, sizes, total, k, recall)
 
     def traverse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

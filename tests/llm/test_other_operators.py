@@ -215,3 +215,20 @@ def test_recall_through_the_index(spark, n):
         assert len(mine) == 10 and np.allclose(mine.score, d[mine.vec_id], rtol=1e-12)
         hits += len(set(true) & set(mine.vec_id))
     assert 0.9 <= hits / 250 < 1  # less than all: not every entry was searched
+
+
+def test_vectors_with_structure_need_little_of_the_index(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(60, 32))[rng.integers(0, 60, 6000)] * 4 + rng.normal(size=(6000, 32)) * 0.3).astype("f4")
+    vectors = multi_index.valid_vectors(spark.createDataFrame(pa.table({"v": np.arange(6000), "e": list(x)})), "v", "e")
+    shares, found = [], multi_index.share_for
+    multi_index.share_for = lambda *a: shares.append(found(*a)) or shares[-1]
+    try:
+        got = multi_index.search(vectors, vectors.where("id % 200 = 0")).toPandas()
+    finally:
+        multi_index.share_for = found
+    hits = 0
+    for q in range(0, 6000, 200):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
+        hits += len(set(np.argsort(d, kind="stable")[1:11]) & set(got[got.query_id == q].vec_id))
+    assert hits / 300 >= 0.9 and shares[0] < 0.1

@@ -569,3 +569,22 @@ def test_words_of_a_fit_are_the_most_frequent(spark, monkeypatch):
     monkeypatch.setattr(language_id, "FIT_PAIRS", 8)
     language_id.fit_languages(docs, language_id.default_vocabulary())
     assert seen == {"a": [4.0, 6.0], "b": [4.0, 6.0]}
+
+
+def test_windows_hold_the_target_mixture(spark):
+    rows = spark.range(3000).selectExpr("id AS row_id", "IF(id % 10 = 0, 'a', IF(id % 10 = 1, 'b', 'c')) AS source", "CAST(5 + id % 7 AS LONG) AS doc_tokens")
+    weights = spark.createDataFrame([("a", 5.0), ("b", 2.0), ("c", 1.0)], "source string, weight double")
+    pieces = packing.plan_pieces(rows, weights, sequence=64, window=512).join(rows, "row_id").collect()
+    held = {}
+    for p in pieces:
+        held.setdefault(p.sequence_id // 8, {}).setdefault(p.source, []).append(p.length)
+    for w in range(4):  # all sources still have documents
+        sums = {s: sum(n) for s, n in held[w].items()}
+        assert all(abs(sums[s] - 512 * share / 8) <= 24 for s, share in (("a", 5), ("b", 2), ("c", 1)))
+
+
+def test_languages_in_passes_score_as_in_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.limit(1).selectExpr("doc_id", "'' AS text", "source", "'none' AS lang", "n_chars"), allowMissingColumns=True).select("doc_id", "text", "lang")
+    one, many = (sorted(map(repr, quality_rules.quality_rules(docs, ["doc_id"], shard=s, slice_entries=400).collect())) for s in (1 << 30, 3000))
+    assert len(one) == docs.count() and one == many
