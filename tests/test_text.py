@@ -92,3 +92,15 @@ def test_every_code_point_folds(spark):
     rows = [(i, "".join(every[i : i + 97])) for i in range(0, len(every), 97)] + [(-1, "Straße ΣΑΣ ς ŉ ﬃ İ"), (-2, ""), (-3, None), (-4, "PLAIN")]
     got = {r.i: r.folded for r in spark.createDataFrame(rows, "i int, t string").select("i", casefold(F.col("t")).alias("folded")).collect()}
     assert all(got[i] == (t and t.casefold()) if t else got[i] == t for i, t in rows)
+
+
+def test_ascii_fold_of_every_code_point(spark):
+    import sys
+    import unicodedata
+
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    rows = [(i, "".join(every[i : i + 97])) for i in range(0, len(every), 97)] + [(-1, "Ångström ½ ㎏ ﬃ ⑽ 漢字 é"), (-2, ""), (-3, None), (-4, "Plain 1"), (-5, "한글")]
+    folded = spark.createDataFrame(rows, "i int, t string").select("i", tx.ascii_fold(F.col("t")).alias("folded"))
+    got = {r.i: r.folded for r in folded.collect()}
+    assert all(got[i] == (t and unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()) for i, t in rows)
+    assert "Python" not in folded._jdf.queryExecution().executedPlan().toString()
