@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quirelake.operators import jobs, resolution, scoring, validation
 from quirelake.plans.fixtures import duck, fixture
 from quirelake.sources import files, sinks
+from quirelake.sources.staging import fresh_folder
+from quirelake.streaming import usage
 
 
 def _t(spark, sf_dir, name):
@@ -200,11 +202,14 @@ def m5_without_output(spark, sf_dir):
     return jobs.without_output(work, work.where("doc_id % 5 = 0"))
 
 
-def _priced(spark, sf_dir):
-    prices = _t(spark, sf_dir, "nation").where("n_nationkey < 3").select(
+def _prices(spark, sf_dir):
+    return _t(spark, sf_dir, "nation").where("n_nationkey < 3").select(
         F.element_at(F.array(F.lit("click"), F.lit("view"), F.lit("purchase")), (F.col("n_nationkey") + 1).cast("int")).alias("model"), (F.col("n_nationkey") + 1).cast("string").alias("input_per_1m"), F.lit("3").alias("output_per_1m")
     )
-    return jobs.cost(fixture(spark, sf_dir, "usage"), prices)
+
+
+def _priced(spark, sf_dir):
+    return jobs.cost(fixture(spark, sf_dir, "usage"), _prices(spark, sf_dir))
 
 
 _PRICED = f"""
@@ -225,6 +230,20 @@ def u3_usage_by_model(spark, sf_dir):
     return jobs.usage_by_model(_priced(spark, sf_dir)).withColumn("estimated_cost_usd", F.round("estimated_cost_usd", 4))
 
 
+U3_SQL = f"""WITH {_PRICED} SELECT model, grouping(model)::INT AS level, count(*) AS request_count, count(*) FILTER (WHERE status = 'success') AS successful_requests, count(*) FILTER (WHERE status = 'failed') AS failed_requests,
+       sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(cost), 4) AS estimated_cost_usd FROM u GROUP BY GROUPING SETS ((model), ())"""
+
+
+def u3_usage_stream(spark, sf_dir):
+    """Usage by model of a log that is followed: written and counted in two turns, the second from the first one's checkpoint."""
+    log, totals, state = (fresh_folder(spark, x) for x in ("log", "totals", "state"))
+    events = fixture(spark, sf_dir, "usage")
+    for turn in ("status = 'success'", "status <> 'success'"):
+        sinks.append_usage(events.where(turn), log)
+        usage.follow_usage(usage.usage_stream(spark, log), totals, state, _prices(spark, sf_dir)).awaitTermination()
+    return usage.usage_so_far(spark, totals).withColumn("estimated_cost_usd", F.round("estimated_cost_usd", 4))
+
+
 def u4_budget_setting(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     said = F.element_at(F.array(F.lit("10"), F.lit(" 2.5 "), F.lit("0"), F.lit("-3"), F.lit("none"), F.lit("")), (F.col("event_id") % 6 + 1).cast("int"))
@@ -465,11 +484,8 @@ QUERIES = {
     ),
     "u1_cost": (u1_cost, f"WITH {_PRICED} SELECT model, status, count(cost) AS priced, round(sum(cost), 5) AS cost FROM u GROUP BY ALL"),
     "u2_usage_summary": (u2_usage_summary, f"WITH {_PRICED} SELECT *, 100.0::DOUBLE AS budget_usd, round(100 - (SELECT sum(cost) FROM u), 4) AS budget_remaining_usd FROM sums"),
-    "u3_usage_by_model": (
-        u3_usage_by_model,
-        f"""WITH {_PRICED} SELECT model, grouping(model)::INT AS level, count(*) AS request_count, count(*) FILTER (WHERE status = 'success') AS successful_requests, count(*) FILTER (WHERE status = 'failed') AS failed_requests,
-            sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(cost), 4) AS estimated_cost_usd FROM u GROUP BY GROUPING SETS ((model), ())""",
-    ),
+    "u3_usage_by_model": (u3_usage_by_model, U3_SQL),
+    "u3_usage_stream": (u3_usage_stream, U3_SQL),
     "u4_budget_setting": (u4_budget_setting, "SELECT CASE event_id % 6 WHEN 0 THEN 10.0 WHEN 1 THEN 2.5 END::DOUBLE AS budget, count(*) AS n FROM events GROUP BY 1"),
     "e1_best_elements": (e1_best_elements, f"WITH {_BEST} SELECT 'c' || k AS case_id, 'e' || n AS element_id, status FROM best"),
     "e2_assertions": (e2_assertions, f"WITH {_BEST} SELECT 'c' || k AS case_id, 'a' || a AS assertion_id, ok AS correct, c AS classification FROM cls"),
