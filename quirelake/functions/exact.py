@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quirelake.functions.text import let
 
 LIMB, BASE = 6, 10**6
+#: Digits of products that are reckoned in longs.
+SHORT = 17
 
 
 def _parts(number: Column) -> Column:
@@ -54,6 +56,19 @@ def product_misses(a: Column, b: Column, c: Column) -> Column:
     """Whether a times b is further from c than half a unit of c's last place; numbers as they are written, of any length."""
 
     def compare(x: Column) -> Column:
+        digits = [F.char_length(x[n]["digits"]) for n in "abc"]
+        return F.when((digits[0] + digits[1] + x["c"]["scale"] <= SHORT) & (digits[2] + x["a"]["scale"] + x["b"]["scale"] <= SHORT), short(x)).otherwise(long(x))
+
+    def short(x: Column) -> Column:
+        """All of it in longs: no power of ten that a side is multiplied by makes it longer than SHORT digits."""
+        a, b, c = (x[n]["digits"].cast("bigint") for n in "abc")
+        behind = x["c"]["scale"] - x["a"]["scale"] - x["b"]["scale"]
+        ten = lambda n: F.concat(F.lit("1"), F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))).cast("bigint")
+        ours = F.when(x["a"]["negative"] == x["b"]["negative"], a).otherwise(-a) * b * ten(behind)
+        theirs = F.when(x["c"]["negative"], -c).otherwise(c) * ten(-behind)
+        return 2 * F.abs(ours - theirs) > ten(-behind)
+
+    def long(x: Column) -> Column:
         together = x["a"]["scale"] + x["b"]["scale"]
         most = F.greatest(together, x["c"]["scale"])
         shifted = F.concat(x["a"]["digits"], F.repeat(F.lit("0"), most - together))

@@ -228,3 +228,28 @@ def test_references_without_a_semicolon_stay(spark, value, plain):
     got = spark.createDataFrame([(value,)], "v string").select(inline_text(F.col("v"), closed=True).alias("o"), inline_text(F.col("v")).alias("html"))
     assert got.first().o == plain
     assert value[0] != "a" or got.first().html == "a&b"
+
+
+def _planned(spark, column, **columns):
+    frame = spark.createDataFrame([tuple(columns.values())], list(columns))
+    return frame.select(column.alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_is_parsed_is_parsed_once(spark):
+    assert _planned(spark, validation.failed_products(F.col("t")), t="2 x 3 = 6").count("regexp_extract_all(") == 1
+
+
+@pytest.mark.parametrize(
+    "text, failed",
+    [("2 x .5 = 1 and 2*3=7", 1), ("−2 × 3,5 = -7.0", 0), ("0.3 x 0.3 = 0.1", 0), ("0.3 x 0.5 = 0.2", 0), ("0.31 x 0.5 = 0.1", 1), ("99999999 x 999999999 = 99999998900000001", 0), ("99999999 x 999999999 = 99999998900000002", 1),
+     ("999999999999 x 999999999999 = 999999999998000000000001", 0), ("999999999999 x 999999999999 = 999999999998000000000000", 1), ("-0.000000001 x 1 = 0", 0), ("2 x 3 = 6.0000000000000001", 1), ("2 x 3 = 6.00000000000000001", 1)],
+)
+def test_products_short_and_long(spark, text, failed):
+    from decimal import Decimal as D
+    from decimal import localcontext
+
+    a, b, c = (D(x.strip().replace("−", "-").replace(",", ".")) for x in re.split(r"[x×*=]", text.split(" and ")[-1]))
+    with localcontext() as exact:
+        exact.prec = 60
+        assert (2 * abs(a * b - c) > D(1).scaleb(c.as_tuple().exponent)) == bool(failed) or " and " in text
+    assert spark.createDataFrame([(text,)], "t string").select(validation.failed_products(F.col("t")).alias("o")).first().o == failed
