@@ -1,4 +1,4 @@
-"""Edges that Spark has no reader for: page decoding, OCR, model calls. Each is a callable run inside mapInPandas.
+"""Edges that Spark has no reader for: page decoding, OCR, model calls. Each is a callable run inside mapInArrow or mapInPandas.
 
 None of them is implemented here against a real service; tests pass fakes. A failure becomes a row with an error.
 """
@@ -18,6 +18,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quirelake.functions.text import QUOTA_MARKS, strip
 from quirelake.operators.lines import BLOCK_LENGTH, BLOCKS, USABLE_LENGTH
 
+#: Bytes of an Arrow batch that are worked off together.
+SLICE = 4 << 20
+
 PAGES = "doc_id string, page_index int, text string, images int, error string"
 
 
@@ -36,17 +39,21 @@ class Model(Protocol):
 def decode_pages(files: DataFrame, decoder: Decoder, max_pages: int | None = None) -> DataFrame:
     """A row for each page of (doc_id, content) rows; a document that can't be decoded has one row with the error."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    schema = T._parse_datatype_string(PAGES)
+    types = to_arrow_schema(schema)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(parts):
             rows = []
-            for doc, content in zip(part["doc_id"], part["content"]):
+            for doc, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 try:
                     rows += [(doc, i, text, images, None) for i, (text, images) in enumerate(decoder(bytes(content))[:max_pages])]
                 except Exception as error:
                     rows.append((doc, None, None, None, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "page_index", "text", "images", "error"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), types)], schema=types)
 
-    return files.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInPandas(run, PAGES)
+    return files.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, schema)
 
 
 def pages_as_markdown(pages: DataFrame) -> DataFrame:
@@ -60,23 +67,19 @@ def pages_as_markdown(pages: DataFrame) -> DataFrame:
 def call_model(rows: DataFrame, model: Callable[[str, str, str], str], instructions: str) -> DataFrame:
     """Adds `answer`, `error` and `calls` to rows with `text` and `model`; up to three tries, none after a quota error."""
     added = [T.StructField("answer", T.StringType()), T.StructField("error", T.StringType()), T.StructField("calls", T.IntegerType())]
-    schema = T.StructType([*rows.schema.fields, *added])
+    texts, names = rows.columns.index("text"), rows.columns.index("model")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for text, name in zip(part["text"], part["model"]):
-                answer, error, calls = None, None, 0
-                while answer is None and calls < 3 and not (error and "quota" in error.lower()):
-                    calls += 1
-                    try:
-                        answer, error = model(instructions, text, name), None
-                    except Exception as failure:
-                        error = f"{type(failure).__name__}: {failure}"
-                out.append((answer, error, calls))
-            yield part.assign(**{c: [x[i] for x in out] for i, c in enumerate(("answer", "error", "calls"))})
+    def one(text: str | None, name: str | None) -> tuple[str | None, str | None, int]:
+        answer, error, calls = None, None, 0
+        while answer is None and calls < 3 and not (error and "quota" in error.lower()):
+            calls += 1
+            try:
+                answer, error = model(instructions, text, name), None
+            except Exception as failure:
+                error = f"{type(failure).__name__}: {failure}"
+        return answer, error, calls
 
-    return rows.mapInPandas(run, schema)
+    return _with_fields(rows, T.StructType(added), lambda: lambda part: [one(t, n) for t, n in zip(part.column(texts).to_pylist(), part.column(names).to_pylist())])
 
 
 def usable(text: str) -> bool:
@@ -112,13 +115,21 @@ def extract_lazily(files: DataFrame, engines: dict[str, Callable[[bytes], str]],
     return _with_fields(files, added, lambda: lambda part: [one(c, w) for c, w in zip(part.column(content).to_pylist(), part.column(names).to_pylist())])
 
 
+def _slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows that have some SLICE bytes on average, so that a task holds few of them as Python values."""
+    for part in parts:
+        step = max(1, part.num_rows * SLICE // max(1, part.nbytes))
+        for at in range(0, part.num_rows, step):
+            yield part.slice(at, step)
+
+
 def _with_fields(rows: DataFrame, added: T.StructType, make: Callable[[], Callable[[pa.RecordBatch], list[tuple]]]) -> DataFrame:
     """Rows with the fields that a function of Arrow batches gives (a tuple a row); `make` makes one for each partition, so it may keep state."""
     types = to_arrow_schema(added)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for part in parts:
+        for part in _slices(parts):
             made = of(part)
             arrays = [pa.array([m[i] for m in made], f.type) for i, f in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*part.columns, *arrays], schema=pa.schema([*part.schema, *types]))

@@ -303,3 +303,13 @@ def test_manifests_are_saved_and_a_run_goes_on_from_them(spark, tmp_path):
     assert [(r.position, r.url, r.status) for r in saved.orderBy("position").collect()] == [(i, f"u{i}", "failed" if i % 3 == 0 else "done") for i in range(9)]
     found = videos.withColumn("subtitles", F.lit("WEBVTT\n\nfound"))
     assert {(r.url, r.status) for r in flows.run_videos(found, model, "sum up", 400, saved).collect()} == {(f"u{i}", "done") for i in (0, 3, 6)}
+
+
+def test_batches_of_long_texts_are_worked_off_in_slices():
+    import pyarrow as pa
+
+    from quirelake.sources import adapters
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(30)), "text": ["x" * (1 << 20)] * 30})
+    slices = list(adapters._slices(iter([batch, batch.slice(0, 0)])))
+    assert max(s.num_rows for s in slices) <= 4 and [i for s in slices for i in s.column(0).to_pylist()] == list(range(30))
