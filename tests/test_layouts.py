@@ -77,3 +77,58 @@ def test_files_are_written_and_read_back(spark, tmp_path):
     got = layouts.read_pages(spark, root, layouts.json_lines, ending=".jsonl").orderBy("doc_id", "page_index").collect()
     assert [(r.doc_id, r.page_index, r.rotation, r.text_source, r.text_confidence, r.page_text) for r in got] == [("a", 0, 0, "native_pdf_text", 1.0, ""), ("a", 1, 90, "ocr", 0.5, "\nzwei"), ("b", 3, 0, "x", 1.0, "")]
     assert [tuple(r) for r in layouts.read_blocks(spark, root, layouts.json_lines, ending=".jsonl").orderBy("block_ordinal").collect()] == [tuple(r) for r in blocks.orderBy("block_ordinal").collect()]
+
+
+def test_bundles_hold_many_documents(spark, tmp_path):
+    names = [f"d{d}" for d in range(40)] + ['q"u,o\\te', "é/\U0001f600", ""]
+    pages = [(d, p, 1.5, 2.0, 90 * (p % 2), "ocr" if p else None, None if p == 1 else 0.5) for i, d in enumerate(names) for p in range(i % 4)]
+    blocks = [(d, p, b, b % 2, None if b == 2 else f'{b}\r\n "é', 0.1 * b, -0.0, 1e300, None) for d, p, *_ in pages for b in reversed(range(p * 2))]
+    page_rows = spark.createDataFrame(pages, "doc_id string, page_index int, width double, height double, rotation int, text_source string, text_confidence double")
+    root = f"file://{tmp_path}/out"
+    layouts.write_bundles(page_rows.repartition(3), spark.createDataFrame(blocks, layouts.BLOCK), root)
+    assert len(list((tmp_path / "out").glob("*.txt"))) <= 4  # not a file for each of 43 documents
+    texts = {(d, p): "\n".join(t or "" for _, t in sorted((b, t) for dd, pp, b, _, t, *_ in blocks if (dd, pp) == (d, p))) for d, p, *_ in pages}
+    want = sorted((d, p, r, s or "native_pdf_text", 1.0 if c is None else c, texts[d, p]) for d, p, _, _, r, s, c in pages)
+    opened = layouts.json_bundles
+
+    def one_by_one(stream, start, end, wanted):
+        yield from opened(stream, start, end, wanted)
+
+    one_by_one.splittable = one_by_one.bundles = True
+    for decoder in (opened, one_by_one):
+        for size in (150, 1 << 26):
+            got = layouts.read_pages(spark, root, decoder, ending=".txt", partition_bytes=size)
+            assert sorted((r.doc_id, r.page_index, r.rotation, r.text_source, r.text_confidence, r.page_text) for r in got.collect()) == want
+            rows = layouts.read_blocks(spark, root, decoder, ending=".txt", partition_bytes=size).collect()
+            assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, blocks))
+
+
+def test_filters_pass_over_other_documents_of_a_bundle(spark, tmp_path):
+    decoded = spark.sparkContext.accumulator(0)
+
+    def counting(stream, start, end, wanted):
+        for page in layouts.json_bundles(stream, start, end, wanted):
+            decoded.add(1)
+            yield page
+
+    counting.bundles = True
+    pages = spark.range(30).selectExpr("id % 10 doc_id", "cast(id as int) page_index", "1D width", "1D height", "0 rotation", "'x' text_source", "1D text_confidence")
+    layouts.write_bundles(pages, spark.createDataFrame([], layouts.BLOCK.replace("doc_id string", "doc_id long")), f"file://{tmp_path}/out")
+    asked = F.col("doc_id").isin("3", "none") & (F.col("page_index") > 3)
+    for decoder in (counting, layouts.json_bundles):
+        got = layouts.read_pages(spark, f"file://{tmp_path}/out", decoder, ("doc_id", "page_index"), ending=".txt").where(asked)
+        assert sorted(map(tuple, got.collect())) == [("3", 13), ("3", 23)]
+    assert decoded.value == 2
+
+
+def test_layout_queries_write_no_file_a_document(spark, monkeypatch):
+    from quirelake.plans import layout_queries
+
+    made = []
+    monkeypatch.setattr(layout_queries, "fresh_folder", lambda s, label, f=layout_queries.fresh_folder: made.append(f(s, label)) or made[-1])
+    sf_dir = "/root/testdata/sf0.001"
+    rows = layout_queries.s8_page_texts(spark, sf_dir)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    documents = orders.select("o_custkey").distinct().count()
+    assert rows.count() == orders.count() + documents
+    assert len(spark.read.text(made[0]).inputFiles()) < min(20, documents)
