@@ -6,7 +6,8 @@ height, rotation, blocks (dicts of block_type, text, x0, y0, x1, y1 in reading o
 text_confidence and page_text. A decoder with a true attribute `splittable` gets long files in ranges of bytes and yields
 the pages that begin in start <= place < end; others get each file whole. One with a true attribute `bundles` reads files that
 hold pages of many documents: its pages have a doc_id, and it calls `wanted(page_index, doc_id)`. A decoder may also have an
-attribute `tables`, called as tables(stream, start, end) where every page is asked for: it yields Arrow tables of the same pages.
+attribute `tables`, called as tables(stream, start, end, fields) where no page is left out for its id: it yields Arrow tables of
+the same pages with at least those fields, a block's being named `blocks.text` and so on.
 """
 
 from __future__ import annotations
@@ -46,10 +47,10 @@ _COMPARE = {
 
 
 def holds(test: Filter, value) -> bool:
-    """Whether a value that isn't null passes a filter that is_known() takes."""
+    """Whether a value passes a filter that is_known() takes; a null one only where nulls are asked for."""
     if isinstance(test, Not):
-        return not holds(test.child, value)
-    return isinstance(test, IsNotNull) or _COMPARE[type(test)](value, test.value)
+        return (value is not None or isinstance(test.child, IsNotNull)) and not holds(test.child, value)
+    return value is not None and (isinstance(test, IsNotNull) or _COMPARE[type(test)](value, test.value))
 
 
 def is_known(test: Filter) -> bool:
@@ -63,6 +64,12 @@ def is_known(test: Filter) -> bool:
     return None not in (test.value if isinstance(test, In) else (test.value,))
 
 
+def _arrow_types() -> dict:
+    import pyarrow as pa
+
+    return {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+
 @dataclass
 class Pieces(InputPartition):
     """(document, path, first byte, byte after the last) of what a task reads."""
@@ -134,14 +141,16 @@ class LayoutReader(DataSourceReader):
             return self._asked("page_index", page) and (not self.bundles or self._asked("doc_id", doc))
 
         system, _ = fs.FileSystem.from_uri(self.root)
-        tables = None if any(self.tests.values()) else getattr(self.decoder, "tables", None)
+        # a join asks for ids that aren't null, which a table can be asked as a whole
+        chosen = any(not isinstance(t, IsNotNull) for tests in self.tests.values() for t in tests)
+        tables = None if chosen else getattr(self.decoder, "tables", None)
         for doc, path, start, end in partition.pieces:
             with io.BufferedReader(system.open_input_file(path), 1 << 20) as stream:
                 if tables is not None:
-                    for table in tables(stream, start, end):
+                    for table in tables(stream, start, end, self._fields()):
                         yield from self._table_rows(table if self.bundles else table.append_column("doc_id", [[doc] * len(table)])).to_batches(BATCH_ROWS)
                 else:
-                    yield from self._rows((page["doc_id"] if self.bundles else doc, page) for page in self.decoder(stream, start, end, wanted))
+                    yield from self._rows((page.get("doc_id") if self.bundles else doc, page) for page in self.decoder(stream, start, end, wanted))
 
     def _rows(self, pages: Iterator[tuple[str, dict]]) -> Iterator:
         sized = [i for i, c in enumerate(self.columns) if c in ("text", "page_text")]
@@ -160,14 +169,23 @@ class LayoutReader(DataSourceReader):
         if held[0]:
             yield self._batch(held)
 
+    def _fields(self) -> set[str]:
+        fields = {"doc_id", "page_index", *(() if self.blocks else self.columns)}
+        if self.blocks:
+            return fields | {f"blocks.{c}" for c in (*self.columns, "block_type")}
+        return fields | ({"blocks.text"} if "page_text" in self.columns else set())
+
     def _table_rows(self, pages):
         """The rows of a table of pages: what _rows() gives of them one by one."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        lists = pages["blocks"].combine_chunks()
-        flat = lists.flatten()
+        for column in (c for c, tests in self.tests.items() if tests):
+            pages = pages.filter(pages[column].is_valid())
+        if self.blocks or "page_text" in self.columns:
+            lists = pages["blocks"].combine_chunks()
+            flat = lists.flatten()
         if self.blocks:
             parents = pc.list_parent_indices(lists)
             of = parents.to_numpy()
@@ -201,11 +219,9 @@ class LayoutReader(DataSourceReader):
     def _batch(self, held: list[list]):
         import pyarrow as pa
 
-        types = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
-
         def column(values: list, kind: str):
             try:
-                return pa.array(values, types[kind])
+                return pa.array(values, _arrow_types()[kind])
             except (pa.ArrowTypeError, pa.ArrowInvalid):
                 if kind != "string":
                     raise
@@ -291,15 +307,15 @@ def json_bundles(stream, start: int, end: int, wanted: Callable[[int, str], bool
             yield json.loads(line)
 
 
-def _json_tables(stream, start: int, end: int) -> Iterator:
+def _json_tables(stream, start: int, end: int, fields: set[str]) -> Iterator:
     """Tables of the pages that json_bundles() yields, some megabytes of lines each."""
     import pyarrow as pa
     from pyarrow import json as arrow_json
 
-    number = [(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")]
-    blocks = pa.list_(pa.struct([("block_type", pa.int32()), ("text", pa.string()), *number]))
-    page = [("page_index", pa.int32()), ("doc_id", pa.string()), ("width", pa.float64()), ("height", pa.float64()), ("rotation", pa.int32())]
-    schema = pa.schema([*page, ("text_source", pa.string()), ("text_confidence", pa.float64()), ("page_text", pa.string()), ("blocks", blocks)])
+    types = _arrow_types()
+    page = {name: types[kind] for name, kind in (f.split() for f in PAGE.split(", "))}
+    block = [(name, types[kind]) for name, kind in (f.split() for f in BLOCK.split(", ")) if name not in page and f"blocks.{name}" in fields]
+    schema = pa.schema([(name, kind) for name, kind in page.items() if name in fields] + [("blocks", pa.list_(pa.struct(block)))] * bool(block))
     parse = arrow_json.ParseOptions(explicit_schema=schema, unexpected_field_behavior="ignore")
     at = _begin(stream, start)
     while at < end and (lines := stream.read(min(TABLE_BYTES, end - at))):

@@ -132,3 +132,21 @@ def test_layout_queries_write_no_file_a_document(spark, monkeypatch):
     documents = orders.select("o_custkey").distinct().count()
     assert rows.count() == orders.count() + documents
     assert len(spark.read.text(made[0]).inputFiles()) < min(20, documents)
+
+
+def test_joins_leave_bundles_as_tables(spark, tmp_path):
+    alone = spark.sparkContext.accumulator(0)
+
+    def decoder(stream, start, end, wanted):
+        alone.add(1)
+        yield from layouts.json_bundles(stream, start, end, wanted)
+
+    decoder.bundles, decoder.tables = True, layouts.json_bundles.tables
+    pages = spark.range(6).selectExpr("if(id < 4, id % 2, null) doc_id", "cast(id as int) page_index", "1D width", "1D height", "0 rotation", "'x' text_source", "1D text_confidence")
+    layouts.write_bundles(pages, spark.createDataFrame([], layouts.BLOCK.replace("doc_id string", "doc_id long")), f"file://{tmp_path}/out")
+    read = layouts.read_pages(spark, f"file://{tmp_path}/out", decoder, ("doc_id", "page_index"), ending=".txt")
+    got = read.join(layouts.page_counts(read.select("doc_id")), "doc_id")
+    assert sorted(map(tuple, got.collect())) == [("0", 0, 2), ("0", 2, 2), ("1", 1, 2), ("1", 3, 2)]
+    assert alone.value == 0
+    assert read.where("doc_id IS NOT NULL AND doc_id <> '1'").count() == 2 and alone.value > 0
+    assert sorted(r.page_index for r in read.where("doc_id IS NULL").collect()) == [4, 5]
