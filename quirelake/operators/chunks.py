@@ -128,13 +128,18 @@ def choose_provider(keys: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, PROVIDERS)), F.col("provider"))
     key = F.lower(strip(F.coalesce("key", F.lit(""))))
     real = (key != "") & ~key.isin(*NO_KEYS)
-    found = F.min(F.when(real & (rank > 0), F.struct(rank.alias("rank"), "provider")))
-    named = F.max(F.lower(strip(F.col("explicit"))))
-    explicit = F.when(~named.isin("", "auto"), named)
-    known = F.array_contains(F.array(*map(F.lit, NAMED)), explicit)
-    return keys.groupBy("setup").agg(
-        F.when(explicit.isNotNull(), F.when(known, explicit)).otherwise(F.coalesce(found["provider"], F.lit(PROVIDERS[0]))).alias("provider")
-    )
+    explicit = F.lower(strip(F.col("explicit")))
+    # a name's place among the known ones in order, odd if it is one of them: the largest is the largest name's, and
+    # numbers are aggregated by hash where texts and structs would be sorted
+    names = sorted({"", "auto", *NAMED})
+    place = sum(((explicit >= n).cast("int") + (explicit > n).cast("int") for n in names), F.lit(0))
+    rows = keys.select("setup", place.alias("__place"), F.when(real & (rank > 0), rank).alias("__rank"))
+    found = rows.repartition("setup").groupBy("setup").agg(F.max("__place").alias("__place"), F.min("__rank").alias("__rank"))
+    at = F.col("__place")
+    unnamed = at.isNull() | at.isin(*(2 * names.index(n) + 1 for n in ("", "auto")))
+    named = F.when(at % 2 == 1, F.get(F.array(*map(F.lit, names)), (at / 2).cast("int")))
+    first = F.get(F.array(*map(F.lit, PROVIDERS)), (F.coalesce("__rank", F.lit(1)) - 1).cast("int"))
+    return found.select("setup", F.when(unnamed, first).otherwise(named).alias("provider"))
 
 
 def summary_plan(docs: DataFrame, deep_limit: int, chunk_limit: int, text: str = "text") -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,23 @@ def test_ascii_fold_of_every_code_point(spark):
     got = {r.i: r.folded for r in folded.collect()}
     assert all(got[i] == (t and unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()) for i, t in rows)
     assert "Python" not in folded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_providers_are_chosen_by_numbers_without_sorting(spark):
+    names = [None, "", " Auto ", "auto", "a", "authors", "MISTRAL", "mistral2", "openai", "openai_compatible", "zz", "vllm", "é", "\U0001f600", "!"]
+    keys = [None, " ", "k", "Your_API_key_here"]
+    rng = random.Random(8)
+    rows = [(s, rng.choice(names), rng.choice([*chunks.PROVIDERS, "other", None]), rng.choice(keys)) for s in range(300) for _ in range(rng.randrange(1, 6))] + [(None, "vllm", "gemini", "k")]
+    chosen = chunks.choose_provider(spark.createDataFrame(rows, "setup int, explicit string, provider string, key string"))
+
+    def brute(mine):
+        explicit = max((e.strip().lower() for _, e, _, _ in mine if e is not None), default=None, key=lambda e: e.encode())
+        if explicit not in (None, "", "auto"):
+            return explicit if explicit in chunks.NAMED else None
+        real = [p for _, _, p, k in mine if p in chunks.PROVIDERS and (k or "").strip() and (k or "").strip().lower() not in chunks.NO_KEYS]
+        return min(real, key=chunks.PROVIDERS.index, default=chunks.PROVIDERS[0])
+
+    got = {r.setup: r.provider for r in chosen.collect()}
+    assert got == {s: brute([r for r in rows if r[0] == s]) for s in {r[0] for r in rows}}
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and chosen.schema.simpleString() == "struct<setup:int,provider:string>"
