@@ -5,7 +5,7 @@ What calls a model or a reader is passed in; every run is one DataFrame for all
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from quirelake.sources.adapters import call_model, extract_lazily, review_in_ord
 from quirelake.sources.staging import staged
 
 Model = Callable[[str, str, str], str]
+#: Fields of an element that its review is put in order by and its status decided by.
+DECIDING = ("doc_id", "page_index", "ordinal", "element_type", "status", "alerts", "has_rows")
 
 
 def summarize_videos(videos: DataFrame, model: Model, instructions: str, simple_limit: int) -> DataFrame:
@@ -114,14 +116,17 @@ def run_files(files: DataFrame, engines: dict[str, Callable[[bytes], str]], mode
     return run_documents(extracted, model, instructions, deep_limit, chunk_limit).join(extracted.select("doc_id", "engine", "attempts"), "doc_id")
 
 
-def run_evidence(blocks: DataFrame, pages: DataFrame, reviewer: Callable[[dict], dict], budget: int = validation.BUDGET) -> DataFrame:
+def run_evidence(blocks: DataFrame, pages: DataFrame, reviewer: Callable[[dict], dict], budget: int = validation.BUDGET, reads: Sequence[str] | None = None) -> DataFrame:
     """Every detected element after its checks and review, with `status_after` and what validation.settled() says of it.
 
     `reviewer` is called for elements by page and place, at most `budget` times a document and never after a quota error of
-    that document (see adapters.review_in_order).
+    that document (see adapters.review_in_order). `reads` names the fields that it looks at: of an element these and what
+    decides its status are dealt by document and kept, without `reads` all.
     """
     found = detection.link_previous_page(detection.detect_elements(blocks, pages))
-    checked = validation.with_checks(found.withColumn("has_formula", F.lit(False))).drop("has_formula")
-    seen = review_in_order(checked, reviewer, budget).withColumn("has_rows", F.col("columns").isNotNull())
+    checked = validation.with_checks(found.withColumn("has_formula", F.lit(False))).drop("has_formula").withColumn("has_rows", F.col("columns").isNotNull())
+    if reads is not None:
+        checked = checked.select(*[c for c in checked.columns if c in {*DECIDING, *reads}])
+    seen = review_in_order(checked, reviewer, budget)
     answered = F.col("attempted") & F.col("error").isNull()
     return validation.settled(seen.withColumn("reviewed_status", F.when(answered, validation.status_after_review(seen))))

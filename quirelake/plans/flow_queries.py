@@ -112,7 +112,7 @@ SELECT doc_id, CASE WHEN clean IS NULL THEN 'unusable' WHEN error IS NULL THEN '
 
 def o6_evidence_run(spark, sf_dir):
     """Detected elements after checks, review, budget and quota stop, by document and status."""
-    made = flows.run_evidence(_blocks(spark, sf_dir), _pages(spark, sf_dir), reviewed_elements)
+    made = flows.run_evidence(_blocks(spark, sf_dir), _pages(spark, sf_dir), reviewed_elements, reads=("page_index", "ordinal", "element_type"))
     return made.groupBy("doc_id", F.col("status_after").alias("status")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("attempted").alias("attempted"), F.sum("calls").alias("calls"), F.count_if("circuit_open").alias("after_stop"), F.count("fallback_reason").alias("handed_on")
     )

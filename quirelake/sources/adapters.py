@@ -162,7 +162,7 @@ def review_in_order(elements: DataFrame, reviewer: Callable[[dict], dict], budge
 
         def review(part: pa.RecordBatch) -> list[tuple]:
             nonlocal now, tried, opened
-            out = []
+            out, held = [], None
             for i, doc in enumerate(part.column(document).to_pylist()):
                 if doc != now:
                     now, tried, opened = doc, 0, False
@@ -171,7 +171,8 @@ def review_in_order(elements: DataFrame, reviewer: Callable[[dict], dict], budge
                 if attempted:
                     tried += 1
                     try:
-                        answer = reviewer(part.slice(i, 1).to_pylist()[0])
+                        held = held or part.to_pylist()
+                        answer = reviewer(held[i])
                         repaired = bool(answer.get("repaired", False))
                     except Exception as failure:
                         error, repaired = str(failure), bool(getattr(failure, "repaired", False))

@@ -27,8 +27,21 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{folder.rstrip('/')}/quirelake/{label}-{uuid.uuid4().hex}"
 
 
+#: Whether a query's shuffle files go once it has ended, not once the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(rows: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the shared folder: worked out once, kept when executors are lost, read by name of column."""
-    path = fresh_folder(rows.sparkSession, label)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """The rows as a table in the shared folder: worked out once, kept when executors are lost, read by name of column.
+
+    What was shuffled for them is deleted as soon as the table is written.
+    """
+    spark = rows.sparkSession
+    path = fresh_folder(spark, label)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        rows.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(rows.schema).parquet(path)

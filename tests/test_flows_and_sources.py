@@ -313,3 +313,46 @@ def test_batches_of_long_texts_are_worked_off_in_slices():
     batch = pa.RecordBatch.from_pydict({"i": list(range(30)), "text": ["x" * (1 << 20)] * 30})
     slices = list(adapters._slices(iter([batch, batch.slice(0, 0)])))
     assert max(s.num_rows for s in slices) <= 4 and [i for s in slices for i in s.column(0).to_pylist()] == list(range(30))
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    """They pile up to many times the table, and the driver may not collect garbage for long."""
+    from quirelake.sources.staging import staged
+
+    def files():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").count("/shuffle_")
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = files(), spark.conf.get(setting)
+    made = staged(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "small")
+    for _ in range(50):
+        if files() <= before[0]:
+            break
+        time.sleep(0.1)
+    assert files() <= before[0] and spark.conf.get(setting) == before[1]
+    assert sorted(r["count"] for r in made.collect()) == [142] + [143] * 6
+
+
+def test_a_reviewer_is_given_the_fields_that_it_reads(spark):
+    from quirelake.operators import flows
+
+    blocks = [("d", p, i, 0, text, 10.0, 20.0 * i, 300.0, 20.0 * i + 9) for p in range(3) for i, text in enumerate(["Figure 2.1 a", "a  b  c\n1  2  3\n-.5  3/4  x", "y = a*x + 1", "2 x 3 = 7  1\n1  2  3"])]
+    frame = spark.createDataFrame(blocks, "doc_id string, page_index int, block_ordinal int, block_type int, text string, x0 double, y0 double, x1 double, y1 double")
+    sheets = [("d", p, 600.0, 800.0, 0, "native", 1.0, ["scan_skew_detected"] if p == 1 else [], "") for p in range(4)]
+    pages = spark.createDataFrame(sheets, "doc_id string, page_index int, width double, height double, rotation int, text_source string, text_confidence double, alerts array<string>, page_text string")
+
+    def reviewer(element):
+        if element["ordinal"] == 2:
+            raise TimeoutError(",".join(sorted(element)) if len(element) < 10 else "all")
+        return {"media_readable": True, "observed_type": element["element_type"], "recommended_status": "machine_verified_with_visual_check", "disagreements": [], "n_ambiguous": 0, "n_missing": 0, "has_formula": True}
+
+    whole = flows.run_evidence(frame, pages, reviewer, 9)
+    some = flows.run_evidence(frame, pages, reviewer, 9, reads=("page_index", "ordinal", "element_type"))
+    assert {"table", "raw_text"} <= set(whole.columns) and not {"table", "raw_text"} & set(some.columns)
+    told = {r.error for r in some.collect()} - {None}
+    assert told == {"alerts,doc_id,element_type,has_rows,ordinal,page_index,status"}
+
+    def said(rows):
+        return sorted(tuple(r) for r in rows.select("page_index", "ordinal", "status_after", "attempted", "calls", "circuit_open", F.coalesce("review_alert", F.lit(""))).collect())
+
+    assert said(some) == said(whole) and len(said(whole)) > 9

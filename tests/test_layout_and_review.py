@@ -263,3 +263,60 @@ def test_tables_are_looked_for_once_a_use(spark):
     plan = seen.select("columns", "table", "table_confidence")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct(") <= 2  # where it is filtered, and where it is read
     assert (seen.first().columns, len(seen.first().table)) == (2, 3)
+
+
+def _planned_exchanges(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_elements_are_told_apart_where_their_pages_are(spark):
+    """What is shuffled fills executors' disks: elements aren't dealt again, for links only captions and what may be linked to them."""
+    cell = "a  b  c\n1  2  3\n-.5  3/4  x"
+    rows = detect(spark, {0: [(0, "Figure 2.1 a", (0.0, 0.0, 9.0, 9.0)), (0, cell, (10.0, 20.0, 500.0, 60.0))], 1: [(0, "", (0.0, 0.0, 1.0, 1.0))]})
+    assert _planned_exchanges(rows) == 0
+    linked = detection.link_previous_page(rows).where("element_type = 'table'")
+    assert linked.count() == 1 and _planned_exchanges(linked) <= 2
+
+
+@pytest.mark.parametrize("most", [0, 7, 30, 31, 1000])
+def test_pages_with_many_numbered_boxes_say_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(detection, "CROWDED", most)
+    monkeypatch.setattr(detection, "MOST_ELEMENTS", 60)
+    cell = "a  b  c\n1  2  3\n-.5  3/4  x"
+    pages = {}
+    for p, n in ((0, 31), (1, 3), (2, 0), (3, 8)):
+        captions = [(0, f"Table 1.{i // 2} sizes", (50.0, 24.0 * i + 10, 200.0, 24.0 * i + 14)) for i in range(n)]
+        inside = [(0, cell, (20.0 + i % 3, 24.0 * i + 12, 300.0, 24.0 * i + 20 + 30 * (i % 2))) for i in range(31)]
+        pages[p] = inside + captions + [(0, "y = a*x + 1", (20.0, 12.0, 300.0, 20.0)), inside[1]]
+    got = detect(spark, pages).collect()
+    # equal boxes of the last block and of captions that were repeated
+    assert len({(r.page_index, r.ordinal) for r in got}) == len(got)
+    boxes = {p: {i: r for i, r in enumerate(_boxes(rows))} for p, rows in pages.items()}
+    want = set()
+    for p, held in boxes.items():
+        left = {i: b for i, b in held.items() if b[0] != "table" or b[1] or not any(o[0] == "table" and o[1] and _share(b, o) >= 0.7 for o in held.values())}
+        seen = set()
+        for i, b in sorted(left.items()):
+            if (b[0], b[2:]) not in seen and len(want & {(p, j) for j in held}) < 60:
+                seen.add((b[0], b[2:]))
+                want.add((p, i))
+    assert {(r.page_index, r.ordinal) for r in got} == want
+    assert sum(r.element_id.endswith("-candidate-02") for r in got) == 15 + 1 + 4
+    assert all(("duplicate_number_on_page" in r.alerts) == ("-candidate-" in r.element_id) for r in got)
+
+
+def _boxes(blocks):
+    """(element_type, number, box) of blocks in order of the page; captions reach down to the next one."""
+    tops = [b[1] for _, t, b in blocks if t.startswith("Table")]
+    for _, text, (x0, y0, x1, y1) in blocks:
+        if text.startswith("Table"):
+            below = [y for y in tops if y > y0 + 2]
+            low = min(800, y0 + 440)
+            yield "table", text.split()[1], 8.0, max(0.0, y0 - 8), 592.0, max(y1, min(low, max(y1, min(below) - 8)) if below else low)
+        else:
+            yield "formula" if "=" in text else "table", None, x0, y0, x1, y1
+
+
+def _share(inner, outer):
+    wide, high = (min(inner[4 + k], outer[4 + k]) - max(inner[2 + k], outer[2 + k]) for k in (0, 1))
+    return max(0, wide) * max(0, high) / ((inner[4] - inner[2]) * (inner[5] - inner[3]))
