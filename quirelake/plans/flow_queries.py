@@ -10,6 +10,7 @@ from quirelake.plans.layout_queries import _ELEMENTS, _LAYOUT, _blocks, _pages
 from quirelake.plans.source_queries import counting_model
 from quirelake.plans.text_queries import _CLEAN, CHUNK_LIMIT, DEEP_LIMIT, VIDEO_LIMIT, C4_SQL, N4_SQL
 from quirelake.sources import sinks
+from quirelake.sources.staging import discard, staged
 
 _HEAD = {
     "video": ('source_type: "youtube"', 'url: "', ("content_value", "technical_level", "bullshit_risk"), ("video",)),
@@ -112,7 +113,10 @@ SELECT doc_id, CASE WHEN clean IS NULL THEN 'unusable' WHEN error IS NULL THEN '
 
 def o6_evidence_run(spark, sf_dir):
     """Detected elements after checks, review, budget and quota stop, by document and status."""
-    made = flows.run_evidence(_blocks(spark, sf_dir), _pages(spark, sf_dir), reviewed_elements, reads=("page_index", "ordinal", "element_type"))
+    blocks = staged(_blocks(spark, sf_dir), "blocks")
+    pages = staged(_pages(spark, sf_dir, blocks), "pages")
+    made = flows.run_evidence(blocks, pages, reviewed_elements, reads=("page_index", "ordinal", "element_type"))
+    discard(blocks, pages)  # elements are a table of their own by now
     return made.groupBy("doc_id", F.col("status_after").alias("status")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("attempted").alias("attempted"), F.sum("calls").alias("calls"), F.count_if("circuit_open").alias("after_stop"), F.count("fallback_reason").alias("handed_on")
     )

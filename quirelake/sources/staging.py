@@ -44,4 +44,14 @@ def staged(rows: DataFrame, label: str) -> DataFrame:
         rows.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(rows.schema).parquet(path)
+    table = spark.read.schema(rows.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of staged() that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

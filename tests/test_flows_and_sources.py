@@ -356,3 +356,15 @@ def test_a_reviewer_is_given_the_fields_that_it_reads(spark):
         return sorted(tuple(r) for r in rows.select("page_index", "ordinal", "status_after", "attempted", "calls", "circuit_open", F.coalesce("review_alert", F.lit(""))).collect())
 
     assert said(some) == said(whole) and len(said(whole)) > 9
+
+
+def test_an_evidence_run_leaves_its_elements_only(spark):
+    from pathlib import Path
+
+    from quirelake.plans import flow_queries
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "quirelake"
+    before = set(shared.iterdir()) if shared.exists() else set()
+    made = flow_queries.o6_evidence_run(spark, "/root/testdata/sf0.001")
+    assert [p.name.split("-")[0] for p in set(shared.iterdir()) - before] == ["elements"]
+    assert made.selectExpr("sum(n)").first()[0] > 1000

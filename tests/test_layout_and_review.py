@@ -320,3 +320,17 @@ def _boxes(blocks):
 def _share(inner, outer):
     wide, high = (min(inner[4 + k], outer[4 + k]) - max(inner[2 + k], outer[2 + k]) for k in (0, 1))
     return max(0, wide) * max(0, high) / ((inner[4] - inner[2]) * (inner[5] - inner[3]))
+
+
+def test_page_texts_stay_where_they_are_read(spark):
+    blocks = spark.createDataFrame([("d", 0, 0, 0, "99", 0.0, 0.0, 20.0, 10.0)], BLOCKS)
+    pages = spark.createDataFrame([("d", 0, 600.0, 800.0, 0, "native", 1.0, [], "7\nChapter 3 Options\n")] + [("d", 1, 600.0, 800.0, 0, "native", 1.0, [], "12\nprose")], PAGES)
+    known = detection.page_identity(pages, blocks)
+    assert [(r.printed_page_raw, r.pdf_page_number) for r in known.orderBy("page_index").collect()] == [("99", 1), ("12", 2)]
+
+    def joins(node):
+        here = [node.left().output().mkString(",")] if node.nodeName() == "Join" else []
+        return here + [j for i in range(node.children().size()) for j in joins(node.children().apply(i))]
+
+    plan = known.select("doc_id", "printed_page_raw", "chapter")._jdf.queryExecution().optimizedPlan()
+    assert joins(plan) and not any("page_text" in j for j in joins(plan))
