@@ -41,7 +41,7 @@ def staged(rows: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        rows.write.parquet(path)
+        rows.write.parquet(path, compression="zstd")
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(rows.schema).parquet(path)

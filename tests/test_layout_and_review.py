@@ -334,3 +334,16 @@ def test_page_texts_stay_where_they_are_read(spark):
 
     plan = known.select("doc_id", "printed_page_raw", "chapter")._jdf.queryExecution().optimizedPlan()
     assert joins(plan) and not any("page_text" in j for j in joins(plan))
+
+
+def test_blocks_that_are_left_out_before_are_no_elements(spark):
+    texts = ["Figure 2-1 a", "FIGURE 14.1 shows volume", "  table\n3.1 sizes", "fig. 7", "a  b  c\n1  2  3\n-.5  3/4  x", "a  b\r1  2\r3  4", "y = a*x + 1", "σ", "x ≤ 3", "a=", "= b", "", " \n ", "249", "plain prose of a block", "one line  and  1  2  3", None, "Figures speak"]
+    blocks = [("d", p, i, 0, t, 10.0, 30.0 * i, 300.0, 30.0 * i + 20) for p in range(2) for i, t in enumerate(texts)] + [("d", 0, len(texts), 1, "prose", 0.0, 0.0, 500.0, 500.0), ("d", 0, len(texts) + 1, None, "prose", 0.0, 0.0, 500.0, 500.0)]
+    frame = spark.createDataFrame(blocks, BLOCKS)
+    pages = spark.createDataFrame([("d", p, 600.0, 800.0, 0, "native", 1.0, [], "") for p in range(2)], PAGES)
+    rows = detection.classify_blocks(frame, pages).withColumn("m", detection._matters(F.col("text"))).collect()
+    left_out = {r.text for r in rows if r.block_type == 0 and not r.m}
+    assert {"plain prose of a block", "249", "one line  and  1  2  3", "", None} <= left_out
+    assert not any(r.element_type or r["__told"] for r in rows if r.block_type == 0 and not r.m)
+    want = sorted((r.page_index, r.block_ordinal) for r in rows if r.element_type)
+    assert len(want) > 10 and detection.detect_elements(frame, pages).count() <= len(want)
